@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text bytes that one Python step holds at a time beside the Arrow batch.
 SLICE_BYTES = 4 << 20
@@ -91,3 +92,11 @@ def same(a, b):
 def text_key(text: str = "text"):
     """With doc_id, this names a document: rows equal in both are one document."""
     return F.xxhash64(F.col(text), F.length(F.col(text)))
+
+
+def grown(schema: T.StructType, *fields: tuple[str, str]) -> T.StructType:
+    """A copy of ``schema`` with fields (name, DDL type) at its end; a taken name gets underscores."""
+    out = T.StructType(list(schema.fields))
+    for name, kind in fields:
+        out.add(bare(name, out.names), T.DataType.fromDDL(kind))
+    return out

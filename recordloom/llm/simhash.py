@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bare, staged, table, text_key, text_slices
+from .common import bare, grown, staged, table, text_key, text_slices
 from .components import EDGES, connected
 
 SEED = 42
@@ -61,7 +61,7 @@ def simhash(text: str | None, width: int = SHINGLE) -> int:
 def add_fingerprint(docs: DataFrame, text: str = "text", name: str = "fp") -> DataFrame:
     """``docs`` without its text, with the fingerprint as a signed long in ``name``."""
     kept = [c for c in docs.columns if c != text]
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(name, "long")
+    schema = grown(docs.select(*[F.col(f"`{c}`") for c in kept]).schema, (name, "long"))
 
     def run(batches):
         for batch in batches:
