@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import byte_bpe, decontaminate, line_dedup, quality, simhash, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op5_byte_bpe": byte_bpe.op5_byte_bpe,
+    "op9_toxicity": toxicity.op9_toxicity,
+    "op10_quality": quality.op10_quality,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_line_dedup": line_dedup.OP2_SQL,
+    "op3_decontaminate": decontaminate.OP3_SQL,
+}
