@@ -187,7 +187,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = f"""
 WITH lines AS (
   SELECT doc_id, text, u.line, u.i FROM documents,
-    unnest(list_transform(string_split(coalesce(text, ''), chr(10)), (x, i) -> {{'line': x, 'i': i}})) AS t(u)),
+    unnest(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: {{'line': x, 'i': i}})) AS t(u)),
 worded AS (SELECT doc_id, i, trim(regexp_replace(lower(line), '\\s+', ' ', 'g')) AS line FROM lines),
 full_lines AS (SELECT doc_id, i, line, len(string_split(line, ' ')) AS n FROM worded WHERE line <> ''),
 placed AS (SELECT *, row_number() OVER w AS p, sum(n) OVER w AS t FROM full_lines

@@ -1,13 +1,14 @@
 """Toxicity as an ordinal severity, by a cumulative-link regression.
 
 Grades are 0 (clean), 1 and 2. Labels say only toxic or not, so a toxic sample
-document is graded by the words that mark the toxic class: above the median of
-their share among toxic documents it is severe (2), otherwise mild (1). One
+document is graded by a first fit with one toxic grade: above the median of the
+toxic documents' scores it is severe (2), otherwise mild (1). One
 weight vector serves both thresholds: P(grade >= k) = sigmoid(w.x - t_k) with
 t_1 <= t_2, and the expected severity is the sum over k.
 
-Features are words (runs of letters and digits, lower case) that the labelled
-sample ties to the toxic class, either way; the value is log(1 + count).
+Features are words (runs of letters and digits, lower case) and their first
+bytes, which inflected insults have in common, that the labelled sample ties to
+the toxic class, near copies counted once; the value is 1 + log(count). Such words can't lower a severity: weights aren't negative.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,13 +27,23 @@ from .decontaminate import words_of
 
 #: Labelled documents that the model is fitted on, taken in order of a hash of their id.
 FIT_ROWS = 12_000
-#: Words kept as features, and the least documents and z-score that one needs.
-FIT_WORDS, MIN_DOCS, MIN_Z = 4096, 4, 5.0
+#: Words kept as features, and the least toxic texts, their share and the z-score that one needs.
+FIT_WORDS, MIN_DOCS, MIN_SHARE, MIN_Z = 4096, 4, 0.02, 7.0
+#: Lengths of the beginnings that are features beside whole words.
+STEMS = (4, 6, 8)
 #: Weight decay of the fit.
-DECAY = 1e-3
+DECAY = 1e-4
 THRESHOLD = 0.5
 
 
+def features_of(words: list[bytes]) -> list[bytes]:
+    """The words, and the beginnings of longer ones, marked by a blank."""
+    out = list(words)
+    for k in STEMS:
+        out += [b" " + w[:k] for w in words if len(w) > k]
+    return out
+
+
 @dataclass
 class Severity:
     """A fitted model; ``words`` may be empty, then all documents are clean."""
@@ -44,10 +56,14 @@ class Severity:
         out = np.zeros((len(texts), 2))
         if not self.words:
             return out
-        known, get = self.words.keys(), self.words.get
+        whole = {w for w in self.words if w[:1] != b" "}
+        stems = [(k, s) for k in STEMS if (s := {w[1:] for w in self.words if w[:1] == b" " and len(w) == k + 1})]
         for i, text in enumerate(texts):
-            found = Counter([w for w in words_of(text) if w in known])
-            out[i] = sum(get(w) * np.log1p(n) for w, n in found.items())
+            words = words_of(text)
+            found = [w for w in words if w in whole]
+            for k, own in stems:
+                found += [b" " + w[:k] for w in words if w[:k] in own and len(w) > k]
+            out[i] = sum(self.words[w] * (1 + np.log(n)) for w, n in Counter(found).items())
         return 1 / (1 + np.exp(np.clip(np.array(self.thresholds) - out, -500, 500)))
 
 
@@ -64,69 +80,87 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int, doc_id:
     return rows.join(F.broadcast(known), rows["doc_id"] == known["_id"]).select("doc_id", "label", "text")
 
 
+def _signed(batches):
+    """Adds the lowest hash of a text's runs of four words; near copies mostly share it."""
+    for batch in batches:
+        for part in text_slices(batch, "text"):
+            signs = []
+            for text in part.column("text").to_pylist():
+                words = words_of(text)
+                runs = zip(*(words[k:] for k in range(4))) if len(words) >= 4 else [words]
+                signs.append(min(xxhash.xxh64_intdigest(b" ".join(r)) for r in runs))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.array(signs, np.uint64).view(np.int64))], names=[*part.schema.names, "sign"])
+
+
 def _word_counts(batches):
     """The number of toxic and of clean documents with each word, for each batch run."""
     for batch in batches:
         for part in text_slices(batch, "text"):
             counts = (Counter(), Counter())
             for label, text in zip(part.column("label").to_pylist(), part.column("text").to_pylist()):
-                counts[label > 0].update(set(words_of(text)))
+                counts[label > 0].update(set(features_of(words_of(text))))
             words = list(counts[0].keys() | counts[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *(pa.array([c[w] for w in words], pa.int64()) for c in counts)], names=["word", "clean", "toxic"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> Severity:
     """The model of ``labels.toxic``; no labels of either class give the empty model."""
-    sample = staged(labelled(docs, labels, "toxic", limit), "toxicity-sample")
-    sizes = {bool(r[0]): r[1] for r in sample.groupBy(F.col("label") > 0).count().collect()}
+    sample = labelled(docs, labels, "toxic", limit)
+    signed = staged(sample.mapInArrow(_signed, grown(sample.schema, ("sign", "long"))), "toxicity-sample")
+    texts = signed.groupBy("sign", "label").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("d"))
+    texts = staged(texts.select("d.doc_id", "label", "d.text"), "toxicity-texts")
+    sizes = {bool(r[0]): r[1] for r in texts.groupBy(F.col("label") > 0).count().collect()}
     n0, n1 = sizes.get(False, 0), sizes.get(True, 0)
     if not n0 or not n1:
         return Severity({}, (0.0, 0.0))
-    seen = sample.select("label", "text").mapInArrow(_word_counts, "word binary, clean long, toxic long")
+    seen = texts.select("label", "text").mapInArrow(_word_counts, "word binary, clean long, toxic long")
     seen = seen.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     p = (F.col("clean") + F.col("toxic") + 1) / F.lit(n0 + n1 + 2)
     gap = F.col("toxic") / F.lit(n1) - F.col("clean") / F.lit(n0)
     z = gap / F.sqrt(p * (1 - p) * F.lit(1 / n0 + 1 / n1))
-    seen = seen.where(F.col("clean") + F.col("toxic") >= MIN_DOCS).withColumn("z", z).where(F.abs("z") >= MIN_Z)
-    chosen = [(bytes(r["word"]), r["z"]) for r in seen.orderBy(F.abs("z").desc(), "word").limit(FIT_WORDS).collect()]
+    seen = seen.where(F.col("toxic") >= MIN_DOCS).where(F.col("toxic") >= MIN_SHARE * n1).withColumn("z", z).where(F.col("z") >= MIN_Z)
+    # of a word and its beginnings that occur alike, the shortest beginning stands for all
+    alike: dict[tuple, bytes] = {}
+    for r in seen.orderBy(F.col("z").desc(), F.length("word"), "word").limit(FIT_WORDS).collect():
+        word = bytes(r["word"])
+        alike.setdefault((r["clean"], r["toxic"], word.removeprefix(b" ")[:4]), word)
+    chosen = list(alike.values())
     if not chosen:
         return Severity({}, (0.0, 0.0))
-    index = {w: i for i, (w, _) in enumerate(chosen)}
+    index = {w: i for i, w in enumerate(chosen)}
 
     def vectors(batches):
         for batch in batches:
             for part in text_slices(batch, "text"):
-                at, values, totals = [], [], []
+                at, values = [], []
                 for text in part.column("text").to_pylist():
-                    words = words_of(text)
-                    found = Counter([index[w] for w in words if w in index])
+                    found = Counter([index[w] for w in features_of(words_of(text)) if w in index])
                     at.append(list(found))
-                    values.append([float(np.log1p(n)) for n in found.values()])
-                    totals.append(len(words))
-                cols = [part.column("doc_id"), part.column("label"), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64())), pa.array(totals, pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "label", "at", "x", "n"])
+                    values.append([1 + float(np.log(n)) for n in found.values()])
+                cols = [part.column("doc_id"), part.column("label"), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "label", "at", "x"])
 
     # bounded: at most ``limit`` rows of features
-    rows = sample.mapInArrow(vectors, "doc_id long, label int, at array<int>, x array<double>, n long").orderBy("doc_id", "n").toArrow()
+    rows = texts.mapInArrow(vectors, "doc_id long, label int, at array<int>, x array<double>").orderBy("doc_id", F.size("at")).toArrow()
     y = (rows.column("label").to_numpy() > 0).astype(int)
     size = np.array([len(a) for a in rows.column("at").to_pylist()])
     at = np.concatenate([np.asarray(a, int) for a in rows.column("at").to_pylist()] or [np.empty(0, int)])
     x = np.concatenate([np.asarray(a, float) for a in rows.column("x").to_pylist()] or [np.empty(0)])
     doc = np.repeat(np.arange(len(y)), size)
-    marks = np.array([z > 0 for _, z in chosen])
-    share = np.bincount(doc, weights=np.expm1(x) * marks[at], minlength=len(y)) / np.maximum(1, rows.column("n").to_numpy())
-    grade = np.where(y == 0, 0, np.where(share > np.median(share[y == 1]), 2, 1))
-    w, t = _cumulative_link(doc, at, x, grade, len(chosen))
+    # with one grade of toxic documents first: its scores say which are severe
+    w, t = _cumulative_link(doc, at, x, 2 * y, len(chosen))
+    marks = np.bincount(doc, weights=x * w[at], minlength=len(y))
+    marked = marks[(y == 1) & (marks > 0)]
+    grade = np.where(y == 0, 0, np.where(marks > (np.median(marked) if len(marked) else 0), 2, 1))
+    w, t = _cumulative_link(doc, at, x, grade, len(chosen), w, t[0])
     return Severity({word: float(w[i]) for word, i in index.items() if w[i]}, (float(t[0]), float(t[1])))
 
 
-def _cumulative_link(doc: np.ndarray, at: np.ndarray, x: np.ndarray, grade: np.ndarray, width: int, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def _cumulative_link(doc: np.ndarray, at: np.ndarray, x: np.ndarray, grade: np.ndarray, width: int, w=None, t1: float = 0.0, steps: int = 1000) -> tuple[np.ndarray, np.ndarray]:
     """Weights and two ordered thresholds by full-batch Adam on the ordinal log loss."""
     n = len(grade)
-    balance = np.where(grade > 0, n / max(1, (grade > 0).sum()), n / max(1, (grade == 0).sum())) / 2
-    w = np.zeros(width)
-    t = np.array([0.0, 0.5])  # first threshold, log of the gap to the second
-    m, v, params = np.zeros(width + 2), np.zeros(width + 2), np.concatenate([w, t])
+    # the weights, the first threshold, the log of the gap to the second
+    m, v, params = np.zeros(width + 2), np.zeros(width + 2), np.append(np.zeros(width) if w is None else w, [t1, 0.5])
     for k in range(1, steps + 1):
         w, t1, gap = params[:-2], params[-2], np.exp(params[-1])
         s = np.bincount(doc, weights=x * w[at], minlength=n)
@@ -135,10 +169,11 @@ def _cumulative_link(doc: np.ndarray, at: np.ndarray, x: np.ndarray, grade: np.n
         mid = np.maximum(p1 - p2, 1e-12)
         d1 = np.where(grade == 0, p1, np.where(grade == 1, -p1 * (1 - p1) / mid, 0))
         d2 = np.where(grade == 2, -(1 - p2), np.where(grade == 1, p2 * (1 - p2) / mid, 0))
-        d1, d2 = d1 * balance / n, d2 * balance / n
-        g = np.concatenate([np.bincount(at, weights=x * (d1 + d2)[doc], minlength=width) + DECAY * w / n * 10, [-(d1 + d2).sum(), -d2.sum() * gap]])
+        d1, d2 = d1 / n, d2 / n
+        g = np.concatenate([np.bincount(at, weights=x * (d1 + d2)[doc], minlength=width) + DECAY * w, [-(d1 + d2).sum(), -d2.sum() * gap]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         params = params - 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-9)
+        params[:-2] = np.maximum(params[:-2], 0)
     return params[:-2], np.array([params[-2], params[-2] + np.exp(params[-1])])
 
 
