@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, line_dedup, quality, simhash, toxicity
+from . import byte_bpe, chat, decontaminate, line_dedup, quality, simhash, top_k, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
+    "op6_top_k": top_k.op6_top_k,
+    "op8_chat": chat.op8_chat,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality": quality.op10_quality,
 }
@@ -16,4 +18,6 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op3_decontaminate": decontaminate.OP3_SQL,
+    "op6_top_k": top_k.OP6_SQL,
+    "op8_chat": chat.OP8_SQL,
 }
