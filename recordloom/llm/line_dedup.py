@@ -178,6 +178,14 @@ def drop_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     return joined.mapInArrow(run, schema)
 
 
+def with_length(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
+    """``docs`` with ``length``, where it is a column, set to the text's length; null texts keep theirs."""
+    if length not in docs.columns:
+        return docs
+    n = F.length(F.col(f"`{text}`")).cast(docs.schema[length].dataType)
+    return docs.withColumn(length, F.coalesce(n, F.col(f"`{length}`")))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return drop_repeated(docs, counts=True)

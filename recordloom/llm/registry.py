@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, decontaminate, line_dedup, quality, simhash, top_k, toxicity
+from . import byte_bpe, chat, decontaminate, html_text, line_dedup, quality, simhash, top_k, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_html_text": html_text.op4_html_text,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op6_top_k": top_k.op6_top_k,
+    "op7_warc": warc.op7_warc,
     "op8_chat": chat.op8_chat,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality": quality.op10_quality,
