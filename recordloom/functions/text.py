@@ -15,6 +15,11 @@ SEPARATORS = "[:：|._-]+"
 SCRIPT = r"[ऀ-ॿ]"
 
 
+def let(c: Column, f) -> Column:
+    """f(c) with c evaluated once and named, however often f uses it."""
+    return F.element_at(F.transform(F.array(c), lambda x: f(x)), 1)
+
+
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -74,22 +79,23 @@ def iso_date_repair(c: Column) -> Column:
     t = F.replace(F.replace(t, F.lit("-/"), F.lit("-1")), F.lit("./"), F.lit(".1"))
     t = F.regexp_replace(t, r"(?U)(?<=\d)/(?!\d{2,4}\b)", "1")
     ymd, dmy = r"(\d{4})[-/.](\d{2})[-/.](\d{2})", r"(\d{2})[-/.](\d{2})[-/.](\d{4})"
-    return F.when(t.rlike(ymd), F.concat_ws("-", *[group(t, ymd, k) for k in (1, 2, 3)])).when(
-        t.rlike(dmy), F.concat_ws("-", *[group(t, dmy, k) for k in (3, 2, 1)])
-    ).otherwise("")
+    return let(t, lambda t: _dates(t, ymd, dmy))
 
 
 def iso_date(c: Column) -> Column:
     """The first day/month/year as ISO, else the first year/month/day, else empty."""
     dmy, ymd = r"(\d{2})[/-](\d{2})[/-](\d{4})", r"(\d{4})[/-](\d{2})[/-](\d{2})"
-    return F.when(c.rlike(dmy), F.concat_ws("-", *[group(c, dmy, k) for k in (3, 2, 1)])).when(
-        c.rlike(ymd), F.concat_ws("-", *[group(c, ymd, k) for k in (1, 2, 3)])
-    ).otherwise("")
+    out = lambda c: F.when(c.rlike(dmy), F.concat_ws("-", *[group(c, dmy, k) for k in (3, 2, 1)])).when(c.rlike(ymd), F.concat_ws("-", *[group(c, ymd, k) for k in (1, 2, 3)])).otherwise("")
+    return let(c, out)
+
+
+def _dates(t: Column, ymd: str, dmy: str) -> Column:
+    return F.when(t.rlike(ymd), F.concat_ws("-", *[group(t, ymd, k) for k in (1, 2, 3)])).when(t.rlike(dmy), F.concat_ws("-", *[group(t, dmy, k) for k in (3, 2, 1)])).otherwise("")
 
 
 def slash_date(c: Column) -> Column:
     p = r"(\d{2})[/-](\d{2})[/-](\d{4})"
-    return F.when(c.rlike(p), F.concat_ws("/", *[group(c, p, k) for k in (1, 2, 3)])).otherwise("")
+    return let(c, lambda c: F.when(c.rlike(p), F.concat_ws("/", *[group(c, p, k) for k in (1, 2, 3)])).otherwise(""))
 
 
 def padded_date(c: Column) -> Column:
@@ -109,7 +115,10 @@ def plain_key(c: Column) -> Column:
 
 def date_key(c: Column) -> Column:
     """Comparison key of a date, YYYYMMDD; two-digit years are of this century; others as ``plain_key``."""
-    t = F.trim(text_or_empty(c))
+    return let(F.trim(text_or_empty(c)), _date_key)
+
+
+def _date_key(t: Column) -> Column:
     named, ymd, dmy = r"^(\d{1,2})\s+([A-Za-z]{3,})\s+(\d{2,4})$", r"^((?:19|20)\d{2})[-/.](\d{1,2})[-/.](\d{1,2})$", r"^(\d{1,2})[-/.](\d{1,2})[-/.]((?:19|20)?\d{2})$"
     months = "jan feb mar apr may jun jul aug sep oct nov dec".split()
     month = F.array_position(F.array(*[F.lit(m) for m in months]), F.lower(F.substring(group(t, named, 2), 1, 3)))
@@ -126,6 +135,10 @@ def date_key(c: Column) -> Column:
 def amount_key(c: Column) -> Column:
     """Comparison key of an amount: commas dropped; without a point the last two digits are cents."""
     t = F.replace(F.regexp_extract(F.replace(text_or_empty(c), F.lit(","), F.lit("")), r"\d+(?:[ .]\d{2})?", 0), F.lit(" "), F.lit("."))
+    return let(t, _amount_key)
+
+
+def _amount_key(t: Column) -> Column:
     t = F.when((F.instr(t, ".") == 0) & (F.length(t) > 2), F.concat(t.substr(F.lit(1), F.length(t) - 2), F.lit("."), F.substring(t, -2, 2))).otherwise(t)
     return F.when(t == "", "").otherwise(F.format_string("%.2f", F.try_to_number(t, F.lit("999999999999999999.99")).cast("double")))
 

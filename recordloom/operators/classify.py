@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import match_text, text_or_empty
 from . import schemas
-from .fuzzy import label_hits
+from .fuzzy import add_hits
 
 #: Share of a schema's fields that must be labelled for its type to be chosen.
 ENOUGH = 0.4
@@ -73,7 +73,7 @@ def exact_hits(text: Column) -> Column:
 def with_hits(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with hits: the labels (by index) that occur in the text, tolerantly."""
     labels, _ = _dimension()
-    return docs.withColumn("hits", label_hits(match_text(text_or_empty(F.col(text))), labels))
+    return add_hits(docs, match_text(text_or_empty(F.col(text))), labels)
 
 
 def choose(docs: DataFrame, text: str = "text") -> DataFrame:

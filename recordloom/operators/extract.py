@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_value, first_of, fold_digits, group, has_script, iso_date, iso_date_repair, item, lines_of, slash_date, text_or_empty
+from ..functions.text import clean_value, first_of, fold_digits, group, has_script, iso_date, iso_date_repair, item, let, lines_of, slash_date, text_or_empty
 from . import schemas
 from .classify import classify
 from .spans import with_slices
@@ -30,23 +30,24 @@ _STATE_NAMES = ("भारत सरकार", "भारतीय विशि
 def id_number(c: Column) -> Column:
     """The first 4-4-4 group of digits, else the first run of 12, in fours."""
     grouped, run = r"(?U)(?<!\d)(\d{4}\s+\d{4}\s+\d{4})(?!\d)", r"(?U)(?<!\d)(\d{12})(?!\d)"
+    return let(c, lambda c: _fours(c, grouped, run, 3))
+
+
+def _fours(c: Column, grouped: str, run: str, n: int) -> Column:
     digits = group(c, run)
-    fours = F.concat_ws(" ", *[F.substring(digits, 1 + 4 * k, 4) for k in range(3)])
+    fours = F.concat_ws(" ", *[F.substring(digits, 1 + 4 * k, 4) for k in range(n)])
     return F.when(c.rlike(grouped), group(c, grouped)).when(c.rlike(run), fours).otherwise("")
 
 
 def virtual_id(c: Column) -> Column:
     grouped, run = r"(?U)(?<!\d)(\d{4}\s+\d{4}\s+\d{4}\s+\d{4})(?!\d)", r"(?U)(?<!\d)(\d{16})(?!\d)"
-    digits = group(c, run)
-    fours = F.concat_ws(" ", *[F.substring(digits, 1 + 4 * k, 4) for k in range(4)])
-    return F.when(c.rlike(grouped), group(c, grouped)).when(c.rlike(run), fours).otherwise("")
+    return let(c, lambda c: _fours(c, grouped, run, 4))
 
 
 def pincode(c: Column) -> Column:
     """The last six-digit number before the footer, the id number aside."""
-    area = F.regexp_replace(c, "(?s)" + _FOOTER + ".*", "")
-    number = id_number(area)
-    area = F.when(number != "", F.replace(area, number, F.lit(" "))).otherwise(area)
+    without = lambda area: let(id_number(area), lambda n: F.when(n != "", F.replace(area, n, F.lit(" "))).otherwise(area))
+    area = let(F.regexp_replace(c, "(?s)" + _FOOTER + ".*", ""), without)
     return item(F.regexp_extract_all(area, F.lit(_PIN), F.lit(1)), -1)
 
 
@@ -73,21 +74,21 @@ def after_label(lines: Column, labels: list[str]) -> Column:
 
 def _until(lines: Column, stop: Callable[[Column], Column]) -> Column:
     """The lines before the first that stops."""
-    flags = F.transform(lines, stop)
-    at = F.array_position(flags, F.lit(True))
-    return F.when(at > 0, F.slice(lines, F.lit(1), at.cast("int") - 1)).otherwise(lines)
+    cut = lambda x: let(F.array_position(F.transform(x, stop), F.lit(True)).cast("int"), lambda at: F.when(at > 0, F.slice(x, F.lit(1), at - 1)).otherwise(x))
+    return let(lines, cut)
 
 
 def _from_first(lines: Column, test: Callable[[Column], Column], skip: int) -> Column:
     """Lines from the first that passes, without ``skip`` of them; empty if none does."""
-    at = F.array_position(F.transform(lines, test), F.lit(True)).cast("int")
-    return F.when(at > 0, F.slice(lines, at + skip, F.size(lines) + 1)).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    cut = lambda x: let(F.array_position(F.transform(x, test), F.lit(True)).cast("int"), lambda at: F.when(at > 0, F.slice(x, at + skip, F.size(x) + 1)).otherwise(none))
+    return let(lines, cut)
 
 
 def _through(lines: Column, last: Callable[[Column], Column]) -> Column:
     """The lines up to and with the first that is the last."""
-    at = F.array_position(F.transform(lines, last), F.lit(True)).cast("int")
-    return F.when(at > 0, F.slice(lines, F.lit(1), at)).otherwise(lines)
+    cut = lambda x: let(F.array_position(F.transform(x, last), F.lit(True)).cast("int"), lambda at: F.when(at > 0, F.slice(x, F.lit(1), at)).otherwise(x))
+    return let(lines, cut)
 
 
 def english_address(lines: Column) -> Column:
@@ -105,18 +106,16 @@ def english_address(lines: Column) -> Column:
     return clean_value(F.array_join(_through(rest, lambda x: x.rlike(_PIN_LINE)), " "))
 
 
-def address_block(text: Column, lines: Column) -> Column:
+def address_block(text: Column) -> Column:
     """The address after its label, relations and id number taken out, with the pincode."""
-    own = english_address(lines)
     block = group(text, r"(?isU)(?:पता|Address)\s*[:：]\s*(.+?)(?=\bP\.?\s*O\.?\s*Box\b|help@|www\.|Bengaluru|1800|$(?![\s\S]))")
-    number = id_number(block)
-    block = F.when(number != "", F.element_at(F.split(block, F.concat(F.lit("\\Q"), number, F.lit("\\E"))), 1)).otherwise(block)
+    before = lambda b: let(id_number(b), lambda n: F.when(n != "", F.call_function("substring_index", b, n, F.lit(1))).otherwise(b))
+    block = let(block, before)
     block = F.regexp_replace(block, r"(?iU)\b(?:S/O|C/O|W/O)\s*[:：]\s*[A-Za-z ]+", " ")
     block = F.regexp_replace(block, r"(?U)(?:पुत्र|पिता|पति)\s*[:：]\s*[\p{IsDevanagari}\s]+(?=\d|[A-Za-z])", " ")
-    block, pin = clean_value(block), pincode(text)
-    found = F.when((pin != "") & ~block.contains(pin), F.trim(F.concat_ws(" ", block, pin))).otherwise(block)
+    joined = lambda b: let(pincode(text), lambda p: F.when((p != "") & ~b.contains(p), F.trim(F.concat_ws(" ", b, p))).otherwise(b))
     labelled = text.rlike(r"(?isU)(?:पता|Address)\s*[:：]\s*.")
-    return F.when(own != "", own).when(labelled, found).otherwise("")
+    return F.when(labelled, let(clean_value(block), joined)).otherwise("")
 
 
 def script_address_lines(lines: Column) -> Column:
@@ -189,7 +188,7 @@ def card_overlay(text: Column, lines: Column, v: Callable[[str], Column]) -> dic
         "aadhaar_number": first_of(v("aadhaar_number"), id_number(text)),
         "vid": first_of(virtual_id(v("vid")), virtual_id(text), v("vid")),
         "pincode": first_of(v("pincode"), pincode(text)),
-        "address": first_of(english, v("address"), address_block(text, lines)),
+        "address": first_of(english, v("address"), address_block(text)),
         "hindi_address_lines": first_of(v("hindi_address_lines"), F.array_join(script_address_lines(lines), "\n")),
         "hindi_address": first_of(v("hindi_address"), script_address(lines)),
         "name": first_of(v("name"), card_name(lines)),
@@ -249,7 +248,7 @@ def tax_script_names(lines: Column) -> Column:
 
 def tax_overlay(text: Column, lines: Column, v: Callable[[str], Column]) -> dict[str, Column]:
     folded = fold_digits(text)
-    name, father = tax_names(F.transform(lines, fold_digits))
+    name, father = tax_names(lines)
     script = tax_script_names(lines)
     return {
         "pan_number": first_of(tax_number(text), v("pan_number")),

@@ -8,9 +8,9 @@ work is a few array operations for each position of the longest text.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import types as T
 
 #: Texts that advance together.
 BLOCK = 512
@@ -73,13 +73,22 @@ class Labels:
         return hit
 
 
-def label_hits(text: Column, labels: list[tuple[str, int]]) -> Column:
-    """array<int>: indexes of ``labels`` that occur in a normalised text; a null text has none."""
+def add_hits(docs: DataFrame, norm: Column, labels: list[tuple[str, int]], name: str = "hits") -> DataFrame:
+    """``docs`` with indexes of ``labels`` that occur in the normalised text; a null text has none.
+
+    A map over Arrow batches keeps this step apart from the expressions above
+    it, which would otherwise be folded into its arguments again and again.
+    """
     search = Labels(labels)
+    rows = docs.withColumn(name, norm)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))])
 
-    @F.pandas_udf("array<int>")
-    def hits(texts: pd.Series) -> pd.Series:
-        found = search.found([t or "" for t in texts])
-        return pd.Series([np.flatnonzero(row).tolist() for row in found])
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                found = search.found([t or "" for t in part.column(name).to_pylist()])
+                hits = pa.array([np.flatnonzero(row) for row in found], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], hits], names=schema.names)
 
-    return hits(text)
+    return rows.mapInArrow(run, schema)

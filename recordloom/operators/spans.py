@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import clean_value, text_or_empty
+from ..functions.text import clean_value, let, text_or_empty
 from . import classify, schemas
 
 SPANS = "array<struct<field: string, label: string, start: int, end: int>>"
@@ -50,14 +51,19 @@ class Finder:
         return sorted(found, key=lambda s: (s["start"], s["start"] - s["end"]))
 
 
-def find_spans(text: Column, kind: Column, hits: Column) -> Column:
+def add_spans(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` (with type and hits) with the spans of the type's labels and of the end marks."""
     finder = Finder()
+    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(f"spans {SPANS}").fields])
+    arrow = pa.list_(pa.struct([("field", pa.string()), ("label", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
-    @F.pandas_udf(SPANS)
-    def spans(texts: pd.Series, kinds: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([finder.spans(t, k, h) if t and k in finder.labels else [] for t, k, h in zip(texts, kinds, found)])
+    def run(batches):
+        for batch in batches:
+            rows = zip(batch.column(text).to_pylist(), batch.column("type").to_pylist(), batch.column("hits").to_pylist())
+            made = [finder.spans(t, k, h) if t and k in finder.labels else [] for t, k, h in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, arrow)], names=schema.names)
 
-    return spans(text, kind, hits)
+    return docs.mapInArrow(run, schema)
 
 
 def exact_spans(text: Column, labels: list[tuple[str, str]]) -> Column:
@@ -82,16 +88,18 @@ def slices(text: Column, spans: Column) -> Column:
     labels = without_overlaps(F.filter(spans, lambda s: s["field"].isNotNull()))
     marks = F.filter(spans, lambda s: s["field"].isNull())
     both = F.concat(F.transform(labels, lambda s, i: F.struct(s["start"].alias("start"), i.alias("o"), s["end"].alias("end"), s["field"].alias("field"))), F.transform(marks, lambda s, i: F.struct(s["start"].alias("start"), (i + 1_000_000).alias("o"), s["end"].alias("end"), s["field"].alias("field"))))
-    both = F.array_sort(both)
-    nexts = F.slice(F.concat(F.transform(both, lambda s: s["start"]), F.array(F.length(text))), F.lit(2), F.size(both))
-    pairs = F.arrays_zip(both.alias("s"), nexts.alias("n"))
-    value = lambda p: clean_value(text.substr(p["s"]["end"] + 1, F.greatest(p["n"] - p["s"]["end"], F.lit(0))))
-    return F.filter(F.transform(pairs, lambda p: F.struct(p["s"]["field"].alias("field"), value(p).alias("value"))), lambda x: x["field"].isNotNull())
+
+    def cut(spans: Column) -> Column:
+        stop = lambda i: F.coalesce(F.try_element_at(spans, i + 2)["start"], F.length(text))
+        value = lambda s, i: clean_value(text.substr(s["end"] + 1, F.greatest(stop(i) - s["end"], F.lit(0))))
+        return F.transform(spans, lambda s, i: F.struct(s["field"].alias("field"), value(s, i).alias("value")))
+
+    return F.filter(let(F.array_sort(both), cut), lambda x: x["field"].isNotNull())
 
 
 def with_slices(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` (with type and hits) with spans and sliced: field to value, the last label of a field wins."""
-    out = docs.withColumn("spans", find_spans(F.col(text), F.col("type"), F.col("hits")))
+    out = add_spans(docs, text)
     out = out.withColumn("_s", slices(text_or_empty(F.col(text)), F.col("spans")))
     last = lambda x, i: ~F.exists(F.slice("_s", i + 2, F.size("_s")), lambda y: y["field"] == x["field"])
     return out.withColumn("sliced", F.map_from_entries(F.filter("_s", last))).drop("_s")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import text_or_empty
+from ..functions.text import let, text_or_empty
 from . import schemas
 
 MISSING, OPTIONAL = "Required field missing", "Optional field missing"
@@ -19,6 +19,10 @@ def _strip(c: Column, what: str) -> Column:
 def is_date(v: Column) -> Column:
     """A real calendar day as d/M/y, d-M-y, d.M.y or y-M-d, blanks beside separators aside."""
     t = F.regexp_replace(v, r"(?U)\s*([/.-])\s*", "$1")
+    return let(t, _is_date)
+
+
+def _is_date(t: Column) -> Column:
     shaped = t.rlike(r"^\d{1,2}([/.-])\d{1,2}\1\d{4}$") | t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$")
     days = [F.try_to_date(t, f) for f in ("d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "yyyy-M-d")]
     return shaped & F.coalesce(*days).isNotNull()
@@ -81,10 +85,13 @@ def checked(field: Column, value: Column) -> Column:
 
 def verdict(field: Column, value: Column, required: Column) -> Column:
     """struct<valid, error, warning> of one value."""
-    v = checked(field, value)
-    error = F.when((v == "") & required, MISSING).when(v == "", "").otherwise(format_error(field, v))
-    warning = F.when((v == "") & ~required, OPTIONAL).otherwise("")
-    return F.struct((error == "").alias("valid"), error.alias("error"), warning.alias("warning"))
+
+    def said(v: Column) -> Column:
+        error = F.when((v == "") & required, MISSING).when(v == "", "").otherwise(format_error(field, v))
+        warning = F.when((v == "") & ~required, OPTIONAL).otherwise("")
+        return let(error, lambda e: F.struct((e == "").alias("valid"), e.alias("error"), warning.alias("warning")))
+
+    return let(checked(field, value), said)
 
 
 def expected(kind: Column) -> Column:
