@@ -1,12 +1,480 @@
-"""All queries over the reference tables, with their DuckDB twins."""
+"""All queries over the reference tables, with their DuckDB twins.
+
+A query returns plain columns (no arrays or structs), so that both engines'
+values compare. Queries without a twin need the tolerant label search or a
+stream; tests hold them against brute force.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import classify, evaluate, extract, rank, report, review, schemas, spans, validate
+from ..sources import files, model_json
+from ..streaming import ingest
+from . import forms
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    """Register a function under its name, with the SQL that gives the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# -- normalisation ------------------------------------------------------------
+
+_SQUEEZE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+_MATCH = _SQUEEZE.format("regexp_replace(lower({}), '[:：|._-]+', ' ', 'g')")
+_CLEAN = r"regexp_replace(" + _SQUEEZE + r", '^[ :\-|]+|[ :\-|]+$', '', 'g')"
+
+
+@query(f"SELECT doc_id, md5({_MATCH.format('text')}) AS norm_md5 FROM documents")
+def normalize_text(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(tx.match_text(F.col("text")).cast("binary")).alias("norm_md5"))
+
+
+@query(f"SELECT conv_id, turn, {_CLEAN.format('text')} AS value, {_SQUEEZE.format(chr(39) + ' x ' + chr(39) + ' || role')} AS role_text FROM conversations")
+def clean_value(spark, sf_dir):
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", tx.clean_value(F.col("text")).alias("value"), tx.squeeze(F.concat(F.lit(" x "), "role")).alias("role_text"))
+
+
+@query(f"""SELECT doc_id, count(*) FILTER (WHERE line <> '') AS n_lines, md5(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE line <> ''), '')) AS lines_md5
+FROM (SELECT doc_id, i, {_CLEAN.format('l')} AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents))
+GROUP BY doc_id""")
+def clean_lines(spark, sf_dir):
+    lines = tx.lines_of(F.col("text"))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.md5(F.array_join(lines, "\n").cast("binary")).alias("lines_md5"))
+
+
+@query("SELECT o_orderkey, translate(cast(o_orderkey AS STRING), '0123456789', '०१२३४५६७८९') AS script, cast(o_orderkey AS STRING) AS folded FROM orders")
+def fold_digits(spark, sf_dir):
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", F.translate(F.col("o_orderkey").cast("string"), "0123456789", tx.DEVANAGARI_DIGITS).alias("script"))
+    return rows.withColumn("folded", tx.fold_digits(F.col("script")))
+
+
+_ORDER_DAY = "SELECT o_orderkey, cast(o_orderdate AS DATE) AS d FROM orders"
+_DAY = "lpad(cast(day(d) AS STRING), 2, '0')"
+_MONTH = "lpad(cast(month(d) AS STRING), 2, '0')"
+_YEAR = "cast(year(d) AS STRING)"
+
+
+@query(f"""SELECT o_orderkey, {_YEAR} || {_MONTH} || {_DAY} AS key_slash, {_YEAR} || {_MONTH} || {_DAY} AS key_named,
+  CASE WHEN year(d) >= 2000 THEN {_YEAR} ELSE '20' || substr({_YEAR}, 3, 2) END || {_MONTH} || {_DAY} AS key_short, 'na' AS key_other,
+  {_YEAR} || '-' || {_MONTH} || '-' || {_DAY} AS iso, {_DAY} || '/' || {_MONTH} || '/' || {_YEAR} AS slash, {_YEAR} || '-' || {_MONTH} || '-' || {_DAY} AS repaired FROM ({_ORDER_DAY})""")
+def date_keys(spark, sf_dir):
+    d = F.col("o_orderdate").cast("date")
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", *[F.date_format(d, p).alias(n) for n, p in (("a", "d/M/yyyy"), ("b", "d MMMM yyyy"), ("c", "dd.MM.yy"), ("e", "dd/MM/yyyy"), ("g", "dd-MM-yyyy"))])
+    repaired = tx.iso_date_repair(F.translate(F.concat(F.lit("on "), F.col("g")), "1", "l"))
+    return rows.select("o_orderkey", tx.date_key(F.col("a")).alias("key_slash"), tx.date_key(F.col("b")).alias("key_named"), tx.date_key(F.col("c")).alias("key_short"), tx.date_key(F.lit("n/a")).alias("key_other"), tx.iso_date(F.col("e")).alias("iso"), tx.slash_date(F.col("g")).alias("slash"), repaired.alias("repaired"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, cast(cast(l_extendedprice AS DECIMAL(18, 2)) AS STRING) AS amount,
+  cast(cast(cast(floor(l_quantity * 100) AS BIGINT) / 100 AS DECIMAL(18, 2)) AS STRING) AS cents FROM lineitem""")
+def amount_keys(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem")
+    price = F.col("l_extendedprice").cast("decimal(18,2)").cast("string")
+    return rows.select("l_orderkey", "l_linenumber", tx.amount_key(F.concat(F.lit("RM "), price)).alias("amount"), tx.amount_key(F.floor(F.col("l_quantity") * 100).cast("string")).alias("cents"))
+
+
+@query(r"""SELECT doc_id, regexp_extract(text, '(?i)\b([A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,})\b', 1) AS email, len(regexp_extract_all(text, '[0-9]+\.[0-9]{2}')) AS n_amounts,
+  regexp_extract(text, '\b([0-9]{2}[-/][0-9]{2}[-/][0-9]{2,4})\b', 1) AS first_date FROM documents""")
+def extract_patterns(spark, sf_dir):
+    c = F.col("text")
+    return _t(spark, sf_dir, "documents").select(
+        "doc_id",
+        tx.group(c, r"(?i)\b([A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,})\b").alias("email"),
+        F.size(F.regexp_extract_all(c, F.lit(r"[0-9]+\.[0-9]{2}"), F.lit(0))).cast("long").alias("n_amounts"),
+        tx.group(c, r"\b([0-9]{2}[-/][0-9]{2}[-/][0-9]{2,4})\b").alias("first_date"),
+    )
+
+
+# -- classification -----------------------------------------------------------
+
+_LABELS = ", ".join(
+    "('{}', {}, '{}', '{}', {})".format(t, i, f, schemas.normal_label(x).replace("'", "''"), len(own))
+    for i, (t, own) in enumerate(schemas.schemas().items())
+    for f, _, labels in own
+    for x in labels
+)
+_EXACT = f"""WITH {forms.WITH}, labels(type, ord, field, norm, total) AS (VALUES {_LABELS}),
+texts AS (SELECT doc_id, {_MATCH.format('text')} AS norm FROM forms),
+pairs AS (SELECT DISTINCT doc_id, type, ord, total, field FROM texts JOIN labels l ON contains(texts.norm, l.norm)),
+every AS (SELECT doc_id, type, ord, total FROM texts, (SELECT DISTINCT type, ord, total FROM labels)),
+scored AS (SELECT e.doc_id, e.type, e.ord, e.total, count(p.field) AS matched FROM every e LEFT JOIN pairs p USING (doc_id, type) GROUP BY ALL)"""
+
+
+@query(f"{_EXACT} SELECT doc_id, type, matched AS matched_fields, total - matched AS missing_fields, round(matched * 100.0 / total, 6) AS confidence FROM scored")
+def schema_scores(spark, sf_dir):
+    rows = forms.forms(spark, sf_dir).withColumn("hits", classify.exact_hits(F.col("text")))
+    each = rows.select("doc_id", F.explode(classify.scores(F.col("hits"))).alias("s"))
+    return each.select("doc_id", "s.type", F.size("s.matched").cast("long").alias("matched_fields"), F.size("s.missing").cast("long").alias("missing_fields"), F.round(F.col("s.confidence") * 100, 6).alias("confidence"))
+
+
+@query(f"""{_EXACT}, ranked AS (SELECT *, matched * 1.0 / total AS c, row_number() OVER w AS r, lead(matched * 1.0 / total) OVER w AS next FROM scored
+  WINDOW w AS (PARTITION BY doc_id ORDER BY matched * 1.0 / total DESC, ord))
+SELECT doc_id, type, round(c * 100, 6) AS confidence, round((c - next) * 100, 6) AS gap, CASE WHEN c >= 0.8 THEN 'high' WHEN c >= 0.5 THEN 'medium' ELSE 'low' END AS level FROM ranked WHERE r = 1""")
+def best_schema(spark, sf_dir):
+    rows = forms.forms(spark, sf_dir).withColumn("hits", classify.exact_hits(F.col("text")))
+    out = rows.select("doc_id", F.array_sort(F.transform(classify.scores(F.col("hits")), lambda s, i: F.struct((-s["confidence"]).alias("c"), i.alias("i"), s["type"].alias("type")))).alias("s"))
+    best = -F.col("s")[0]["c"]
+    return out.select("doc_id", F.col("s")[0]["type"].alias("type"), F.round(best * 100, 6).alias("confidence"), F.round((best + F.col("s")[1]["c"]) * 100, 6).alias("gap"), classify.confidence_level(best).alias("level"))
+
+
+@query(rf"""WITH {forms.WITH}, t AS (SELECT doc_id, text, {_MATCH.format('text')} AS norm FROM forms),
+m AS (SELECT *, regexp_matches(text, '(^|[^0-9])[0-9]{{4}}[ \t-]*[0-9]{{4}}[ \t-]*[0-9]{{4}}([^0-9]|$)') AS card,
+  regexp_matches(norm, '(^|[^a-z0-9_])(sio|s/o|c/o|w/o|address|pincode|uidai)($|[^a-z0-9_])') OR regexp_matches(text, '(^|[^0-9])[1-9][0-9]{{5}}([^0-9]|$)') AS back,
+  regexp_matches(norm, '(^|[^a-z0-9_])(dob|date of birth|yob|male|female)($|[^a-z0-9_])') AS front FROM t)
+SELECT doc_id, CASE WHEN card AND back AND front THEN 'aadhaar_full' WHEN card AND back THEN 'aadhaar_back' WHEN card THEN 'aadhaar_front'
+  WHEN regexp_matches(upper(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')), '[A-Z]{{5}}[0-9]{{4}}[A-Z]') THEN 'pan_card'
+  WHEN regexp_matches(norm, 'ifsc|account number|passbook|cif number') THEN 'passbook' WHEN regexp_matches(norm, 'invoice|cash sales|receipt|doc no|total sales') THEN 'invoice'
+  WHEN contains(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), 'employeeid') OR contains(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), 'employeename') THEN 'employee_form' END AS guess FROM m""")
+def pattern_heuristic(spark, sf_dir):
+    return forms.forms(spark, sf_dir).select("doc_id", classify.pattern_guess(F.col("text"))["type"].alias("guess"))
+
+
+@query()
+def classify_forms(spark, sf_dir):
+    """Tolerant classification of every form, with what decided it."""
+    out = classify.classify(forms.forms(spark, sf_dir))
+    return out.select("doc_id", "family", "type", "confidence_percent", "confidence_level", "score_gap", F.size("matched").alias("n_matched"), F.size("missing").alias("n_missing"))
+
+
+@query(f"""SELECT source, quality, count(*) AS n, count(*) FILTER (WHERE amount) AS with_amount, count(*) FILTER (WHERE mail) AS with_email
+FROM (SELECT source, quality, regexp_matches(text, '[0-9]+\\.[0-9]{{2}}') AS amount, contains(text, '@') AS mail FROM documents JOIN labels USING (doc_id)) GROUP BY source, quality""")
+def label_quality_by_pattern(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").rlike(r"[0-9]+\.[0-9]{2}").alias("amount"), F.col("text").contains("@").alias("mail"))
+    rows = d.join(_t(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    return rows.groupBy("source", "quality").agg(F.count("*").alias("n"), F.count_if("amount").alias("with_amount"), F.count_if("mail").alias("with_email"))
+
+
+# -- extraction ---------------------------------------------------------------
+
+
+def _records(spark, sf_dir, family: str | None = None) -> DataFrame:
+    rows = forms.forms(spark, sf_dir)
+    if family:
+        rows = rows.where(F.col("family") == family)
+    return extract.extract(rows)
+
+
+@query(f"""WITH {forms.WITH} SELECT doc_id, 'Unit ' || cast(k % 9 AS STRING) AS department, 'Clerk' AS designation,
+  CASE WHEN k % 6 = 0 THEN cast(900000000 + k AS STRING) ELSE cast(9000000000 + k AS STRING) END AS mobile_number,
+  CASE WHEN k % 10 = 0 THEN '1234' ELSE cast(500001 + k % 90000 AS STRING) END AS pincode,
+  CASE WHEN k % 8 = 0 THEN '' WHEN k % 9 = 0 THEN 'user' || cast(k AS STRING) || ' at example.com' ELSE 'user' || cast(k AS STRING) || '@example.com' END AS email
+FROM forms WHERE family = 'employee_form'""")
+def slice_fields(spark, sf_dir):
+    """Values between tolerantly found labels; the twin knows what was rendered."""
+    out = spans.with_slices(classify.forced(classify.with_hits(forms.forms(spark, sf_dir).where("family = 'employee_form'")), F.lit("employee_form")))
+    return out.select("doc_id", *[tx.text_or_empty(F.try_element_at("sliced", F.lit(f))).alias(f) for f in ("department", "designation", "mobile_number", "pincode", "email")])
+
+
+@query(f"""WITH {forms.WITH} SELECT doc_id, 'TAX INVOICE' AS company, 'R-' || cast(100000 + k AS STRING) AS receipt_number, regexp_extract(text, 'Lot [^\n]*') AS address,
+  regexp_extract(text, 'Subtotal: ([0-9.]+)', 1) AS subtotal, '' AS tax, regexp_extract(text, '[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}') AS date,
+  regexp_extract(text, 'Subtotal: ([0-9.]+)', 1) AS total FROM forms WHERE family = 'invoice'""")
+def invoice_overlay(spark, sf_dir):
+    """Labels count on the first line that holds one: the heading takes the tax, the subtotal the total."""
+    rows = forms.forms(spark, sf_dir).where("family = 'invoice'").withColumn("lines", tx.lines_of(F.col("text")))
+    out = extract.sale_overlay(F.col("text"), F.col("lines"), lambda f: F.lit(""))
+    return rows.select("doc_id", *[out[f].alias(f) for f in ("company", "receipt_number", "address", "subtotal", "tax", "date", "total")])
+
+
+@query(f"""WITH {forms.WITH} SELECT doc_id, CASE WHEN k % 9 = 0 THEN '' ELSE 'SBIN0' || lpad(cast(k % 1000000 AS STRING), 6, '0') END AS ifsc,
+  CASE WHEN k % 8 = 0 THEN '' ELSE cast(30000000000 + k AS STRING) END AS account_number, cast(8000000 + k AS STRING) AS cif_number,
+  'ABCDE' || lpad(cast(k % 10000 AS STRING), 4, '0') || 'K' AS pan_number, '04/05/2012' AS account_opened, 'SINGLE' AS mop FROM forms WHERE family = 'passbook'""")
+def passbook_overlay(spark, sf_dir):
+    rows = forms.forms(spark, sf_dir).where("family = 'passbook'").withColumn("lines", tx.lines_of(F.col("text")))
+    out = extract.account_overlay(F.col("text"), F.col("lines"), lambda f: F.lit(""))
+    return rows.select("doc_id", *[out[f].alias(f) for f in ("ifsc", "account_number", "cif_number", "pan_number", "account_opened", "mop")])
+
+
+@query(f"""WITH {forms.WITH} SELECT doc_id, 'Asha Mehta' AS name, 'Female' AS gender, '1991-03-18' AS date_of_birth, 'Ravi Mehta' AS father_name, cast(400001 + k % 9000 AS STRING) AS pincode,
+  CASE WHEN k % 7 = 0 THEN '' ELSE cast(1000 + k % 9000 AS STRING) || ' 5678 9012' END AS aadhaar_number FROM forms WHERE family = 'aadhaar_full'""")
+def card_overlay(spark, sf_dir):
+    rows = forms.forms(spark, sf_dir).where("family = 'aadhaar_full'").withColumn("text", F.regexp_replace("text", "Name: ", "")).withColumn("lines", tx.lines_of(F.col("text")))
+    out = extract.card_overlay(F.regexp_replace("text", "i991 03-/8", "i991-03-/8"), F.col("lines"), lambda f: F.lit(""))
+    return rows.select("doc_id", *[out[f].alias(f) for f in ("name", "gender", "date_of_birth", "father_name", "pincode", "aadhaar_number")])
+
+
+@query()
+def extract_fields(spark, sf_dir):
+    """Every field of every form: classified, sliced and overlaid, in long form."""
+    return extract.long_fields(_records(spark, sf_dir), ["doc_id", "family"])
+
+
+# -- validation ---------------------------------------------------------------
+
+_VALUES = f"""SELECT doc_id, k, f.field, f.value FROM forms, unnest([
+  {{'field': 'mobile_number', 'value': CASE WHEN k % 6 = 0 THEN cast(900000000 + k AS STRING) WHEN k % 7 = 0 THEN 'abc' ELSE cast(9000000000 + k AS STRING) END}},
+  {{'field': 'pincode', 'value': CASE WHEN k % 10 = 0 THEN '1234' ELSE cast(500001 + k % 90000 AS STRING) END}},
+  {{'field': 'date_of_birth', 'value': CASE WHEN k % 11 = 0 THEN '31/02/1990' WHEN k % 5 = 0 THEN '1/2/1990' ELSE '1990-02-28' END}},
+  {{'field': 'email', 'value': CASE WHEN k % 9 = 0 THEN 'user at example.com' ELSE 'user @ example.com' END}},
+  {{'field': 'ifsc', 'value': CASE WHEN k % 4 = 0 THEN 'sbin 0 123456' ELSE 'SBINO123456' END}},
+  {{'field': 'total', 'value': CASE WHEN k % 3 = 0 THEN 'RM 1,234.50' WHEN k % 5 = 0 THEN '12.5' ELSE '' END}}]) AS u(f)"""
+
+
+@query(f"""WITH {forms.WITH}, v AS ({_VALUES}) SELECT doc_id, field, value, error = '' AS valid, error FROM (SELECT *, CASE
+  WHEN value = '' THEN 'Required field missing'
+  WHEN field = 'mobile_number' AND NOT regexp_matches(value, '^[0-9]+$') THEN 'Mobile number must contain only digits'
+  WHEN field = 'mobile_number' AND length(value) <> 10 THEN 'Mobile number must have exactly 10 digits'
+  WHEN field = 'pincode' AND NOT regexp_matches(value, '^[0-9]{{6}}$') THEN 'Pincode must be exactly 6 digits'
+  WHEN field = 'date_of_birth' AND try_strptime(value, ['%d/%m/%Y', '%Y-%m-%d']) IS NULL THEN 'Invalid date format or value'
+  WHEN field = 'email' AND NOT contains(value, '@') THEN 'Invalid email format'
+  WHEN field = 'ifsc' AND NOT regexp_matches(upper(replace(value, ' ', '')), '^[A-Z]{{4}}0[A-Z0-9]{{6}}$') THEN 'IFSC must match format AAAA0999999'
+  WHEN field = 'total' AND NOT regexp_matches(trim(regexp_replace(replace(value, ',', ''), '^[A-Za-z$]+', '')), '^[0-9]+(\\.[0-9]{{2}})?$') THEN 'Total must be a valid amount'
+  ELSE '' END AS error FROM v)""")
+def validate_formats(spark, sf_dir):
+    k = F.col("k")
+    number = lambda n: (F.lit(n) + k).cast("string")
+    values = {
+        "mobile_number": F.when(k % 6 == 0, number(900000000)).when(k % 7 == 0, "abc").otherwise(number(9000000000)),
+        "pincode": F.when(k % 10 == 0, "1234").otherwise((500001 + k % 90000).cast("string")),
+        "date_of_birth": F.when(k % 11 == 0, "31/02/1990").when(k % 5 == 0, "1/2/1990").otherwise("1990-02-28"),
+        "email": F.when(k % 9 == 0, "user at example.com").otherwise("user @ example.com"),
+        "ifsc": F.when(k % 4 == 0, "sbin 0 123456").otherwise("SBINO123456"),
+        "total": F.when(k % 3 == 0, "RM 1,234.50").when(k % 5 == 0, "12.5").otherwise(""),
+    }
+    rows = forms.forms(spark, sf_dir).select("doc_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in values.items()])).alias("f"))
+    return rows.select("doc_id", "f.field", "f.value", validate.verdict(F.col("f.field"), F.col("f.value"), F.lit(True)).alias("v")).select("doc_id", "field", "value", "v.valid", "v.error")
+
+
+@query(f"""WITH {forms.WITH} SELECT doc_id, 10 AS total_fields, cast((k % 8 = 0 OR k % 9 = 0) AS INT) + cast(k % 11 = 0 AS INT) + cast(k % 6 = 0 AS INT) + cast(k % 10 = 0 AS INT) + cast(k % 19 = 0 AS INT) AS invalid_fields,
+  NOT (k % 8 = 0 OR k % 9 = 0 OR k % 11 = 0 OR k % 6 = 0 OR k % 10 = 0 OR k % 19 = 0) AS ready FROM forms WHERE family = 'employee_form'""")
+def validation_summary(spark, sf_dir):
+    """Employee forms through slicing and all their rules; the twin knows the planted defects."""
+    docs = classify.forced(classify.with_hits(forms.forms(spark, sf_dir).where("family = 'employee_form'")), F.lit("employee_form"))
+    out = validate.summary(extract.overlaid(spans.with_slices(docs), types=["employee_form"]))
+    return out.select("doc_id", "total_fields", "invalid_fields", "ready")
+
+
+@query()
+def invalid_by_rule(spark, sf_dir):
+    rows = validate.validate(_records(spark, sf_dir), ["doc_id", "family"])
+    return rows.where("not valid").groupBy("family", "type", "field", "error").agg(F.count("*").alias("n"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Forms classified, extracted, validated and counted by type and readiness."""
+    out = validate.summary(_records(spark, sf_dir))
+    return out.groupBy("family", "type", "ready").agg(F.count("*").alias("documents"), F.sum("invalid_fields").alias("invalid_fields"), F.sum("warnings").alias("warnings"))
+
+
+QUERIES["record_flow"] = flagship
+
+
+# -- ranking ------------------------------------------------------------------
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{e}', {len(own) - i})" for t, own in schemas.ENGINES_BY_TYPE.items() for i, e in enumerate(own)) + ") AS t(type, engine, weight)")
+def engine_preference(spark, sf_dir):
+    rows = schemas.engine_weights(spark).select("type", "engine")
+    return rows.withColumn("weight", rank.preference(F.col("type"), F.col("engine")))
+
+
+@query()
+def rank_candidates(spark, sf_dir):
+    """Three readings of each form, the best kept by the eight keys."""
+    out = rank.best(rank.scored(validate.summary(extract.extract(forms.candidates(spark, sf_dir)))))
+    return out.select("doc_id", "engine", "type", "ready", "valid_fields", "invalid_fields", "warnings", "confidence_percent", F.col("score.filled").alias("filled"))
+
+
+# -- evaluation ---------------------------------------------------------------
+
+_PAIRS = """SELECT o_orderkey AS image, m.model, f.field, f.expected, f.extracted FROM (SELECT o_orderkey, cast(cast(o_totalprice AS DECIMAL(18, 2)) AS STRING) AS p, cast(o_orderdate AS DATE) AS d, o_orderpriority AS q FROM orders),
+ (VALUES ('doctr', 0), ('easyocr', 1), ('paddleocr', 2)) AS m(model, n),
+ unnest([{'field': 'total', 'expected': p, 'extracted': CASE WHEN (o_orderkey + n) % 5 = 0 THEN '' ELSE 'RM ' || p END},
+  {'field': 'date', 'expected': strftime(d, '%d/%m/%Y'), 'extracted': CASE WHEN (o_orderkey + n) % 4 = 0 THEN strftime(d, '%m/%Y') ELSE strftime(d, '%Y-%m-%d') END},
+  {'field': 'receipt_number', 'expected': CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE 'R-' || cast(o_orderkey AS STRING) END, 'extracted': 'r ' || cast(o_orderkey AS STRING)},
+  {'field': 'source_image', 'expected': 'x.png', 'extracted': 'y.png'}]) AS u(f)"""
+_COMPARED = f"""pairs AS ({_PAIRS}),
+compared AS (SELECT *, field <> 'source_image' AND expected <> '' AS used, field <> 'source_image' AND expected <> '' AND CASE field
+  WHEN 'total' THEN regexp_extract(extracted, '[0-9.]+') = expected
+  WHEN 'date' THEN extracted LIKE '____-__-__'
+  ELSE true END AS match FROM pairs)"""
+
+
+def _pairs(spark, sf_dir) -> DataFrame:
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("p"), F.col("o_orderdate").cast("date").alias("d"))
+    models = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(i).alias("n")) for i, m in enumerate(("doctr", "easyocr", "paddleocr"))])).alias("m")
+    rows = o.select("*", models).select("image", "p", "d", "m.model", "m.n")
+    k, n = F.col("image"), F.col("n")
+    day = lambda p: F.date_format("d", p)
+    entry = lambda f, e, x: F.struct(F.lit(f).alias("field"), e.alias("expected"), x.alias("extracted"))
+    each = F.array(
+        entry("total", F.col("p"), F.when((k + n) % 5 == 0, "").otherwise(F.concat(F.lit("RM "), "p"))),
+        entry("date", day("dd/MM/yyyy"), F.when((k + n) % 4 == 0, day("MM/yyyy")).otherwise(day("yyyy-MM-dd"))),
+        entry("receipt_number", F.when(k % 9 == 0, "").otherwise(F.concat(F.lit("R-"), k.cast("string"))), F.concat(F.lit("r "), k.cast("string"))),
+        entry("source_image", F.lit("x.png"), F.lit("y.png")),
+    )
+    return rows.select("image", "model", F.explode(each).alias("f")).select("image", "model", "f.field", "f.expected", "f.extracted")
+
+
+@query(f"""WITH {_COMPARED} SELECT image, model, field, used, match, CASE WHEN field = 'source_image' THEN 'metadata field' WHEN NOT used THEN 'ground truth value not present' ELSE '' END AS reason,
+  CASE WHEN used THEN CASE WHEN match THEN 100.0 ELSE 0.0 END END AS similarity FROM compared""")
+def compare_fields(spark, sf_dir):
+    return evaluate.compare(_pairs(spark, sf_dir)).select("image", "model", "field", "used", "match", "reason", "similarity")
+
+
+@query(f"""WITH {_COMPARED} SELECT image, model, matched_fields, scored_fields, round(matched_fields * 100.0 / scored_fields, 2) AS accuracy, matched_fields = scored_fields AS complete
+FROM (SELECT image, model, count(*) FILTER (WHERE match) AS matched_fields, count(*) FILTER (WHERE used) AS scored_fields FROM compared GROUP BY image, model)""")
+def document_accuracy(spark, sf_dir):
+    return evaluate.accuracy(evaluate.compare(_pairs(spark, sf_dir)), ["image", "model"]).select("image", "model", "matched_fields", "scored_fields", F.round("accuracy", 2).alias("accuracy"), "complete")
+
+
+@query(f"""WITH {_COMPARED}, per AS (SELECT field, model, round(avg(match::INT) * 100, 2) AS accuracy, round(avg(CASE WHEN match THEN 100.0 ELSE 0.0 END), 2) AS similarity, count(*) AS n FROM compared WHERE used GROUP BY field, model)
+SELECT field, model, accuracy, similarity, max(n) OVER (PARTITION BY field) AS evaluated FROM per""")
+def field_accuracy(spark, sf_dir):
+    return report.field_summary(evaluate.compare(_pairs(spark, sf_dir)))
+
+
+_TOKENS = "list_distinct(list_filter(string_split(trim(regexp_replace(lower({}), '[^a-z0-9ऀ-ॿ ]+', ' ', 'g')), ' '), lambda x: x <> ''))"
+
+
+@query(f"""WITH {forms.WITH_CANDIDATES}, t AS (SELECT c.doc_id, c.engine, {_TOKENS.format('c.text')} AS a, {_TOKENS.format('f.text')} AS b FROM candidates c JOIN forms f USING (doc_id))
+SELECT doc_id, engine, round(len(list_intersect(a, b)) * 1.0 / len(b), 6) AS recall FROM t""")
+def token_recall(spark, sf_dir):
+    c, f = forms.candidates(spark, sf_dir), forms.forms(spark, sf_dir).select("doc_id", F.col("text").alias("truth"))
+    return c.join(f, "doc_id").select("doc_id", "engine", F.round(evaluate.token_recall(F.col("text"), F.col("truth")), 6).alias("recall"))
+
+
+@query()
+def sequence_ratio(spark, sf_dir):
+    c, f = forms.candidates(spark, sf_dir), forms.forms(spark, sf_dir).select("doc_id", F.col("text").alias("truth"))
+    return c.join(f, "doc_id").select("doc_id", "engine", F.bround(evaluate.sequence_ratio("text", "truth"), 6).alias("ratio"))
+
+
+# -- reports ------------------------------------------------------------------
+
+_RUNS = """runs AS (SELECT o_orderkey AS image, CASE WHEN o_orderkey % 2 = 0 THEN 'front' ELSE 'back' END AS side, o_orderpriority AS quality, m.model,
+  CASE WHEN (o_orderkey + n) % 13 = 0 THEN NULL ELSE cast((o_orderkey * (n + 3)) % 101 AS DOUBLE) END AS accuracy, CASE WHEN (o_orderkey + n) % 17 = 0 THEN NULL ELSE ((o_orderkey + n) % 8) * 0.25 END AS seconds,
+  (o_orderkey + n) % 13 = 0 AS failed, (o_orderkey * (n + 3)) % 101 = 100 AS complete FROM orders, (VALUES ('doctr', 0), ('easyocr', 1), ('paddleocr', 2)) AS m(model, n))"""
+
+
+def _runs(spark, sf_dir) -> DataFrame:
+    k, n = F.col("image"), F.col("m.n")
+    models = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(i).alias("n")) for i, m in enumerate(("doctr", "easyocr", "paddleocr"))])).alias("m")
+    rows = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image"), F.col("o_orderpriority").alias("quality"), models)
+    failed, mark = (k + n) % 13 == 0, (k * (n + 3)) % 101
+    return rows.select(
+        "image", F.when(k % 2 == 0, "front").otherwise("back").alias("side"), "quality", "m.model",
+        F.when(~failed, mark.cast("double")).alias("accuracy"), F.when((k + n) % 17 != 0, ((k + n) % 8) * 0.25).alias("seconds"),
+        failed.alias("failed"), (mark == 100).alias("complete"),
+    )
+
+
+_AVERAGE = "count(DISTINCT image) AS images, round_even(avg(coalesce(accuracy, 0)), 2) AS accuracy, round_even(coalesce(avg(seconds), 0), 4) AS seconds"
+
+
+@query(f"""WITH {_RUNS}, per AS (SELECT quality, model, {_AVERAGE} FROM runs GROUP BY quality, model)
+SELECT quality, max(images) AS images, first(model ORDER BY accuracy DESC, model) AS best_model, max(accuracy) AS best_accuracy, last(model ORDER BY accuracy DESC, model) AS worst_model, min(accuracy) AS worst_accuracy,
+  first(model ORDER BY seconds, model) AS fastest_model, min(seconds) AS fastest_seconds, last(model ORDER BY seconds, model) AS slowest_model, max(seconds) AS slowest_seconds, round(max(accuracy) - min(accuracy), 2) AS accuracy_difference
+FROM per GROUP BY quality""")
+def quality_summary(spark, sf_dir):
+    return report.quality_summary(_runs(spark, sf_dir))
+
+
+@query(f"""WITH {_RUNS} SELECT CASE WHEN grouping(side) = 0 THEN 'document side' ELSE 'image quality category' END AS group_name, coalesce(side, quality) AS value, model, {_AVERAGE}
+FROM runs GROUP BY GROUPING SETS ((side, model), (quality, model))""")
+def accuracy_summary(spark, sf_dir):
+    return report.accuracy_summary(_runs(spark, sf_dir))
+
+
+@query(f"""WITH {_RUNS} SELECT model, count(*) AS images, round_even(avg(accuracy), 2) AS accuracy, round_even(avg(seconds), 4) AS seconds, count(*) FILTER (WHERE failed) AS failures, count(*) FILTER (WHERE complete) AS complete,
+  round_even(count(*) FILTER (WHERE complete) * 100.0 / count(*), 2) AS complete_rate FROM runs GROUP BY model""")
+def model_summary(spark, sf_dir):
+    return report.model_summary(_runs(spark, sf_dir))
+
+
+@query(f"WITH {_RUNS} SELECT image, max(accuracy) FILTER (WHERE model = 'doctr') AS doctr, max(accuracy) FILTER (WHERE model = 'easyocr') AS easyocr, max(accuracy) FILTER (WHERE model = 'paddleocr') AS paddleocr FROM runs GROUP BY image")
+def accuracy_pivot(spark, sf_dir):
+    return report.pivoted(_runs(spark, sf_dir), ["doctr", "easyocr", "paddleocr"])
+
+
+# -- files, JSON, review ------------------------------------------------------
+
+
+@query("SELECT page_id, CASE WHEN html LIKE '<!%' THEN 'unknown' ELSE 'unknown' END AS of_html, 'pdf' AS of_pdf, 'png' AS of_png, 'jpg' AS of_jpg FROM pages")
+def sniff_file_type(spark, sf_dir):
+    raw = lambda head: F.concat(F.unhex(F.lit(head)), F.col("html").cast("binary"))
+    return _t(spark, sf_dir, "pages").select(
+        "page_id", files.magic_type(F.col("html").cast("binary")).alias("of_html"), files.magic_type(raw("255044462D")).alias("of_pdf"),
+        files.magic_type(raw("89504E470D0A")).alias("of_png"), files.magic_type(raw("FFD8FFE0")).alias("of_jpg"),
+    )
+
+
+_SAFE = r"(SELECT page_id, CASE WHEN n IN ('', '.', '..') THEN 'uploaded_document' ELSE n END AS safe_name FROM (SELECT page_id, trim(regexp_replace(regexp_replace(string_split(url, '/')[-1], '[^A-Za-z0-9._ -]+', '_', 'g'), '\s+', ' ', 'g')) AS n FROM pages))"
+
+
+@query(f"""SELECT page_id, safe_name, CASE WHEN n = 0 THEN safe_name ELSE regexp_extract(safe_name, '^(.+?)(\\.[^.]*)?$', 1) || '_' || cast(n AS STRING) || regexp_extract(safe_name, '^(.+?)(\\.[^.]*)?$', 2) END AS unique_name
+FROM (SELECT *, row_number() OVER (PARTITION BY safe_name ORDER BY page_id) - 1 AS n FROM {_SAFE})""")
+def unique_file_names(spark, sf_dir):
+    rows = _t(spark, sf_dir, "pages").select("page_id", tx.safe_file_name(F.col("url")).alias("safe_name"))
+    return review.unique_names(rows, "safe_name", ["page_id"])
+
+
+@query("SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') AS k, '' AS missing, coalesce(json_extract_string(props, '$.k'), '') AS wrapped FROM events")
+def json_object_parse(spark, sf_dir):
+    rows = _t(spark, sf_dir, "events")
+    keys = F.array(F.lit("k"), F.lit("missing"))
+    plain = model_json.projected(model_json.json_object(F.col("props")), keys)
+    talk = model_json.projected(model_json.json_object(F.concat(F.lit("Sure, here it is: "), "props", F.lit(" Anything else?"))), keys)
+    return rows.select("event_id", plain["k"].alias("k"), plain["missing"].alias("missing"), talk["k"].alias("wrapped"))
+
+
+_FIELDS = "fields AS (SELECT c_custkey AS id, f.field, f.value FROM customer, unnest([{'field': 'employee_name', 'value': c_name}, {'field': 'bank_name', 'value': c_mktsegment}, {'field': 'total', 'value': cast(c_custkey AS STRING)}]) AS u(f))"
+_EDITS = "edits AS (SELECT c_custkey AS id, 'bank_name' AS field, CASE WHEN c_custkey % 6 = 0 THEN c_mktsegment ELSE upper(c_name) END AS edited FROM customer WHERE c_custkey % 3 = 0)"
+
+
+@query(f"""WITH {_FIELDS}, {_EDITS} SELECT id, field, value AS original, coalesce(edited, value) AS value, coalesce(edited, value) <> value AS is_edited, CASE field WHEN 'total' THEN 'Invoice' ELSE 'Identity' END AS field_group
+FROM fields LEFT JOIN edits USING (id, field)""")
+def review_overlay(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "id")
+    entry = lambda f, v: F.struct(F.lit(f).alias("field"), v.alias("value"))
+    each = F.array(entry("employee_name", F.col("c_name")), entry("bank_name", F.col("c_mktsegment")), entry("total", F.col("id").cast("string")))
+    rows = c.select("id", F.explode(each).alias("f")).select("id", "f.field", "f.value")
+    edits = c.where("id % 3 = 0").select("id", F.lit("bank_name").alias("field"), F.when(F.col("id") % 6 == 0, F.col("c_mktsegment")).otherwise(F.upper("c_name")).alias("edited"))
+    return review.overlay(rows, edits, ["id"]).withColumn("field_group", review.field_group(F.col("field")))
+
+
+@query("SELECT user_id AS file_name, event_id AS review_id, event_type AS status FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def latest_review(spark, sf_dir):
+    rows = _t(spark, sf_dir, "events").select(F.col("user_id").alias("file_name"), F.col("event_id").alias("review_id"), F.col("event_type").alias("status"), F.col("ts").alias("reviewed_at"))
+    return review.latest(rows).select("file_name", "review_id", "status")
+
+
+@query("SELECT doc_id, cast((length(text) - length(replace(lower(text), 'the', ''))) / 3 AS BIGINT) AS hits, cast(instr(lower(text), 'the') AS INT) AS first_at FROM documents")
+def highlight_text(spark, sf_dir):
+    at = review.highlights(F.col("text"), "the")
+    return _t(spark, sf_dir, "documents").select("doc_id", F.size(at).cast("long").alias("hits"), F.coalesce(F.try_element_at(at, F.lit(1)), F.lit(0)).alias("first_at"))
+
+
+# -- streaming ----------------------------------------------------------------
+
+
+@query("SELECT event_type, cast(date_trunc('hour', ts) AS TIMESTAMP) AS hour, count(*) AS n FROM events GROUP BY ALL")
+def stream_event_windows(spark, sf_dir):
+    """The events as a stream that ends, counted by type and hour."""
+    import tempfile
+    import uuid
+
+    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="recordloom-")).rstrip("/") + f"/events-{uuid.uuid4().hex[:12]}"
+    source = f"{sf_dir}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source).withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = ingest.windowed_events(stream)
+    run = counts.writeStream.outputMode("complete").foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{base}/out"))
+    run.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("event_type", F.col("window.start").cast("timestamp_ntz").alias("hour"), "n")

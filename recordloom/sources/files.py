@@ -10,6 +10,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import schemas
 
@@ -26,7 +27,7 @@ def scan(spark: SparkSession, path: str, glob: str | None = None, recursive: boo
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _is_docx(content: pd.Series) -> pd.Series:
     def look(raw) -> bool:
         try:
