@@ -472,8 +472,10 @@ def stream_event_windows(spark, sf_dir):
     import uuid
 
     base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="recordloom-")).rstrip("/") + f"/events-{uuid.uuid4().hex[:12]}"
-    source = f"{sf_dir}/events.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source).withColumn("ts", F.col("ts").cast("timestamp"))
+    # a stream reads a folder of files, which the table may not be
+    table = _t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    table.write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(table.schema).parquet(f"{base}/in")
     counts = ingest.windowed_events(stream)
     run = counts.writeStream.outputMode("complete").foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{base}/out"))
     run.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
