@@ -101,7 +101,7 @@ def slash_date(c: Column) -> Column:
 def padded_date(c: Column) -> Column:
     """Separators tightened; a date of the years 1900 to 2099 as padded ISO, other text unchanged."""
     t = F.regexp_replace(c, r"(?U)\s*([/.-])\s*", "$1")
-    dmy, ymd = r"(\d{1,2})[/.-](\d{1,2})[/.-]((?:19|20)\d{2})", r"((?:19|20)\d{2})[/.-](\d{1,2})[/.-](\d{1,2})"
+    dmy, ymd = r"(?<!\d)(\d{1,2})[/-](\d{1,2})[/-]((?:19|20)\d{2})(?!\d)", r"(?<!\d)((?:19|20)\d{2})[/-](\d{1,2})[/-](\d{1,2})(?!\d)"
     two = lambda p, k: F.lpad(group(t, p, k), 2, "0")
     return F.when(t.rlike(dmy), F.concat_ws("-", group(t, dmy, 3), two(dmy, 2), two(dmy, 1))).when(
         t.rlike(ymd), F.concat_ws("-", group(t, ymd, 1), two(ymd, 2), two(ymd, 3))

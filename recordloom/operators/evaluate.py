@@ -122,4 +122,4 @@ def quality_of(path: Column) -> Column:
 
 def side_of(path: Column) -> Column:
     name = F.lower(F.element_at(F.split(path, "/"), -1))
-    return F.when(name.contains("back"), "back").when(name.contains("front"), "front").otherwise("unknown")
+    return F.when(name.contains("front"), "front").when(name.contains("back"), "back").otherwise("unknown")

@@ -320,9 +320,18 @@ def overlaid(docs: DataFrame, text: str = "text", types: list[str] | None = None
     have null values. ``types`` limits the plan to types that are known to
     occur.
     """
-    body = text_or_empty(F.col(text))
-    docs = docs.withColumn("lines", lines_of(body))
-    lines, branches = F.col("lines"), None
+    key = (docs.sparkSession.sparkContext.applicationId, text, tuple(types or ()))
+    if key not in _BUILT:
+        _BUILT[key] = _records(text, types)
+    return docs.withColumn("lines", lines_of(text_or_empty(F.col(text)))).withColumn("values", _BUILT[key]).drop("lines")
+
+
+#: Overlay expressions of a session; they take seconds to build, and hold for every table.
+_BUILT: dict[tuple, Column] = {}
+
+
+def _records(text: str, types: list[str] | None) -> Column:
+    body, lines, branches = text_or_empty(F.col(text)), F.col("lines"), None
     for t, own in schemas.schemas().items():
         if types is not None and t not in types:
             continue
@@ -342,7 +351,7 @@ def overlaid(docs: DataFrame, text: str = "text", types: list[str] | None = None
             made |= sale_overlay(body, lines, value)
         record = F.map_from_arrays(F.array(*[F.lit(f) for f in made]), F.array(*made.values()))
         branches = F.when(F.col("type") == t, record) if branches is None else branches.when(F.col("type") == t, record)
-    return docs.withColumn("values", branches).drop("lines")
+    return branches
 
 
 def extract(docs: DataFrame, text: str = "text", types: list[str] | None = None) -> DataFrame:

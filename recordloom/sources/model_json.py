@@ -10,7 +10,7 @@ from ..operators import schemas
 
 def model_list(setting: Column, default: list[str]) -> Column:
     """Model names of a comma list, trimmed, or the default; each with the prefix llm:."""
-    own = F.filter(F.transform(F.split(F.coalesce(setting, F.lit("")), ","), F.trim), lambda x: x != "")
+    own = F.filter(F.transform(F.split(F.coalesce(setting, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     names = F.when(F.size(own) > 0, own).otherwise(F.array(*[F.lit(x) for x in default]))
     return F.transform(names, lambda x: F.when(x.startswith("llm:"), x).otherwise(F.concat(F.lit("llm:"), x)))
 
