@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import classify, evaluate, extract, rank, report, review, schemas, spans, validate
+from ..operators import classify, evaluate, extract, ocr_fields, rank, report, review, schemas, spans, validate
 from ..sources import files, model_json
 from ..streaming import ingest
 from . import forms
@@ -210,6 +210,34 @@ def card_overlay(spark, sf_dir):
     return rows.select("doc_id", *[out[f].alias(f) for f in ("name", "gender", "date_of_birth", "father_name", "pincode", "aadhaar_number")])
 
 
+def _read(spark, sf_dir, family: str, reader, fields: str) -> DataFrame:
+    rows = forms.forms(spark, sf_dir).where(F.col("family") == family).withColumn("values", reader(F.col("text")))
+    return rows.select("doc_id", *[F.try_element_at("values", F.lit(f)).alias(f) for f in fields.split()])
+
+
+@query(f"""WITH {forms.WITH} SELECT doc_id, 'STORE ' || cast(k % 50 AS STRING) || ' SDN BHD' AS company, regexp_extract(text, '[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}') AS date, 'R-' || cast(100000 + k AS STRING) AS receipt_number, 'MYR' AS currency_if_total
+FROM forms WHERE family = 'invoice'""")
+def read_receipts(spark, sf_dir):
+    """The receipt reader; the heading is print of the sale, so the store's line is the company."""
+    out = _read(spark, sf_dir, "invoice", lambda t: ocr_fields.receipt(t, F.lit("x.png")), "company date receipt_number")
+    return out.withColumn("currency_if_total", ocr_fields.sale_currency(F.lit("RM 5")))
+
+
+@query(f"""WITH {forms.WITH} SELECT doc_id, 'State Bank of India' AS bank_name, lpad(cast(k % 100000 AS STRING), 5, '0') AS branch_code, 'SBIN0' || lpad(cast(k % 1000000 AS STRING), 6, '0') AS ifsc, 'sbi.' || cast(k AS STRING) || '@example.com' AS email,
+  'SAVINGS' AS account_type, cast(8000000 + k AS STRING) AS cif_number, '04/05/2012' AS account_opened, '05/06/2012' AS date_of_issue, 'SINGLE' AS mop, 'ABCDE' || lpad(cast(k % 10000 AS STRING), 4, '0') || 'K' AS pan_number FROM forms WHERE family = 'passbook'""")
+def read_passbooks(spark, sf_dir):
+    rows = forms.forms(spark, sf_dir).where("family = 'passbook'").withColumn("text", F.regexp_replace("text", "IFSC: SBINO", "IFSC: SBIN0"))
+    rows = rows.withColumn("values", ocr_fields.passbook(F.col("text")))
+    fields = "bank_name branch_code ifsc email account_type cif_number account_opened date_of_issue mop pan_number".split()
+    return rows.select("doc_id", *[F.try_element_at("values", F.lit(f)).alias(f) for f in fields])
+
+
+@query(f"""WITH {forms.WITH} SELECT doc_id, CASE WHEN k % 7 = 0 THEN NULL ELSE cast(1000 + k % 9000 AS STRING) || ' 5678 9012' END AS aadhaar_number, CASE WHEN k % 7 = 0 THEN NULL ELSE 'FEMALE' END AS gender,
+  CASE WHEN k % 7 = 0 THEN NULL WHEN k % 6 = 0 THEN '' ELSE '18-03-1991' END AS date_of_birth FROM forms WHERE family = 'aadhaar_full'""")
+def read_cards(spark, sf_dir):
+    return _read(spark, sf_dir, "aadhaar_full", ocr_fields.card_front, "aadhaar_number gender date_of_birth")
+
+
 @query()
 def extract_fields(spark, sf_dir):
     """Every field of every form: classified, sliced and overlaid, in long form."""
