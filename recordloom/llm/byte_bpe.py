@@ -151,7 +151,7 @@ def pretokens(texts: list[str]) -> tuple[list[str], np.ndarray]:
 class Codec:
     """Encodes and decodes with a rank file; caches the merges of short pre-tokens."""
 
-    CACHED = 400_000
+    CACHED = 200_000
     SHORT_PIECE = 64
 
     def __init__(self, path: str, pattern: str = PATTERN):
