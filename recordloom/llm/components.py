@@ -57,7 +57,8 @@ def connected(edges: DataFrame, name: str = "components", rounds: int = 60) -> D
 
     Large-star and small-star steps in turn until nothing changes; each is an
     aggregation and an equi-join, so a hub's edges are split, never gathered.
-    Every round is staged in the shared folder. No edges: an empty table.
+    The minima are staged by themselves: a join of two shuffled tables is what
+    Spark can split at a hub. Every round is staged in the shared folder. No edges: an empty table.
     Loops, repeated edges and nulls are ignored.
     """
     e = edges.where("a is not null and b is not null and a <> b").select("a", "b")
@@ -66,11 +67,11 @@ def connected(edges: DataFrame, name: str = "components", rounds: int = 60) -> D
     for k in range(1, rounds):
         # large star: every larger neighbour of a node hangs on the node's minimum
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        big = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = staged(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{name}-{k}-low")
+        big = both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        big = staged(big.distinct(), f"{name}-{k}-large")
         # small star: every smaller neighbour, and the node, hang on the minimum
-        big = big.where("a <> b").distinct()
-        low = big.groupBy("a").agg(F.min("b").alias("m"))
+        low = staged(big.groupBy("a").agg(F.min("b").alias("m")), f"{name}-{k}-least")
         small = big.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = staged(small.union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), f"{name}-{k}")
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a") % 1_000_003)).first()
