@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import match_text, text_or_empty
+from ..functions.text import let, match_text, text_or_empty
 from . import schemas
 from .fuzzy import add_hits
 
@@ -66,8 +66,8 @@ def scores(hits: Column) -> Column:
 def exact_hits(text: Column) -> Column:
     """As the tolerant search, with exact labels only and no Python."""
     labels, _ = _dimension()
-    norm = match_text(text_or_empty(text))
-    return F.array_compact(F.array(*[F.when(norm.contains(x), F.lit(i)) for i, (x, _) in enumerate(labels)]))
+    hits = lambda norm: F.array_compact(F.array(*[F.when(norm.contains(x), F.lit(i)) for i, (x, _) in enumerate(labels)]))
+    return let(match_text(text_or_empty(text)), hits)
 
 
 def with_hits(docs: DataFrame, text: str = "text") -> DataFrame:
