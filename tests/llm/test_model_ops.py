@@ -106,6 +106,19 @@ def test_toxicity_finds_labelled_documents(spark, corpus):
     assert all(0 <= r.severity <= 2 for r in rows)
 
 
+def test_toxicity_learns_from_few_texts_in_every_language(spark, corpus):
+    root = "/root/testdata/sf0.001"
+    own = spark.read.parquet(f"{root}/documents.parquet"), spark.read.parquet(f"{root}/labels.parquet")
+    few, some = toxicity.fit(*own), toxicity.fit(*corpus)
+    unseen = corpus[0].join(own[0].select("text"), "text", "left_anti")
+    for model, docs, labels, recall in ((few, *own, 0.9), (some, *corpus, 0.9), (few, unseen, corpus[1], 0.4)):
+        rows = toxicity.score(docs, model).join(labels.selectExpr("doc_id", "toxic as truth"), "doc_id").collect()
+        assert sum(r.grade > 0 for r in rows if r.truth) >= recall * sum(r.truth for r in rows)
+        assert sum(r.grade > 0 for r in rows if not r.truth) <= 0.01 * len(rows)
+    rows = toxicity.score(corpus[0].where("lang <> 'en'"), some).join(corpus[1].where("toxic = 1").select("doc_id"), "doc_id").collect()
+    assert len(rows) > 10 and all(r.grade > 0 for r in rows)
+
+
 def test_toxicity_edges(spark, corpus):
     odd = spark.createDataFrame([(1, None, 1), (None, "", 2), (2, "fine", 3), (2, "fine", 3)], "doc_id long, text string, toxic int")
     none = toxicity.score(odd, toxicity.fit(odd, spark.createDataFrame([], "doc_id long, toxic int")))
