@@ -40,20 +40,29 @@ SMALL = 8
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def simhash(text: str | None, width: int = SHINGLE) -> int:
-    """The 64-bit fingerprint of a whole text; 0 where it has no words."""
+def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
+    """The hashes of a text's runs of ``width`` words, in order; a shorter text is one run."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     n = max(1, len(words) - width + 1)
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate([[0], ends[:-1]])[:n].tolist()
     ends = (ends[len(words) - n :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, ends)), "<u8", n)
+
+
+def simhash(text: str | None, width: int = SHINGLE) -> int:
+    """The 64-bit fingerprint of a whole text; 0 where it has no words."""
+    hashes = shingles(text, width)
+    n = len(hashes)
+    if not n:
+        return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
-        h = np.array([digest(line[a:b], SEED) for a, b in zip(starts[at : at + 65536], ends[at : at + 65536])], "<u8")
+        h = hashes[at : at + 65536]
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
@@ -213,14 +222,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", groups=_groups) -> DataFrame:
     """``docs`` with one row of each near-duplicate group, all columns as they were.
 
+    ``groups`` says what is near: fingerprints within RADIUS bits, or another rule.
+
     The row with the smallest doc_id stays, one without id only where its group
     has no id; among equal ids, that with the lowest hash of its text; of rows
     that repeat both, any one.
     """
-    rows, labels = _groups(docs, doc_id, text)
+    rows, labels = groups(docs, doc_id, text)
     keep = staged(labels.groupBy("root").agg(F.min("rep").alias("rep")).select("rep.doc_id", "rep.key"), "simhash-keep")
     mine = bare("key", docs.columns)
     keyed = docs.withColumn(mine, text_key(text))

@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 import xxhash
 
-from recordloom.llm import byte_bpe, decontaminate, html_text, line_dedup, simhash
+from recordloom.llm import byte_bpe, decontaminate, html_text, jaccard, line_dedup, simhash
 
 WORDS = "alpha beta gamma delta eps zeta eta theta iota kappa lam mu nu xi omi pi rho sig tau ups".split()
 
@@ -94,6 +94,43 @@ def test_links_connect_all_pairs(spark, crowd):
     assert got == want
 
 
+def five_words(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def first_of_alike(rows):
+    """Ids of the first document of each group of texts that five-word shingles link, by brute force."""
+    sets = [five_words(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or (sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])):
+                group = [group[j] if g == group[i] else g for g in group]
+    return sorted(min(rows[i][0] for i in range(len(rows)) if group[i] == g) for g in set(group))
+
+
+def test_pipeline_drops_near_duplicates_by_shingles(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    rows = [(i, prose(rng, rng.randint(3, 300))) for i in range(120)]
+    for i in range(120, 400):
+        words = rows[rng.randrange(i)][1].split(" ")
+        for _ in range(rng.randint(0, 5)):
+            words[rng.randrange(len(words))] = prose(rng, 1)
+        rows.append((i, " ".join(words)))
+    rows += [(500, None), (501, ""), (502, "one"), (503, "One"), (504, "one two"), (505, "x " * 5000)]
+    want = first_of_alike(rows)
+    docs = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, key string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == want
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) != want
+    odd = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, "a b"), (None, "c"), (None, "c"), (7, "d"), (7, "d")], SCHEMA)
+    assert sorted(map(str, (r.doc_id for r in simhash.one_of_each(odd, groups=jaccard.groups).collect()))) == ["3", "7", "None"]
+    assert simhash.one_of_each(odd.limit(0), groups=jaccard.groups).count() == 0
+
+
 def test_one_of_each_keeps_columns_and_one_row(spark):
     rows = documents()
     docs = spark.createDataFrame([(d, t, f"k{i}") for i, (d, t) in enumerate(rows)], SCHEMA + ", key string")
