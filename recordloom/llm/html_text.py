@@ -6,7 +6,8 @@ whose children's densities have the largest sum holds the article. The smallest
 density on its path to the body is the threshold that other parts of the page
 must reach to belong to it. Formatting inside a block (bold, breaks) makes no
 node of its own. What HTML or its class names say is not text of the article
-(menus, footers, adverts, forms, comments ...) takes no part.
+(menus, footers, adverts, forms, comments ...) takes no part, unless the article
+is inside it.
 """
 
 from __future__ import annotations
@@ -27,12 +28,11 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 # Element names of HTML and what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-LEFT_OUT = frozenset("head nav footer aside form button input menu dialog fieldset datalist optgroup option audio video canvas applet".split())
+LEFT_OUT = frozenset("head nav footer aside button input menu dialog fieldset datalist optgroup option audio video canvas applet".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 #: An opened element closes those of the second set that are open above the third.
 IMPLIED = {
@@ -54,6 +54,10 @@ OTHER_NAMES = frozenset(
 )
 
 
+#: The share of an article-less page's unlinked text from which a named element is the page itself.
+MOST = 0.8
+
+
 class Page:
     """A page as parallel lists in document order; parents come before children."""
 
@@ -63,6 +67,7 @@ class Page:
         self.inner: list[int] = [0]  # all tags right below it
         self.runs: list[tuple[int, int, str, bool]] = []  # node, block, text, in a link
         self.main = [False]
+        self.named = [False]  # a form, or named as something beside the article
         stack: list[tuple[str, int, bool]] = [("body", 0, False)]  # name, node, in a link
         known: set[str] = set()  # names that were opened at all
         block = at = 0
@@ -103,10 +108,30 @@ class Page:
             self.links.append(0)
             self.inner.append(0)
             self.main.append(self.main[node] or name in ("article", "main") or 'role="main"' in m[4])
-            self.out.append(self.out[node] or name in LEFT_OUT or (name == "header" and not self.main[node]) or _other(m[4]))
+            self.out.append(self.out[node] or name in LEFT_OUT or (name == "header" and not self.main[node]) or _hidden(m[4]))
+            self.named.append(name == "form" or _other(m[4], re.fullmatch("h[1-6]", name) is not None))
             stack.append((name, len(self.tag) - 1, linked))
         if at < len(source):
             self.runs.append((stack[-1][1], block, source[at:], stack[-1][2]))
+        if any(self.named):
+            self._leave_out()
+
+    def _leave_out(self) -> None:
+        """Named elements go, but not those that hold the article or, without one, most of the unlinked text."""
+        n = len(self.tag)
+        chars, holds = [0] * n, [False] * n
+        for node, _, text, linked in self.runs:
+            if not linked and not self.out[node]:
+                chars[node] += sum(map(len, text.split()))
+        for i in range(n - 1, 0, -1):
+            p = self.parent[i]
+            chars[p] += chars[i]
+            own = self.main[i] and not self.main[p]  # an article or main inside no other
+            holds[i] = holds[i] or (own and not self.named[i] and not self.out[i] and chars[i] > 0)
+            holds[p] = holds[p] or holds[i]
+        for i in range(1, n):
+            kept = (holds[i] and not self.main[self.parent[i]]) or (not holds[0] and chars[i] >= MOST * chars[0] > 0)
+            self.out[i] = self.out[i] or self.out[self.parent[i]] or (self.named[i] and not kept)
 
     @staticmethod
     def _imply(stack: list, name: str) -> None:
@@ -210,14 +235,22 @@ def _density(chars: float, tags: float, linked: float, anchors: float, whole: fl
     return max(0.0, chars / tags * log(max(odds, 1e-9)) / log(base) if base > 1 + 1e-9 else chars / tags * log(max(odds, 1.0) + e))
 
 
-def _other(attributes: str) -> bool:
-    """Whether class, id or role name something beside the article, or it is hidden."""
+def _other(attributes: str, heading: bool = False) -> bool:
+    """Whether a class, id or role is the name of something beside the article; ids of headings are anchors."""
+    if "=" not in attributes:
+        return False
+    for name, value in _ATTRIBUTE.findall(attributes):
+        name = name.lower()
+        if name in ("class", "id", "role") and not (heading and name == "id") and not OTHER_NAMES.isdisjoint(value.strip("\"'").lower().split()):
+            return True
+    return False
+
+
+def _hidden(attributes: str) -> bool:
     if "=" not in attributes and "hidden" not in attributes:
         return False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id", "role") and not OTHER_NAMES.isdisjoint(x.lower() for x in _NAME_PART.findall(value)):
-            return True
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
             return True
     return False

@@ -283,3 +283,20 @@ def test_html_text(spark):
     assert sorted(r._text for r in got.collect()) == sorted([*PAGES.values(), ""])
     assert all(r.n_chars == len(r._text) for r in got.collect())
     assert "x" in html_text.main_text("<div>" * 20000 + "x")
+
+
+def test_html_names_do_not_overrule_the_article():
+    words = "Long plain text of the article goes on and on here. " * 4
+    text = words.strip()
+    for page in (
+        f'<div class="content-sidebar-wrap"><main><p>{words}</p></main></div><div class="sidebar">Other things</div>',
+        f'<div class="sidebar"><main><p>{words}</p></main></div>',
+        f'<article class="post comments-open"><p>{words}</p></article>',
+        f'<form action="/"><div><article><p>{words}</p></article></div><div class="comments">Me too</div></form>',
+        f'<form id="aspnet"><div><p>{words}</p></div></form>',
+    ):
+        assert html_text.main_text(page) == text
+    page = f'<article><h2 id="search-algorithms">Search</h2><p>{words}</p><h2 id="related">Related</h2><p>{words}</p><div class="related"><article>Teaser</article></div><form>Name</form></article>'
+    assert html_text.main_text(page) == f"Search\n\n{text}\n\nRelated\n\n{text}"
+    page = f'<article><p>{words}</p></article><section class="comments"><article class="comment">{words * 9}</article></section>'
+    assert html_text.main_text(page) == text
