@@ -9,7 +9,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from py4j.protocol import Py4JError
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,9 @@ SLICE_BYTES = 1 << 20
 #: Rows of an Arrow batch, where the session has Spark's default; texts are long.
 BATCH_ROWS = 1000
 
+#: Keys with more than this fraction of a join's rows (1/HOT) don't go through its shuffle.
+HOT = 1000
+
 _FOLDERS: dict[str, str] = {}
 
 
@@ -50,16 +55,46 @@ def clear_shared(spark: SparkSession) -> None:
         pass
 
 
+def written(df: DataFrame, name: str) -> str:
+    """Write ``df`` as Parquet in the shared folder; gives the path."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return path
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage, keeps a result that several plans read from being
     computed twice, and survives the loss of executors.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
+
+
+def stored(path: str, rows: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a staged table, read inside a task, at most ``rows`` at a time."""
+    system, folder = fs.FileSystem.from_uri(path)
+    files = system.get_file_info(fs.FileSelector(folder))
+    for name in sorted(f.path for f in files if f.path.endswith(".parquet") and f.size):
+        with system.open_input_file(name) as raw:
+            yield from pq.ParquetFile(raw).iter_batches(batch_size=rows)
+
+
+def split_join(left: DataFrame, right: DataFrame, on: list[str], n: str, semi: bool = False) -> DataFrame:
+    """``left`` joined with ``right``, which has a row for each key and the key's rows in ``left`` as ``n``.
+
+    A key with more than 1/HOT of the rows would land in one task, so such
+    keys, fewer than HOT by their definition, are broadcast; ``left`` stays
+    where it is for them. The other keys meet in a shuffle. Keys aren't null.
+    """
+    most = right.agg(F.max(n), F.sum(n)).first()
+    how = "left_semi" if semi else "inner"
+    if most[0] is None or most[0] * HOT <= most[1]:
+        return left.join(right.drop(n), on, how)
+    much = F.col(n) * F.lit(HOT) > F.lit(most[1])
+    hot, rest = right.where(much).drop(n), right.where(~much).drop(n)
+    some = left.join(F.broadcast(hot), on, how)
+    return some.unionByName(left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on, how))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,9 +1,13 @@
 """Benchmark decontamination with one Aho-Corasick automaton over words.
 
 Texts become words (runs of ASCII letters and digits and of all characters
-beyond ASCII, A-Z in lower case). Every window of 13 words of a test item is a
-pattern; the automaton reads a document's words once, as numbers in the
-vocabulary of the items, and reports every window that ends at each word.
+beyond ASCII, A-Z in lower case). Any WINDOW consecutive words of a test item
+hold one of its blocks: the items cut into pieces of half a window. These blocks
+are the automaton's patterns, so it has about a node for each word of the
+benchmark and not one for each word of each window. It reads a document's words
+once, as numbers in the vocabulary of the items. A block that occurs is carried
+both ways as far as the words around it agree with an item; the windows are what
+reaches WINDOW words. An item of fewer words is one pattern and one window.
 """
 
 from __future__ import annotations
@@ -13,13 +17,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import bare, grown, staged, table, text_slices
+from .common import bare, grown, stored, table, text_slices, written
 
 WINDOW = 13
-#: Words of test items that one automaton takes; more items are read by further automata in turn.
-AUTOMATON_WORDS = 100_000
+#: Test items that are read from the shared folder at a time.
+ITEMS = 1000
 
 _BLANK = 0x20
 _NORMAL = bytes(
@@ -43,60 +46,110 @@ def word_spans(text: str) -> np.ndarray:
 
 
 class Windows:
-    """The windows of some test items, and their automaton (built where it is used)."""
-
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
-        self.items, self.window = items, window
-        self._built = None
-
-    def __getstate__(self):
-        return self.__dict__ | {"_built": None}
-
-    def built(self):
-        if self._built is None:
-            vocabulary: dict[bytes, int] = {}
-            owners: dict[tuple[int, ...], set[str]] = {}
-            for item, text in self.items:
-                codes = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
-                k = min(self.window, len(codes))
-                for i in range(len(codes) - k + 1 if k else 0):
-                    owners.setdefault(tuple(codes[i : i + k]), set()).add(item)
-            machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-            for n, key in enumerate(owners):
-                machine.add_word(key, n)
-            if owners:
-                machine.make_automaton()
-            self._built = vocabulary, machine, [(len(k), v) for k, v in owners.items()]
-        return self._built
+    """The windows of test items, as an automaton of blocks and the words around each block.
+
+    ``items`` gives (item, text) pairs; it is read once, and the texts aren't kept.
+    """
+
+    def __init__(self, items, window: int = WINDOW):
+        self.window = window
+        self.size = (window + 1) // 2
+        self.reach = window - self.size  # words beside a block that can share a window with it
+        self.vocabulary: dict[bytes, int] = {}
+        self.names: list[str] = []
+        self.cuts = np.zeros(1, np.int64)
+        known: dict[str, int] = {}
+        codes, owner, ends, n = [], [], [], 0
+        for item, text in items:
+            words = words_of(text)
+            if not words:
+                continue
+            if item not in known:
+                known[item] = len(self.names)
+                self.names.append(item)
+            codes.append(np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words), np.int32, len(words)))
+            owner.append(known[item])
+            n += len(words)
+            ends.append(n)
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        if codes:
+            self._build(np.concatenate(codes), np.array(owner, np.int32), np.array(ends, np.int64))
+
+    def _build(self, codes: np.ndarray, owner: np.ndarray, ends: np.ndarray) -> None:
+        starts = np.concatenate([[0], ends[:-1]])
+        sizes = ends - starts
+        whole = sizes < self.window
+        many = np.where(whole, 1, sizes // self.size)
+        item = np.repeat(np.arange(len(sizes)), many)
+        at = starts[item] + (np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many)) * self.size
+        length = np.where(whole[item], sizes[item], self.size)
+        # the words beside a block, from the nearest outwards; a negative number is no word
+        side = np.arange(1, self.reach + 1)
+        left, right = at[:, None] - side, (at + length - 1)[:, None] + side
+        padded = np.append(codes, -1)
+        left = padded[np.where((left >= starts[item][:, None]) & ~whole[item][:, None], left, -1)]
+        right = padded[np.where((right < ends[item][:, None]) & ~whole[item][:, None], right, -1)]
+        places: dict[tuple[int, ...], int] = {}
+        number = np.empty(len(at), np.int64)
+        flat = codes.tolist()
+        for i, (a, k) in enumerate(zip(at.tolist(), length.tolist())):
+            number[i] = places.setdefault(tuple(flat[a : a + k]), len(places))
+        for key, k in places.items():
+            self.machine.add_word(key, k)
+        self.machine.make_automaton()
+        # flat arrays in order of block: its pieces with the words around them, then whole items
+        order = np.lexsort((whole[item], number))
+        self.around, self.owners = np.concatenate([left, right], axis=1)[order], owner[item][order]
+        count = np.bincount(number, minlength=len(places))
+        self.cuts = np.concatenate([[0], np.cumsum(count)])
+        self.pieces = self.cuts[1:] - np.bincount(number, weights=whole[item], minlength=len(places)).astype(np.int64)
+        self.sizes = np.fromiter(map(len, places), np.int32, len(places))
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Merged word ranges [start, end) inside windows, and the items whose windows occur."""
-        vocabulary, machine, owners = self.built()
-        if not owners:
+        if len(self.cuts) == 1:
             return [], set()
+        vocabulary, reach = self.vocabulary, self.reach
+        codes = tuple([vocabulary.get(w, 0) for w in words])
         spans: list[tuple[int, int]] = []
-        items: set[str] = set()
-        for end, n in machine.iter(tuple([vocabulary.get(w, 0) for w in words])):
-            size, own = owners[n]
-            start = end + 1 - size
-            items |= own
-            while spans and spans[-1][1] >= start:
-                start = min(start, spans.pop()[0])
-            spans.append((start, end + 1))
-        return spans, items
-
-
-def _shards(benchmark: DataFrame, item_id: str, text: str) -> list[list]:
-    """Items in groups of bounded size; each group is brought to the driver by itself."""
-    items = benchmark.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("item_id"), F.col(f"`{text}`").alias("text"))
-    size = F.size(F.split(F.coalesce("text", F.lit("")), "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+"))
-    total = items.agg(F.sum(size)).first()[0] or 0
-    n = -(-total // AUTOMATON_WORDS)
-    if n <= 1:
-        return [[tuple(r) for r in items.collect()]]
-    cut = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
-    cut = staged(cut, "benchmark")
-    return [[tuple(r) for r in cut.where(F.col("shard") == k).select("item_id", "text").collect()] for k in range(n)]
+        found: set[int] = set()
+        line = None
+        for end, k in self.machine.iter(codes):
+            size, first, middle, last = int(self.sizes[k]), self.cuts[k], self.pieces[k], self.cuts[k + 1]
+            start, end = end + 1 - size, end + 1
+            if middle < last:  # whole items
+                spans.append((start, end))
+                found.update(self.owners[middle:last].tolist())
+            if first == middle:
+                continue
+            if line is None:
+                # beyond the text's ends stands a number that no item has
+                line = np.concatenate([np.full(reach, -2), codes, np.full(reach, -2)]).astype(np.int32)
+            at, around = start + reach, self.around[first:middle]
+            lefts = _leading(around[:, :reach] == line[at - reach : at][::-1])
+            rights = _leading(around[:, reach:] == line[at + size : at + size + reach])
+            hit = np.flatnonzero(lefts + rights + size >= self.window)
+            if len(hit):
+                found.update(self.owners[first:middle][hit].tolist())
+                spans += {(start - a, end + b) for a, b in zip(lefts[hit].tolist(), rights[hit].tolist())}
+        return merged(spans), {self.names[k] for k in found}
+
+
+def _leading(same: np.ndarray) -> np.ndarray:
+    """For each row, how many of its first values are true."""
+    return np.where(same.all(axis=1), same.shape[1], same.argmin(axis=1)) if same.shape[1] else np.zeros(len(same), np.int64)
+
+
+_WINDOWS: dict[tuple[str, int], Windows] = {}
+
+
+def _windows(path: str, window: int) -> Windows:
+    """The windows of the staged items, built once in each Python worker."""
+    if (path, window) not in _WINDOWS:
+        _WINDOWS.clear()
+        rows = (row for batch in stored(path, ITEMS) for row in zip(*(c.to_pylist() for c in batch.columns)))
+        _WINDOWS[path, window] = Windows(rows, window)
+    return _WINDOWS[path, window]
 
 
 def find_windows(docs: DataFrame, benchmark: DataFrame, doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, keep_text: bool = False) -> DataFrame:
@@ -107,54 +160,40 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, doc_text: str = "text",
 
     Null and empty texts have no words. Items without words have no windows;
     items without an id go by the empty id; items that share an id are one
-    item. New columns whose names are taken get a leading underscore. Empty
-    tables give no rows, or no hits.
+    item. New columns whose names are taken get a leading underscore. Repeated
+    rows are judged alike. Empty tables give no rows, or no hits.
+
+    The documents are read once, whatever the benchmark's size, and the driver
+    holds none of the items: they are staged in the shared folder, and each
+    Python worker builds the automaton from them. Its memory grows with the
+    benchmark alone.
     """
     text = doc_text
     kept = [c for c in docs.columns if keep_text or c != text]
-    passed = kept if keep_text else [*kept, text]
-    names = {n: bare(n, passed) for n in ("n_words", "n_hit", "items", "spans", "ranges")}
-    rows = docs.select(*[F.col(f"`{c}`") for c in passed])
+    names = [bare(n, kept) for n in ("n_words", "n_hit", "items", "spans")]
+    rows = docs.select(*[F.col(f"`{c}`") for c in (kept if keep_text else [*kept, text])])
     pair = "array<struct<start: long, end: long>>"
-    shards = _shards(benchmark, item_id, item_text)
-
-    def scan(rows: DataFrame, items: list, first: bool, last: bool) -> DataFrame:
-        windows = Windows(items, window)
-        through = kept if last else passed
-        schema = T.StructType([rows.schema[c] for c in through])
-        kinds = {"n_words": "long", "n_hit": "long", "items": "array<string>", "spans": pair, "ranges": pair}
-        schema = grown(schema, *((names[n], kind) for n, kind in kinds.items()))
-        arrow = {n: pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])) for n in ("spans", "ranges")}
-
-        def run(batches):
-            for batch in batches:
-                for part in text_slices(batch, text):
-                    out: dict[str, list] = {n: [] for n in ("n_words", "n_hit", "items", "spans", "ranges")}
-                    before = [[] for _ in range(part.num_rows)] if first else part.column(names["ranges"]).to_pylist()
-                    owned = [[] for _ in range(part.num_rows)] if first else part.column(names["items"]).to_pylist()
-                    for t, ranges, own in zip(part.column(text).to_pylist(), before, owned):
-                        words = words_of(t)
-                        spans, items = windows.scan(words)
-                        if ranges:
-                            spans = merged(spans + [(r["start"], r["end"]) for r in ranges])
-                        at = word_spans(t) if spans else None
-                        out["n_words"].append(len(words))
-                        out["n_hit"].append(sum(b - a for a, b in spans))
-                        out["items"].append(sorted(items.union(own)))
-                        out["spans"].append([{"start": int(at[a, 0]), "end": int(at[b - 1, 1])} for a, b in spans])
-                        out["ranges"].append([{"start": a, "end": b} for a, b in spans])
-                    cols = [part.column(c) for c in through]
-                    cols += [pa.array(out["n_words"], pa.int64()), pa.array(out["n_hit"], pa.int64()), pa.array(out["items"], pa.list_(pa.string()))]
-                    cols += [pa.array(out[n], arrow[n]) for n in ("spans", "ranges")]
-                    yield pa.RecordBatch.from_arrays(cols, names=schema.names)
-
-        return rows.mapInArrow(run, schema)
-
-    for k, items in enumerate(shards):
-        rows = scan(rows, items, k == 0, k == len(shards) - 1)
-        if k < len(shards) - 1:
-            rows = staged(rows, "decontaminate")
-    return rows.drop(names["ranges"])
+    schema = grown(rows.select(*[F.col(f"`{c}`") for c in kept]).schema, *zip(names, ("long", "long", "array<string>", pair)))
+    arrow = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+    path = written(benchmark.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("item_id"), F.col(f"`{item_text}`").alias("text")), "benchmark")
+
+    def run(batches):
+        windows = _windows(path, window)
+        for batch in batches:
+            for part in text_slices(batch, text):
+                out: list[list] = [[], [], [], []]
+                for t in part.column(text).to_pylist():
+                    words = words_of(t)
+                    spans, items = windows.scan(words)
+                    at = word_spans(t) if spans else None
+                    out[0].append(len(words))
+                    out[1].append(sum(b - a for a, b in spans))
+                    out[2].append(sorted(items))
+                    out[3].append([{"start": int(at[a, 0]), "end": int(at[b - 1, 1])} for a, b in spans])
+                cols = [part.column(c) for c in kept] + [pa.array(x, kind) for x, kind in zip(out, arrow)]
+                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -201,24 +201,46 @@ def brute_windows(doc, items, window=13):
     return len(words), len(hit), sorted(own)
 
 
-@pytest.mark.parametrize("size", [100_000, 40])
-def test_decontamination_equals_brute_force(spark, size, monkeypatch):
-    monkeypatch.setattr(decontaminate, "AUTOMATON_WORDS", size)
+@pytest.mark.parametrize("window", [13, 5])
+def test_decontamination_equals_brute_force(spark, window):
     rng = random.Random(3)
     items = [(f"i{k}", prose(rng, 30)) for k in range(4)] + [("short", "Alpha-Beta gamma"), ("none", "..."), ("null", None), (None, prose(rng, 20)), ("i0", prose(rng, 14))]
     docs = documents(n=40) + [(300, "Größe " + items[0][1] + " é"), (301, items[1][1].upper()), (302, prose(rng, 400) + items[2][1]), (303, items[4][1])]
-    got = decontaminate.find_windows(spark.createDataFrame([(d, t, 1) for d, t in docs], SCHEMA + ", items int"), spark.createDataFrame(items, "item_id string, text string"))
+    got = decontaminate.find_windows(spark.createDataFrame([(d, t, 1) for d, t in docs], SCHEMA + ", items int"), spark.createDataFrame(items, "item_id string, text string"), window=window)
     assert got.columns == ["doc_id", "items", "n_words", "n_hit", "_items", "spans"]
-    want = sorted((d is None, d or 0, *brute_windows(t, items)) for d, t in docs)
+    want = sorted((d is None, d or 0, *brute_windows(t, items, window)) for d, t in docs)
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_hit, r._items) for r in got.collect()) == want
     spans = next(r.spans for r in got.collect() if r.doc_id == 300)
     assert docs[-4][1][spans[0].start : spans[-1].end].startswith(items[0][1].split(" ")[0].rstrip(".,"))
     kept = decontaminate.decontaminated(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id string, text string"))
     assert {r.doc_id for r in kept.collect()} >= {100, 101} and 301 not in {r.doc_id for r in kept.collect()}
     none = spark.createDataFrame([], "item_id string, text string")
+    twice = decontaminate.find_windows(spark.createDataFrame(docs[-2:] * 2, SCHEMA), spark.createDataFrame(items, "item_id string, text string"))
+    assert twice.count() == 4 and twice.distinct().count() == 2
     assert decontaminate.find_windows(spark.createDataFrame(docs, SCHEMA), none).where("n_hit > 0").count() == 0
 
 
+def test_windows_of_many_items_with_common_phrases():
+    rng = random.Random(9)
+    few = WORDS[:3]
+    items = [(f"i{k}", " ".join(rng.choice(few) for _ in range(rng.choice([4, 7, 12, 13, 20, 60])))) for k in range(80)]
+    for window in (1, 2, 6, 7, 13):
+        known = decontaminate.Windows(iter(items), window)
+        for _ in range(40):
+            words = [rng.choice(few + ["other"] * rng.randint(0, 1)) for _ in range(rng.randint(0, 80))]
+            if rng.random() < 0.7:
+                words += rng.choice(items)[1].split()
+            spans, own = known.scan([w.encode() for w in words])
+            assert (len(words), sum(b - a for a, b in spans), sorted(own)) == brute_windows(" ".join(words), items, window)
+    # a text whose share of hit words is just the limit, and one word more
+    item = " ".join(f"w{k}" for k in range(13))
+    known = decontaminate.Windows([("a", item)])
+    for rest, limit in ((247, True), (248, False)):
+        spans, _ = known.scan((item + " x" * rest).encode().split())
+        n_hit = sum(b - a for a, b in spans)
+        assert n_hit == 13 and (20 * n_hit >= 13 + rest) is limit
+
+
 @pytest.fixture(scope="module")
 def reference():
     with open(public_tokenizers.path(byte_bpe.RANKS), "rb") as f:
@@ -300,3 +322,85 @@ def test_html_names_do_not_overrule_the_article():
     assert html_text.main_text(page) == f"Search\n\n{text}\n\nRelated\n\n{text}"
     page = f'<article><p>{words}</p></article><section class="comments"><article class="comment">{words * 9}</article></section>'
     assert html_text.main_text(page) == text
+
+
+def test_html_keeps_articles_whatever_surrounds_them():
+    words = "Long plain text of the article goes on and on here. " * 4
+    text = words.strip()
+    for page in (
+        f'<div class="layout no-sidebar"><article><p>{words}</p></article></div>',
+        f'<div id="page" class="with-sidebar"><main><p>{words}</p></main></div>',
+        f'<form method="post" action="./page.aspx" id="form1"><div><article><p>{words}</p></article></div></form>',
+        f'<article><p class="related-work">{words}</p></article>',
+        f'<article><p class="comment-count-0">{words}</p></article>',
+        f'<article><p class="dialog">{words}</p></article>',
+        f'<article><p title="5" tall">{words}</p></article>',
+        f"<article><p title='a>b' x=\"c>d\" y=e>{words}</p></article>",
+        f'<article><object data="x.swf"><p>{words}</p></object></article>',
+        f'<div class="sidebar"><div><p>{words}</p><p>{words}</p></div></div><div>Other</div>'.replace(f"<p>{words}</p></div>", "</div>"),
+    ):
+        assert html_text.main_text(page) == text, page
+    assert html_text.main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be <select><option>no</option></select><textarea><p>no</textarea>given</p></article>") == "Let x=2 be given"
+    menu = "<ul>" + "".join(f"<li><a href=/{k}>Part {k}</a>" for k in range(9)) + "</ul>"
+    assert html_text.main_text(f"<article>{menu}<p>{words}</p><ul><li>Plain <a href=x>linked</a> item</ul></article>") == f"{text}\n\nPlain linked item"
+    talk = f"<div class=comments><div><p>{words}</p><p>{words}</p></div></div>"
+    assert html_text.main_text(f"<div><p>{words}</p><p>{words}</p></div>{talk}") == f"{text}\n\n{text}"
+    long = "word " * 400_000
+    assert html_text.main_text(f"<article><p>{long}</p></article>") == long.strip()
+    assert html_text.main_text("<p " + "a=' " * 50_000) == "" and html_text.main_text("<p" + " b" * 50_000 + ">x") == "x"
+
+
+def test_densities_equal_a_plain_recursion():
+    from math import e, log
+    from xml.etree import ElementTree
+
+    rng = random.Random(6)
+
+    def made(depth):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            if depth and rng.random() < 0.6:
+                out.append(f"<div>{made(depth - 1)}</div>")
+            elif rng.random() < 0.3:
+                out.append(f"<section><a href='x'>{prose(rng, 3)}</a></section>")
+            else:
+                out.append(f"<section>{prose(rng, rng.randint(1, 60))}</section>")
+        return "".join(out)
+
+    for _ in range(60):
+        source = f"<body>{made(4)}</body>"
+        nodes = []
+
+        def walk(node):
+            """(characters, tags, linked characters, link tags) of a node, and its children's numbers."""
+            at = len(nodes)
+            nodes.append(None)
+            chars, tags, linked, links = len(node.text or ""), 0, 0, 0
+            below = []
+            for child in node:
+                if child.tag == "a":
+                    size = len(child.text)
+                    chars, tags, linked, links = chars + size, tags + 1, linked + sum(map(len, child.text.split())), links + 1
+                else:
+                    below.append(len(nodes))
+                    c, t, lc, lt = walk(child)
+                    chars, tags, linked, links = chars + c, tags + t + 1, linked + lc, links + lt
+            nodes[at] = (chars, tags, linked, links, below)
+            return chars, tags, linked, links
+
+        walk(ElementTree.fromstring(source))
+        whole = nodes[0][2] / nodes[0][0]
+
+        def density(chars, tags, linked, links, _):
+            if not chars:
+                return 0.0
+            tags = max(tags, 1)
+            base = log(chars / max(chars - linked, 1) * linked + whole * chars + e)
+            ratio = chars / max(linked, 1) * tags / max(links, 1)
+            return max(0.0, chars / tags * log(ratio) / log(base)) if base > 1 + 1e-9 else chars / tags * log(max(ratio, 1) + e)
+
+        want = [density(*x) for x in nodes]
+        sums = [sum(want[k] for k in x[4]) for x in nodes]
+        got = html_text.Densities(html_text.Page(source))
+        assert got.density == pytest.approx(want) and got.sums == pytest.approx(sums)
+        assert sums[got.best] == pytest.approx(max(sums))
