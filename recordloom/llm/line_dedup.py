@@ -4,10 +4,12 @@ Lines are compared in lower case with white space collapsed; blank ones are no
 lines. A window is the shortest run of lines from a line on (and, likewise, up
 to a line) with at least ``run_words`` words. Equal runs have equal windows, so
 the line of lowest hash in each window is a fingerprint that both copies are
-sure to select. Fingerprints that occur twice mark the windows worth comparing.
-Of equal windows the first in order of (doc_id, position) stays; a match is
-carried line by line in both directions as far as windows repeat, and the lines
-of later copies go. The first copy of every line that goes is always kept.
+sure to select; neighbouring windows mostly select the same line, and a document
+gives each selected line once. Places of equal fingerprints are joined. Where a
+fingerprint has two places, it is carried both ways, to the ends of the windows
+that selected it. Of equal windows the first in order of (doc_id, position)
+stays; windows that touch make one run, and the lines of later copies go. The
+first copy of every line that goes is always kept.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bare, grown, staged, table, text_key, text_slices
+from .common import bare, grown, split_join, staged, table, text_key, text_slices
 
 #: A repeated run of this many words or more is deleted from all but its first place.
 RUN_WORDS = 50
@@ -74,44 +76,60 @@ def _run_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.n
     return np.array([xxhash.xxh64_intdigest(raw[8 * a : 8 * b + 8], 7) for a, b in zip(first.tolist(), last.tolist())], np.uint64)
 
 
+def _selected(text: str | None, run_words: int) -> tuple[np.ndarray, ...]:
+    """The windows of a text in order of the line that each selects: first, last, hash, that line, its hash."""
+    _, _, hashes, words = split_lines(text)
+    first, last = windows(words, run_words)
+    if not len(first):
+        return (np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64),)
+    low = _lowest(hashes, first, last)
+    order = np.argsort(low, kind="stable")
+    first, last, low = first[order], last[order], low[order]
+    return first, last, _run_hashes(hashes, first, last).view(np.int64), low, hashes[low]
+
+
 def _scan(docs: DataFrame, run_words: int) -> DataFrame:
-    """A row for each window: (none, doc_id, key, first, last, run, mark)."""
+    """A row for each selected line: (doc_id, key, line, mark) and the windows that select it."""
 
     def run(batches):
         for batch in batches:
             for part in text_slices(batch, "text"):
-                rows: list[list[np.ndarray]] = [[], [], [], [], []]
+                rows: list[list[np.ndarray]] = [[], [], [], [], [], []]
                 for i, text in enumerate(part.column("text").to_pylist()):
-                    _, _, hashes, words = split_lines(text)
-                    first, last = windows(words, run_words)
-                    if len(first):
-                        for held, x in zip(rows, (np.full(len(first), i), first, last, _run_hashes(hashes, first, last), hashes[_lowest(hashes, first, last)])):
+                    made = _selected(text, run_words)
+                    if len(made[0]):
+                        for held, x in zip(rows, (np.full(len(made[0]), i), *made)):
                             held.append(x)
                 if not rows[0]:
                     continue
-                row, first, last, whole, mark = map(np.concatenate, rows)
-                names = ["doc_id", "key", "first", "last", "run", "mark"]
-                cols = [part.column(c).take(pa.array(row)) for c in names[:2]]
-                cols += [pa.array(x.view(np.int64)) for x in (first, last, whole, mark)]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                row, first, last, whole, low, mark = map(np.concatenate, rows)
+                starts = np.concatenate([[0], np.flatnonzero((row[1:] != row[:-1]) | (low[1:] != low[:-1])) + 1])
+                offsets = pa.array(np.append(starts, len(row)), pa.int32())
+                cols = [part.column(c).take(pa.array(row[starts])) for c in ("doc_id", "key")]
+                cols += [pa.array(low[starts]), pa.array(mark[starts].view(np.int64))]
+                cols += [pa.ListArray.from_arrays(offsets, pa.array(x, kind)) for x, kind in ((first, pa.int32()), (last, pa.int32()), (whole, pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "line", "mark", "first", "last", "run"])
 
-    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, first long, last long, run long, mark long")
+    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, line long, mark long, first array<int>, last array<int>, run array<long>")
 
 
 def repeated_lines(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
-    """(doc_id, key, spans): runs of non-blank lines, by number, that repeat earlier ones.
+    """(doc_id, key, first, last): runs of non-blank lines, by number, that repeat earlier ones.
 
     ``docs`` has doc_id, key (a hash of the text) and text.
     """
-    found = staged(_scan(docs, run_words), "lines-windows")
-    # a fingerprint is worth a look if two windows in different places select it
-    place = F.struct("doc_id", "key", "first")
-    marks = found.groupBy("mark").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("mark")
-    known = found.join(marks, "mark", "left_semi")
+    places = staged(_scan(docs, run_words), "lines-places")
+    # a fingerprint is worth a look if it is selected in two places
+    place = F.struct("doc_id", "key", "line")
+    marks = places.groupBy("mark").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n"))
+    marks = staged(marks.where("a <> b").select("mark", "n"), "lines-marks")
+    twice = split_join(places, marks, ["mark"], "n", semi=True)
+    known = staged(twice.select("doc_id", "key", "mark", F.inline(F.arrays_zip("first", "last", "run"))), "lines-windows")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "first", "last")
-    runs = known.groupBy("run", "mark").agg(F.min(order).alias("o"), F.max(order).alias("z")).where("o < z").select("run", "mark", "o")
-    here = known.join(runs, ["run", "mark"])
-    own = here["doc_id"].eqNullSafe(F.col("o.doc_id")) & (here["key"] == F.col("o.key"))
+    runs = known.groupBy("run", "mark").agg(F.min(order).alias("o"), F.max(order).alias("z"), F.count("*").alias("n"))
+    runs = staged(runs.where("o < z").select("run", "mark", "o", "n"), "lines-runs")
+    here = split_join(known, runs, ["run", "mark"], "n")
+    own = F.col("doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("key") == F.col("o.key"))
     # in one document, a copy must not overlap the run that it repeats
     later = here.where(F.when(own, F.col("first") > F.col("o.last")).otherwise(True))
     return later.select("doc_id", "key", "first", "last").distinct()
