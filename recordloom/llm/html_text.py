@@ -3,11 +3,15 @@
 Each node of the DOM has a density: characters per tag, weighed down by the
 share of its text and tags that are links, relative to the whole body. The node
 whose children's densities have the largest sum holds the article. The smallest
-density on its path to the body is the threshold that other parts of the page
-must reach to belong to it. Formatting inside a block (bold, breaks) makes no
-node of its own. What HTML or its class names say is not text of the article
-(menus, footers, adverts, forms, comments ...) takes no part, unless the article
-is inside it.
+density on its path to the body is the threshold: beside the article, what
+reaches it belongs to it; inside, lists of links that don't are menus and go.
+Formatting inside a block (bold, breaks) makes no node of its own.
+
+What HTML says is no text of the article (menus, footers, form controls ...)
+takes no part. Elements whose class, id or role is the name of such a thing, and
+forms, are left out only where the densities agree: not around an article or
+main, and not around the densest subtree where what is left without them is far
+less dense.
 """
 
 from __future__ import annotations
@@ -22,17 +26,25 @@ from pyspark.sql import functions as F
 
 from .common import grown, table, text_slices
 
+# Attributes as the tokeniser of HTML reads them: a quote counts only where a value begins.
+_ATTRIBUTES = r"""((?>[\s/]+|[^\s/>][^\s/>=]*(?:\s*=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s"'>][^\s>]*)?)?)*+)"""
+_ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>][^\s>]*))?)?""")
+# Elements whose text is no text of the page, up to their end tag; then other tags.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|math|textarea|select|object|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style|noscript|template|iframe|svg|textarea|title|annotation|annotation-xml)(?=[\s/>])" + _ATTRIBUTES.replace("((?>", "(?:(?>", 1) + r"(?:>|\Z)(?:.*?</\1(?=[\s/>])[^>]*(?:>|\Z)|.*\Z)"
+    r"|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)" + _ATTRIBUTES + r"(?:>|\Z)",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 # Element names of HTML and what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-LEFT_OUT = frozenset("head nav footer aside button input menu dialog fieldset datalist optgroup option audio video canvas applet".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr"
+    " math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced msub msup msubsup munder mover munderover mmultiscripts mspace semantics".split()
+)
+LEFT_OUT = frozenset("head nav footer aside button input select menu dialog datalist optgroup option audio video canvas".split())
+#: Of those, what stands inside a line of text and does not break it.
+IN_LINE = frozenset("button input select datalist optgroup option audio video canvas".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 #: An opened element closes those of the second set that are open above the third.
 IMPLIED = {
@@ -48,14 +60,16 @@ IMPLIED = {
 OTHER_NAMES = frozenset(
     "ad ads adbox advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted outbrain taboola"
     " sidebar sidenav menu submenu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar skip"
-    " cookie cookies consent gdpr notice notices notification alert popup modal overlay dialog newsletter subscribe subscription signup paywall"
+    " cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup paywall"
     " social share sharing sharebar related recommended recommendations trending comment comments commentlist disqus reply replies respond"
     " widget pagination pager login search form complementary contentinfo alertdialog hidden invisible".split()
 )
 
 
-#: The share of an article-less page's unlinked text from which a named element is the page itself.
-MOST = 0.8
+#: Names are believed unless what they leave has less than this share of the largest sum of densities.
+BELIEVED = 0.25
+#: A node with this share of its characters in this many links or more is a menu, below the threshold.
+MENU_SHARE, MENU_LINKS = 0.8, 3
 
 
 class Page:
@@ -79,7 +93,7 @@ class Page:
             if not name or name in ("html", "body"):
                 continue
             node = stack[-1][1]
-            if name not in INLINE:
+            if name not in INLINE and name not in IN_LINE:
                 block += 1
             if m[2]:
                 for k in range(len(stack) - 1, 0, -1) if name in known else ():
@@ -107,9 +121,10 @@ class Page:
             self.parent.append(node)
             self.links.append(0)
             self.inner.append(0)
-            self.main.append(self.main[node] or name in ("article", "main") or 'role="main"' in m[4])
-            self.out.append(self.out[node] or name in LEFT_OUT or (name == "header" and not self.main[node]) or _hidden(m[4]))
-            self.named.append(name == "form" or _other(m[4], re.fullmatch("h[1-6]", name) is not None))
+            own = attributes(m[4]) if "=" in m[4] or "hidden" in m[4] else {}
+            self.main.append(self.main[node] or name in ("article", "main") or own.get("role", "").lower() == "main")
+            self.out.append(self.out[node] or name in LEFT_OUT or (name == "header" and not self.main[node]) or _hidden(own))
+            self.named.append(name == "form" or _other(own, re.fullmatch("h[1-6]", name) is not None))
             stack.append((name, len(self.tag) - 1, linked))
         if at < len(source):
             self.runs.append((stack[-1][1], block, source[at:], stack[-1][2]))
@@ -117,21 +132,28 @@ class Page:
             self._leave_out()
 
     def _leave_out(self) -> None:
-        """Named elements go, but not those that hold the article or, without one, most of the unlinked text."""
-        n = len(self.tag)
-        chars, holds = [0] * n, [False] * n
-        for node, _, text, linked in self.runs:
-            if not linked and not self.out[node]:
-                chars[node] += sum(map(len, text.split()))
+        """Named elements go, but not those that hold the article or, where names leave little, the densest subtree."""
+        n, plain = len(self.tag), list(self.out)
+        text, holds = [False] * n, [False] * n
+        for node, _, run, linked in self.runs:
+            text[node] = text[node] or not (linked or self.out[node] or run.isspace())
         for i in range(n - 1, 0, -1):
             p = self.parent[i]
-            chars[p] += chars[i]
+            text[p] = text[p] or text[i]
             own = self.main[i] and not self.main[p]  # an article or main inside no other
-            holds[i] = holds[i] or (own and not self.named[i] and not self.out[i] and chars[i] > 0)
+            holds[i] = holds[i] or (own and not self.named[i] and not self.out[i] and text[i])
             holds[p] = holds[p] or holds[i]
-        for i in range(1, n):
-            kept = (holds[i] and not self.main[self.parent[i]]) or (not holds[0] and chars[i] >= MOST * chars[0] > 0)
-            self.out[i] = self.out[i] or self.out[self.parent[i]] or (self.named[i] and not kept)
+        densest = Densities(self) if not holds[0] else None
+        self._without([not holds[i] or self.main[self.parent[i]] for i in range(n)], plain)
+        if densest is not None and densest.blocks:
+            left = Densities(self)
+            if not left.blocks or left.sums[left.best] < BELIEVED * densest.sums[densest.best]:
+                around = set(densest.path)
+                self._without([i not in around for i in range(n)], plain)
+
+    def _without(self, may_go: list[bool], plain: list[bool]) -> None:
+        for i in range(1, len(self.tag)):
+            self.out[i] = plain[i] or self.out[self.parent[i]] or (self.named[i] and may_go[i])
 
     @staticmethod
     def _imply(stack: list, name: str) -> None:
@@ -178,50 +200,61 @@ class Page:
 
     def text(self) -> str:
         """Blocks of the article, in page order."""
-        blocks = self.blocks()
-        if not blocks:
+        d = Densities(self)
+        if not d.blocks:
             return ""
         n = len(self.tag)
-        chars, linked = [0.0] * n, [0.0] * n
-        for node, text, links in blocks:
-            chars[node] += len(text)
-            linked[node] += links
-        tags, anchors = [float(x) for x in self.inner], [float(x) for x in self.links]
-        for i in range(n - 1, 0, -1):
-            if not self.out[i]:
-                p = self.parent[i]
-                chars[p] += chars[i]
-                linked[p] += linked[i]
-                tags[p] += tags[i] + 1
-                anchors[p] += anchors[i]
-        whole = linked[0] / chars[0]
-        density = [_density(c, t, lc, lt, whole) for c, t, lc, lt in zip(chars, tags, linked, anchors)]
-        sums = [0.0] * n
-        for i in range(1, n):
-            if not self.out[i]:
-                sums[self.parent[i]] += density[i]
-        best = max(range(n), key=lambda i: (sums[i], -i))
-        path, i = [best], best
-        while i:
-            i = self.parent[i]
-            path.append(i)
-        threshold = min(density[i] for i in path)
-        root = next((i for i in path if self.tag[i] in ("article", "main")), None)
+        threshold = min(d.density[i] for i in d.path)
+        root = next((i for i in d.path if self.tag[i] in ("article", "main")), None)
         if root is not None:
             # an article says itself where it ends
             keep = [i == root for i in range(n)]
         else:
             # the subtree, and what reaches the threshold beside it, with headings
-            near = {self.parent[best], best}
-            keep = [i == best or (0 < i and density[i] >= threshold and linked[i] <= 0.5 * chars[i]) for i in range(n)]
+            near = {self.parent[d.best], d.best}
+            keep = [i == d.best or (0 < i and d.density[i] >= threshold and d.linked[i] <= 0.5 * d.chars[i]) for i in range(n)]
             for i in range(1, n):
-                if self.parent[i] in near and re.fullmatch("h[1-6]|hgroup|header|p", self.tag[i]) and linked[i] <= 0.5 * chars[i]:
+                if self.parent[i] in near and re.fullmatch("h[1-6]|hgroup|header|p", self.tag[i]) and d.linked[i] <= 0.5 * d.chars[i]:
                     keep[i] = True
-            if best == 0 and not any(keep[1:]):
+            if d.best == 0 and not any(keep[1:]):
                 keep[0] = True
+        on_path = set(d.path)
         for i in range(1, n):
-            keep[i] = keep[i] or keep[self.parent[i]]
-        return "\n\n".join([text for node, text, _ in blocks if keep[node]])
+            menu = d.density[i] < threshold and d.anchors[i] >= MENU_LINKS and d.linked[i] >= MENU_SHARE * d.chars[i] and i not in on_path
+            keep[i] = (keep[i] or keep[self.parent[i]]) and not menu
+        return "\n\n".join([text for node, text, _ in d.blocks if keep[node]])
+
+
+class Densities:
+    """Composite text densities of a page's nodes, and the node whose children's have the largest sum."""
+
+    def __init__(self, page: Page):
+        self.blocks = page.blocks()
+        if not self.blocks:
+            return
+        n = len(page.tag)
+        self.chars, self.linked = [0.0] * n, [0.0] * n
+        for node, text, links in self.blocks:
+            self.chars[node] += len(text)
+            self.linked[node] += links
+        self.tags, self.anchors = [float(x) for x in page.inner], [float(x) for x in page.links]
+        for i in range(n - 1, 0, -1):
+            if not page.out[i]:
+                p = page.parent[i]
+                self.chars[p] += self.chars[i]
+                self.linked[p] += self.linked[i]
+                self.tags[p] += self.tags[i] + 1
+                self.anchors[p] += self.anchors[i]
+        whole = self.linked[0] / self.chars[0]
+        self.density = [_density(c, t, lc, lt, whole) for c, t, lc, lt in zip(self.chars, self.tags, self.linked, self.anchors)]
+        self.sums = [0.0] * n
+        for i in range(1, n):
+            if not page.out[i]:
+                self.sums[page.parent[i]] += self.density[i]
+        self.best = max(range(n), key=lambda i: (self.sums[i], -i))
+        self.path = [self.best]
+        while self.path[-1]:
+            self.path.append(page.parent[self.path[-1]])
 
 
 def _density(chars: float, tags: float, linked: float, anchors: float, whole: float) -> float:
@@ -235,25 +268,21 @@ def _density(chars: float, tags: float, linked: float, anchors: float, whole: fl
     return max(0.0, chars / tags * log(max(odds, 1e-9)) / log(base) if base > 1 + 1e-9 else chars / tags * log(max(odds, 1.0) + e))
 
 
-def _other(attributes: str, heading: bool = False) -> bool:
+def attributes(raw: str) -> dict[str, str]:
+    """Attributes of a start tag by lower-case name; of equal names the first counts."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(raw):
+        out.setdefault(name.lower(), html.unescape("".join(values)))
+    return out
+
+
+def _other(own: dict[str, str], heading: bool = False) -> bool:
     """Whether a class, id or role is the name of something beside the article; ids of headings are anchors."""
-    if "=" not in attributes:
-        return False
-    for name, value in _ATTRIBUTE.findall(attributes):
-        name = name.lower()
-        if name in ("class", "id", "role") and not (heading and name == "id") and not OTHER_NAMES.isdisjoint(value.strip("\"'").lower().split()):
-            return True
-    return False
+    return any(not OTHER_NAMES.isdisjoint(own[name].lower().split()) for name in ("class", "role", *(() if heading else ("id",))) if name in own)
 
 
-def _hidden(attributes: str) -> bool:
-    if "=" not in attributes and "hidden" not in attributes:
-        return False
-    for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
-            return True
-    return False
+def _hidden(own: dict[str, str]) -> bool:
+    return "hidden" in own or own.get("aria-hidden", "").lower() == "true" or "display:none" in "".join(own.get("style", "").lower().split())
 
 
 def main_text(source: str | None) -> str:
@@ -265,8 +294,10 @@ def extract(pages: DataFrame, source: str = "html") -> DataFrame:
 
     Null, empty and textless pages give an empty text. White space inside a
     block becomes one space; blocks are joined by empty lines. Broken markup
-    (open comments, unclosed or crossed tags) is read as browsers would, as far
-    as text goes. Taken names get a leading underscore; repeated rows give
+    (open comments, unclosed or crossed tags, stray quotes) is read as browsers
+    would, as far as text goes; a tag that the page doesn't end takes the rest.
+    Pages of any length are read whole. Of nodes with equal sums the first is
+    taken. Taken names get a leading underscore; repeated rows give
     repeated rows; an empty table gives none.
     """
     kept = [c for c in pages.columns if c != source]
