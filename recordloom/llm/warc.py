@@ -120,8 +120,9 @@ class Roll:
 
 @dataclass
 class Cuts:
-    """The first key (page_id, digest) of each shard but the first; null ids come first."""
+    """The first key (page_id, digest) of each shard but the first; null ids come first, in order of digest."""
 
+    nulls: np.ndarray
     ids: np.ndarray
     digests: list[str]
 
@@ -132,10 +133,11 @@ class Cuts:
         for i in np.flatnonzero(known & (np.searchsorted(self.ids, ids, "right") > out)):
             while out[i] < len(self.ids) and self.ids[out[i]] == ids[i] and self.digests[out[i]] <= digest.iloc[i]:
                 out[i] += 1
-        return np.where(known, out, 0)
+        own = np.searchsorted(self.nulls, digest.to_numpy(str), "right") if len(self.nulls) else 0
+        return np.where(known, out + len(self.nulls), own)
 
 
-def _cuts(slim: DataFrame, shard_bytes: int) -> Cuts:
+def _cuts(slim: DataFrame, shard_bytes: int | None) -> Cuts:
     """Keys at which shards begin, from running sums in key order.
 
     The sums run side by side in range partitions; the partitions' totals, a
@@ -150,9 +152,9 @@ def _cuts(slim: DataFrame, shard_bytes: int) -> Cuts:
     totals = keys.groupBy("part").agg(F.sum("size").alias("s"), F.min(F.struct(F.col("page_id").isNotNull().alias("k"), "page_id", "digest")).alias("first"))
     rows = sorted(totals.collect(), key=lambda r: (r["first"]["k"], r["first"]["page_id"] or 0, r["first"]["digest"]))
     whole = sum(r["s"] for r in rows)
-    shard_bytes = max(shard_bytes, min(SHARD_MOST, whole // SHARDS))
+    shard_bytes = shard_bytes or max(SHARD_BYTES, min(SHARD_MOST, whole // SHARDS))
     if whole <= shard_bytes:
-        return Cuts(np.empty(0, np.int64), [])
+        return Cuts(np.empty(0, str), np.empty(0, np.int64), [])
     before, at = 0, []
     for r in rows:
         at.append((r["part"], before))
@@ -160,15 +162,19 @@ def _cuts(slim: DataFrame, shard_bytes: int) -> Cuts:
     skips = spark.createDataFrame(at, "part int, skip long")  # one row for each partition
     own = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     summed = keys.join(F.broadcast(skips), "part").withColumn("sum", F.col("skip") + F.coalesce(F.sum("size").over(own), F.lit(0)))
-    starts = summed.where("page_id is not null").groupBy(F.floor(F.col("sum") / F.lit(shard_bytes)).alias("shard"))
-    starts = starts.agg(F.min(F.struct("page_id", "digest")).alias("k")).where("shard > 0").orderBy("shard").select("k.*").collect()
-    return Cuts(np.array([r[0] for r in starts], np.int64), [r[1] for r in starts])
+    starts = summed.groupBy(F.floor(F.col("sum") / F.lit(shard_bytes)).alias("shard"))
+    starts = starts.agg(F.min(F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "digest")).alias("k")).where("shard > 0").select("k.*").collect()
+    nulls, ids = sorted(r[2] for r in starts if not r[0]), sorted((r[1], r[2]) for r in starts if r[0])
+    return Cuts(np.array(nulls, str), np.array([i for i, _ in ids], np.int64), [d for _, d in ids])
 
 
-def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES, least: int = 0) -> DataFrame:
+def write(pages: DataFrame, folder: str, shard_bytes: int | None = None, file_bytes: int = FILE_BYTES, least: int = 0) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as WARC files in ``folder``; gives the manifest.
 
     The manifest (file, records, bytes, sha256) is also saved in ``folder``.
+    A shard has ``shard_bytes`` of payload, or a record that is larger; without
+    it one of SHARDS equal parts, but SHARD_BYTES at least and SHARD_MOST at
+    most. Inside a shard a file is rolled at ``file_bytes`` of compressed size.
     Of records with equal payloads of at least ``least`` bytes that with the
     smallest page_id is a response, the others refer to it as revisits. A null
     html is an empty payload, a null url has no header. Rows with a null
@@ -197,7 +203,7 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_by
     both = decided.unionByName(rows.withColumns({"tag": F.lit(1), "first": none.cast("long")}))
     both = both.withColumn("shard", shard_of("page_id", "digest"))
     # a shard's rows come in order; ties are rows that differ in url alone
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(len(cuts.ids) + 1, 10_000))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(len(cuts.nulls) + len(cuts.ids) + 1, 10_000))
     sort = ["shard", F.col("page_id").asc_nulls_first(), "digest", "tag", F.col("url").asc_nulls_first()]
     system, path = fs.FileSystem.from_uri(folder)
     system.create_dir(path, recursive=True)
