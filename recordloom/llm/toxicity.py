@@ -6,12 +6,13 @@ toxic documents' scores it is severe (2), otherwise mild (1). One
 weight vector serves both thresholds: P(grade >= k) = sigmoid(w.x - t_k) with
 t_1 <= t_2, and the expected severity is the sum over k.
 
-Features are words (runs of letters and digits, lower case) and their first
-bytes, which inflected insults have in common, that a larger share of the toxic
-than of the clean labelled texts holds, near copies counted once; the value is
-1 + log(count). Such words can't lower a severity: weights aren't negative, and
-an exponential prior, which weighs as much against few texts as against many,
-leaves most of them at zero.
+Features are all words (runs of letters and digits, lower case) of the sample's
+toxic texts and their first bytes, which inflected insults have in common, near
+copies counted once; the value is 1 + log(count). Such words can't lower a
+severity: weights aren't negative, so words of clean texts alone would have none.
+An exponential prior, which weighs as much against few texts as against many,
+leaves most at zero. The fit therefore works on a growing set: whichever feature
+would gain a weight joins it, until none would.
 """
 
 from __future__ import annotations
@@ -30,12 +31,12 @@ from .decontaminate import words_of
 
 #: Labelled documents that the model is fitted on, taken in order of a hash of their id.
 FIT_ROWS = 12_000
-#: Words that the fit weighs, those first that tell the classes apart best; one in a single toxic text says nothing.
-FIT_WORDS, MIN_DOCS = 4096, 2
 #: Lengths of the beginnings that are features beside whole words.
 STEMS = (4, 6, 8)
 #: Rate of the exponential prior on the weights.
 PRIOR = 0.5
+#: Features that join the fit at a time, those first that would gain most; it ends when none would.
+JOIN = 200
 THRESHOLD = 0.5
 
 
@@ -95,19 +96,22 @@ def _signed(batches):
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.array(signs, np.uint64).view(np.int64))], names=[*part.schema.names, "sign"])
 
 
-def _word_counts(batches):
-    """The number of toxic and of clean documents with each word, for each batch run."""
+def _features(batches):
+    """The features of toxic texts, once for each batch run."""
     for batch in batches:
         for part in text_slices(batch, "text"):
-            counts = (Counter(), Counter())
-            for label, text in zip(part.column("label").to_pylist(), part.column("text").to_pylist()):
-                counts[label > 0].update(set(features_of(words_of(text))))
-            words = list(counts[0].keys() | counts[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *(pa.array([c[w] for w in words], pa.int64()) for c in counts)], names=["word", "clean", "toxic"])
+            found: set[bytes] = set()
+            for text in part.column("text").to_pylist():
+                found.update(features_of(words_of(text)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary())], names=["word"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> Severity:
-    """The model of ``labels.toxic``; no labels of either class give the empty model."""
+    """The model of ``labels.toxic``; no labels of either class give the empty model.
+
+    ``limit`` bounds the labelled documents that it learns from, and so what the
+    driver holds; no feature of their toxic texts is left out beforehand.
+    """
     sample = labelled(docs, labels, "toxic", limit)
     signed = staged(sample.mapInArrow(_signed, grown(sample.schema, ("sign", "long"))), "toxicity-sample")
     texts = signed.groupBy("sign", "label").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("d"))
@@ -116,18 +120,9 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> Severity:
     n0, n1 = sizes.get(False, 0), sizes.get(True, 0)
     if not n0 or not n1:
         return Severity({}, (0.0, 0.0))
-    seen = texts.select("label", "text").mapInArrow(_word_counts, "word binary, clean long, toxic long")
-    seen = seen.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    p = (F.col("clean") + F.col("toxic") + 1) / F.lit(n0 + n1 + 2)
-    gap = F.col("toxic") / F.lit(n1) - F.col("clean") / F.lit(n0)
-    z = gap / F.sqrt(p * (1 - p) * F.lit(1 / n0 + 1 / n1))
-    seen = seen.where(F.col("toxic") >= MIN_DOCS).withColumn("z", z).where(F.col("z") > 0)
-    # of a word and its beginnings that occur alike, the shortest beginning stands for all
-    alike: dict[tuple, bytes] = {}
-    for r in seen.orderBy(F.col("z").desc(), F.length("word"), "word").limit(FIT_WORDS).collect():
-        word = bytes(r["word"])
-        alike.setdefault((r["clean"], r["toxic"], word.removeprefix(b" ")[:4]), word)
-    chosen = list(alike.values())
+    # bounded by the sample, as the rows below are; the shortest first
+    words = texts.where("label > 0").select("text").mapInArrow(_features, "word binary").distinct().toArrow().column("word").to_pylist()
+    chosen = sorted(words, key=lambda w: (len(w), w))
     if not chosen:
         return Severity({}, (0.0, 0.0))
     index = {w: i for i, w in enumerate(chosen)}
@@ -150,15 +145,50 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> Severity:
     at = np.concatenate([np.asarray(a, int) for a in rows.column("at").to_pylist()] or [np.empty(0, int)])
     x = np.concatenate([np.asarray(a, float) for a in rows.column("x").to_pylist()] or [np.empty(0)])
     doc = np.repeat(np.arange(len(y)), size)
+    # of features that no text of the sample tells apart the first, the shortest, stands for all
+    sums = np.bincount(at, weights=x * np.random.default_rng(0).random(len(y))[doc], minlength=len(chosen))
+    alone = np.zeros(len(chosen), bool)
+    alone[np.unique(np.round(sums, 9), return_index=True)[1]] = True
+    doc, at, x = doc[alone[at]], at[alone[at]], x[alone[at]]
     # with one grade of toxic documents first: its scores say which are severe
-    w, t = _cumulative_link(doc, at, x, 2 * y, len(chosen))
+    w, t = _growing(doc, at, x, 2 * y, len(chosen))
     marks = np.bincount(doc, weights=x * w[at], minlength=len(y))
     marked = marks[(y == 1) & (marks > 0)]
     grade = np.where(y == 0, 0, np.where(marks > (np.median(marked) if len(marked) else 0), 2, 1))
-    w, t = _cumulative_link(doc, at, x, grade, len(chosen), w, t[0])
+    w, t = _growing(doc, at, x, grade, len(chosen))
     return Severity({word: float(w[i]) for word, i in index.items() if w[i]}, (float(t[0]), float(t[1])))
 
 
+def _growing(doc: np.ndarray, at: np.ndarray, x: np.ndarray, grade: np.ndarray, width: int, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+    """The fit over all ``width`` features, by fits over those that would gain a weight against the prior."""
+    n, whole = len(grade), np.zeros(width)
+    t = np.array([np.log(max((grade == 0).sum(), 1) / max((grade > 0).sum(), 1)), 2.0])
+    place, size = np.full(width, -1), 0
+    while True:
+        d1, d2 = _slopes(np.bincount(doc, weights=x * whole[at], minlength=n), t, grade)
+        gain = -np.bincount(at, weights=x * (d1 + d2)[doc], minlength=width)
+        gain[place >= 0] = 0
+        more = np.flatnonzero(gain > 1.02 * PRIOR)
+        if not len(more):
+            return whole, t
+        more = more[np.argsort(-gain[more], kind="stable")][:JOIN]
+        place[more] = size + np.arange(len(more))
+        size += len(more)
+        own, w = place[at] >= 0, np.zeros(size)
+        w[place[place >= 0]] = whole[place >= 0]
+        w, t = _cumulative_link(doc[own], place[at[own]], x[own], grade, size, w, t[0], steps)
+        whole[place >= 0] = w[place[place >= 0]]
+
+
+def _slopes(s: np.ndarray, t: np.ndarray, grade: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """d loss / d (s - t_k) of each document: grade 0 leaves below t_1, 1 lies between, 2 above t_2."""
+    p1, p2 = (1 / (1 + np.exp(np.clip(c - s, -500, 500))) for c in t)
+    mid = np.maximum(p1 - p2, 1e-12)
+    d1 = np.where(grade == 0, p1, np.where(grade == 1, -p1 * (1 - p1) / mid, 0))
+    d2 = np.where(grade == 2, -(1 - p2), np.where(grade == 1, p2 * (1 - p2) / mid, 0))
+    return d1, d2
+
+
 def _cumulative_link(doc: np.ndarray, at: np.ndarray, x: np.ndarray, grade: np.ndarray, width: int, w=None, t1: float = 0.0, steps: int = 1000) -> tuple[np.ndarray, np.ndarray]:
     """Weights and two ordered thresholds by full-batch Adam on the ordinal log loss and the prior."""
     n = len(grade)
@@ -167,11 +197,7 @@ def _cumulative_link(doc: np.ndarray, at: np.ndarray, x: np.ndarray, grade: np.n
     for k in range(1, steps + 1):
         w, t1, gap = params[:-2], params[-2], np.exp(params[-1])
         s = np.bincount(doc, weights=x * w[at], minlength=n)
-        p1, p2 = (1 / (1 + np.exp(np.clip(c - s, -500, 500))) for c in (t1, t1 + gap))
-        # d loss / d (s - t_k): grade 0 leaves below t_1, 1 lies between, 2 above t_2
-        mid = np.maximum(p1 - p2, 1e-12)
-        d1 = np.where(grade == 0, p1, np.where(grade == 1, -p1 * (1 - p1) / mid, 0))
-        d2 = np.where(grade == 2, -(1 - p2), np.where(grade == 1, p2 * (1 - p2) / mid, 0))
+        d1, d2 = _slopes(s, np.array([t1, t1 + gap]), grade)
         d1, d2 = d1 / n, d2 / n
         g = np.concatenate([np.bincount(at, weights=x * (d1 + d2)[doc], minlength=width) + PRIOR / n, [-(d1 + d2).sum(), -d2.sum() * gap]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g

@@ -7,39 +7,80 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from recordloom.llm import chat, quality, top_k, toxicity, warc
 
 
-def test_top_k_equals_brute_force(spark):
+def best_rows(rows, asked, k=10):
+    """For each row that is asked for, the k best of all others, by row and not by id."""
+    want = []
+    for n, (i, q) in enumerate(rows):
+        if asked(i):
+            scores = sorted((-sum(a * b for a, b in zip(q, c)), j) for m, (j, c) in enumerate(rows) if m != n and len(c) == len(q))[:k]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scores)]
+    return sorted(want)
+
+
+def test_top_k_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(top_k, "SEEDS", 50)
+    monkeypatch.setattr(top_k, "TILE", 64)
+    monkeypatch.setattr(top_k, "CHUNK_BYTES", 60_000)
     rng = np.random.default_rng(1)
     v = rng.normal(0, 0.2, (700, 48))
     v[100:110] = v[5]
     rows = [(i, [float(np.float32(x)) for x in row], 1) for i, row in enumerate(v)]
     rows += [(900, None, 1), (1000, [float("nan")] * 48, 1), (1100, [None] * 48, 1), (None, [0.1] * 48, 1), (1200, [0.5] * 4, 1), (1201, [0.25] * 4, 1), (1300, [float("inf")] * 4, 1)]
+    rows += [(400, rows[7][1], 1), (400, rows[400][1], 1), (8, rows[8][1], 1), (1500, [], 1), (1600, [], 1), (1700, [1e9, 2.0, -3.0], 1), (1800, [1e3, 2e3, 5.0], 1)]
     table = top_k.integers(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int"))
-    got = top_k.top_k(table, table.where("vec_id % 100 = 0"), 10).collect()
-    ints = {r[0]: [int(np.floor(1024 * x)) for x in r[1]] for r in rows[:700] + rows[704:706]}
-    want = []
-    for q in (x for x in ints if x % 100 == 0):
-        scores = sorted((-sum(a * b for a, b in zip(ints[q], c)), i) for i, c in ints.items() if i != q and len(c) == len(ints[q]))[:10]
-        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
-    assert sorted(tuple(r) for r in got) == sorted(want)
+    got = top_k.top_k(table, F.col("vec_id") % 100 == 0, 10).collect()
+    ints = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in e]) for i, e, _ in rows if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)]
+    want = best_rows(ints, lambda i: i % 100 == 0)
+    assert sorted(tuple(r) for r in got) == want
+    other = top_k.top_k(table, table.where("vec_id = 5"), 3).collect()
+    assert sorted((r.rank, r.vec_id) for r in other) == [(1, 5), (2, 100), (3, 101)]
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
-    assert top_k.top_k(top_k.integers(none), top_k.integers(none)).count() == 0
+    assert top_k.top_k(top_k.integers(none), F.col("vec_id") % 100 == 0).count() == 0
 
 
 def test_segment_bound_holds_and_prunes():
     rng = np.random.default_rng(2)
     v = rng.integers(-400, 400, (60, 40))
+    turn = top_k.axes(v)
+    assert np.allclose(turn.T @ turn, np.eye(40))
     for size in top_k.levels(40):
-        bound = top_k.segments(v.astype(float), size) @ top_k.segments(v.astype(float), size).T
+        bound = top_k.segments(v.astype(float) @ turn, size) @ top_k.segments(v.astype(float) @ turn, size).T
         assert (bound >= (v @ v.T) - 1e-3).all()
-    search = top_k.Search(np.arange(60), v, np.full(60, -np.inf), 3)
-    smooth = np.repeat(rng.integers(-400, 400, (500, 1)), 40, axis=1)
-    search.add(np.arange(1000, 1500), smooth)
-    search.add(np.arange(2000, 2500), smooth // 3)
-    assert search.scored < 60 * 1000
+    # vectors that vary in a few directions: most pairs never get an exact score
+    centres = rng.normal(0, 300, (20, 64))
+    near = lambda n: (centres[rng.integers(0, 20, n)] + rng.normal(0, 20, (n, 64))).astype(np.int64)
+    queries, all_of_them = near(500), near(6000)
+    turn = top_k.axes(all_of_them[:1000])
+    q = top_k.Side(np.arange(500) + 10_000, np.arange(500) + 10_000, queries, turn)
+    c = top_k.Side(np.arange(6000), np.arange(6000), all_of_them, turn)
+    search, scores = top_k.Search(64, 10), queries @ all_of_them.T
+    floor = np.sort(scores[:, :1000], axis=1)[:, -10].astype(float)
+    query, cand, score = search.best(q, c, floor[q.order])
+    for i in range(0, 500, 50):
+        best = sorted((-s, j) for j, s in enumerate(scores[i].tolist()))[:10]
+        mine = q.order[query] == i
+        assert [(-s, j) for s, j in zip(score[mine].tolist(), c.ids[cand[mine]].tolist())] == best
+    assert search.scored < 0.5 * search.pairs, (search.seen, search.scored / search.pairs)
+
+
+def test_a_full_tile_is_small():
+    """One tile of queries and candidates stays far below an executor's memory."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    v = rng.integers(-400, 400, (8192, 64))
+    turn = top_k.axes(v[:1024])
+    q, c = (top_k.Side(np.arange(4096) + s, np.arange(4096) + s, v[s : s + 4096], turn) for s in (0, 4096))
+    tracemalloc.start()
+    query, _, _ = top_k.Search(64, 10).best(q, c, np.full(4096, -np.inf))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(query) == 40960 and peak < 400 << 20
 
 
 def test_warc_round_trip(spark, tmp_path):
@@ -64,6 +105,14 @@ def test_warc_round_trip(spark, tmp_path):
         key = lambda r: str(r)
         got = [tuple(None if x is None else bytes(x) if isinstance(x, bytearray) else x for x in r) for r in warc.read(spark, folder).collect()]
         assert sorted(got, key=key) == sorted(want, key=key)
+    # rows without an id are cut by their payloads' digests; a shard of one record, and files that roll within one
+    nulls = spark.createDataFrame([(None, "u", f"text {k}" * 40) for k in range(60)] + [(1, "u", "x" * 300_000), (2, "u", "y" * 50)], "page_id long, url string, html string")
+    parts = warc.write(nulls, f"file://{tmp_path}/nulls", shard_bytes=500, file_bytes=300).collect()
+    assert len({r.file[:11] for r in parts}) > 20 and len(parts) >= len({r.file[:11] for r in parts}) and sum(r.records for r in parts) == 62
+    whole = warc.write(nulls, f"file://{tmp_path}/rolled", shard_bytes=1 << 30, file_bytes=1000).collect()
+    assert {r.file[:11] for r in whole} == {"part-000000"} and len(whole) > 5 and all(r.bytes >= 1000 for r in whole[:-1])
+    back = warc.read(spark, f"file://{tmp_path}/rolled").collect()
+    assert len(back) == 62 and max(r.payload_bytes for r in back) == 300_000 and sum(r.page_id is None for r in back) == 60
     assert made[0] == made[1]  # the same bytes under the same names, however the rows were dealt
     empty = f"file://{tmp_path}/empty"
     assert warc.write(spark.createDataFrame([], "page_id long, url string, html string"), empty).count() == 0
@@ -136,6 +185,44 @@ def test_ordinal_fit_orders_grades():
     assert (guess == grade).mean() > 0.9
 
 
+def test_growing_fit_is_the_fit_over_all_features():
+    """What the growing set ends with meets the conditions of a minimum over every feature."""
+    rng = np.random.default_rng(1)
+    n, width = 400, 600
+    grade = rng.integers(0, 3, n)
+    rows = [np.unique(np.concatenate([rng.integers(0, width, 12), rng.choice(5, grade[i], replace=False)])) for i in range(n)]
+    doc, at = np.repeat(np.arange(n), [len(r) for r in rows]), np.concatenate(rows)
+    x = 1 + rng.random(len(at))
+    w, t = toxicity._growing(doc, at, x, grade, width, steps=3000)
+    d1, d2 = toxicity._slopes(np.bincount(doc, weights=x * w[at], minlength=n), t, grade)
+    gain = -np.bincount(at, weights=x * (d1 + d2)[doc], minlength=width)
+    assert (w >= 0).all() and (w[:5] > 0.5).all() and (gain < 1.1 * toxicity.PRIOR + 0.2).all()
+    assert np.abs(gain[w > 0.05] - toxicity.PRIOR).max() < 0.5
+    loss = lambda w: -np.log([1 - p[0] if g == 0 else p[0] - p[1] if g == 1 else p[1] for g, p in zip(grade, 1 / (1 + np.exp(t - np.bincount(doc, weights=x * w[at], minlength=n)[:, None])))]).sum() + toxicity.PRIOR * w.sum()
+    for _ in range(50):
+        other = np.maximum(w + rng.normal(0, 0.05, width) * (rng.random(width) < 0.05), 0)
+        assert loss(other) > loss(w) - 0.5
+
+
+def test_toxicity_on_held_out_documents(spark, corpus):
+    docs, labels = corpus
+    held = "crc32(cast(cast(doc_id as string) as binary)) % 3 = 0"
+    model = toxicity.fit(docs.where(f"not {held}"), labels)
+    seen = docs.where(f"not {held}").select("text")
+    rows = toxicity.score(docs.where(held).join(seen, "text", "left_anti"), model).join(labels.selectExpr("doc_id", "toxic as truth"), "doc_id").collect()
+    assert sum(r.grade > 0 for r in rows if r.truth) >= 0.6 * sum(r.truth for r in rows) > 5
+    assert sum(r.grade > 0 for r in rows if not r.truth) <= 0.02 * len(rows)
+
+
+def test_toxicity_ties_and_long_texts(spark, corpus):
+    model = toxicity.Severity({b"bad": 1.0}, (1.0, 2.0))
+    rows = [(1, "bad"), (1, "bad"), (2, "good " * 200_000 + "bad"), (3, "BAD! bad")]
+    got = {(r.doc_id, round(r.severity, 9), r.grade) for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    at = lambda s: round(sum(float(1 / (1 + np.exp(t - s))) for t in (1.0, 2.0)), 9)
+    # a probability of just the threshold passes it
+    assert got == {(1, at(1.0), 1), (2, at(1.0), 1), (3, at(1 + np.log(2)), 1)}
+
+
 def test_quality_on_held_out_documents(spark, corpus):
     docs, labels = corpus
     rows = quality.score(docs, labels).collect()
