@@ -34,22 +34,25 @@ def token_recall(extracted: Column, expected: Column) -> Column:
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity of two texts, popular characters of long texts left out."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
+    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype=float)
 
 
 def with_similarity(pairs: DataFrame, fuzzy_only: bool = True) -> DataFrame:
-    """``pairs`` (field, extracted, expected) with similarity 0 to 100 of fuzzy fields.
+    """``pairs`` (field, extracted, expected) with similarity 0 to 100 of fuzzy fields, null for others.
 
-    The sequence ratio runs in Python only for rows that need it: fuzzy fields
-    with tokens on both sides whose recall isn't whole already.
+    Tokens are looked at for fuzzy fields alone. The sequence ratio runs in
+    Python, and only rows that need it go there: fuzzy fields with tokens on
+    both sides whose recall isn't whole already.
     """
-    a, b = F.array_join(tokens(F.col("extracted")), " "), F.array_join(tokens(F.col("expected")), " ")
-    rows = pairs.withColumns({"_a": a, "_b": b, "_r": token_recall(F.col("extracted"), F.col("expected"))})
-    none = (F.col("_a") == "") | (F.col("_b") == "")
-    asks = (F.col("field").isin(*FUZZY) if fuzzy_only else F.lit(True)) & ~none & (F.col("_r") < 1)
-    rows = rows.withColumns({"_a": F.when(asks, F.col("_a")).otherwise(""), "_b": F.when(asks, F.col("_b")).otherwise(""), "_none": none})
-    rows = rows.withColumn("_s", F.when(asks, sequence_ratio("_a", "_b")).otherwise(0.0))
-    return rows.withColumn("similarity", F.when(F.col("_none"), 0.0).otherwise(F.bround(F.greatest("_r", "_s") * 100, 2))).drop("_a", "_b", "_r", "_s", "_none")
+    asked = F.col("field").isin(*FUZZY) if fuzzy_only else F.lit(True)
+    words = lambda c: F.when(asked, tokens(F.col(c)))
+    rows = pairs.withColumn("_t", F.struct(words("extracted").alias("a"), words("expected").alias("b")))
+    a, b = F.array_distinct("_t.a"), F.array_distinct("_t.b")
+    rows = rows.withColumn("_r", F.when(F.size("_t.a") * F.size("_t.b") > 0, F.size(F.array_intersect(a, b)) / F.size(b)).when(asked, 0.0))
+    asks = F.coalesce((F.col("_r") < 1) & (F.size("_t.a") > 0) & (F.size("_t.b") > 0), F.lit(False))
+    said = rows.where(asks).withColumn("_s", sequence_ratio(F.array_join("_t.a", " "), F.array_join("_t.b", " ")))
+    both = said.unionByName(rows.where(~asks).withColumn("_s", F.lit(0.0)))
+    return both.withColumn("similarity", F.bround(F.greatest("_r", "_s") * 100, 2)).withColumn("similarity", F.when(F.col("_r").isNotNull(), F.col("similarity"))).drop("_t", "_r", "_s")
 
 
 def exact_match(field: Column, extracted: Column, expected: Column) -> Column:
@@ -77,14 +80,17 @@ def compare(pairs: DataFrame) -> DataFrame:
     from a similarity of 80 (addresses 65) on; others match by key, with
     similarity 100 or 0.
     """
-    rows = with_similarity(pairs.withColumn("extracted", text_or_empty(F.col("extracted"))))
-    meta = F.col("field").isin(*METADATA)
+    fuzzy, meta = F.col("field").isin(*FUZZY), F.col("field").isin(*METADATA)
     used = ~meta & is_present(F.col("expected"))
-    rows = rows.withColumn("used", used).withColumn("reason", F.when(meta, "metadata field").when(~used, "ground truth value not present").otherwise(""))
-    fuzzy = F.col("field").isin(*FUZZY)
-    match = F.when(fuzzy, F.col("similarity") >= F.when(F.col("field") == "address", 65).otherwise(80)).otherwise(exact_match(F.col("field"), F.col("extracted"), F.col("expected")))
-    rows = rows.withColumn("match", F.col("used") & match)
-    return rows.withColumn("similarity", F.when(~F.col("used"), F.lit(None)).when(fuzzy, F.col("similarity")).otherwise(F.when(F.col("match"), 100.0).otherwise(0.0)))
+    rows = pairs.withColumn("extracted", text_or_empty(F.col("extracted"))).withColumn("used", used)
+    rows = rows.withColumn("reason", F.when(meta, "metadata field").when(~F.col("used"), "ground truth value not present").otherwise(""))
+    # keys of what isn't fuzzy, bound once
+    rows = rows.withColumn("_m", F.when(F.col("used") & ~fuzzy, exact_match(F.col("field"), F.col("extracted"), F.col("expected"))))
+    rows = with_similarity(rows)
+    near = F.col("similarity") >= F.when(F.col("field") == "address", 65).otherwise(80)
+    rows = rows.withColumn("match", F.col("used") & F.when(fuzzy, near).otherwise(F.coalesce("_m", F.lit(False))))
+    share = F.when(fuzzy, F.col("similarity")).otherwise(F.when(F.col("_m"), 100.0).otherwise(0.0))
+    return rows.withColumn("similarity", F.when(F.col("used"), share)).drop("_m")
 
 
 def accuracy(compared: DataFrame, keys: list[str]) -> DataFrame:
