@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -14,6 +16,8 @@ from . import classify, schemas
 SPANS = "array<struct<field: string, label: string, start: int, end: int>>"
 #: Between the words of a label, and after it.
 _GAP, _AFTER = r"[\s:：|._-]+", r"\s*[:：|._-]?\s*"
+#: Letters that a search without regard to case takes for others than their lower case.
+_ODD_CASE = regex.compile("[İıſK]")
 
 
 def pattern(label: str) -> regex.Pattern:
@@ -24,11 +28,60 @@ def pattern(label: str) -> regex.Pattern:
     return regex.compile(r"(?<![\p{L}\p{N}])" + (f"({body}){{e<={k}}}" if k else body) + _AFTER, regex.IGNORECASE)
 
 
+def pieces(label: str) -> tuple[list[str], int]:
+    """Parts of a label of which one stays whole within its allowed edits, and its most characters but separators."""
+    words = regex.sub("[:：|._-]+", " ", label).lower().split()
+    k = schemas.allowed_edits(" ".join(words))
+    cuts = [1] * len(words)
+    while sum(cuts) <= k:
+        widest = max(range(len(words)), key=lambda i: len(words[i]) / cuts[i])
+        cuts[widest] += 1
+    parts = [w[len(w) * j // n : len(w) * (j + 1) // n] for w, n in zip(words, cuts) for j in range(n)]
+    return sorted(parts, key=len)[-(k + 1) :], sum(map(len, words)) + k
+
+
+class Places:
+    """A text prepared for searches: only around a whole piece of a label can the label occur."""
+
+    def __init__(self, text: str):
+        self.text, self.low = text, text.lower()
+        self.plain = len(self.low) == len(text) and not _ODD_CASE.search(text)
+        self.solid = [m.start() for m in regex.finditer(r"[^\s:：|._-]", text)] if self.plain else []
+
+    def regions(self, parts: list[str], reach: int) -> list[tuple[int, int]]:
+        if not self.plain:
+            return [(0, len(self.text))]
+        found, solid = [], self.solid
+        for part in parts:
+            at = self.low.find(part)
+            while at >= 0:
+                c = bisect_left(solid, at)
+                start = solid[c - reach - 1] + 1 if c > reach else 0
+                found.append((start, solid[c + reach] if c + reach < len(solid) else len(self.text)))
+                at = self.low.find(part, at + 1)
+        out: list[tuple[int, int]] = []
+        for a, b in sorted(found):
+            if out and a <= out[-1][1]:
+                out[-1] = out[-1][0], max(b, out[-1][1])
+            else:
+                out.append((a, b))
+        return out
+
+    def find(self, compiled: regex.Pattern, parts: list[str], reach: int) -> list[tuple[int, int]]:
+        """What the pattern finds in the whole text, by looking only where it can."""
+        found, last = [], 0
+        for a, b in self.regions(parts, reach):
+            for m in compiled.finditer(self.text, max(a, last), b):
+                found.append((m.start(), m.end()))
+                last = m.end()
+        return found
+
+
 class Finder:
     """Label patterns of all types, compiled where they are first used."""
 
     def __init__(self):
-        self.compiled: dict[str, regex.Pattern] = {}
+        self.compiled: dict[str, tuple[regex.Pattern, list[str], int]] = {}
         _, fields = classify._dimension()
         self.labels = {t: [(f, x, i) for (f, _, own), (_, ids) in zip(schemas.schemas()[t], fields[t]) for x, i in zip(own, ids)] for t in fields}
 
@@ -42,12 +95,12 @@ class Finder:
         no other can match here, so the others aren't searched.
         """
         found = []
-        known = set(hits)
+        known, places = set(hits), Places(text)
         wanted = [(f, x) for f, x, i in self.labels[kind] if i in known] + [(None, x) for x in schemas.END_MARKS]
         for field, label in wanted:
             if label not in self.compiled:
-                self.compiled[label] = pattern(label)
-            found += [{"field": field, "label": label, "start": m.start(), "end": m.end()} for m in self.compiled[label].finditer(text)]
+                self.compiled[label] = pattern(label), *pieces(label)
+            found += [{"field": field, "label": label, "start": a, "end": b} for a, b in places.find(*self.compiled[label])]
         return sorted(found, key=lambda s: (s["start"], s["start"] - s["end"]))
 
 
