@@ -147,7 +147,39 @@ def pattern_heuristic(spark, sf_dir):
     return forms.forms(spark, sf_dir).select("doc_id", classify.pattern_guess(F.col("text"))["type"].alias("guess"))
 
 
-@query()
+#: Labels hold no digits and allow two edits, so digits are alike, and three of a run stand for more of them.
+_SHAPE = r"regexp_replace(regexp_replace(norm, '[0-9]', '#', 'g'), '####*', '###', 'g')"
+_EDITS = ", ".join("('{}', {})".format(x.replace("'", "''"), schemas.allowed_edits(x)) for x in sorted({schemas.normal_label(x) for own in schemas.schemas().values() for _, _, labels in own for x in labels}))
+#: Tolerant search by brute force: the edit distance of a label and every piece of a text that could be near it.
+_TOLERANT = f"""WITH {forms.WITH}, labels(type, ord, field, norm, total) AS (VALUES {_LABELS}), edits(norm, k) AS (VALUES {_EDITS}),
+t AS (SELECT doc_id, family, text, {_MATCH.format('text')} AS norm FROM forms), shaped AS (SELECT *, {_SHAPE} AS shape FROM t),
+shapes AS (SELECT DISTINCT shape FROM shaped),
+hits AS (
+  SELECT shape, norm FROM shapes, edits WHERE k = 0 AND contains(shape, norm)
+  UNION SELECT DISTINCT shape, norm FROM (SELECT shape, norm, k, unnest(range(1, len(shape) + 1)) AS i FROM shapes, edits WHERE k > 0)
+  WHERE list_min([levenshtein(shape[i:i + len(norm) - 1 + e], norm) FOR e IN range(-k, k + 1)]) <= k),
+pairs AS (SELECT DISTINCT shape, type, field FROM hits JOIN labels USING (norm)),
+types AS (SELECT DISTINCT type, ord, total FROM labels),
+counted AS (SELECT s.shape, y.type, y.ord, y.total, count(p.field) AS n FROM shapes s CROSS JOIN types y LEFT JOIN pairs p ON s.shape = p.shape AND y.type = p.type GROUP BY ALL),
+ranked AS (SELECT *, n / total AS c, row_number() OVER w AS r, lead(n / total) OVER w AS next FROM counted WINDOW w AS (PARTITION BY shape ORDER BY n / total DESC, ord)),
+m AS (SELECT *, regexp_matches(text, '(^|[^0-9])[0-9]{{4}}[ \t-]*[0-9]{{4}}[ \t-]*[0-9]{{4}}([^0-9]|$)') AS card,
+  regexp_matches(norm, '(^|[^a-z0-9_])(sio|s/o|c/o|w/o|address|pincode|uidai)($|[^a-z0-9_])') OR regexp_matches(text, '(^|[^0-9])[1-9][0-9]{{5}}([^0-9]|$)') AS back,
+  regexp_matches(norm, '(^|[^a-z0-9_])(dob|date of birth|yob|male|female)($|[^a-z0-9_])') AS front FROM shaped),
+g AS (SELECT doc_id, family, shape, CASE WHEN card AND back AND front THEN 'aadhaar_full' WHEN card AND back THEN 'aadhaar_back' WHEN card THEN 'aadhaar_front'
+  WHEN regexp_matches(upper(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')), '[A-Z]{{5}}[0-9]{{4}}[A-Z]') THEN 'pan_card'
+  WHEN regexp_matches(norm, 'ifsc|account number|passbook|cif number') THEN 'passbook' WHEN regexp_matches(norm, 'invoice|cash sales|receipt|doc no|total sales') THEN 'invoice'
+  WHEN contains(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), 'employeeid') OR contains(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), 'employeename') THEN 'employee_form' END AS guess FROM m),
+sure(guess, gc) AS (VALUES ('aadhaar_full', 0.65), ('aadhaar_back', 0.55), ('aadhaar_front', 0.5), ('pan_card', 0.55), ('passbook', 0.5), ('invoice', 0.5), ('employee_form', 0.5)),
+best AS (SELECT g.doc_id, family, guess, gc, r.type, r.n, r.total, r.c, r.next, r.c < {classify.ENOUGH} AS weak, y.total AS all_of_guess
+  FROM g JOIN ranked r ON g.shape = r.shape AND r.r = 1 LEFT JOIN sure USING (guess) LEFT JOIN types y ON y.type = guess),
+chosen AS (SELECT *, weak AND guess IS NOT NULL AS guessed, NOT weak AND guess = 'aadhaar_full' AND type LIKE 'aadhaar%' AS both_sides FROM best),
+final AS (SELECT doc_id, family, CASE WHEN guessed THEN guess WHEN weak THEN 'unknown' WHEN both_sides THEN 'aadhaar_full' ELSE type END AS type,
+  CASE WHEN guessed THEN gc WHEN both_sides THEN greatest(c, gc) ELSE c END AS confidence, CASE WHEN guessed THEN 0.0 ELSE round_even((c - next) * 100, 2) END AS score_gap,
+  CASE WHEN guessed THEN 0 ELSE n END AS n_matched, CASE WHEN guessed THEN all_of_guess ELSE total - n END AS n_missing FROM chosen)"""
+
+
+@query(f"""{_TOLERANT} SELECT doc_id, family, type, round_even(confidence * 100, 2) AS confidence_percent, CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' ELSE 'low' END AS confidence_level,
+  score_gap, cast(n_matched AS INT) AS n_matched, cast(n_missing AS INT) AS n_missing FROM final""")
 def classify_forms(spark, sf_dir):
     """Tolerant classification of every form, with what decided it."""
     out = classify.classify(forms.forms(spark, sf_dir))
@@ -193,21 +225,48 @@ def invoice_overlay(spark, sf_dir):
     return rows.select("doc_id", *[out[f].alias(f) for f in ("company", "receipt_number", "address", "subtotal", "tax", "date", "total")])
 
 
-@query(f"""WITH {forms.WITH} SELECT doc_id, CASE WHEN k % 9 = 0 THEN '' ELSE 'SBIN0' || lpad(cast(k % 1000000 AS STRING), 6, '0') END AS ifsc,
-  CASE WHEN k % 8 = 0 THEN '' ELSE cast(30000000000 + k AS STRING) END AS account_number, cast(8000000 + k AS STRING) AS cif_number,
-  'ABCDE' || lpad(cast(k % 10000 AS STRING), 4, '0') || 'K' AS pan_number, '04/05/2012' AS account_opened, 'SINGLE' AS mop FROM forms WHERE family = 'passbook'""")
+_PLACE = r"regexp_extract(text, '\n(NATION_[0-9]+|[A-Z ]+)\nPincode', 1)"
+_BRANCH = r"regexp_extract(text, 'Branch: ([^\n]*)', 1)"
+_DMY = f"{forms.DAY} || '{{0}}' || {forms.MONTH} || '{{0}}'"
+_ACCOUNT = """'ABCDE' || lpad(cast(k % 10000 AS STRING), 4, '0') || 'K' AS pan_number, 'sbi.' || cast(k AS STRING) || '@example.com' AS email, cast(8000000 + k AS STRING) AS cif_number,
+  lpad(cast(k % 100000 AS STRING), 5, '0') AS branch_code, cast(700000 + k AS STRING) AS nom_reg_no, CASE WHEN k % 8 = 0 THEN '' ELSE cast(30000000000 + k AS STRING) END AS account_number,
+  CASE WHEN k % 4 = 0 THEN '' ELSE 'CONTINUATION' END AS continuation, CASE WHEN k % 5 = 0 THEN 'False' ELSE 'True' END AS branch_manager_stamp_present, CASE WHEN k % 3 = 0 THEN 'JOINT' ELSE 'SINGLE' END AS mop,
+  '' AS micr, '' AS hindi_bank_name, '' AS phone, """ + f"""{_DMY.format('/')} || '2012' AS account_opened, {_DMY.format('/')} || '2015' AS date_of_issue, upper({forms.PERSON}) AS account_holder"""
+
+
+def _overlay(spark, sf_dir, family: str, overlay) -> DataFrame:
+    """Every field of an overlay, over forms without any sliced value."""
+    rows = forms.forms(spark, sf_dir).where(F.col("family") == family).withColumn("lines", tx.lines_of(F.col("text")))
+    out = overlay(F.col("text"), F.col("lines"), lambda f: F.lit(""))
+    return rows.select("doc_id", *[c.alias(f) for f, c in out.items()])
+
+
+@query(f"""WITH {forms.WITH} SELECT doc_id, CASE WHEN k % 9 = 0 THEN '' ELSE 'SBIN0' || lpad(cast(k % 1000000 AS STRING), 6, '0') END AS ifsc, {_ACCOUNT},
+  'Branch: ' || {_BRANCH} AS bank_name, {_BRANCH} AS branch_name, upper({forms.FATHER}) AS father_name, CASE WHEN k % 2 = 0 THEN 'Savings' ELSE 'Current' END AS account_type,
+  cast(k % 99 AS STRING) || ' Lake Road ' || {_BRANCH} AS address FROM forms WHERE family = 'passbook'""")
 def passbook_overlay(spark, sf_dir):
-    rows = forms.forms(spark, sf_dir).where("family = 'passbook'").withColumn("lines", tx.lines_of(F.col("text")))
-    out = extract.account_overlay(F.col("text"), F.col("lines"), lambda f: F.lit(""))
-    return rows.select("doc_id", *[out[f].alias(f) for f in ("ifsc", "account_number", "cif_number", "pan_number", "account_opened", "mop")])
+    """The bank's name is what follows it, on the next line; a code with a letter O is none."""
+    return _overlay(spark, sf_dir, "passbook", extract.account_overlay)
+
+
+@query(f"""WITH {forms.WITH} SELECT doc_id, CASE WHEN k % 7 = 0 THEN '' ELSE 'ABCDE' || lpad(cast(k % 10000 AS STRING), 4, '0') || 'F' END AS pan_number, {forms.PERSON} AS name, {forms.FATHER} AS father_name,
+  regexp_replace(regexp_extract(text, '[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}'), '(..)/(..)/(....)', '\\3-\\2-\\1') AS date_of_birth, '' AS hindi_name, '' AS hindi_father_name, 'True' AS signature_present,
+  CASE WHEN k % 5 = 0 THEN '12345678' ELSE '' END AS card_issue_date_text FROM forms WHERE family = 'pan_card'""")
+def tax_overlay(spark, sf_dir):
+    """Names are the capital lines after their labels, a bare issue date passed over."""
+    return _overlay(spark, sf_dir, "pan_card", extract.tax_overlay)
 
 
-@query(f"""WITH {forms.WITH} SELECT doc_id, 'Asha Mehta' AS name, 'Female' AS gender, '1991-03-18' AS date_of_birth, 'Ravi Mehta' AS father_name, cast(400001 + k % 9000 AS STRING) AS pincode,
-  CASE WHEN k % 7 = 0 THEN '' ELSE cast(1000 + k % 9000 AS STRING) || ' 5678 9012' END AS aadhaar_number FROM forms WHERE family = 'aadhaar_full'""")
+@query(f"""WITH {forms.WITH} SELECT doc_id, CASE WHEN k % 2 = 0 THEN {forms.PERSON} ELSE '' END AS name, CASE WHEN k % 5 = 0 THEN 'Male' ELSE 'Female' END AS gender,
+  CASE k % 6 WHEN 0 THEN '' WHEN 3 THEN '1991-03-18' ELSE {forms.YEAR} || '-' || {forms.MONTH} || '-' || {forms.DAY} END AS date_of_birth, cast(400001 + k % 9000 AS STRING) AS pincode,
+  CASE WHEN k % 7 = 0 THEN '' ELSE cast(1000 + k % 9000 AS STRING) || ' 5678 9012' END AS aadhaar_number, {forms.FATHER} AS relationship_label, CASE WHEN k % 3 = 0 THEN {forms.FATHER} ELSE '' END AS father_name,
+  CASE WHEN k % 3 = 1 THEN {forms.FATHER} ELSE '' END AS care_of, CASE WHEN k % 3 = 2 THEN {forms.FATHER} ELSE '' END AS husband_name,
+  cast(k % 99 AS STRING) || ' Lake Road ' || {_PLACE} || ' Pincode: ' || cast(400001 + k % 9000 AS STRING) AS address,
+  '' AS vid, '' AS hindi_name, '' AS hindi_address, '' AS hindi_address_lines, '' AS hindi_relationship_label, '' AS hindi_father_name, '' AS hindi_care_of, '' AS hindi_husband_name
+FROM forms WHERE family = 'aadhaar_full'""")
 def card_overlay(spark, sf_dir):
-    rows = forms.forms(spark, sf_dir).where("family = 'aadhaar_full'").withColumn("text", F.regexp_replace("text", "Name: ", "")).withColumn("lines", tx.lines_of(F.col("text")))
-    out = extract.card_overlay(F.regexp_replace("text", "i991 03-/8", "i991-03-/8"), F.col("lines"), lambda f: F.lit(""))
-    return rows.select("doc_id", *[out[f].alias(f) for f in ("name", "gender", "date_of_birth", "father_name", "pincode", "aadhaar_number")])
+    """A bare line is a name, a labelled one is left to slicing; a date with two faults is not repaired."""
+    return _overlay(spark, sf_dir, "aadhaar_full", extract.card_overlay)
 
 
 def _read(spark, sf_dir, family: str, reader, fields: str) -> DataFrame:
@@ -215,26 +274,46 @@ def _read(spark, sf_dir, family: str, reader, fields: str) -> DataFrame:
     return rows.select("doc_id", *[F.try_element_at("values", F.lit(f)).alias(f) for f in fields.split()])
 
 
-@query(f"""WITH {forms.WITH} SELECT doc_id, 'STORE ' || cast(k % 50 AS STRING) || ' SDN BHD' AS company, regexp_extract(text, '[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}') AS date, 'R-' || cast(100000 + k AS STRING) AS receipt_number, CASE WHEN k % 7 = 0 THEN '' ELSE 'MYR' END AS currency
-FROM forms WHERE family = 'invoice'""")
+_LINE = "split_part(text, chr(10), {})"
+_FIVE = r"regexp_matches({}, '(^|[^0-9A-Za-z_])[0-9]{{5}}([^0-9A-Za-z_]|$)')"
+
+
+@query(rf"""WITH {forms.WITH} SELECT doc_id, 'STORE ' || cast(k % 50 AS STRING) || ' SDN BHD' AS company, regexp_extract(text, '[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}') AS date, 'R-' || cast(100000 + k AS STRING) AS receipt_number,
+  regexp_extract(text, 'Subtotal: ([0-9.]+)', 1) AS subtotal, regexp_extract(text, '
+Tax: ([0-9.]+)', 1) AS tax, '0.00' AS discount, 'x.png' AS source_image, CASE WHEN k % 7 = 0 THEN '' ELSE 'MYR' END AS currency,
+  CASE WHEN k % 7 = 0 THEN regexp_extract(text, 'Subtotal: ([0-9.]+)', 1) ELSE regexp_extract(text, 'RM ([0-9.]+)', 1) END AS total,
+  upper(trim(regexp_replace(regexp_replace(concat_ws(' ', {_LINE.format(3)}, {_LINE.format(4)}, {_LINE.format(5)}, {_LINE.format(6)}, CASE WHEN {_FIVE.format(_LINE.format(7))} THEN {_LINE.format(7)} END,
+    CASE WHEN {_FIVE.format(_LINE.format(9))} THEN {_LINE.format(9)} END), '[^A-Za-z0-9,./& -]', ' ', 'g'), '\s+', ' ', 'g'))) AS address FROM forms WHERE family = 'invoice'""")
 def read_receipts(spark, sf_dir):
     """The receipt reader; the heading is print of the sale, so the store's line is the company."""
-    return _read(spark, sf_dir, "invoice", lambda t: ocr_fields.receipt(t, F.lit("x.png")), "company date receipt_number currency")
+    return _read(spark, sf_dir, "invoice", lambda t: ocr_fields.receipt(t, F.lit("x.png")), "company date receipt_number subtotal tax discount source_image currency total address")
 
 
-@query(f"""WITH {forms.WITH} SELECT doc_id, 'State Bank of India' AS bank_name, lpad(cast(k % 100000 AS STRING), 5, '0') AS branch_code, 'SBIN0' || lpad(cast(k % 1000000 AS STRING), 6, '0') AS ifsc, 'sbi.' || cast(k AS STRING) || '@example.com' AS email,
-  'SAVINGS' AS account_type, cast(8000000 + k AS STRING) AS cif_number, '04/05/2012' AS account_opened, '05/06/2012' AS date_of_issue, 'SINGLE' AS mop, 'ABCDE' || lpad(cast(k % 10000 AS STRING), 4, '0') || 'K' AS pan_number FROM forms WHERE family = 'passbook'""")
+@query(f"""WITH {forms.WITH} SELECT doc_id, 'State Bank of India' AS bank_name, 'SBIN0' || lpad(cast(k % 1000000 AS STRING), 6, '0') AS ifsc, {_ACCOUNT}, {forms.FATHER} AS father_name, '' AS relationship_label, '' AS branch_name,
+  CASE WHEN k % 2 = 0 THEN 'SAVINGS' ELSE 'CURRENT' END AS account_type, cast(k % 99 AS STRING) || ' Lake Road ' || replace({_BRANCH}, '_', ' ') AS address FROM forms WHERE family = 'passbook'""")
 def read_passbooks(spark, sf_dir):
-    rows = forms.forms(spark, sf_dir).where("family = 'passbook'").withColumn("text", F.regexp_replace("text", "IFSC: SBINO", "IFSC: SBIN0"))
-    rows = rows.withColumn("values", ocr_fields.passbook(F.col("text")))
-    fields = "bank_name branch_code ifsc email account_type cif_number account_opened date_of_issue mop pan_number".split()
-    return rows.select("doc_id", *[F.try_element_at("values", F.lit(f)).alias(f) for f in fields])
+    """The passbook reader reads letter O in a code as zero; a branch with other signs than letters has no name."""
+    fields = "bank_name ifsc pan_number email cif_number branch_code nom_reg_no account_number continuation branch_manager_stamp_present mop micr hindi_bank_name phone account_opened date_of_issue account_holder father_name relationship_label branch_name account_type address"
+    return _read(spark, sf_dir, "passbook", ocr_fields.passbook, fields)
+
+
+@query(f"""WITH {forms.WITH} SELECT doc_id, CASE WHEN k % 7 = 0 THEN 'R' ELSE '' END || 'ABCD' || CASE WHEN k % 7 = 0 THEN '' ELSE 'E' END || lpad(cast(k % 10000 AS STRING), 4, '0') || 'F' AS pan_number,
+  upper({forms.PERSON}) AS name, upper({forms.FATHER}) AS father_name, regexp_replace(regexp_extract(text, '[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}'), '(..)/(..)/(....)', '\\3-\\2-\\1') AS date_of_birth,
+  '' AS hindi_name, '' AS hindi_father_name, 'True' AS signature_present, CASE WHEN k % 5 = 0 THEN '12345678' ELSE '' END AS card_issue_date_text FROM forms WHERE family = 'pan_card'""")
+def read_tax_cards(spark, sf_dir):
+    """The tax card reader; a number that lacks a letter takes it from the word before."""
+    return _read(spark, sf_dir, "pan_card", ocr_fields.tax_card, "pan_number name father_name date_of_birth hindi_name hindi_father_name signature_present card_issue_date_text")
+
 
+_NO_CARD = "CASE WHEN k % 7 = 0 THEN NULL ELSE {} END AS {}"
 
-@query(f"""WITH {forms.WITH} SELECT doc_id, CASE WHEN k % 7 = 0 THEN NULL ELSE cast(1000 + k % 9000 AS STRING) || ' 5678 9012' END AS aadhaar_number, CASE WHEN k % 7 = 0 THEN NULL ELSE 'FEMALE' END AS gender,
-  CASE WHEN k % 7 = 0 THEN NULL WHEN k % 6 = 0 THEN '' ELSE '18-03-1991' END AS date_of_birth FROM forms WHERE family = 'aadhaar_full'""")
+
+@query(f"""WITH {forms.WITH} SELECT doc_id, {_NO_CARD.format("cast(1000 + k % 9000 AS STRING) || ' 5678 9012'", 'aadhaar_number')}, {_NO_CARD.format("CASE WHEN k % 5 = 0 THEN 'MALE' ELSE 'FEMALE' END", 'gender')},
+  {_NO_CARD.format(f"CASE WHEN k % 3 = 0 THEN '' ELSE {_DMY.format('-')} || {forms.YEAR} END", 'date_of_birth')}, {_NO_CARD.format(f"CASE WHEN k % 2 = 0 THEN '' ELSE 'Name ' END || {forms.PERSON}", 'name')},
+  {_NO_CARD.format("''", 'vid')}, {_NO_CARD.format("''", 'hindi_name')}, {_NO_CARD.format("''", 'year_of_birth')} FROM forms WHERE family = 'aadhaar_full'""")
 def read_cards(spark, sf_dir):
-    return _read(spark, sf_dir, "aadhaar_full", ocr_fields.card_front, "aadhaar_number gender date_of_birth")
+    """The reader of a card's front; it keeps a label that stands in the name's line, and gives nothing without a number."""
+    return _read(spark, sf_dir, "aadhaar_full", ocr_fields.card_front, "aadhaar_number gender date_of_birth name vid hindi_name year_of_birth")
 
 
 @query()
@@ -326,12 +405,23 @@ _PAIRS = """SELECT o_orderkey AS image, m.model, f.field, f.expected, f.extracte
  unnest([{'field': 'total', 'expected': p, 'extracted': CASE WHEN (o_orderkey + n) % 5 = 0 THEN '' ELSE 'RM ' || p END},
   {'field': 'date', 'expected': strftime(d, '%d/%m/%Y'), 'extracted': CASE WHEN (o_orderkey + n) % 4 = 0 THEN strftime(d, '%m/%Y') ELSE strftime(d, '%Y-%m-%d') END},
   {'field': 'receipt_number', 'expected': CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE 'R-' || cast(o_orderkey AS STRING) END, 'extracted': 'r ' || cast(o_orderkey AS STRING)},
+  {'field': 'company', 'expected': 'Store ' || cast(o_orderkey % 50 AS STRING) || ' Trading Sdn Bhd',
+   'extracted': CASE (o_orderkey + n) % 4 WHEN 0 THEN 'STORE ' || cast(o_orderkey % 50 AS STRING) || ', TRADING SDN. BHD' WHEN 1 THEN 'Store ' || cast(o_orderkey % 50 AS STRING) || ' Trading' WHEN 2 THEN '---' ELSE 'bhd sdn trading store ' || cast(o_orderkey % 50 AS STRING) END},
+  {'field': 'address', 'expected': 'Lot ' || cast(o_orderkey % 90 AS STRING) || ' Jalan Raya 50450 Kuala Lumpur', 'extracted': left('Lot ' || cast(o_orderkey % 90 AS STRING) || ' Jalan Raya 50450 Kuala Lumpur', cast(4 + (o_orderkey + n) % 29 AS INT))},
   {'field': 'source_image', 'expected': 'x.png', 'extracted': 'y.png'}]) AS u(f)"""
+_TOKENS = "list_distinct(list_filter(string_split(trim(regexp_replace(lower({}), '[^a-z0-9ऀ-ॿ ]+', ' ', 'g')), ' '), lambda x: x <> ''))"
+#: The sequence ratio of a text and a beginning of it is known: twice the shorter over both.
+_SIMILAR = """CASE WHEN len(a) = 0 THEN 0 ELSE round_even(100 * greatest(len(list_intersect(a, b)) / len(b), CASE WHEN starts_with(y, x) THEN 2 * len(x) / (len(x) + len(y)) ELSE 0 END), 2) END"""
 _COMPARED = f"""pairs AS ({_PAIRS}),
-compared AS (SELECT *, field <> 'source_image' AND expected <> '' AS used, field <> 'source_image' AND expected <> '' AND CASE field
+fuzzy AS (SELECT *, field IN ('company', 'address') AS near, {_TOKENS.format('extracted').replace('list_distinct', '')} AS ta, {_TOKENS.format('expected').replace('list_distinct', '')} AS tb FROM pairs),
+sides AS (SELECT *, list_distinct(ta) AS a, list_distinct(tb) AS b, array_to_string(ta, ' ') AS x, array_to_string(tb, ' ') AS y FROM fuzzy),
+scored AS (SELECT *, field <> 'source_image' AND expected <> '' AS used, CASE WHEN near THEN {_SIMILAR} END AS s FROM sides),
+compared AS (SELECT image, model, field, used, used AND CASE field
   WHEN 'total' THEN regexp_extract(extracted, '[0-9.]+') = expected
   WHEN 'date' THEN extracted LIKE '____-__-__'
-  ELSE true END AS match FROM pairs)"""
+  WHEN 'company' THEN s >= 80
+  WHEN 'address' THEN s >= 65
+  ELSE true END AS match, CASE WHEN used THEN coalesce(s, CASE WHEN match THEN 100.0 ELSE 0.0 END) END AS similarity FROM scored)"""
 
 
 def _pairs(spark, sf_dir) -> DataFrame:
@@ -341,17 +431,22 @@ def _pairs(spark, sf_dir) -> DataFrame:
     k, n = F.col("image"), F.col("n")
     day = lambda p: F.date_format("d", p)
     entry = lambda f, e, x: F.struct(F.lit(f).alias("field"), e.alias("expected"), x.alias("extracted"))
+    store, place = F.concat(F.lit("Store "), (k % 50).cast("string")), F.concat(F.lit("Lot "), (k % 90).cast("string"), F.lit(" Jalan Raya 50450 Kuala Lumpur"))
+    kinds = F.when((k + n) % 4 == 0, F.concat(F.upper(store), F.lit(", TRADING SDN. BHD"))).when((k + n) % 4 == 1, F.concat(store, F.lit(" Trading")))
+    company = kinds.when((k + n) % 4 == 2, "---").otherwise(F.concat(F.lit("bhd sdn trading "), F.lower(store)))
     each = F.array(
         entry("total", F.col("p"), F.when((k + n) % 5 == 0, "").otherwise(F.concat(F.lit("RM "), "p"))),
         entry("date", day("dd/MM/yyyy"), F.when((k + n) % 4 == 0, day("MM/yyyy")).otherwise(day("yyyy-MM-dd"))),
         entry("receipt_number", F.when(k % 9 == 0, "").otherwise(F.concat(F.lit("R-"), k.cast("string"))), F.concat(F.lit("r "), k.cast("string"))),
+        entry("company", F.concat(store, F.lit(" Trading Sdn Bhd")), company),
+        entry("address", place, place.substr(F.lit(1), (4 + (k + n) % 29).cast("int"))),
         entry("source_image", F.lit("x.png"), F.lit("y.png")),
     )
     return rows.select("image", "model", F.explode(each).alias("f")).select("image", "model", "f.field", "f.expected", "f.extracted")
 
 
 @query(f"""WITH {_COMPARED} SELECT image, model, field, used, match, CASE WHEN field = 'source_image' THEN 'metadata field' WHEN NOT used THEN 'ground truth value not present' ELSE '' END AS reason,
-  CASE WHEN used THEN CASE WHEN match THEN 100.0 ELSE 0.0 END END AS similarity FROM compared""")
+  similarity FROM compared""")
 def compare_fields(spark, sf_dir):
     return evaluate.compare(_pairs(spark, sf_dir)).select("image", "model", "field", "used", "match", "reason", "similarity")
 
@@ -362,15 +457,12 @@ def document_accuracy(spark, sf_dir):
     return evaluate.accuracy(evaluate.compare(_pairs(spark, sf_dir)), ["image", "model"]).select("image", "model", "matched_fields", "scored_fields", F.round("accuracy", 2).alias("accuracy"), "complete")
 
 
-@query(f"""WITH {_COMPARED}, per AS (SELECT field, model, round(avg(match::INT) * 100, 2) AS accuracy, round(avg(CASE WHEN match THEN 100.0 ELSE 0.0 END), 2) AS similarity, count(*) AS n FROM compared WHERE used GROUP BY field, model)
+@query(f"""WITH {_COMPARED}, per AS (SELECT field, model, round(avg(match::INT) * 100, 2) AS accuracy, round(avg(similarity), 2) AS similarity, count(*) AS n FROM compared WHERE used GROUP BY field, model)
 SELECT field, model, accuracy, similarity, max(n) OVER (PARTITION BY field) AS evaluated FROM per""")
 def field_accuracy(spark, sf_dir):
     return report.field_summary(evaluate.compare(_pairs(spark, sf_dir)))
 
 
-_TOKENS = "list_distinct(list_filter(string_split(trim(regexp_replace(lower({}), '[^a-z0-9ऀ-ॿ ]+', ' ', 'g')), ' '), lambda x: x <> ''))"
-
-
 @query(f"""WITH {forms.WITH_CANDIDATES}, t AS (SELECT c.doc_id, c.engine, {_TOKENS.format('c.text')} AS a, {_TOKENS.format('f.text')} AS b FROM candidates c JOIN forms f USING (doc_id))
 SELECT doc_id, engine, round(len(list_intersect(a, b)) * 1.0 / len(b), 6) AS recall FROM t""")
 def token_recall(spark, sf_dir):
@@ -463,10 +555,10 @@ def json_object_parse(spark, sf_dir):
 
 
 _FIELDS = "fields AS (SELECT c_custkey AS id, f.field, f.value FROM customer, unnest([{'field': 'employee_name', 'value': c_name}, {'field': 'bank_name', 'value': c_mktsegment}, {'field': 'total', 'value': cast(c_custkey AS STRING)}]) AS u(f))"
-_EDITS = "edits AS (SELECT c_custkey AS id, 'bank_name' AS field, CASE WHEN c_custkey % 6 = 0 THEN c_mktsegment ELSE upper(c_name) END AS edited FROM customer WHERE c_custkey % 3 = 0)"
+_CHANGES = "edits AS (SELECT c_custkey AS id, 'bank_name' AS field, CASE WHEN c_custkey % 6 = 0 THEN c_mktsegment ELSE upper(c_name) END AS edited FROM customer WHERE c_custkey % 3 = 0)"
 
 
-@query(f"""WITH {_FIELDS}, {_EDITS} SELECT id, field, value AS original, coalesce(edited, value) AS value, coalesce(edited, value) <> value AS is_edited, CASE field WHEN 'total' THEN 'Invoice' ELSE 'Identity' END AS field_group
+@query(f"""WITH {_FIELDS}, {_CHANGES} SELECT id, field, value AS original, coalesce(edited, value) AS value, coalesce(edited, value) <> value AS is_edited, CASE field WHEN 'total' THEN 'Invoice' ELSE 'Identity' END AS field_group
 FROM fields LEFT JOIN edits USING (id, field)""")
 def review_overlay(spark, sf_dir):
     c = _t(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "id")

@@ -11,6 +11,10 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Names and a date of birth by key.
+PERSON = "(CASE k % 4 WHEN 0 THEN 'Asha' WHEN 1 THEN 'Ravi' WHEN 2 THEN 'Meena' ELSE 'Arjun' END) || ' ' || (CASE k % 3 WHEN 0 THEN 'Mehta' WHEN 1 THEN 'Nair' ELSE 'Kapoor' END)"
+FATHER = "(CASE k % 5 WHEN 0 THEN 'Mohan' WHEN 1 THEN 'Vikram' WHEN 2 THEN 'Suresh' WHEN 3 THEN 'Anil' ELSE 'Rajan' END) || ' ' || (CASE k % 3 WHEN 0 THEN 'Mehta' WHEN 1 THEN 'Nair' ELSE 'Kapoor' END)"
+DAY, MONTH, YEAR = "lpad(cast(1 + k % 28 AS STRING), 2, '0')", "lpad(cast(1 + k % 12 AS STRING), 2, '0')", "cast(1960 + k % 40 AS STRING)"
 _DATE = "lpad(cast(day(d) as string), 2, '0') || '/' || lpad(cast(month(d) as string), 2, '0') || '/' || cast(year(d) as string)"
 _NL = "|| chr(10) ||"
 
@@ -44,24 +48,27 @@ UNION ALL
 SELECT 'pan-' || cast(k AS STRING), 'pan_card', k,
   'INCOME TAX DEPARTMENT' {_NL} 'Permanent Account Number' {_NL}
   (CASE WHEN k % 7 = 0 THEN 'ABCD' ELSE 'ABCDE' END) || lpad(cast(k % 10000 AS STRING), 4, '0') || 'F'
-  {_NL} 'Name' {_NL} 'RAVI ' || upper(place) {_NL} 'Father''s Name' {_NL} (CASE WHEN k % 5 = 0 THEN '12345678' || chr(10) ELSE '' END) || 'MOHAN ' || upper(place)
+  {_NL} 'Name' {_NL} upper({PERSON}) {_NL} 'Father''s Name' {_NL} (CASE WHEN k % 5 = 0 THEN '12345678' || chr(10) ELSE '' END) || upper({FATHER})
   {_NL} 'Date of Birth' {_NL} {_DATE} {_NL} 'Signature' AS text
 FROM sales
 UNION ALL
-SELECT 'passbook-' || cast(s_suppkey AS STRING), 'passbook', s_suppkey,
-  'State Bank of India' {_NL} 'Branch: ' || n_name {_NL} 'Branch Code: ' || lpad(cast(s_suppkey % 100000 AS STRING), 5, '0') {_NL} 'Email: sbi.' || cast(s_suppkey AS STRING) || '@example.com'
-  {_NL} 'IFSC: SBIN' || (CASE WHEN s_suppkey % 9 = 0 THEN 'O' ELSE '0' END) || lpad(cast(s_suppkey % 1000000 AS STRING), 6, '0')
-  {_NL} 'Name: MOHAN ' || upper(n_name) {_NL} 'S/D/H/o: RAM ' || upper(n_name) {_NL} 'CIF Number: ' || cast(8000000 + s_suppkey AS STRING)
-  {_NL} 'Account No.: ' || (CASE WHEN s_suppkey % 8 = 0 THEN '12345' ELSE cast(30000000000 + s_suppkey AS STRING) END)
-  {_NL} 'A/c Type: Savings' {_NL} 'Address: 12 Lake Road ' || n_name {_NL} 'MOP: SINGLE' {_NL} 'A/c Opening Dt: 04/05/2012' {_NL} 'Nom Reg No: ' || cast(70000 + s_suppkey AS STRING)
-  {_NL} 'Customer''s PAN: ABCDE' || lpad(cast(s_suppkey % 10000 AS STRING), 4, '0') || 'K' {_NL} 'Date of Issue: 05/06/2012' {_NL} 'CONTINUATION' {_NL} 'Branch Manager' AS text
-FROM supplier JOIN nation ON s_nationkey = n_nationkey
+SELECT 'passbook-' || cast(k AS STRING), 'passbook', k,
+  'State Bank of India' {_NL} 'Branch: ' || place {_NL} 'Branch Code: ' || lpad(cast(k % 100000 AS STRING), 5, '0') {_NL} 'Email: sbi.' || cast(k AS STRING) || '@example.com'
+  {_NL} 'IFSC: SBIN' || (CASE WHEN k % 9 = 0 THEN 'O' ELSE '0' END) || lpad(cast(k % 1000000 AS STRING), 6, '0')
+  {_NL} 'Name: ' || upper({PERSON}) {_NL} 'S/D/H/o: ' || upper({FATHER}) {_NL} 'CIF Number: ' || cast(8000000 + k AS STRING)
+  {_NL} 'Account No.: ' || (CASE WHEN k % 8 = 0 THEN '12345' ELSE cast(30000000000 + k AS STRING) END)
+  {_NL} 'A/c Type: ' || (CASE WHEN k % 2 = 0 THEN 'Savings' ELSE 'Current' END) {_NL} 'Address: ' || cast(k % 99 AS STRING) || ' Lake Road ' || place
+  {_NL} 'MOP: ' || (CASE WHEN k % 3 = 0 THEN 'JOINT' ELSE 'SINGLE' END) {_NL} 'A/c Opening Dt: ' || {DAY} || '/' || {MONTH} || '/2012' {_NL} 'Nom Reg No: ' || cast(700000 + k AS STRING)
+  {_NL} 'Customer''s PAN: ABCDE' || lpad(cast(k % 10000 AS STRING), 4, '0') || 'K' {_NL} 'Date of Issue: ' || {DAY} || '/' || {MONTH} || '/2015'
+  || (CASE WHEN k % 4 = 0 THEN '' ELSE chr(10) || 'CONTINUATION' END) || (CASE WHEN k % 5 = 0 THEN '' ELSE chr(10) || 'Branch Manager' END) AS text
+FROM (SELECT s_suppkey AS k, n_name AS place FROM supplier JOIN nation ON s_nationkey = n_nationkey) AS banks
 UNION ALL
-SELECT 'card-' || cast(s_suppkey AS STRING), 'aadhaar_full', s_suppkey,
-  'Government of India' {_NL} 'Name: Asha Mehta' {_NL} 'DOB: ' || (CASE WHEN s_suppkey % 6 = 0 THEN 'i991 03-/8' ELSE '18-03-1991' END) {_NL} 'Female'
-  {_NL} cast(1000 + s_suppkey % 9000 AS STRING) || ' 5678 ' || (CASE WHEN s_suppkey % 7 = 0 THEN '901' ELSE '9012' END)
-  {_NL} 'S/O: Ravi Mehta' {_NL} cast(s_suppkey % 99 AS STRING) || ' Lake Road' {_NL} n_name {_NL} 'Pincode: ' || cast(400001 + s_suppkey % 9000 AS STRING) AS text
-FROM supplier JOIN nation ON s_nationkey = n_nationkey
+SELECT 'card-' || cast(k AS STRING), 'aadhaar_full', k,
+  'Government of India' {_NL} (CASE WHEN k % 2 = 0 THEN '' ELSE 'Name: ' END) || {PERSON}
+  {_NL} 'DOB: ' || (CASE k % 6 WHEN 0 THEN 'i991 03-/8' WHEN 3 THEN 'l991-03-/8' ELSE {DAY} || '-' || {MONTH} || '-' || {YEAR} END) {_NL} (CASE WHEN k % 5 = 0 THEN 'Male' ELSE 'Female' END)
+  {_NL} cast(1000 + k % 9000 AS STRING) || ' 5678 ' || (CASE WHEN k % 7 = 0 THEN '901' ELSE '9012' END)
+  {_NL} (CASE k % 3 WHEN 0 THEN 'S/O: ' WHEN 1 THEN 'C/O: ' ELSE 'W/O: ' END) || {FATHER} {_NL} cast(k % 99 AS STRING) || ' Lake Road' {_NL} place {_NL} 'Pincode: ' || cast(400001 + k % 9000 AS STRING) AS text
+FROM (SELECT s_suppkey AS k, n_name AS place FROM supplier JOIN nation ON s_nationkey = n_nationkey) AS cards
 """
 
 #: Three engines read each form: one well, one that drops the third line, one that misreads digits.
