@@ -7,91 +7,91 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Document types in the order that decides ties, their fields, and
-# the labels printed beside a field. "!" marks a required field.
-_EMPLOYEE = """
-employee_name! Employee Name:
-employee_id! Employee ID:
-date_of_birth! Date of Birth:
-date_of_joining! Date of Joining:
-department Department:
-designation Designation:
-mobile_number! Mobile Number:
-email! Email:
-address Address:
-pincode Pincode:
-"""
-_FRONT = """
-aadhaar_number! Aadhaar Number: ; Aadhaar No: ; Aadhaar: ; आधार संख्या: ; आधार नंबर:
-vid VID: ; VID Number: ; Virtual ID: ; वीआईडी:
-name! Name: ; नाम:
-hindi_name Hindi Name: ; नाम: ; हिंदी नाम:
-date_of_birth Date of Birth: ; DOB: ; D.O.B: ; जन्म तिथि: ; जन्म तारीख:
-year_of_birth Year of Birth: ; YOB: ; जन्म वर्ष:
-gender! Gender: ; लिंग: ; Male ; Female ; पुरुष ; महिला
-"""
-_BACK = """
-aadhaar_number! Aadhaar Number: ; Aadhaar No: ; Aadhaar: ; आधार संख्या: ; आधार नंबर:
-vid VID: ; VID Number: ; Virtual ID: ; वीआईडी:
-relationship_label Father: ; S/O: ; C/O: ; W/O: ; Husband: ; पिता: ; पति: ; पत्नी: ; पुत्र: ; मार्फत:
-care_of C/O: ; Care Of: ; मार्फत:
-father_name Father: ; Father Name: ; S/O: ; पिता का नाम: ; पिता: ; पुत्र:
-husband_name Husband: ; Husband Name: ; W/O: ; पति का नाम: ; पति: ; पत्नी:
-hindi_relationship_label पिता: ; पति: ; पत्नी: ; पुत्र: ; मार्फत:
-hindi_care_of मार्फत:
-hindi_father_name पिता: ; पिता का नाम: ; पुत्र:
-hindi_husband_name पति: ; पति का नाम: ; पत्नी:
-address! Address: ; पता: ; आवासीय पता:
-hindi_address पता:
-hindi_address_lines पता:
-pincode! Pincode: ; PIN Code: ; PIN: ; Postal Code:
-"""
-_PAN = """
-pan_number! Permanent Account Number ; PAN ; PAN Number
-name! Name ; नाम
-hindi_name नाम
-father_name! Father's Name ; Father Name ; पिता का नाम
-hindi_father_name पिता का नाम
-date_of_birth! Date of Birth ; जन्म की तारीख
-signature_present Signature ; हस्ताक्षर
-card_issue_date_text Issue Date ; Card Issue Date
-"""
-_PASSBOOK = """
-bank_name! Bank ; Bank Name
-hindi_bank_name Bank
-branch_name! Branch
-branch_code Code ; Branch Code
-email Email
-phone Phone No. ; Phone
-micr MICR
-ifsc! IFSC
-account_holder! Name
-relationship_label S/D/H/o ; S/O ; D/O ; H/O
-father_name! S/D/H/o ; Father Name
-cif_number! CIF Number
-account_number! Account No. ; Account Number
-account_type! A/c Type ; Account Type
-address! Address
-mop MOP
-account_opened! A/c Opening Dt ; Account Opening Date
-nom_reg_no Nom Reg No ; Nomination Registration Number
-pan_number! Customer's PAN ; PAN
-date_of_issue! Date of Issue
-continuation CONTINUATION
-branch_manager_stamp_present Branch Manager ; शाखा प्रबंधक
-"""
-_INVOICE = """
-company! Company ; CASH SALES ; INVOICE ; TAX INVOICE ; Receipt
-date! Date ; Daie ; Invoice Date
-address! Address ; Jalan ; Taman ; Lot ; No.
-receipt_number Receipt No. ; Invoice No. ; Doc No. ; Slip No.
-subtotal Subtotal ; Sub-total ; Total Sales
-tax Tax ; GST ; Total Tax
-discount Discount ; Disc
-total! Total Sales ; Grand Total ; Amount ; Total ; CASH
-currency Currency ; RM ; MYR
-source_image Source Image
-"""
+# For each document type, in the order that decides ties, its fields, whether
+# one is required, and the labels printed beside it.
+_EMPLOYEE = [
+    ("employee_name", True, ["Employee Name:"]),
+    ("employee_id", True, ["Employee ID:"]),
+    ("date_of_birth", True, ["Date of Birth:"]),
+    ("date_of_joining", True, ["Date of Joining:"]),
+    ("department", False, ["Department:"]),
+    ("designation", False, ["Designation:"]),
+    ("mobile_number", True, ["Mobile Number:"]),
+    ("email", True, ["Email:"]),
+    ("address", False, ["Address:"]),
+    ("pincode", False, ["Pincode:"]),
+]
+_FRONT = [
+    ("aadhaar_number", True, ["Aadhaar Number:", "Aadhaar No:", "Aadhaar:", "आधार संख्या:", "आधार नंबर:"]),
+    ("vid", False, ["VID:", "VID Number:", "Virtual ID:", "वीआईडी:"]),
+    ("name", True, ["Name:", "नाम:"]),
+    ("hindi_name", False, ["Hindi Name:", "नाम:", "हिंदी नाम:"]),
+    ("date_of_birth", False, ["Date of Birth:", "DOB:", "D.O.B:", "जन्म तिथि:", "जन्म तारीख:"]),
+    ("year_of_birth", False, ["Year of Birth:", "YOB:", "जन्म वर्ष:"]),
+    ("gender", True, ["Gender:", "लिंग:", "Male", "Female", "पुरुष", "महिला"]),
+]
+_BACK = [
+    ("aadhaar_number", True, ["Aadhaar Number:", "Aadhaar No:", "Aadhaar:", "आधार संख्या:", "आधार नंबर:"]),
+    ("vid", False, ["VID:", "VID Number:", "Virtual ID:", "वीआईडी:"]),
+    ("relationship_label", False, ["Father:", "S/O:", "C/O:", "W/O:", "Husband:", "पिता:", "पति:", "पत्नी:", "पुत्र:", "मार्फत:"]),
+    ("care_of", False, ["C/O:", "Care Of:", "मार्फत:"]),
+    ("father_name", False, ["Father:", "Father Name:", "S/O:", "पिता का नाम:", "पिता:", "पुत्र:"]),
+    ("husband_name", False, ["Husband:", "Husband Name:", "W/O:", "पति का नाम:", "पति:", "पत्नी:"]),
+    ("hindi_relationship_label", False, ["पिता:", "पति:", "पत्नी:", "पुत्र:", "मार्फत:"]),
+    ("hindi_care_of", False, ["मार्फत:"]),
+    ("hindi_father_name", False, ["पिता:", "पिता का नाम:", "पुत्र:"]),
+    ("hindi_husband_name", False, ["पति:", "पति का नाम:", "पत्नी:"]),
+    ("address", True, ["Address:", "पता:", "आवासीय पता:"]),
+    ("hindi_address", False, ["पता:"]),
+    ("hindi_address_lines", False, ["पता:"]),
+    ("pincode", True, ["Pincode:", "PIN Code:", "PIN:", "Postal Code:"]),
+]
+_PAN = [
+    ("pan_number", True, ["Permanent Account Number", "PAN", "PAN Number"]),
+    ("name", True, ["Name", "नाम"]),
+    ("hindi_name", False, ["नाम"]),
+    ("father_name", True, ["Father's Name", "Father Name", "पिता का नाम"]),
+    ("hindi_father_name", False, ["पिता का नाम"]),
+    ("date_of_birth", True, ["Date of Birth", "जन्म की तारीख"]),
+    ("signature_present", False, ["Signature", "हस्ताक्षर"]),
+    ("card_issue_date_text", False, ["Issue Date", "Card Issue Date"]),
+]
+_PASSBOOK = [
+    ("bank_name", True, ["Bank", "Bank Name"]),
+    ("hindi_bank_name", False, ["Bank"]),
+    ("branch_name", True, ["Branch"]),
+    ("branch_code", False, ["Code", "Branch Code"]),
+    ("email", False, ["Email"]),
+    ("phone", False, ["Phone No.", "Phone"]),
+    ("micr", False, ["MICR"]),
+    ("ifsc", True, ["IFSC"]),
+    ("account_holder", True, ["Name"]),
+    ("relationship_label", False, ["S/D/H/o", "S/O", "D/O", "H/O"]),
+    ("father_name", True, ["S/D/H/o", "Father Name"]),
+    ("cif_number", True, ["CIF Number"]),
+    ("account_number", True, ["Account No.", "Account Number"]),
+    ("account_type", True, ["A/c Type", "Account Type"]),
+    ("address", True, ["Address"]),
+    ("mop", False, ["MOP"]),
+    ("account_opened", True, ["A/c Opening Dt", "Account Opening Date"]),
+    ("nom_reg_no", False, ["Nom Reg No", "Nomination Registration Number"]),
+    ("pan_number", True, ["Customer's PAN", "PAN"]),
+    ("date_of_issue", True, ["Date of Issue"]),
+    ("continuation", False, ["CONTINUATION"]),
+    ("branch_manager_stamp_present", False, ["Branch Manager", "शाखा प्रबंधक"]),
+]
+_INVOICE = [
+    ("company", True, ["Company", "CASH SALES", "INVOICE", "TAX INVOICE", "Receipt"]),
+    ("date", True, ["Date", "Daie", "Invoice Date"]),
+    ("address", True, ["Address", "Jalan", "Taman", "Lot", "No."]),
+    ("receipt_number", False, ["Receipt No.", "Invoice No.", "Doc No.", "Slip No."]),
+    ("subtotal", False, ["Subtotal", "Sub-total", "Total Sales"]),
+    ("tax", False, ["Tax", "GST", "Total Tax"]),
+    ("discount", False, ["Discount", "Disc"]),
+    ("total", True, ["Total Sales", "Grand Total", "Amount", "Total", "CASH"]),
+    ("currency", False, ["Currency", "RM", "MYR"]),
+    ("source_image", False, ["Source Image"]),
+]
 
 # Marks that end a form's last value.
 END_MARKS = ("Signature", "Applicant Signature", "Employee Signature")
@@ -115,32 +115,23 @@ FLAGS = ("signature_present", "branch_manager_stamp_present")
 LISTS = ("hindi_address_lines",)
 
 
-def _read(text: str) -> list[tuple[str, bool, list[str]]]:
-    out = []
-    for line in text.strip().split("\n"):
-        name, _, labels = line.partition(" ")
-        out.append((name.rstrip("!"), name.endswith("!"), [x.strip() for x in labels.split(" ; ")]))
-    return out
-
-
 def _full() -> list[tuple[str, bool, list[str]]]:
     """Both sides of the card: shared fields once, with the address required too."""
-    front, back = _read(_FRONT), _read(_BACK)
-    seen = {f[0] for f in front}
-    return front + [f for f in back if f[0] not in seen]
+    seen = {f for f, _, _ in _FRONT}
+    return _FRONT + [f for f in _BACK if f[0] not in seen]
 
 
 @cache
 def schemas() -> dict[str, list[tuple[str, bool, list[str]]]]:
     """Document type -> (field, required, labels) in order."""
     return {
-        "employee_form": _read(_EMPLOYEE),
+        "employee_form": _EMPLOYEE,
         "aadhaar_full": _full(),
-        "aadhaar_front": _read(_FRONT),
-        "aadhaar_back": _read(_BACK),
-        "pan_card": _read(_PAN),
-        "passbook": _read(_PASSBOOK),
-        "invoice": _read(_INVOICE),
+        "aadhaar_front": _FRONT,
+        "aadhaar_back": _BACK,
+        "pan_card": _PAN,
+        "passbook": _PASSBOOK,
+        "invoice": _INVOICE,
     }
 
 
