@@ -151,8 +151,11 @@ def pretokens(texts: list[str]) -> tuple[list[str], np.ndarray]:
 class Codec:
     """Encodes and decodes with a rank file; caches the merges of short pre-tokens."""
 
-    CACHED = 200_000
+    CACHED = 400_000
     SHORT_PIECE = 64
+    #: Pairs of tokens whose merge is remembered.
+    PAIRS = 1_000_000
+    NEVER = 1 << 62
 
     def __init__(self, path: str, pattern: str = PATTERN):
         if pattern != PATTERN:
@@ -166,6 +169,39 @@ class Codec:
         self.sizes = np.array([len(t) for t in self.tokens], np.int64)
         self.decimal = [str(i) for i in range(top)]
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.bytes = [self.ranks.get(bytes([b]), -1) for b in range(256)]
+        self.pairs: dict[int, int] = {}
+
+    def pair(self, a: int, b: int) -> int:
+        """The token that two neighbours make, NEVER if none."""
+        key = a << 32 | b
+        made = self.pairs.get(key)
+        if made is None:
+            if len(self.pairs) > self.PAIRS:
+                self.pairs.clear()
+            made = self.pairs[key] = self.ranks.get(self.tokens[a] + self.tokens[b], self.NEVER)
+        return made
+
+    def merge_short(self, piece: bytes) -> tuple[int, ...]:
+        """As ``merge``, for few bytes: the next merge is found by looking through all."""
+        whole = self.ranks.get(piece)
+        if whole is not None:
+            return (whole,)
+        ids = [self.bytes[b] for b in piece]
+        pair = self.pair
+        made = [pair(a, b) for a, b in zip(ids, ids[1:])]
+        while made:
+            low = min(made)
+            if low == self.NEVER:
+                break
+            i = made.index(low)
+            ids[i] = low
+            del ids[i + 1], made[i]
+            if i < len(made):
+                made[i] = pair(low, ids[i + 1])
+            if i:
+                made[i - 1] = pair(ids[i - 1], low)
+        return tuple(ids)
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one pre-token: the lowest-ranked neighbours merge first, the leftmost of equals."""
@@ -199,12 +235,15 @@ class Codec:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text."""
         pieces, counts = pretokens(texts)
-        known = self.cache
-        if len(known) > self.CACHED:
-            known.clear()
-        own: dict[str, tuple[int, ...]] = {}
-        for piece in set(pieces).difference(known):
-            (known if len(piece) <= self.SHORT_PIECE else own)[piece] = self.merge(piece.encode("utf-8", "surrogatepass"))
+        kinds = set(pieces)
+        if len(self.cache) > self.CACHED:  # what this slice needs stays
+            self.cache = {p: self.cache[p] for p in kinds.intersection(self.cache)}
+        known, own = self.cache, {}
+        for piece in kinds.difference(known):
+            if len(piece) <= self.SHORT_PIECE:
+                known[piece] = self.merge_short(piece.encode("utf-8", "surrogatepass"))
+            else:
+                own[piece] = self.merge(piece.encode("utf-8", "surrogatepass"))
         found = [known.get(p) or own[p] for p in pieces] if own else [known[p] for p in pieces]
         ids = np.fromiter(chain.from_iterable(found), np.int32)
         n = np.fromiter(map(len, found), np.int64, len(found))
