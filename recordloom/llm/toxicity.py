@@ -135,38 +135,50 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> Severity:
                     found = Counter([index[w] for w in features_of(words_of(text)) if w in index])
                     at.append(list(found))
                     values.append([1 + float(np.log(n)) for n in found.values()])
-                cols = [part.column("doc_id"), part.column("label"), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))]
+                cols = [part.column("doc_id"), part.column("label"), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "label", "at", "x"])
 
     # bounded: at most ``limit`` rows of features
-    rows = texts.mapInArrow(vectors, "doc_id long, label int, at array<int>, x array<double>").orderBy("doc_id", F.size("at")).toArrow()
+    rows = texts.mapInArrow(vectors, "doc_id long, label int, at array<int>, x array<float>").orderBy("doc_id", F.size("at")).toArrow()
     y = (rows.column("label").to_numpy() > 0).astype(int)
-    size = np.array([len(a) for a in rows.column("at").to_pylist()])
-    at = np.concatenate([np.asarray(a, int) for a in rows.column("at").to_pylist()] or [np.empty(0, int)])
-    x = np.concatenate([np.asarray(a, float) for a in rows.column("x").to_pylist()] or [np.empty(0)])
-    doc = np.repeat(np.arange(len(y)), size)
+    lists = rows.column("at").combine_chunks()
+    size = lists.value_lengths().to_numpy(zero_copy_only=False)
+    at = lists.flatten().to_numpy(zero_copy_only=False)
+    x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    del rows, lists
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), size)
     # of features that no text of the sample tells apart the first, the shortest, stands for all
-    sums = np.bincount(at, weights=x * np.random.default_rng(0).random(len(y))[doc], minlength=len(chosen))
+    sums = _sums(at, doc, x, np.random.default_rng(0).random(len(y)), len(chosen))
     alone = np.zeros(len(chosen), bool)
-    alone[np.unique(np.round(sums, 9), return_index=True)[1]] = True
-    doc, at, x = doc[alone[at]], at[alone[at]], x[alone[at]]
+    alone[np.unique(np.round(sums, 6), return_index=True)[1]] = True
+    own = alone[at]
+    doc, at, x = doc[own], at[own], x[own]
     # with one grade of toxic documents first: its scores say which are severe
     w, t = _growing(doc, at, x, 2 * y, len(chosen))
-    marks = np.bincount(doc, weights=x * w[at], minlength=len(y))
+    marks = _sums(doc, at, x, w, len(y))
     marked = marks[(y == 1) & (marks > 0)]
     grade = np.where(y == 0, 0, np.where(marks > (np.median(marked) if len(marked) else 0), 2, 1))
     w, t = _growing(doc, at, x, grade, len(chosen))
     return Severity({word: float(w[i]) for word, i in index.items() if w[i]}, (float(t[0]), float(t[1])))
 
 
+def _sums(to: np.ndarray, of: np.ndarray, x: np.ndarray, values: np.ndarray, size: int, step: int = 1 << 20) -> np.ndarray:
+    """For each of ``size`` targets the sum of x times the value of its source; in steps, so that little is copied at a time."""
+    out = np.zeros(size)
+    for i in range(0, len(to), step):
+        cut = slice(i, i + step)
+        out += np.bincount(to[cut], weights=x[cut] * values[of[cut]], minlength=size)
+    return out
+
+
 def _growing(doc: np.ndarray, at: np.ndarray, x: np.ndarray, grade: np.ndarray, width: int, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """The fit over all ``width`` features, by fits over those that would gain a weight against the prior."""
     n, whole = len(grade), np.zeros(width)
     t = np.array([np.log(max((grade == 0).sum(), 1) / max((grade > 0).sum(), 1)), 2.0])
     place, size = np.full(width, -1), 0
     while True:
-        d1, d2 = _slopes(np.bincount(doc, weights=x * whole[at], minlength=n), t, grade)
-        gain = -np.bincount(at, weights=x * (d1 + d2)[doc], minlength=width)
+        d1, d2 = _slopes(_sums(doc, at, x, whole, n), t, grade)
+        gain = -_sums(at, doc, x, d1 + d2, width)
         gain[place >= 0] = 0
         more = np.flatnonzero(gain > 1.02 * PRIOR)
         if not len(more):

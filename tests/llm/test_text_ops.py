@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 
 from recordloom.llm import byte_bpe, decontaminate, html_text, jaccard, line_dedup, simhash
 
@@ -131,6 +132,18 @@ def test_pipeline_drops_near_duplicates_by_shingles(spark):
     assert simhash.one_of_each(odd.limit(0), groups=jaccard.groups).count() == 0
 
 
+def test_keys_with_many_rows_are_joined_without_a_shuffle(spark):
+    from recordloom.llm import common
+
+    left = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(3000)], "k long, v long")
+    right = left.groupBy("k").count().withColumnRenamed("count", "n").where("k % 2 = 0").withColumn("w", F.col("k") + 1)
+    got = common.split_join(left, right, ["k"], "n")
+    assert got.columns == ["k", "v", "w"]
+    assert sorted(tuple(r) for r in got.collect()) == sorted((k, v, k + 1) for k, v in ((0 if i % 3 else i, i) for i in range(3000)) if k % 2 == 0)
+    assert common.split_join(left, right, ["k"], "n", semi=True).count() == got.count()
+    assert common.split_join(left, right.limit(0), ["k"], "n").count() == 0
+
+
 def test_one_of_each_keeps_columns_and_one_row(spark):
     rows = documents()
     docs = spark.createDataFrame([(d, t, f"k{i}") for i, (d, t) in enumerate(rows)], SCHEMA + ", key string")
