@@ -21,5 +21,6 @@ SQL: dict[str, str] = {
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op3_decontaminate": decontaminate.OP3_SQL,
     "op6_top_k": top_k.OP6_SQL,
+    "op7_warc": warc.OP7_SQL,
     "op8_chat": chat.OP8_SQL,
 }
