@@ -132,6 +132,35 @@ def test_pipeline_drops_near_duplicates_by_shingles(spark):
     assert simhash.one_of_each(odd.limit(0), groups=jaccard.groups).count() == 0
 
 
+@pytest.mark.parametrize("held, each", [(1 << 19, 1024), (3000, 50), (600, 50)])
+def test_crowded_groups_are_taken_apart(spark, monkeypatch, held, each):
+    monkeypatch.setattr(jaccard, "HELD", held)
+    monkeypatch.setattr(jaccard, "EACH", each)
+    rng = random.Random(11)
+    base = prose(rng, 150).split(" ")
+    rows = []
+    for i in range(160):  # one large group of near copies of growing length, partly alike
+        words = base[: rng.randint(60, 150)] + prose(rng, rng.randint(1, 30)).split(" ")
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(len(words))] = prose(rng, 1)
+        rows.append((i, " ".join(words)))
+    for i in range(160, 260):  # a chain, each text a shift of the one before
+        words = rows[-1][1].split(" ")[4:] + prose(rng, 4).split(" ")
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    own, labels = jaccard.groups(docs, "doc_id", "text")
+    assert sorted(r.rep.doc_id for r in labels.groupBy("root").agg(F.min("rep").alias("rep")).collect()) == first_of_alike(rows)
+    sets = spark.createDataFrame([(7, i, 1 + i * 5) for i in range(200)], "group long, fp long, size long")
+    cells = jaccard._blocks(sets.withColumnRenamed("group", "unit")).collect()
+    met = {}
+    for r in cells:
+        met.setdefault(r.group, set()).add(r.fp)
+    for a in range(200):
+        for b in range(a):
+            if 5 * (1 + b * 5) >= 4 * (1 + a * 5):
+                assert any({a, b} <= c for c in met.values())
+
+
 def test_keys_with_many_rows_are_joined_without_a_shuffle(spark):
     from recordloom.llm import common
 
