@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import grown, table, text_slices
+from .common import grown, table, text_slices, tidied
 
 #: The pattern that the machine stands for; another one is refused.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -151,10 +151,10 @@ def pretokens(texts: list[str]) -> tuple[list[str], np.ndarray]:
 class Codec:
     """Encodes and decodes with a rank file; caches the merges of short pre-tokens."""
 
-    CACHED = 400_000
+    CACHED = 200_000
     SHORT_PIECE = 64
     #: Pairs of tokens whose merge is remembered.
-    PAIRS = 1_000_000
+    PAIRS = 250_000
     NEVER = 1 << 62
 
     def __init__(self, path: str, pattern: str = PATTERN):
@@ -303,7 +303,7 @@ def encode(docs: DataFrame, text: str = "text", ranks: str = RANKS, ids: bool =
                 cols = [*(part.column(c) for c in kept), *(pa.array(made[w[0]], w[2]) for w in wanted)]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def decode(rows: DataFrame, ids: str = "ids", ranks: str = RANKS, name: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bare, grown, stored, table, text_slices, written
+from .common import bare, grown, stored, table, text_slices, tidied, written
 
 WINDOW = 13
 #: Test items that are read from the shared folder at a time.
@@ -193,7 +193,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, doc_text: str = "text",
                 cols = [part.column(c) for c in kept] + [pa.array(x, kind) for x, kind in zip(out, arrow)]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bare, grown, split_join, staged, table, text_key, text_slices
+from .common import bare, grown, split_join, staged, table, text_key, text_slices, tidied
 
 #: A repeated run of this many words or more is deleted from all but its first place.
 RUN_WORDS = 50
@@ -110,7 +110,7 @@ def _scan(docs: DataFrame, run_words: int) -> DataFrame:
                 cols += [pa.ListArray.from_arrays(offsets, pa.array(x, kind)) for x, kind in ((first, pa.int32()), (last, pa.int32()), (whole, pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "line", "mark", "first", "last", "run"])
 
-    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, line long, mark long, first array<int>, last array<int>, run array<long>")
+    return docs.select("doc_id", "key", "text").mapInArrow(tidied(run), "doc_id long, key long, line long, mark long, first array<int>, last array<int>, run array<long>")
 
 
 def repeated_lines(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
@@ -193,7 +193,7 @@ def drop_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
                     cols += [pa.array(n_lines, pa.int64()), pa.array(n_deleted, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidied(run), schema)
 
 
 def with_length(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:

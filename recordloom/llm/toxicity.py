@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import grown, staged, table, text_slices
+from .common import grown, staged, table, text_slices, tidied
 from .decontaminate import words_of
 
 #: Labelled documents that the model is fitted on, taken in order of a hash of their id.
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> Severity:
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "label", "at", "x"])
 
     # bounded: at most ``limit`` rows of features
-    rows = texts.mapInArrow(vectors, "doc_id long, label int, at array<int>, x array<float>").orderBy("doc_id", F.size("at")).toArrow()
+    rows = texts.mapInArrow(tidied(vectors), "doc_id long, label int, at array<int>, x array<float>").orderBy("doc_id", F.size("at")).toArrow()
     y = (rows.column("label").to_numpy() > 0).astype(int)
     lists = rows.column("at").combine_chunks()
     size = lists.value_lengths().to_numpy(zero_copy_only=False)
@@ -238,7 +238,7 @@ def score(docs: DataFrame, model: Severity, text: str = "text", keep_text: bool
                 cols = [*(part.column(c) for c in kept), pa.array(p.sum(axis=1)), pa.array(grade, pa.int32()), pa.array(grade > 0)]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def not_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
