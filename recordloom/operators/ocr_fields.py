@@ -171,6 +171,110 @@ def card_front(text: Column) -> Column:
     return F.when(card_number(text) != "", _record(values))
 
 
+# Words that begin an address or a relation.
+_HOUSE = r"(?iu)\b(?:Address|Father|Husband|S/O|W/O|C/O|Care\s*Of)\b"
+_SCRIPT_WORD = "पता:"
+_LINES = "array<string>"
+
+
+def _near_pincode(lines: Column, pin: Column) -> Column:
+    """The lines in print letters from four above the first with the pincode, or from the last label among them, to it."""
+
+    def window(at: Column) -> Column:
+        low = F.greatest(at - 4, F.lit(1))
+        block = F.slice(lines, low, at - low + 1)
+        marks = F.array_compact(F.transform(block, lambda x, i: F.when(x.rlike(_HOUSE), i + 1)))
+        return let(block, lambda b: F.slice(b, F.coalesce(F.array_max(marks), F.lit(1)), F.size(b)))
+
+    found = F.array_position(F.transform(lines, lambda x: x.contains(pin)), F.lit(True)).cast("int")
+    own = let(found, lambda at: F.when((pin != "") & (at > 0), window(at)).otherwise(F.array().cast(_LINES)))
+    return F.filter(own, lambda x: ~is_noise(x) & ~has_script(x))
+
+
+def _from_label(lines: Column, card: Column, pin: Column) -> Column:
+    """What follows the first label in print letters, through the first line with the pincode."""
+    state = lambda kept, on, over: F.struct(kept.alias("kept"), on.alias("on"), over.alias("over"))
+    bare = F.filter(F.transform(F.filter(lines, lambda x: ~is_noise(x) & ~has_script(x)), lambda x: F.trim(F.replace(x, card, F.lit("")))), lambda x: x != "")
+
+    def step(acc: Column, x: Column) -> Column:
+        said, last = F.trim(F.regexp_replace(x, r"(?iu).*?" + _HOUSE[5:] + r"\s*[:：-]?", "")), (pin != "") & x.contains(pin)
+        after = F.when(said != "", F.concat(acc["kept"], F.array(said))).otherwise(acc["kept"])
+        return (
+            F.when(acc["over"], acc)
+            .when(x.rlike(_HOUSE), state(after, F.lit(True), F.lit(False)))
+            .when(acc["on"] | last, state(F.concat(acc["kept"], F.array(x)), F.lit(True), last))
+            .otherwise(acc)
+        )
+
+    return F.aggregate(bare, state(F.array().cast(_LINES), F.lit(False), F.lit(False)), step)["kept"]
+
+
+def back_address(lines: Column, card: Column, pin: Column, rel: Column) -> Column:
+    """The address on a card's back: near the pincode, else from a label on; relations and the number taken out, the pincode once."""
+
+    def cleaned(x: Column) -> Column:
+        x = F.regexp_replace(x, r"(?iu)\bAddress\b\s*[:：-]?", "")
+        x = F.regexp_replace(x, r"(?iu)\b(?:Father|Husband|S/O|W/O|C/O|Care\s*Of)\b\s*[:：-]?\s*[A-Za-z .']+", "")
+        x = F.replace(x, card, F.lit(""))
+        x = F.when(rel["label"].isin("S/O", "W/O"), F.replace(x, rel["label"], F.lit(""))).otherwise(x)
+        x = F.replace(x, text_or_empty(rel["name"]), F.lit(""))
+        return squeeze(F.regexp_replace(F.replace(x, pin, F.concat(F.lit(" "), pin, F.lit(" "))), "[^A-Za-z0-9ऀ-ॿ ,.-]", " "))
+
+    near = _near_pincode(lines, pin)
+    own = let(near, lambda n: F.when(F.size(n) > 0, n).otherwise(_from_label(lines, card, pin)))
+    joined = F.array_join(F.array_distinct(F.filter(F.transform(own, cleaned), lambda x: (x != "") & ~is_noise(x))), " ")
+    parts = F.split(joined, F.concat(F.lit(r"(?<!\d)"), pin, F.lit(r"(?!\d)")), -1)
+    once = lambda ps: F.when(F.size(ps) > 1, F.concat(item(ps, 1), pin, F.array_join(F.slice(ps, F.lit(2), F.size(ps)), ""))).otherwise(item(ps, 1))
+    full = lambda a: F.when(a.contains(pin), a).otherwise(F.trim(F.concat_ws(" ", a, pin)))
+    return F.when(pin == "", joined).otherwise(let(let(parts, once), full))
+
+
+def back_script_lines(lines: Column, pin: Column) -> Column:
+    """Lines in script from that with the address word (told apart) through that with the pincode, each once."""
+    state = lambda kept, on, over: F.struct(kept.alias("kept"), on.alias("on"), over.alias("over"))
+    word = _SCRIPT_WORD[:-1]
+
+    def step(acc: Column, x: Column) -> Column:
+        last = (pin != "") & x.contains(pin)
+        wanted = (has_script(x) & ~is_noise(x)) | last
+        rest = script_only(F.regexp_replace(x, f".*?{word}\\s*[:：-]?", ""))
+        opened = F.concat(acc["kept"], F.array(F.lit(_SCRIPT_WORD)), F.when(rest != "", F.array(rest)).otherwise(F.array().cast(_LINES)))
+        kept = F.when(acc["on"] | last, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"])
+        return F.when(acc["over"] | ~wanted, acc).when(x.contains(word), state(opened, F.lit(True), F.lit(False))).otherwise(state(kept, acc["on"], last))
+
+    def add(acc: Column, x: Column) -> Column:
+        plain = squeeze(F.regexp_replace(x, "[^ऀ-ॿ0-9A-Za-z ,.-]", " "))
+        new = lambda c: F.when((c == "") | F.array_contains(acc, c), acc).otherwise(F.concat(acc, F.array(c)))
+        return F.when(x == _SCRIPT_WORD, F.concat(acc, F.array(x))).otherwise(let(plain, new))
+
+    own = F.aggregate(lines, state(F.array().cast(_LINES), F.lit(False), F.lit(False)), step)["kept"]
+    return F.aggregate(own, F.array().cast(_LINES), add)
+
+
+def card_back(text: Column) -> Column:
+    """map of a card's back fields, lines of the script address joined by line ends; null without a card number.
+
+    A null text gives null. A field that isn't found is empty.
+    """
+    known = F.struct(ocr_lines(text).alias("lines"), card_number(text).alias("card"), read_pincode(text).alias("pin"), relation(text).alias("rel"))
+
+    def made(k: Column) -> Column:
+        script, own = script_relation(k["lines"]), back_script_lines(k["lines"], k["pin"])
+        related = {f: F.when(k["rel"]["field"] == f, k["rel"]["name"]) for f in ("care_of", "father_name", "husband_name")}
+        in_script = {f: F.when(script["field"] == f, script["name"]) for f in ("hindi_care_of", "hindi_father_name", "hindi_husband_name")}
+        house = F.filter(own, lambda x: (x != _SCRIPT_WORD) & ~x.rlike("^(?:" + "|".join(SCRIPT_RELATIONS) + ")"))
+        values = {"aadhaar_number": k["card"], "vid": card_vid(text), "pincode": k["pin"], "address": back_address(k["lines"], k["card"], k["pin"], k["rel"])}
+        values |= {"relationship_label": k["rel"]["label"], **related, "hindi_relationship_label": script["label"], **in_script}
+        return F.when(k["card"] != "", _record(values | {"hindi_address": F.array_join(house, " "), "hindi_address_lines": F.array_join(own, "\n")}))
+
+    return let(known, made)
+
+
+def card(text: Column, path: Column) -> Column:
+    """map of the fields of the side that a card's text or file name shows; null without a card number."""
+    return F.when(card_side(text, path) == "aadhaar_back", card_back(text)).otherwise(card_front(text))
+
+
 def _record(values: dict[str, Column]) -> Column:
     return F.map_from_arrays(F.array(*[F.lit(f) for f in values]), F.array(*[text_or_empty(v) for v in values.values()]))
 
@@ -359,21 +463,83 @@ def nominee_number(text: Column) -> Column:
     return let(fold_digits(text), lambda t: first_of(*[group(t, p) for p in near], other(t)))
 
 
+# Words that end a name or an address, places that begin one, and a surname that is often misread.
+_NAME_END = r"\b(?:MOP|CIF|Account|A/c|Address|Nom|Customer|Date|PAN)\b"
+_PLACE_END = r"\b(?:MOP|A/c\s*Opening|Nom\s*Reg|Customer'?s\s*PAN|Date\s*of\s*Issue|CONTINUATION|Branch\s*Manager)\b"
+_PLACES = r"\b(?:Lake|Road|Nagar|Street|Tamil|Kerala|Gujarat|Chennai|Kochi|Ahmedabad)\b"
+_SURNAME = "Iyer"
+
+
+def edged(value: Column) -> Column:
+    """White space collapsed; blanks, colons, bars, dashes and points trimmed."""
+    return F.regexp_replace(squeeze(value), r"^[ :\-|.]+|[ :\-|.]+$", "")
+
+
 def holder_name(value: Column) -> Column:
     """A name up to the next label: letters only, one misread surname repaired."""
-    cut = F.regexp_replace(value, rf"(?isu)\b(?:{_STOPS}).*$", "")
-    return F.regexp_replace(squeeze(F.regexp_replace(cut, "[^A-Za-z .]", " ")), r"\blyer\b", "Iyer")
+    cut = F.regexp_replace(edged(value), rf"(?isu){_NAME_END}.*$", "")
+    return F.regexp_replace(squeeze(F.regexp_replace(cut, "[^A-Za-z .']", " ")), r"(?iu)\blyer\b", _SURNAME)
+
+
+def _titled(value: Column) -> Column:
+    """Every run of letters with a capital."""
+    return F.array_join(F.transform(F.regexp_extract_all(value, F.lit("[A-Za-z]+|[^A-Za-z]+"), F.lit(0)), lambda x: F.initcap(F.lower(x))), "")
+
+
+def _whole(name: Column) -> Column:
+    """The name if it has two words."""
+    return F.when(F.size(F.split(name, " ")) >= 2, name).otherwise("")
+
+
+def holder(body: Column, lines: Column) -> Column:
+    """The labelled name, else that of the first line that greets, or of the line after a bare greeting."""
+    greet = r"(?iu)\b(?:Mr|Ms|Mrs)\.?\s+[A-Za-z]"
+
+    def greeted(x: Column, i: Column) -> Column:
+        after = F.when(x.rlike(r"(?iu)^(?:Mr|Ms|Mrs)\.?$"), _whole(holder_name(F.concat_ws(" ", x, item(lines, i + 2)))))
+        return first_of(after, F.when(x.rlike(greet), _whole(holder_name(x))))
+
+    own = holder_name(labelled(body, r"\bName\b", _STOPS))
+    found = item(F.filter(F.transform(lines, greeted), lambda x: x != ""), 1)
+    return let(own, lambda o: first_of(_whole(o), found, o))
+
+
+def holder_father(body: Column, lines: Column) -> Column:
+    """The labelled name, else that within three lines below a relation, else two lines that make the surname's bearer."""
+    label, stop = r"S\s*/\s*D\s*/\s*H\s*/?\s*o|S/D/H/o|Father(?:\s+Name)?", r"CIF|Account|A/c|Address|MOP|Nom|Customer'?s\s*PAN|Date\s*of\s*Issue"
+    below = lambda x, i: F.when(x.rlike(r"(?iu)S\s*/\s*D\s*/\s*H|S/O|D/O|8/0"), _whole(_titled(holder_name(F.array_join(F.slice(lines, i + 2, F.lit(3)), " "))))).otherwise("")
+    joined = lambda x, i: F.when(i + 1 < F.size(lines), _titled(holder_name(F.concat_ws(" ", x, item(lines, i + 2))))).otherwise("")
+    bearer = F.filter(F.transform(lines, joined), lambda x: x.rlike("^[A-Z][A-Za-z]+ [A-Z][A-Za-z]+$") & x.contains(_SURNAME))
+    own = _titled(holder_name(labelled(body, label, stop)))
+    return let(own, lambda o: first_of(_whole(o), item(F.filter(F.transform(lines, below), lambda x: x != ""), 1), item(bearer, 1), o))
+
+
+def house(value: Column) -> Column:
+    """An address up to the next label, of letters, digits and few signs."""
+    return squeeze(F.regexp_replace(F.regexp_replace(edged(value), rf"(?isu){_PLACE_END}.*$", ""), "[^A-Za-z0-9 ,.-]", " "))
+
+
+def holder_address(body: Column, lines: Column) -> Column:
+    """The labelled address, else the first line of a place, with the pincode's line if that is one of the next two."""
+    folded = F.transform(lines, fold_digits)
+    own = house(labelled(body, r"\bAddress\b", _PLACE_END[4:-3]))
+
+    def bare(ls: Column) -> Column:
+        at = F.array_position(F.transform(ls, lambda x: x.rlike("(?iu)" + _PLACES)), F.lit(True)).cast("int")
+        pinned = lambda a: item(F.filter(F.slice(ls, a + 1, F.lit(2)), lambda x: x.rlike(r"(?<!\d)[1-9]\d{5}(?!\d)")), 1)
+        return let(at, lambda a: F.when(a > 0, house(F.concat_ws(" ", item(ls, a), pinned(a)))).otherwise(""))
+
+    return first_of(own, let(folded, bare))
 
 
 def passbook(text: Column) -> Column:
     """map of a passbook's fields; null for a text without any word of an account."""
     lines = ocr_lines(text)
     body = F.array_join(lines, "\n")
+    trimmed = F.filter(F.transform(lines, edged), lambda x: x != "")
     digits = lambda p: group(fold_digits(body), "(?iu)" + p)
     day = r"([0-9]{1,2}[/-][0-9]{1,2}[/-](?:19|20)[0-9]{2})"
-    holder = holder_name(labelled(body, r"\bName\b", _STOPS))
-    father = F.initcap(F.lower(holder_name(labelled(body, r"S\s*/\s*D\s*/\s*H\s*/?\s*o|S/D/H/o|Father(?:\s+Name)?", r"CIF|Account|A/c|Address|MOP|Nom|Customer'?s\s*PAN|Date\s*of\s*Issue"))))
-    place = labelled(body, r"\bAddress\b", r"MOP|A/c\s*Opening|Nom\s*Reg|Customer'?s\s*PAN|Date\s*of\s*Issue|CONTINUATION|Branch\s*Manager")
+    name = holder(body, trimmed)
     kind = labelled(body, r"A/c\s*Type|Account\s*Type", r"Address|MOP|A/c\s*Opening|Nom|Customer'?s\s*PAN|Date\s*of\s*Issue")
     mode = labelled(body, r"\bMOP\b", r"A/c\s*Opening|Nom|Customer'?s\s*PAN|Date\s*of\s*Issue")
     values = {
@@ -385,13 +551,13 @@ def passbook(text: Column) -> Column:
         "phone": digits(r"\bPhone\s*No\.?\s*[:：]\s*(0?\d{7,12})"),
         "micr": digits(r"\bMICR\s*[:：]?\s*([0-9]{9})"),
         "ifsc": branch_ifsc(body),
-        "account_holder": holder,
-        "relationship_label": F.when(body.rlike(r"(?iu)\bD/O\b"), "D/O").when(body.rlike(r"(?iu)\bS/O\b"), "S/O").when(F.lower(holder).startswith("mr"), "S/O").when(F.lower(holder).startswith("ms"), "D/O").otherwise(""),
-        "father_name": father,
+        "account_holder": name,
+        "relationship_label": F.when(body.rlike(r"(?iu)\bD/O\b"), "D/O").when(body.rlike(r"(?iu)\bS/O\b"), "S/O").when(F.lower(name).startswith("mr"), "S/O").when(F.lower(name).startswith("ms"), "D/O").otherwise(""),
+        "father_name": holder_father(body, trimmed),
         "cif_number": customer_number(body),
         "account_number": first_of(F.replace(digits(r"\bAccount\s*No\.?\s*[:：]?\s*([0-9][0-9 ]{8,22})"), F.lit(" "), F.lit("")), account_run(body)),
         "account_type": F.upper(first_of(kind, F.when(body.rlike(r"(?iu)SAVINGS\s+BANK\s+ACCOUNT"), "REGULAR SAVINGS BANK ACCOUNT").otherwise(""))),
-        "address": squeeze(F.regexp_replace(place, "[^A-Za-z0-9 ,.-]", " ")),
+        "address": holder_address(body, trimmed),
         "mop": F.upper(first_of(mode, F.when(body.rlike(r"(?iu)\bSINGLE\b"), "SINGLE").otherwise(""))),
         "account_opened": first_of(digits(r"A/c\s*Opening\s*Dt\s*[:：]?\s*" + day), item(day_runs(body), 1)),
         "nom_reg_no": nominee_number(body),

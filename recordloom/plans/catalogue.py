@@ -316,6 +316,41 @@ def read_cards(spark, sf_dir):
     return _read(spark, sf_dir, "aadhaar_full", ocr_fields.card_front, "aadhaar_number gender date_of_birth name vid hindi_name year_of_birth")
 
 
+_SIDES = {
+    "pincode": "cast(400001 + k % 9000 AS STRING)",
+    "address": f"cast(k % 99 AS STRING) || ' Lake Road ' || replace({_PLACE}, '_', ' ') || ' Pincode ' || cast(400001 + k % 9000 AS STRING)",
+    "relationship_label": "CASE k % 3 WHEN 0 THEN 'S/O' WHEN 1 THEN 'C/O' ELSE 'W/O' END",
+    "father_name": f"CASE WHEN k % 3 = 0 THEN {forms.FATHER} ELSE '' END",
+    "care_of": f"CASE WHEN k % 3 = 1 THEN {forms.FATHER} ELSE '' END",
+    "husband_name": f"CASE WHEN k % 3 = 2 THEN {forms.FATHER} ELSE '' END",
+    "hindi_address": "'Pincode ' || cast(400001 + k % 9000 AS STRING)",
+    "hindi_address_lines": "'Pincode ' || cast(400001 + k % 9000 AS STRING)",
+} | {f: "''" for f in ("hindi_relationship_label", "hindi_father_name", "hindi_care_of", "hindi_husband_name")}
+
+
+@query(f"""WITH {forms.WITH} SELECT doc_id, CASE WHEN k % 2 = 0 THEN 'aadhaar_front' ELSE 'aadhaar_back' END AS type, {_NO_CARD.format("cast(1000 + k % 9000 AS STRING) || ' 5678 9012'", 'aadhaar_number')},
+  CASE WHEN k % 7 > 0 AND k % 2 = 0 THEN CASE WHEN k % 5 = 0 THEN 'MALE' ELSE 'FEMALE' END END AS gender,
+  {", ".join(f"CASE WHEN k % 7 > 0 AND k % 2 = 1 THEN {value} END AS {f}" for f, value in _SIDES.items())} FROM forms WHERE family = 'aadhaar_full'""")
+def read_card_sides(spark, sf_dir):
+    """These cards show both sides alike, so the file's name decides; a line with the pincode counts as script."""
+    rows = forms.forms(spark, sf_dir).where("family = 'aadhaar_full'").withColumn("path", F.when(F.col("k") % 2 == 0, "a/x_front.png").otherwise("a/x_back.png"))
+    rows = rows.withColumn("values", ocr_fields.card(F.col("text"), F.col("path")))
+    fields = ["aadhaar_number", "gender", *_SIDES]
+    return rows.select("doc_id", ocr_fields.card_side(F.col("text"), F.col("path")).alias("type"), *[F.try_element_at("values", F.lit(f)).alias(f) for f in fields])
+
+
+@query(f"""WITH {forms.WITH} SELECT doc_id, CASE WHEN k % 2 = 0 THEN 'Mr ' ELSE 'Ms ' END || upper({forms.PERSON}) AS account_holder, {forms.FATHER} AS father_name, 'S/O' AS relationship_label,
+  cast(k % 99 AS STRING) || ' Lake Road ' || replace({_BRANCH}, '_', ' ') || CASE WHEN k % 3 = 0 THEN ' 600004' ELSE '' END AS address FROM forms WHERE family = 'passbook'""")
+def read_bare_passbooks(spark, sf_dir):
+    """Passbooks without the labels of names and address: greetings, relations and places tell them."""
+    rows = forms.forms(spark, sf_dir).where("family = 'passbook'")
+    text = F.replace(F.replace("text", F.lit("S/D/H/o: "), F.lit("S/O\n")), F.lit("Address: "), F.lit(""))
+    text = F.replace(text, F.lit("Name: "), F.when(F.col("k") % 2 == 0, "Mr.\n").otherwise("Ms "))
+    text = F.replace(text, F.lit("MOP: "), F.when(F.col("k") % 3 == 0, "600004 MOP: ").otherwise("MOP: "))
+    rows = rows.withColumn("values", ocr_fields.passbook(text))
+    return rows.select("doc_id", *[F.try_element_at("values", F.lit(f)).alias(f) for f in ("account_holder", "father_name", "relationship_label", "address")])
+
+
 @query()
 def extract_fields(spark, sf_dir):
     """Every field of every form: classified, sliced and overlaid, in long form."""
