@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import schemas
+from ..operators import classify, schemas, validate
 
 
 def model_list(setting: Column, default: list[str]) -> Column:
@@ -32,3 +32,18 @@ def json_object(raw: Column) -> Column:
 def projected(fields: Column, keys: Column) -> Column:
     """``fields`` cut to ``keys``; missing and null ones are empty."""
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.coalesce(F.try_element_at(fields, k), F.lit(""))))
+
+
+def results(responses: DataFrame) -> DataFrame:
+    """``responses`` (type, path, raw) as validated records: the type's own fields, sure of the type.
+
+    A response without a JSON object gives empty fields. A receipt that names
+    no source image takes the file's name. Unknown types have null values.
+    """
+    keys = F.create_map(*[x for t, own in schemas.schemas().items() for x in (F.lit(t), F.array(*[F.lit(f) for f, _, _ in own]))])
+    own = projected(F.coalesce(json_object(F.col("raw")), F.create_map().cast("map<string,string>")), F.try_element_at(keys, F.col("type")))
+    rows = classify.forced(responses, F.col("type")).withColumn("values", own)
+    name, unnamed = F.element_at(F.split("path", "/"), -1), F.coalesce(F.trim(F.try_element_at("values", F.lit("source_image"))), F.lit("")) == ""
+    others = F.map_filter("values", lambda k, v: k != "source_image")
+    filled = F.when((F.col("type") == "invoice") & unnamed, F.map_concat(others, F.create_map(F.lit("source_image"), name))).otherwise(F.col("values"))
+    return validate.summary(rows.withColumn("values", filled))

@@ -29,6 +29,29 @@ def final_json(values: str = "values", verdicts: Column | None = None) -> Column
     return F.to_json(F.struct(extracted.alias("extracted_output"), F.struct(counts.alias("summary"), results.alias("field_results")).alias("validation")))
 
 
+def response(values: str = "values", attempts: Column | None = None, deleted: Column | None = None, output: Column | None = None) -> Column:
+    """One JSON text of a validated reading as a caller of the service gets it: record, verdicts, engine, attempts."""
+    counts = F.struct("total_fields", "valid_fields", "invalid_fields", "warnings", "ready", "review", "note")
+    results = validate.verdicts(F.col("type"), F.col(values))
+    return F.to_json(
+        F.struct(
+            F.element_at(F.split("path", "/"), -1).alias("file_name"),
+            "file_type",
+            F.col("type").alias("document_type"),
+            "confidence_percent",
+            "confidence_level",
+            F.col(values).alias("fields"),
+            F.struct(counts.alias("summary"), results.alias("field_results")).alias("validation"),
+            F.coalesce("text", F.lit("")).alias("raw_text"),
+            F.coalesce("engine", F.lit("unknown")).alias("extraction_engine"),
+            F.coalesce("method", F.lit("unknown")).alias("extraction_method"),
+            (F.array().cast("array<string>") if attempts is None else attempts).alias("extraction_attempts"),
+            (F.lit(False) if deleted is None else deleted).alias("uploaded_file_deleted"),
+            (F.lit("") if output is None else output).alias("output_path"),
+        )
+    )
+
+
 def reviewed(edits: DataFrame, values: str = "values") -> DataFrame:
     """Corrected records (file_name, type, values) validated again and stamped; unknown types are not sure at all."""
     rows = validate.summary(classify.forced(edits, F.col("type")), values)
