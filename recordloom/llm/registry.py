@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, decontaminate, html_text, line_dedup, quality, simhash, top_k, toxicity, warc
+from . import byte_bpe, chat, collocation, decontaminate, html_text, line_dedup, quality, sharding, simhash, spelling, top_k, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_chat": chat.op8_chat,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality": quality.op10_quality,
+    "op11_collocations": collocation.op11_collocations,
+    "op12_spelling": spelling.op12_spelling,
+    "op13_sharding": sharding.op13_sharding,  # [native]: built-in functions alone
 }
 
 SQL: dict[str, str] = {
@@ -23,4 +26,7 @@ SQL: dict[str, str] = {
     "op6_top_k": top_k.OP6_SQL,
     "op7_warc": warc.OP7_SQL,
     "op8_chat": chat.OP8_SQL,
+    "op11_collocations": collocation.OP11_SQL,
+    "op12_spelling": spelling.OP12_SQL,
+    "op13_sharding": sharding.OP13_SQL,
 }
