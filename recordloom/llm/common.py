@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -40,11 +41,22 @@ def shared_dir(spark: SparkSession) -> str:
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="recordloom-")
             spark.sparkContext.setCheckpointDir(base)
-        _FOLDERS[app] = f"{base.rstrip('/')}/recordloom-{app}"
+        _FOLDERS[app] = f"{qualified(spark, base).rstrip('/')}/recordloom-{app}"
         atexit.register(clear_shared, spark)
     return _FOLDERS[app]
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and authority of its file system.
+
+    A path without a scheme means Hadoop's default file system to Spark, but
+    the local disk to readers inside a task, so both get the same full name.
+    """
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return re.sub("^file:/+", "file:///", full)
+
+
 def clear_shared(spark: SparkSession) -> None:
     """Delete what this run has staged. Results read from it must be saved first."""
     try:
@@ -99,6 +111,12 @@ def split_join(left: DataFrame, right: DataFrame, on: list[str], n: str, semi: b
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of ``sf_dir``.
+
+    Where the session has Spark's default of 10,000 rows for an Arrow batch,
+    this sets it to BATCH_ROWS, and it stays so: texts are long, and a batch is
+    made when the lazy result runs. A size that the session has set is kept.
+    """
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(rows) == "10000":
         spark.conf.set(rows, BATCH_ROWS)

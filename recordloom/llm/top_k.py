@@ -36,6 +36,8 @@ TILE = 1024
 SEEDS = 1024
 #: After TRIED tiles, a level that leaves more than this share of the work is passed over.
 TRIED, USEFUL = 8, 0.8
+#: Lengths whose seeds are drawn by their own number of vectors; rarer lengths by that of all vectors.
+LENGTHS = 256
 #: Axes by whose signs vectors are ordered.
 AXES = 12
 #: Pairs that are scored by themselves at a time.
@@ -212,13 +214,28 @@ class Seeds:
             self.sides[d] = Side(t.column("row").to_numpy(), t.column("vec_id").to_numpy(), v, turn), turn
 
     def turn(self, d: int) -> np.ndarray:
-        return self.sides[d][1]
+        return self.sides[d][1] if d in self.sides else np.eye(d)
 
 
 def _side(batch: pa.RecordBatch, d: int, turn: np.ndarray) -> Side:
     return Side(batch.column("row").to_numpy(), batch.column("vec_id").to_numpy(), _matrix(batch.column("v"), d), turn)
 
 
+def drawn(rows: DataFrame) -> DataFrame:
+    """``rows`` (vec_id, row, d, v) of which about twice SEEDS of each length are left.
+
+    Rows stay by a hash, so this is a filter in the scan: no vector is moved.
+    The rate of a length is that of its number of rows, counted for the LENGTHS
+    most frequent; others, if there are more, share the rate of the whole.
+    """
+    n = rows.groupBy("d").count().orderBy(F.col("count").desc(), "d").limit(LENGTHS).collect()
+    if not n:
+        return rows
+    rest = rows.count() if len(n) == LENGTHS else sum(r["count"] for r in n)
+    many = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for r in n for x in (r["d"], r["count"])]), F.col("d")), F.lit(rest))
+    return rows.where(F.pmod(F.xxhash64("vec_id", "row"), F.lit(1 << 32)) * many <= F.lit(2 * SEEDS << 32))
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` best of ``vectors`` for each of ``queries``.
 
@@ -240,8 +257,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         asked = queries.select("vec_id", "v", F.size("v").alias("d"), (-1 - F.monotonically_increasing_id()).alias("row"))
     else:
         asked = rows.where(queries)
-    mixed = Window.partitionBy("d").orderBy(F.xxhash64("vec_id", "row"), "row")
-    seeds = written(rows.withColumn("r", F.row_number().over(mixed)).where(F.col("r") <= SEEDS).drop("r"), "topk-seeds")
+    mixed = Window.partitionBy("d").orderBy(F.pmod(F.xxhash64("vec_id", "row"), F.lit(1 << 32)), "row")
+    seeds = written(drawn(rows).withColumn("r", F.row_number().over(mixed)).where(F.col("r") <= SEEDS).drop("r"), "topk-seeds")
 
     def first(batches):
         """Queries with the k-th best score among the seeds, or the least long."""
