@@ -11,7 +11,9 @@ What HTML says is no text of the article (menus, footers, form controls ...)
 takes no part. Elements whose class, id or role is the name of such a thing, and
 forms, are left out only where the densities agree: not around an article or
 main, and not around the densest subtree where what is left without them is far
-less dense.
+less dense. Where such a name is only part of another (``comment-list`` is a
+list of comments, ``related-work`` is not), the element must also have far fewer
+characters for each tag than the rest of the article.
 """
 
 from __future__ import annotations
@@ -64,10 +66,16 @@ OTHER_NAMES = frozenset(
     " social share sharing sharebar related recommended recommendations trending comment comments commentlist disqus reply replies respond"
     " widget pagination pager login search form complementary contentinfo alertdialog hidden invisible".split()
 )
-
+# Words that say no more than that something is a part of a page, or whose.
+AROUND_NAMES = frozenset(
+    "area bar block body box bottom card container content footer global group holder inner item items left links list main outer page panel posts reader readers"
+    " region right row section site slot stories thread top unit user users view wrap wrapper zone".split()
+)
 
 #: Names are believed unless what they leave has less than this share of the largest sum of densities.
 BELIEVED = 0.25
+#: An element with such a word in its name goes if it has less than this share of the article's characters for each tag.
+SPARSE = 0.5
 #: A node with this share of its characters in this many links or more is a menu, below the threshold.
 MENU_SHARE, MENU_LINKS = 0.8, 3
 
@@ -82,6 +90,7 @@ class Page:
         self.runs: list[tuple[int, int, str, bool]] = []  # node, block, text, in a link
         self.main = [False]
         self.named = [False]  # a form, or named as something beside the article
+        self.hinted = [False]  # with the name of such a thing as part of its own
         stack: list[tuple[str, int, bool]] = [("body", 0, False)]  # name, node, in a link
         known: set[str] = set()  # names that were opened at all
         block = at = 0
@@ -124,12 +133,16 @@ class Page:
             own = attributes(m[4]) if "=" in m[4] or "hidden" in m[4] else {}
             self.main.append(self.main[node] or name in ("article", "main") or own.get("role", "").lower() == "main")
             self.out.append(self.out[node] or name in LEFT_OUT or (name == "header" and not self.main[node]) or _hidden(own))
-            self.named.append(name == "form" or _other(own, re.fullmatch("h[1-6]", name) is not None))
+            said = _other(own, re.fullmatch("h[1-6]", name) is not None)
+            self.named.append(name == "form" or said == 2)
+            self.hinted.append(said == 1 and name not in ("article", "main"))
             stack.append((name, len(self.tag) - 1, linked))
         if at < len(source):
             self.runs.append((stack[-1][1], block, source[at:], stack[-1][2]))
         if any(self.named):
             self._leave_out()
+        if any(self.hinted):
+            self._leave_out_sparse()
 
     def _leave_out(self) -> None:
         """Named elements go, but not those that hold the article or, where names leave little, the densest subtree."""
@@ -151,6 +164,31 @@ class Page:
                 around = set(densest.path)
                 self._without([i not in around for i in range(n)], plain)
 
+    def _leave_out_sparse(self) -> None:
+        """Elements whose name only hints at something else go where they are sparse beside the article."""
+        d, n = Densities(self), len(self.tag)
+        if not d.blocks:
+            return
+        around = next((i for i in d.path if self.tag[i] in ("article", "main")), d.best)
+        inside, path, gone = [i == around for i in range(n)], set(d.path), [False] * n
+        chars, tags = d.chars[around] - d.linked[around], d.tags[around]
+        hinted = []
+        for i in range(1, n):
+            inside[i] = inside[i] or inside[self.parent[i]]
+            gone[i] = gone[self.parent[i]]  # here: below one that is hinted at already
+            if self.hinted[i] and not gone[i] and i not in path and not self.out[i]:
+                gone[i] = True
+                hinted.append(i)
+                if inside[i]:
+                    chars, tags = chars - d.chars[i] + d.linked[i], tags - d.tags[i] - 1
+        dense = chars / max(tags, 1.0)
+        gone = [False] * n
+        for i in hinted:
+            gone[i] = (d.chars[i] - d.linked[i]) / max(d.tags[i], 1.0) < SPARSE * dense
+        for i in range(1, n):
+            gone[i] = gone[i] or gone[self.parent[i]]
+            self.out[i] = self.out[i] or gone[i]
+
     def _without(self, may_go: list[bool], plain: list[bool]) -> None:
         for i in range(1, len(self.tag)):
             self.out[i] = plain[i] or self.out[self.parent[i]] or (self.named[i] and may_go[i])
@@ -207,8 +245,10 @@ class Page:
         threshold = min(d.density[i] for i in d.path)
         root = next((i for i in d.path if self.tag[i] in ("article", "main")), None)
         if root is not None:
-            # an article says itself where it ends
-            keep = [i == root for i in range(n)]
+            # an article says itself where it ends; others beside it belong to it
+            p = self.parent[root]
+            keep = [i == root or (self.tag[i] == self.tag[root] == "article" and self.parent[i] == p) for i in range(n)]
+            self._title(keep, root, d)
         else:
             # the subtree, and what reaches the threshold beside it, with headings
             near = {self.parent[d.best], d.best}
@@ -219,11 +259,31 @@ class Page:
             if d.best == 0 and not any(keep[1:]):
                 keep[0] = True
         on_path = set(d.path)
+        menus = [d.density[i] < threshold and d.anchors[i] >= MENU_LINKS and d.linked[i] >= MENU_SHARE * d.chars[i] and i not in on_path for i in range(n)]
+        if root is not None:
+            menus = self._leading(menus, keep, d)
         for i in range(1, n):
-            menu = d.density[i] < threshold and d.anchors[i] >= MENU_LINKS and d.linked[i] >= MENU_SHARE * d.chars[i] and i not in on_path
-            keep[i] = (keep[i] or keep[self.parent[i]]) and not menu
+            keep[i] = (keep[i] or keep[self.parent[i]]) and not menus[i]
         return "\n\n".join([text for node, text, _ in d.blocks if keep[node]])
 
+    def _title(self, keep: list[bool], root: int, d: Densities) -> None:
+        """A heading right above an article that has no h1 of its own is its title."""
+        within, above = list(keep), 0
+        for i in range(1, len(keep)):
+            within[i] = within[i] or within[self.parent[i]]
+            if self.parent[i] == self.parent[root] and i < root and not self.out[i] and d.chars[i]:
+                above = i
+        if above and self.tag[above] in ("h1", "hgroup") and not any(t == "h1" and w and not o for t, w, o in zip(self.tag, within, self.out)):
+            keep[above] = True
+
+    def _leading(self, menus: list[bool], keep: list[bool], d: Densities) -> list[bool]:
+        """Lists of links in an article are menus where they come before all of its text but headings; else they are part of it."""
+        within, below = list(keep), list(menus)
+        for i in range(1, len(menus)):
+            within[i], below[i] = within[i] or within[self.parent[i]], below[i] or below[self.parent[i]]
+        first = next((node for node, text, linked in d.blocks if within[node] and not below[node] and not re.fullmatch("h[1-6]", self.tag[node]) and 2 * linked < len(text)), 0)
+        return [m and i < first for i, m in enumerate(menus)]
+
 
 class Densities:
     """Composite text densities of a page's nodes, and the node whose children's have the largest sum."""
@@ -276,9 +336,25 @@ def attributes(raw: str) -> dict[str, str]:
     return out
 
 
-def _other(own: dict[str, str], heading: bool = False) -> bool:
-    """Whether a class, id or role is the name of something beside the article; ids of headings are anchors."""
-    return any(not OTHER_NAMES.isdisjoint(own[name].lower().split()) for name in ("class", "role", *(() if heading else ("id",))) if name in own)
+def _other(own: dict[str, str], heading: bool = False) -> int:
+    """2 if a class, id or role is the name of something beside the article, 1 if part of one is; ids of headings are anchors.
+
+    A name of several parts is such a name if its other parts say nothing else.
+    """
+    found = 0
+    for name in ("class", "role", *(() if heading else ("id",))):
+        for word in own.get(name, "").split():
+            if word.lower() in OTHER_NAMES:
+                return 2
+            parts = [x.lower() for x in _PARTS.findall(word)]
+            others = [x in OTHER_NAMES for x in parts]
+            if any(others):
+                found = max(found, 2 if all(o or x in AROUND_NAMES for o, x in zip(others, parts)) and len(parts) > 1 else 1)
+    return found
+
+
+#: Parts of a name: between marks and digits, and from one capital to the next.
+_PARTS = re.compile("[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
 def _hidden(own: dict[str, str]) -> bool:

@@ -392,6 +392,44 @@ def test_html_keeps_articles_whatever_surrounds_them():
     assert html_text.main_text("<p " + "a=' " * 50_000) == "" and html_text.main_text("<p" + " b" * 50_000 + ">x") == "x"
 
 
+def test_html_names_go_by_their_parts_where_density_agrees():
+    words = "Long plain text of the article goes on and on here. " * 4
+    text = words.strip()
+    for name, other in (
+        ("comment-list", "<ul><li>Reader says nice<li>Me too</ul>"),
+        ("reader-comments", f"<p>{words}</p><p>{words}</p>"),
+        ("cookie-banner", "<p>We use cookies</p>"),
+        ("cookieNotice", "We use cookies"),
+        ("site-footer", "<p>All rights reserved</p>"),
+        ("ad-slot", "Buy now"),
+        ("js-newsletter_v2", "<p>Sign up</p><p>now</p>"),
+    ):
+        for page in (
+            f'<article><p>{words}</p><div class="{name}">{other}</div><p>{words}</p></article>',
+            f'<main><div id="{name}">{other}</div><p>{words}</p><p>{words}</p></main>',
+            f'<div><p>{words}</p><p>{words}</p><section class="x {name}">{other}</section></div>',
+        ):
+            assert html_text.main_text(page) == f"{text}\n\n{text}", page
+    for name in ("related-work", "comment-count-0", "search-engines", "ad-hoc", "social-history"):
+        page = f'<article><p>{words}</p><section class="{name}"><p>{words}</p><p>{words}</p></section></article>'
+        assert html_text.main_text(page) == "\n\n".join([text] * 3), page
+
+
+def test_html_keeps_all_articles_their_titles_and_their_links():
+    words = "Long plain text of the article goes on and on here. " * 4
+    text = words.strip()
+    two = f"<nav>Home</nav><div><article><p>{words}</p></article><aside>Other</aside><article><h1>Two</h1><p>{words}</p></article></div>"
+    assert html_text.main_text(two) == f"{text}\n\nTwo\n\n{text}"
+    assert html_text.main_text(f"<body><header><h1>Site</h1></header><h1>Title</h1><article><p>{words}</p></article></body>") == f"Title\n\n{text}"
+    assert html_text.main_text(f"<body><h1>Site</h1><nav>Home</nav><article><h1>Title</h1><p>{words}</p></article></body>") == f"Title\n\n{text}"
+    links = "<ul>" + "".join(f"<li><a href=/{k}>Work number {k}</a>" for k in range(5)) + "</ul>"
+    listed = "\n\n".join(f"Work number {k}" for k in range(5))
+    assert html_text.main_text(f"<article><p>{words}</p><h2>Works</h2>{links}<p>{words}</p></article>") == f"{text}\n\nWorks\n\n{listed}\n\n{text}"
+    assert html_text.main_text(f"<nav><a href=/>Home</a></nav><article><h1>Resources</h1>{links}</article>") == f"Resources\n\n{listed}"
+    assert html_text.main_text(f"<article><h1>Title</h1>{links}<p>{words}</p></article>") == f"Title\n\n{text}"
+    assert html_text.main_text(f"<article><p>{words}</p><nav>{links}</nav></article>") == text
+
+
 def test_densities_equal_a_plain_recursion():
     from math import e, log
     from xml.etree import ElementTree
