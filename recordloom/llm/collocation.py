@@ -24,26 +24,30 @@ SENT = 1 << 19
 #: Candidates of a language are ranked in so many parts first.
 PARTS = 64
 
-# What parts pieces and words, and the language of rows without one.
-PIECE_ENDS, BLANKS, NO_LANG = r"[.,;:!?\n-\r]", r"[ \t]+", "und"
+# What parts pieces, and the language of rows without one.
+PIECE_ENDS, NO_LANG = r"[.,;:!?\n-\r]+", "und"
 
 
 def lower_ascii(c: Column) -> Column:
     """A-Z in lower case, other letters as they are."""
-    plain = F.octet_length(c) == F.length(c)
-    return F.when(plain, F.lower(c)).otherwise(F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    some = F.when(c.rlike("[A-Z]"), F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(c)
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(some)
 
 
 def pieces(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, words): the words of every piece of every text that has any."""
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(NO_LANG)).alias("lang"), F.explode(F.split(lower_ascii(t), PIECE_ENDS)).alias("piece"))
-    words = rows.select("lang", F.array_remove(F.split("piece", BLANKS), "").alias("words"))
+    """(lang, words): the words of every piece of every text that has any.
+
+    Ends become line feeds and tabs blanks first: to split at one plain
+    character takes no pattern for each piece.
+    """
+    t = F.regexp_replace(F.replace(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit("\t"), F.lit(" ")), PIECE_ENDS, "\n")
+    rows = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(NO_LANG)).alias("lang"), F.explode(F.split(t, "\n")).alias("piece"))
+    words = rows.where("piece <> ''").select("lang", F.array_remove(F.split(lower_ascii(F.col("piece")), " "), "").alias("words"))
     return words.where(F.size("words") > 0)
 
 
-def _run(words: Column, at: Column | int, n: int) -> Column:
-    return F.concat_ws(" ", F.slice(words, at, n))
+def _pair(words: Column, at: Column | int) -> Column:
+    return F.concat(F.get(words, at if isinstance(at, Column) else F.lit(at)), F.lit(" "), F.get(words, at + 1 if isinstance(at, Column) else F.lit(at + 1)))
 
 
 def _counted(rows: DataFrame) -> DataFrame:
@@ -53,7 +57,7 @@ def _counted(rows: DataFrame) -> DataFrame:
 def _short(parts: DataFrame) -> DataFrame:
     """(lang, phrase, f, m) of runs of one and two words."""
     w = F.col("words")
-    pairs = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: _run(w, i, 2))
+    pairs = F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: _pair(w, i))
     both = F.when(F.size(w) > 1, F.concat(w, pairs)).otherwise(w)
     return _counted(parts.select("lang", F.explode(both).alias("phrase"))).withColumn("m", _length())
 
@@ -66,15 +70,18 @@ def _length() -> Column:
 def _long(parts: DataFrame, pairs: DataFrame, max_words: int) -> DataFrame:
     """(lang, phrase, f, m) of runs of three words or more in which every two in a row are among ``pairs``."""
     w = F.col("words")
-    starts = F.sequence(F.lit(1), F.size(w) - 2)
-    rows = parts.where(F.size(w) > 2).select("lang", F.explode(F.transform(starts, lambda i: F.slice(w, i, max_words))).alias("g"))
-    for k in (1, 2):
-        rows = rows.withColumn("phrase", _run(F.col("g"), k, 2)).join(pairs, ["lang", "phrase"], "left_semi")
+    starts = F.sequence(F.lit(0), F.size(w) - 3)
+    ahead = F.transform(starts, lambda i: F.array(*[F.get(w, i + k) for k in range(max_words)]))
+    rows = parts.where(F.size(w) > 2).select("lang", F.explode(ahead).alias("g"))
+    for k in (0, 1):
+        rows = rows.withColumn("phrase", _pair(F.col("g"), k)).join(pairs, ["lang", "phrase"], "left_semi")
     rows = rows.withColumn("n", F.lit(3))
-    for k in range(3, max_words):
+    for k in range(2, max_words - 1):
         known = pairs.withColumn("_k", F.lit(True))
-        rows = rows.withColumn("phrase", F.when((F.size("g") > k) & (F.col("n") == k), _run(F.col("g"), k, 2))).join(known, ["lang", "phrase"], "left")
-        rows = rows.withColumn("n", F.when(F.col("_k"), F.lit(k + 1)).otherwise(F.col("n"))).drop("_k")
+        # beyond the end of a piece there is no pair: a text that is none, as nulls would meet in one task
+        pair = F.coalesce(F.when(F.col("n") == k + 1, _pair(F.col("g"), k)), F.concat_ws("\n", "g"))
+        rows = rows.withColumn("phrase", pair).join(known, ["lang", "phrase"], "left")
+        rows = rows.withColumn("n", F.when(F.col("_k"), F.lit(k + 2)).otherwise(F.col("n"))).drop("_k")
     runs = F.transform(F.sequence(F.lit(3), F.col("n")), lambda n: F.concat_ws(" ", F.slice("g", F.lit(1), n)))
     return _counted(rows.select("lang", F.explode(runs).alias("phrase"))).withColumn("m", _length())
 
