@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import amount_key, date_key, let, plain_key, text_or_empty, tokens
+from .similarity import sequence_ratio
 
 # How fields are compared, and what is metadata.
 FUZZY = (
@@ -31,18 +28,13 @@ def token_recall(extracted: Column, expected: Column) -> Column:
     return let(b, lambda b: F.when(F.size(b) > 0, F.size(F.array_intersect(a, b)) / F.size(b)).otherwise(0.0))
 
 
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity of two texts, popular characters of long texts left out."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype=float)
-
-
 def with_similarity(pairs: DataFrame, fuzzy_only: bool = True) -> DataFrame:
     """``pairs`` (field, extracted, expected) with similarity 0 to 100 of fuzzy fields, null for others.
 
     Tokens are looked at for fuzzy fields alone. The sequence ratio runs in
-    Python, and only rows that need it go there: fuzzy fields with tokens on
-    both sides whose recall isn't whole already.
+    Python, in the same pass over the rows; only texts of rows that need it go
+    there: fuzzy fields with tokens on both sides whose recall isn't whole
+    already. Of the others it sees nulls.
     """
     asked = F.col("field").isin(*FUZZY) if fuzzy_only else F.lit(True)
     words = lambda c: F.when(asked, tokens(F.col(c)))
@@ -50,9 +42,9 @@ def with_similarity(pairs: DataFrame, fuzzy_only: bool = True) -> DataFrame:
     a, b = F.array_distinct("_t.a"), F.array_distinct("_t.b")
     rows = rows.withColumn("_r", F.when(F.size("_t.a") * F.size("_t.b") > 0, F.size(F.array_intersect(a, b)) / F.size(b)).when(asked, 0.0))
     asks = F.coalesce((F.col("_r") < 1) & (F.size("_t.a") > 0) & (F.size("_t.b") > 0), F.lit(False))
-    said = rows.where(asks).withColumn("_s", sequence_ratio(F.array_join("_t.a", " "), F.array_join("_t.b", " ")))
-    both = said.unionByName(rows.where(~asks).withColumn("_s", F.lit(0.0)))
-    return both.withColumn("similarity", F.bround(F.greatest("_r", "_s") * 100, 2)).withColumn("similarity", F.when(F.col("_r").isNotNull(), F.col("similarity"))).drop("_t", "_r", "_s")
+    said = F.when(asks, F.struct(F.array_join("_t.a", " ").alias("a"), F.array_join("_t.b", " ").alias("b")))
+    rows = rows.withColumn("_s", F.coalesce(sequence_ratio(said["a"], said["b"]), F.lit(0.0)))
+    return rows.withColumn("similarity", F.bround(F.greatest("_r", "_s") * 100, 2)).withColumn("similarity", F.when(F.col("_r").isNotNull(), F.col("similarity"))).drop("_t", "_r", "_s")
 
 
 def exact_match(field: Column, extracted: Column, expected: Column) -> Column:

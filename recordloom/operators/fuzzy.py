@@ -72,6 +72,45 @@ class Labels:
                 hit[:live] |= ((new & self.last) != 0) & (self.edits >= k)
         return hit
 
+    def ends(self, texts: list[np.ndarray], wanted: list[list[int]]) -> list[list[np.ndarray]]:
+        """For each text (as codes of ``table``) and each label wanted in it, where a tolerant occurrence ends.
+
+        A blank of a label stands for one blank or more. Only the pairs that
+        are asked for advance, longer texts first, so the state is a word for
+        each pair and error count.
+        """
+        blank = self.codes.get(ord(" "), 0)
+        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+        pairs = [(r, i, n) for r, i in enumerate(order) for n in range(len(wanted[i]))]
+        out = [[[] for _ in w] for w in wanted]
+        if pairs:
+            row = np.array([r for r, _, _ in pairs])
+            label = np.array([wanted[i][n] for _, i, n in pairs])
+            sizes = np.array([len(texts[i]) for i in order])
+            chars = np.zeros((len(order), int(sizes.max())), np.uint8)
+            for r, i in enumerate(order):
+                chars[r, : len(texts[i])] = texts[i]
+            one, last, edits = np.uint64(1), self.last[label], self.edits[label]
+            state = [np.full(len(pairs), (1 << k) - 1, np.uint64) for k in range(self.top + 1)]
+            for p in range(chars.shape[1]):
+                live = int(np.searchsorted(row, np.searchsorted(-sizes, -p, "left"), "left"))
+                char = chars[row[:live], p]
+                mask = self.masks[char, label[:live]]
+                stay = np.where(char == blank, mask, 0)
+                hit, before = np.zeros(live, bool), None
+                for k in range(self.top + 1):
+                    old = state[k][:live]
+                    new = ((old << one) | one) & mask | old & stay
+                    if k:
+                        new |= before | (before << one) | (state[k - 1][:live] << one) | one
+                    before = old.copy()
+                    state[k][:live] = new
+                    hit |= ((new & last[:live]) != 0) & (edits[:live] >= k)
+                for j in np.flatnonzero(hit):
+                    _, i, n = pairs[j]
+                    out[i][n].append(p)
+        return [[np.array(x, int) for x in w] for w in out]
+
 
 def add_hits(docs: DataFrame, norm: Column, labels: list[tuple[str, int]], name: str = "hits") -> DataFrame:
     """``docs`` with indexes of ``labels`` that occur in the normalised text; a null text has none.

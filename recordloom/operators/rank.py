@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import schemas
@@ -22,6 +22,25 @@ def preference(kind: Column, engine: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*weights), F.concat_ws("/", kind, engine)), F.lit(0))
 
 
+def policy(spark: SparkSession) -> DataFrame:
+    """(type, engine, place): each type's engines, the preferred one at place 1."""
+    rows = [(t, e, i) for t, own in schemas.ENGINES_BY_TYPE.items() for i, e in enumerate(own, 1)]
+    return spark.createDataFrame(rows, "type string, engine string, place int")
+
+
+def available(readings: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, type, engine, place, weight): a type's engines in order, as far as they really read the document.
+
+    ``readings`` (key, type, engine, text): an engine counts if any of its
+    texts isn't blank. ``place`` is that in the policy among the engines left,
+    ``weight`` what ranking gives the engine. Types without a policy give no rows.
+    """
+    read = readings.where(F.trim(F.coalesce("text", F.lit(""))) != "").select(key, "type", "engine").distinct()
+    own = read.join(F.broadcast(policy(readings.sparkSession)), ["type", "engine"])
+    order = Window.partitionBy(key, "type").orderBy("place")
+    return own.select(key, "type", "engine", F.row_number().over(order).alias("place"), preference(F.col("type"), F.col("engine")).alias("weight"))
+
+
 def filled(values: Column) -> Column:
     """The number of fields with a value; a flag counts even when it is false."""
     kept = F.filter(F.map_entries(values), lambda e: e["key"].isin(*schemas.FLAGS) | (F.trim(e["value"]) != ""))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import title_label
+from .numbering import ranked
+
 # Groups of fields by what their names contain, in the order of search.
 GROUPS = {
     "Identity": ("name", "employee", "aadhaar", "pan_number", "gender", "relationship", "father", "husband", "care_of"),
@@ -15,6 +18,14 @@ GROUPS = {
     "Review": ("signature", "continuation", "stamp", "vid", "mobile"),
 }
 
+# The fields that a type's page shows even when they are empty.
+_FRONT = "aadhaar_number vid name hindi_name date_of_birth year_of_birth gender".split()
+_BACK = (
+    "aadhaar_number vid relationship_label care_of father_name husband_name hindi_relationship_label hindi_care_of hindi_father_name"
+    " hindi_husband_name address hindi_address hindi_address_lines pincode"
+).split()
+DISPLAYED = {"aadhaar_front": _FRONT, "aadhaar_back": _BACK, "aadhaar_full": list(dict.fromkeys(_FRONT + _BACK))}
+
 
 def field_group(field: Column) -> Column:
     out = None
@@ -42,11 +53,47 @@ def needs_look(validated: DataFrame) -> DataFrame:
     return validated.where("is_edited or not valid or warning <> ''")
 
 
+def displayed_fields(spark: SparkSession) -> DataFrame:
+    """(type, field): what DISPLAYED says, as a relation."""
+    return spark.createDataFrame([(t, f) for t, own in DISPLAYED.items() for f in own], "type string, field string")
+
+
+def projection(fields: DataFrame) -> DataFrame:
+    """The rows of ``fields`` (type, field, value and others) that a page shows, with label, group and group_order.
+
+    A type with a list of displayed fields shows those, and others only if they
+    have a value; other types show all. Groups have the order of GROUPS, what
+    is in none comes last. One pass: the list is a constant of this package.
+    """
+    listed = F.broadcast(displayed_fields(fields.sparkSession).withColumn("_listed", F.lit(True)))
+    rows = fields.join(listed, ["type", "field"], "left")
+    filled = F.trim(F.coalesce("value", F.lit(""))) != ""
+    shown = rows.where(F.col("_listed") | ~F.coalesce(F.col("type").isin(*DISPLAYED), F.lit(False)) | filled).drop("_listed")
+    order = F.array_position(F.array(*[F.lit(g) for g in GROUPS]), F.col("field_group"))
+    shown = shown.withColumn("field_group", field_group(F.col("field"))).withColumn("group_order", F.when(order > 0, order).otherwise(len(GROUPS) + 1).cast("int"))
+    return shown.withColumn("label", title_label(F.col("field")))
+
+
+def shown_counts(shown: DataFrame, keys: list[str]) -> DataFrame:
+    """For each document of ``projection``'s rows (with valid, warning, is_edited): how many fields are shown, ready, invalid, warned about, and need a look."""
+    warned, invalid = F.coalesce(F.col("warning") != "", F.lit(False)), ~F.coalesce("valid", F.lit(True))
+    return shown.groupBy(*keys).agg(
+        F.count("*").alias("checked"),
+        F.count_if(F.coalesce("valid", F.lit(False))).alias("ready_fields"),
+        F.count_if(invalid).alias("invalid_fields"),
+        F.count_if(warned).alias("warnings"),
+        F.count_if(F.col("is_edited") | invalid | warned).alias("to_review"),
+    )
+
+
 def unique_names(files: DataFrame, name: str, order: list[str]) -> DataFrame:
-    """``files`` with unique_name: later ones of equal names get _1, _2 and so on before the suffix."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(*order)) - 1
+    """``files`` with unique_name: later ones of equal names get _1, _2 and so on before the suffix.
+
+    Ranks are carried from partition to partition, so one name on all rows is no single task.
+    """
     stem, suffix = F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", 2)
-    return files.withColumn("_n", n).withColumn("unique_name", F.when(F.col("_n") == 0, F.col(name)).otherwise(F.concat(stem, F.lit("_"), F.col("_n").cast("string"), suffix))).drop("_n")
+    rows = ranked(files, name, order, "_n")
+    return rows.withColumn("unique_name", F.when(F.col("_n") == 0, F.col(name)).otherwise(F.concat(stem, F.lit("_"), F.col("_n").cast("string"), suffix))).drop("_n")
 
 
 def highlights(text: Column, query: str) -> Column:

@@ -2,106 +2,154 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
+import unicodedata
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import clean_value, let, text_or_empty
 from . import classify, schemas
+from .fuzzy import Labels
 
 SPANS = "array<struct<field: string, label: string, start: int, end: int>>"
-#: Between the words of a label, and after it.
-_GAP, _AFTER = r"[\s:：|._-]+", r"\s*[:：|._-]?\s*"
-#: Letters that a search without regard to case takes for others than their lower case.
-_ODD_CASE = regex.compile("[İıſK]")
-
-
-def pattern(label: str) -> regex.Pattern:
-    """A label that doesn't begin inside a word, its words apart by separators, with its allowed edits."""
-    text = " ".join(regex.sub("[:：|._-]+", " ", label).split())
-    body = _GAP.join(regex.escape(w) for w in text.split())
-    k = schemas.allowed_edits(text)
-    return regex.compile(r"(?<![\p{L}\p{N}])" + (f"({body}){{e<={k}}}" if k else body) + _AFTER, regex.IGNORECASE)
-
-
-def pieces(label: str) -> tuple[list[str], int]:
-    """Parts of a label of which one stays whole within its allowed edits, and its most characters but separators."""
-    words = regex.sub("[:：|._-]+", " ", label).lower().split()
-    k = schemas.allowed_edits(" ".join(words))
-    cuts = [1] * len(words)
-    while sum(cuts) <= k:
-        widest = max(range(len(words)), key=lambda i: len(words[i]) / cuts[i])
-        cuts[widest] += 1
-    parts = [w[len(w) * j // n : len(w) * (j + 1) // n] for w, n in zip(words, cuts) for j in range(n)]
-    return sorted(parts, key=len)[-(k + 1) :], sum(map(len, words)) + k
-
-
-class Places:
-    """A text prepared for searches: only around a whole piece of a label can the label occur."""
-
-    def __init__(self, text: str):
-        self.text, self.low = text, text.lower()
-        self.plain = len(self.low) == len(text) and not _ODD_CASE.search(text)
-        self.solid = [m.start() for m in regex.finditer(r"[^\s:：|._-]", text)] if self.plain else []
-
-    def regions(self, parts: list[str], reach: int) -> list[tuple[int, int]]:
-        if not self.plain:
-            return [(0, len(self.text))]
-        found, solid = [], self.solid
-        for part in parts:
-            at = self.low.find(part)
-            while at >= 0:
-                c = bisect_left(solid, at)
-                start = solid[c - reach - 1] + 1 if c > reach else 0
-                found.append((start, solid[c + reach] if c + reach < len(solid) else len(self.text)))
-                at = self.low.find(part, at + 1)
-        out: list[tuple[int, int]] = []
-        for a, b in sorted(found):
-            if out and a <= out[-1][1]:
-                out[-1] = out[-1][0], max(b, out[-1][1])
-            else:
-                out.append((a, b))
-        return out
+#: Texts whose labels are looked for together.
+BLOCK = 256
+# White space, the marks that part words beside it, and letters that are others regardless of case.
+WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+MARKS = ":：|._-"
+ODD_CASE = {"ſ": "s", "\u212a": "k"}
+_GAPS = frozenset(WHITE + MARKS)
+
+
+def folded(text: str) -> str:
+    """A text in lower case, letter by letter, so that places stay."""
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    return low.translate(_ODD) if not low.isascii() else low
+
+
+_ODD = str.maketrans(ODD_CASE)
+
+
+@cache
+def in_word(c: str) -> bool:
+    return unicodedata.category(c)[0] in "LN"
+
 
-    def find(self, compiled: regex.Pattern, parts: list[str], reach: int) -> list[tuple[int, int]]:
-        """What the pattern finds in the whole text, by looking only where it can."""
-        found, last = [], 0
-        for a, b in self.regions(parts, reach):
-            for m in compiled.finditer(self.text, max(a, last), b):
-                found.append((m.start(), m.end()))
-                last = m.end()
-        return found
+class Alignment:
+    """A label against a text from one place on.
+
+    Letters that agree are taken as they are. Where they don't, up to
+    ``edits`` times a letter is replaced, else skipped in the text (not the one
+    where the search set out), else skipped in the label. A gap between words is one or more
+    separators. The first way that comes through says where the label ends.
+    """
+
+    def __init__(self, label: str, edits: int):
+        self.items, self.edits = label, edits
+
+    def end(self, low: str, start: int, origin: int) -> int:
+        """Where the label ends if it begins at ``start``, in a search from ``origin`` on, else -1."""
+        items, n = self.items, len(low)
+        dead: set[tuple[int, int, int, bool]] = set()
+
+        def ways(i: int, p: int, left: int, again: bool):
+            """What may follow: item ``i`` (a gap already begun if ``again``) at ``p`` with ``left`` edits."""
+            gap = items[i] == " "
+            at = low[p] if p < n else ""
+            after = (i, True) if gap else (i + 1, False)
+            if at and (at in _GAPS if gap else at == items[i]):
+                yield (after[0], p + 1, left, after[1])
+            elif left:
+                if at:
+                    yield (after[0], p + 1, left - 1, after[1])
+                    if p != origin:
+                        yield (i, p + 1, left - 1, again)
+                yield (after[0], p, left - 1, after[1])
+            if gap and again:
+                yield (i + 1, p, left, False)
+
+        stack = [iter([(0, start, self.edits, False)])]
+        while stack:
+            state = next(stack[-1], None)
+            if state is None:
+                stack.pop()
+            elif state[0] == len(items):
+                return state[1]
+            elif state not in dead:
+                dead.add(state)
+                stack.append(ways(*state))
+        return -1
+
+
+def past_separator(low: str, at: int) -> int:
+    """The place after white space, one mark if there is one, and white space."""
+    n = len(low)
+    while at < n and low[at] in WHITE:
+        at += 1
+    if at < n and low[at] in MARKS:
+        at += 1
+        while at < n and low[at] in WHITE:
+            at += 1
+    return at
 
 
 class Finder:
-    """Label patterns of all types, compiled where they are first used."""
+    """Where the labels of a type, and the end marks, stand in texts.
+
+    The forward search has told which labels occur. The same automata, over
+    labels and texts turned round, tell where they may begin; from each such
+    place, first to last, the alignment says how far the label goes.
+    Occurrences of one label don't overlap, and none begins inside a word.
+    """
 
     def __init__(self):
-        self.compiled: dict[str, tuple[regex.Pattern, list[str], int]] = {}
-        _, fields = classify._dimension()
+        index, fields = classify._dimension()
+        self.norms = [x for x, _ in index] + [schemas.normal_label(x) for x in schemas.END_MARKS]
         self.labels = {t: [(f, x, i) for (f, _, own), (_, ids) in zip(schemas.schemas()[t], fields[t]) for x, i in zip(own, ids)] for t in fields}
+        self.marks = [(None, x, len(index) + i) for i, x in enumerate(schemas.END_MARKS)]
+        self.ways = [Alignment(x, schemas.allowed_edits(x)) for x in self.norms]
+        self.back = Labels([(x[::-1], schemas.allowed_edits(x)) for x in self.norms])
+        self.codes = self.back.table.copy()
+        for c in WHITE + MARKS:
+            self.codes[ord(c)] = self.back.codes[ord(" ")]
+
+    def starts(self, lows: list[str], wanted: list[list[int]]) -> list[list[list[int]]]:
+        """For each text and each label wanted in it, the places where it may begin, in order."""
+        turned = [self.codes[np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)][::-1] for low in lows]
+        out = []
+        for low, own in zip(lows, self.back.ends(turned, wanted)):
+            n = len(low)
+            out.append([[s for s in (n - 1 - ends[::-1]).tolist() if s == 0 or not in_word(low[s - 1])] for ends in own])
+        return out
 
-    def __getstate__(self):
-        return self.__dict__ | {"compiled": {}}
-
-    def spans(self, text: str, kind: str, hits) -> list[dict]:
-        """All spans of a type's labels and of the end marks, in order of start, longer first.
+    def spans(self, texts: list[str], kinds: list[str], hits: list) -> list[list[dict]]:
+        """All spans of each text's own labels and of the end marks, in order of start, longer first.
 
-        ``hits`` are the labels that occur tolerantly in the normalised text;
-        no other can match here, so the others aren't searched.
+        ``hits`` are the labels that the forward search has found in a text, or
+        None: then all labels of its type are searched.
         """
-        found = []
-        known, places = set(hits), Places(text)
-        wanted = [(f, x) for f, x, i in self.labels[kind] if i in known] + [(None, x) for x in schemas.END_MARKS]
-        for field, label in wanted:
-            if label not in self.compiled:
-                self.compiled[label] = pattern(label), *pieces(label)
-            found += [{"field": field, "label": label, "start": a, "end": b} for a, b in places.find(*self.compiled[label])]
-        return sorted(found, key=lambda s: (s["start"], s["start"] - s["end"]))
+        wanted = []
+        for kind, some in zip(kinds, hits):
+            own = self.labels.get(kind, [])
+            wanted.append([x for x in own if some is None or x[2] in some] + self.marks if own else [])
+        lows = [folded(t) for t in texts]
+        out = []
+        for low, own, places in zip(lows, wanted, self.starts(lows, [[i for _, _, i in w] for w in wanted])):
+            found = []
+            for (field, label, i), starts in zip(own, places):
+                last = 0
+                for s in starts:
+                    if s >= last and (end := self.ways[i].end(low, s, last)) >= 0:
+                        last = past_separator(low, end)
+                        found.append({"field": field, "label": label, "start": s, "end": last})
+            out.append(sorted(found, key=lambda s: (s["start"], s["start"] - s["end"])))
+        return out
 
 
 def add_spans(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -111,10 +159,12 @@ def add_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     arrow = pa.list_(pa.struct([("field", pa.string()), ("label", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
-        for batch in batches:
-            rows = zip(batch.column(text).to_pylist(), batch.column("type").to_pylist(), batch.column("hits").to_pylist())
-            made = [finder.spans(t, k, h) if t and k in finder.labels else [] for t, k, h in rows]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, arrow)], names=schema.names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(at, BLOCK)
+                texts = [t or "" for t in batch.column(text).to_pylist()]
+                made = finder.spans(texts, batch.column("type").to_pylist(), batch.column("hits").to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, arrow)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import classify, evaluate, extract, ocr_fields, rank, report, review, schemas, spans, validate
-from ..sources import files, model_json
+from ..operators import classify, evaluate, extract, nested, ocr_fields, rank, report, review, schemas, slicing, spans, validate
+from ..sources import files, model_json, sinks
+from ..staging import shared_folder
 from ..streaming import ingest
 from . import batch, forms
 
@@ -215,6 +216,31 @@ def slice_fields(spark, sf_dir):
     return out.select("doc_id", *[tx.text_or_empty(F.try_element_at("sliced", F.lit(f))).alias(f) for f in ("department", "designation", "mobile_number", "pincode", "email")])
 
 
+_OWN_LABELS = ", ".join(f"('{f}', '{schemas.normal_label(x)}', {schemas.allowed_edits(schemas.normal_label(x))})" for f, x in [*((f, x) for f, _, own in schemas.schemas()["employee_form"] for x in own), *(("", x) for x in schemas.END_MARKS)])
+
+
+@query(f"""WITH {forms.WITH}, labels(field, label, k) AS (VALUES {_OWN_LABELS}), docs AS (SELECT doc_id, text, lower(text) AS low FROM forms WHERE family = 'employee_form'),
+places AS (SELECT doc_id, text, low, i FROM (SELECT *, unnest(range(1, len(low) + 1)) AS i FROM docs) WHERE regexp_matches(substr(low, i, 1), '[a-z0-9]') AND (i = 1 OR NOT regexp_matches(substr(low, i - 1, 1), '[a-z0-9]'))),
+near AS (SELECT doc_id, text, field, label, i, n, levenshtein(substr(low, i, n), label) AS d FROM (SELECT p.*, l.*, unnest(range(len(label) - k, len(label) + k + 1)) AS n FROM places p, labels l) WHERE i + n - 1 <= len(low) AND levenshtein(substr(low, i, n), label) <= k),
+best AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY doc_id, field, label, i ORDER BY d, n DESC) = 1)
+SELECT doc_id, field, label, cast(i - 1 AS INT) AS first, cast(i + n - 1 + len(regexp_extract(substr(text, i + n), '^[ \n]*[:|._-]?[ \n]*')) AS INT) AS after FROM best""")
+def label_spans(spark, sf_dir):
+    """Where the labels of employee forms, misread ones too, and the end marks stand; the twin goes by edit distance."""
+    docs = classify.forced(classify.with_hits(forms.forms(spark, sf_dir).where("family = 'employee_form'")), F.lit("employee_form"))
+    rows = spans.add_spans(docs).select("doc_id", F.explode("spans").alias("s"))
+    label = tx.match_text(F.col("s.label"))
+    return rows.select("doc_id", F.coalesce("s.field", F.lit("")).alias("field"), label.alias("label"), F.col("s.start").alias("first"), F.col("s.end").alias("after"))
+
+
+@query(f"""WITH s AS ({SQL["slice_fields"]}) SELECT doc_id, field, value FROM s UNPIVOT (value FOR field IN (department, designation, mobile_number, pincode, email)) WHERE value <> '' OR field <> 'email'""")
+def slices_by_sql(spark, sf_dir):
+    """The values of ``slice_fields`` by the table function, asked for in SQL; a label that isn't there gives no row."""
+    slicing.register(spark)
+    docs = forms.forms(spark, sf_dir).where("family = 'employee_form'").select("doc_id", "text", F.lit("employee_form").alias("type"))
+    return spark.sql("""SELECT doc_id, field, max_by(value, ord) AS value FROM label_slices(TABLE(SELECT * FROM {docs}))
+      WHERE field IN ('department', 'designation', 'mobile_number', 'pincode', 'email') GROUP BY doc_id, field""", docs=docs)
+
+
 @query(f"""WITH {forms.WITH} SELECT doc_id, 'TAX INVOICE' AS company, 'R-' || cast(100000 + k AS STRING) AS receipt_number, regexp_extract(text, 'Lot [^\n]*') AS address,
   regexp_extract(text, 'Subtotal: ([0-9.]+)', 1) AS subtotal, '' AS tax, regexp_extract(text, '[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}') AS date,
   regexp_extract(text, 'Subtotal: ([0-9.]+)', 1) AS total FROM forms WHERE family = 'invoice'""")
@@ -269,6 +295,51 @@ def card_overlay(spark, sf_dir):
     return _overlay(spark, sf_dir, "aadhaar_full", extract.card_overlay)
 
 
+_SCRIPT = """cards AS (SELECT s_suppkey AS k, CASE s_suppkey % 4 WHEN 0 THEN 'आशा' WHEN 1 THEN 'रवि' WHEN 2 THEN 'मीना' ELSE 'अर्जुन' END || ' ' || CASE s_suppkey % 3 WHEN 0 THEN 'मेहता' WHEN 1 THEN 'नायर' ELSE 'कपूर' END AS person,
+  CASE s_suppkey % 5 WHEN 0 THEN 'मोहन' WHEN 1 THEN 'विक्रम' WHEN 2 THEN 'सुरेश' WHEN 3 THEN 'अनिल' ELSE 'राजन' END || ' ' || CASE s_suppkey % 3 WHEN 0 THEN 'मेहता' WHEN 1 THEN 'नायर' ELSE 'कपूर' END AS father,
+  '9123 4567 8901 ' || lpad(cast(s_suppkey % 10000 AS STRING), 4, '0') AS vid, cast(s_suppkey % 99 AS STRING) || ' झील मार्ग' AS road, 'पुणे ' || cast(411001 + s_suppkey % 50 AS STRING) AS town FROM supplier)"""
+
+
+def _script_cards(spark, sf_dir) -> DataFrame:
+    k = F.col("s_suppkey")
+    last = F.when(k % 3 == 0, "मेहता").when(k % 3 == 1, "नायर").otherwise("कपूर")
+    person = F.concat(F.when(k % 4 == 0, "आशा").when(k % 4 == 1, "रवि").when(k % 4 == 2, "मीना").otherwise("अर्जुन"), F.lit(" "), last)
+    father = F.concat(F.when(k % 5 == 0, "मोहन").when(k % 5 == 1, "विक्रम").when(k % 5 == 2, "सुरेश").when(k % 5 == 3, "अनिल").otherwise("राजन"), F.lit(" "), last)
+    vid = F.concat(F.lit("9123 4567 8901 "), F.lpad((k % 10000).cast("string"), 4, "0"))
+    road, town = F.concat((k % 99).cast("string"), F.lit(" झील मार्ग")), F.concat(F.lit("पुणे "), (411001 + k % 50).cast("string"))
+    return _t(spark, sf_dir, "supplier").select(k.alias("k"), person.alias("person"), father.alias("father"), vid.alias("vid"), road.alias("road"), town.alias("town"))
+
+
+def _card_text():
+    word = F.when(F.col("k") % 3 == 0, "पुत्र").when(F.col("k") % 3 == 1, "मार्फत").otherwise("पति")
+    return F.concat_ws("\n", F.lit("भारत सरकार"), F.lit("Government of India"), "person", F.lit("Asha Mehta"), F.lit("जन्म तिथि: 02-02-1961"), F.lit("महिला"), F.lit("1001 5678 9012"), F.concat(F.lit("VID: "), "vid"), F.lit("पता:"), F.concat(word, F.lit(": "), "father"), "road", "town")
+
+
+_WORD = "CASE k % 3 WHEN 0 THEN 'पुत्र' WHEN 1 THEN 'मार्फत' ELSE 'पति' END || ': ' || father"
+
+
+@query(f"""WITH {_SCRIPT} SELECT k, vid, person AS hindi_name, 'पता:' || chr(10) || {_WORD} || chr(10) || road || chr(10) || town AS hindi_address_lines, CASE WHEN k % 3 = 0 THEN '' ELSE {_WORD} || ' ' END || road || ' ' || town AS hindi_address,
+  father AS hindi_relationship_label, CASE WHEN k % 3 = 0 THEN father ELSE '' END AS hindi_father_name, CASE WHEN k % 3 = 1 THEN father ELSE '' END AS hindi_care_of, CASE WHEN k % 3 = 2 THEN father ELSE '' END AS hindi_husband_name,
+  CASE WHEN k % 3 = 1 THEN {_WORD} || ' ' ELSE '' END || road || ' ' || town AS address, right(town, 6) AS pincode, '1961-02-02' AS date_of_birth, vid AS vid_read, person AS hindi_name_read FROM cards""")
+def script_cards(spark, sf_dir):
+    """Cards in Devanagari: names, relations, address lines and the virtual id, by the overlay and by the reader of OCR text."""
+    rows = _script_cards(spark, sf_dir).withColumn("text", _card_text()).withColumn("lines", tx.lines_of(F.col("text")))
+    out = extract.card_overlay(F.col("text"), F.col("lines"), lambda f: F.lit(""))
+    names = "vid hindi_name hindi_address_lines hindi_address hindi_relationship_label hindi_father_name hindi_care_of hindi_husband_name address pincode date_of_birth".split()
+    read = ocr_fields.card(F.col("text"), F.lit("card.png"))
+    return rows.select("k", *[out[f].alias(f) for f in names], read["vid"].alias("vid_read"), read["hindi_name"].alias("hindi_name_read"))
+
+
+@query(f"""WITH {_SCRIPT} SELECT k, person AS hindi_name, father AS hindi_father_name, 'True' AS signature_present FROM cards""")
+def script_tax_cards(spark, sf_dir):
+    """Tax cards in Devanagari: lines that are names, the father's on some in two parts."""
+    father = F.when(F.col("k") % 2 == 0, F.replace("father", F.lit(" "), F.lit("\n"))).otherwise(F.col("father"))
+    text = F.concat_ws("\n", F.lit("आयकर विभाग"), F.lit("भारत सरकार"), F.lit("स्थायी लेखा संख्या कार्ड"), F.lit("नाम / Name"), "person", F.lit("पिता का नाम / Father's Name"), father, F.lit("हस्ताक्षर"))
+    rows = _script_cards(spark, sf_dir).withColumn("text", text).withColumn("lines", tx.lines_of(F.col("text")))
+    out = extract.tax_overlay(F.col("text"), F.col("lines"), lambda f: F.lit(""))
+    return rows.select("k", *[out[f].alias(f) for f in ("hindi_name", "hindi_father_name", "signature_present")])
+
+
 def _read(spark, sf_dir, family: str, reader, fields: str) -> DataFrame:
     rows = forms.forms(spark, sf_dir).where(F.col("family") == family).withColumn("values", reader(F.col("text")))
     return rows.select("doc_id", *[F.try_element_at("values", F.lit(f)).alias(f) for f in fields.split()])
@@ -351,9 +422,74 @@ def read_bare_passbooks(spark, sf_dir):
     return rows.select("doc_id", *[F.try_element_at("values", F.lit(f)).alias(f) for f in ("account_holder", "father_name", "relationship_label", "address")])
 
 
-@query()
+def _sql_fields(family: str, values: dict[str, str], where: str = "true", kind: str | None = None) -> str:
+    """The long fields of a family's forms by what was rendered: an expression over text and k for each field."""
+    kinds = {f: "b" if f in schemas.FLAGS else "l" if f in schemas.LISTS else "s" for f in values}
+    each = ", ".join(f"{{'field': '{f}', 'kind': '{kinds[f]}', 'value': {v}}}" for f, v in values.items())
+    return f"SELECT doc_id, family, '{kind or family}' AS type, f.field, f.value, f.kind FROM forms, unnest([{each}]) AS u(f) WHERE family = '{family}' AND {where}"
+
+
+def _line(label: str) -> str:
+    """What follows a label on its line of the form."""
+    return f"trim(regexp_extract(text, '(?m)^{label}: ?(.*)$', 1))"
+
+
+_SPOKEN_DAY = r"regexp_extract(text, '[0-9]{2}/[0-9]{2}/[0-9]{4}')"
+_EMPTY = lambda *names: {f: "''" for f in names}
+_CARD = {
+    "aadhaar_number": "CASE WHEN k % 7 = 0 THEN '' ELSE cast(1000 + k % 9000 AS STRING) || ' 5678 9012' END",
+    "name": forms.PERSON,
+    "date_of_birth": f"CASE k % 6 WHEN 0 THEN 'i991 03-/8' WHEN 3 THEN '1991-03-18' ELSE {forms.YEAR} || '-' || {forms.MONTH} || '-' || {forms.DAY} END",
+    "gender": "CASE WHEN k % 5 = 0 THEN 'Male' ELSE 'Female' END",
+    **_EMPTY("vid", "hindi_name", "year_of_birth"),
+}
+_EXTRACTED = " UNION ALL ".join(
+    [
+        _sql_fields(
+            "invoice",
+            {
+                # without a day, what stands between the labels Date and No.
+                "company": "'TAX INVOICE'", "date": f"CASE WHEN k % 17 > 0 THEN {_SPOKEN_DAY} WHEN k % 13 = 0 THEN '' ELSE 'Receipt' END", "address": "regexp_extract(text, 'Lot [^\n]*')", "receipt_number": "'R-' || cast(100000 + k AS STRING)",
+                "subtotal": _line("Subtotal"), "tax": _line("Tax"), "discount": "'0.00'", "total": _line("Subtotal"), "currency": "CASE WHEN k % 7 = 0 THEN '' ELSE 'RM' END", "source_image": "''",
+            },
+        ),
+        _sql_fields(
+            "employee_form",
+            {f: _line(x) for f, x in (("employee_name", "Employee Name"), ("employee_id", "Employee ID"), ("date_of_birth", "Date of Birth"), ("date_of_joining", "Date of Joining"), ("department", "Department"), ("designation", "Designation"), ("mobile_number", "Mob[il]le Number"), ("email", "Email"), ("address", "Address"), ("pincode", "Pincode"))},
+        ),
+        _sql_fields(
+            "pan_card",
+            {
+                "pan_number": "CASE WHEN k % 7 = 0 THEN 'ABCD' ELSE 'ABCDE' END || lpad(cast(k % 10000 AS STRING), 4, '0') || 'F'", "name": forms.PERSON, "father_name": forms.FATHER,
+                "date_of_birth": f"regexp_replace({_SPOKEN_DAY}, '(..)/(..)/(....)', '\\3-\\2-\\1')", "signature_present": "'True'", "card_issue_date_text": "CASE WHEN k % 5 = 0 THEN '12345678' ELSE '' END", **_EMPTY("hindi_name", "hindi_father_name"),
+            },
+        ),
+        _sql_fields(
+            "passbook",
+            {
+                "bank_name": "'Branch: ' || " + _line("Branch"), "branch_name": _line("Branch"), "branch_code": _line("Branch Code"), "email": _line("Email"), "ifsc": _line("IFSC"), "account_holder": _line("Name"), "relationship_label": _line("S/D/H/o"), "father_name": _line("S/D/H/o"),
+                "cif_number": _line("CIF Number"), "account_number": _line("Account No."), "account_type": _line("A/c Type"), "address": _line("Address"), "mop": _line("MOP"), "account_opened": _line("A/c Opening Dt"), "nom_reg_no": _line("Nom Reg No"), "pan_number": _line("Customer.s PAN"), "date_of_issue": _line("Date of Issue"),
+                "continuation": "CASE WHEN k % 4 = 0 THEN '' ELSE 'CONTINUATION' END", "branch_manager_stamp_present": "CASE WHEN k % 5 = 0 THEN 'False' ELSE 'True' END", "name": "CASE WHEN k % 4 = 0 THEN '' ELSE 'Continuation' END",
+                "date_of_birth": f"'2012-' || {forms.MONTH} || '-' || {forms.DAY}", "signature_present": "'False'", **_EMPTY("hindi_bank_name", "phone", "micr", "hindi_name", "hindi_father_name", "card_issue_date_text"),
+            },
+        ),
+        _sql_fields("aadhaar_full", _CARD, "k % 7 = 0 AND k % 2 = 1", "aadhaar_front"),
+        _sql_fields(
+            "aadhaar_full",
+            _CARD | {
+                "relationship_label": forms.FATHER, "father_name": f"CASE WHEN k % 3 = 0 THEN {forms.FATHER} ELSE '' END", "care_of": f"CASE WHEN k % 3 = 1 THEN {forms.FATHER} ELSE '' END", "husband_name": f"CASE WHEN k % 3 = 2 THEN {forms.FATHER} ELSE '' END",
+                "address": "replace(regexp_extract(text, '[0-9]+ Lake Road\n[^\n]*\nPincode: [0-9]+'), chr(10), ' ')", "pincode": _line("Pincode"),
+                **_EMPTY("hindi_relationship_label", "hindi_care_of", "hindi_father_name", "hindi_husband_name", "hindi_address", "hindi_address_lines"),
+            },
+            "k % 7 > 0",
+        ),
+    ]
+)
+
+
+@query(f"WITH {forms.WITH} {_EXTRACTED}")
 def extract_fields(spark, sf_dir):
-    """Every field of every form: classified, sliced and overlaid, in long form."""
+    """Every field of every form: classified, sliced and overlaid, in long form; the twin goes by what was rendered."""
     return extract.long_fields(_records(spark, sf_dir), ["doc_id", "family"])
 
 
@@ -393,6 +529,37 @@ def validate_formats(spark, sf_dir):
     return rows.select("doc_id", "f.field", "f.value", validate.verdict(F.col("f.field"), F.col("f.value"), F.lit(True)).alias("v")).select("doc_id", "field", "value", "v.valid", "v.error")
 
 
+_NUMBERS = """SELECT c_custkey AS k, f.field, f.value, f.ok FROM customer, unnest([
+  {'field': 'aadhaar_number', 'value': CASE c_custkey % 3 WHEN 0 THEN '1234 5678 ' || lpad(cast(c_custkey % 10000 AS STRING), 4, '0') WHEN 1 THEN '1234-5678-9012' ELSE '1234 5678 901' END, 'ok': c_custkey % 3 < 2},
+  {'field': 'vid', 'value': CASE c_custkey % 3 WHEN 0 THEN '1234 5678 9012 3456' WHEN 1 THEN '' ELSE '1234 5678 9012 345x' END, 'ok': c_custkey % 3 = 0},
+  {'field': 'micr', 'value': CASE c_custkey % 4 WHEN 0 THEN '411 002 003' WHEN 1 THEN 'no. 411002003' WHEN 2 THEN '41100200' ELSE 'none' END, 'ok': c_custkey % 4 < 2},
+  {'field': 'account_number', 'value': repeat('7', cast(7 + c_custkey % 14 AS INT)), 'ok': c_custkey % 14 BETWEEN 2 AND 11},
+  {'field': 'cif_number', 'value': CASE WHEN c_custkey % 2 = 0 THEN 'CIF ' || cast(c_custkey AS STRING) ELSE 'unknown' END, 'ok': c_custkey % 2 = 0},
+  {'field': 'branch_code', 'value': CASE WHEN c_custkey % 5 = 0 THEN 'x' ELSE '०' || 'x' END, 'ok': c_custkey % 5 > 0},
+  {'field': 'nom_reg_no', 'value': CASE WHEN c_custkey % 7 = 0 THEN '-' ELSE '7' END, 'ok': c_custkey % 7 > 0},
+  {'field': 'branch_manager_stamp_present', 'value': CASE c_custkey % 4 WHEN 0 THEN 'True' WHEN 1 THEN 'MISSING' WHEN 2 THEN 'seen' ELSE 'False' END, 'ok': c_custkey % 4 < 2}]) AS u(f)"""
+_SAID = " ".join(f"WHEN '{f}' THEN '{validate.CHECKS[f][1]}'" for f in ("aadhaar_number", "vid", "micr", "account_number", "cif_number", "branch_code", "nom_reg_no", "branch_manager_stamp_present"))
+
+
+@query(f"""SELECT k, field, ok AS valid, CASE WHEN ok THEN '' WHEN value = '' OR (field = 'branch_manager_stamp_present' AND value = 'False') THEN '{validate.MISSING}' ELSE CASE field {_SAID} END END AS error FROM ({_NUMBERS})""")
+def validate_numbers(spark, sf_dir):
+    """The rules of identity, account and registration numbers, and of the stamp, which is a flag."""
+    k = F.col("c_custkey")
+    text = lambda c: c.cast("string")
+    values = {
+        "aadhaar_number": F.when(k % 3 == 0, F.concat(F.lit("1234 5678 "), F.lpad(text(k % 10000), 4, "0"))).when(k % 3 == 1, "1234-5678-9012").otherwise("1234 5678 901"),
+        "vid": F.when(k % 3 == 0, "1234 5678 9012 3456").when(k % 3 == 1, "").otherwise("1234 5678 9012 345x"),
+        "micr": F.when(k % 4 == 0, "411 002 003").when(k % 4 == 1, "no. 411002003").when(k % 4 == 2, "41100200").otherwise("none"),
+        "account_number": F.repeat(F.lit("7"), (7 + k % 14).cast("int")),
+        "cif_number": F.when(k % 2 == 0, F.concat(F.lit("CIF "), text(k))).otherwise("unknown"),
+        "branch_code": F.when(k % 5 == 0, "x").otherwise("०x"),
+        "nom_reg_no": F.when(k % 7 == 0, "-").otherwise("7"),
+        "branch_manager_stamp_present": F.when(k % 4 == 0, "True").when(k % 4 == 1, "MISSING").when(k % 4 == 2, "seen").otherwise("False"),
+    }
+    rows = _t(spark, sf_dir, "customer").select(k.alias("k"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in values.items()])).alias("f"))
+    return rows.select("k", "f.field", validate.verdict(F.col("f.field"), F.col("f.value"), F.lit(True)).alias("v")).select("k", "field", "v.valid", "v.error")
+
+
 @query(f"""WITH {forms.WITH} SELECT doc_id, 10 AS total_fields, cast((k % 8 = 0 OR k % 9 = 0) AS INT) + cast(k % 11 = 0 AS INT) + cast(k % 6 = 0 AS INT) + cast(k % 10 = 0 AS INT) + cast(k % 19 = 0 AS INT) AS invalid_fields,
   NOT (k % 8 = 0 OR k % 9 = 0 OR k % 11 = 0 OR k % 6 = 0 OR k % 10 = 0 OR k % 19 = 0) AS ready FROM forms WHERE family = 'employee_form'""")
 def validation_summary(spark, sf_dir):
@@ -402,7 +569,22 @@ def validation_summary(spark, sf_dir):
     return out.select("doc_id", "total_fields", "invalid_fields", "ready")
 
 
-@query()
+_NEEDED = ", ".join(f"('{t}', '{f}', {'true' if need else 'false'})" for t, own in schemas.schemas().items() for f, need, _ in own)
+_RULE_ERRORS = "CASE " + " ".join(
+    f"WHEN field = '{f}' AND NOT coalesce({test}, false) THEN '{validate.CHECKS[f][1]}'"
+    for f, test in {
+        "email": "regexp_full_match(value, '[^@ ]+@[^@ ]+[.][^@ ]+')", "pincode": "regexp_full_match(value, '[0-9]{6}')", "employee_id": "regexp_full_match(value, '[A-Za-z0-9_-]+')", "aadhaar_number": "regexp_full_match(replace(value, ' ', ''), '[0-9]{12}')",
+        "pan_number": "regexp_full_match(value, '[A-Z]{5}[0-9]{4}[A-Z]')", "ifsc": "regexp_full_match(value, '[A-Z]{4}0[A-Z0-9]{6}')", "account_number": "regexp_full_match(value, '[0-9]{9,18}')", "total": "regexp_full_match(value, '[0-9]+[.][0-9]{2}')",
+        **{f: "coalesce(try_strptime(value, '%d/%m/%Y'), try_strptime(value, '%Y-%m-%d')) IS NOT NULL" for f in ("date_of_birth", "date_of_joining", "account_opened", "date_of_issue")},
+        **{f: "regexp_matches(value, '[0-9]')" for f in ("cif_number", "nom_reg_no", "branch_code")}, "branch_manager_stamp_present": "value IN ('True', 'False')",
+    }.items()
+) + " WHEN field = 'mobile_number' AND NOT regexp_full_match(value, '[0-9]{10}') THEN 'Mobile number must have exactly 10 digits' END"
+
+
+@query(f"""WITH {forms.WITH}, x AS ({_EXTRACTED}), rules(type, field, required) AS (VALUES {_NEEDED}),
+v AS (SELECT family, type, field, required, CASE WHEN kind = 'b' AND value = 'False' THEN '' ELSE value END AS value FROM x JOIN rules USING (type, field)),
+e AS (SELECT family, type, field, CASE WHEN value = '' THEN CASE WHEN required THEN '{validate.MISSING}' END ELSE {_RULE_ERRORS} END AS error FROM v)
+SELECT family, type, field, error, count(*) AS n FROM e WHERE error IS NOT NULL GROUP BY ALL""")
 def invalid_by_rule(spark, sf_dir):
     rows = validate.validate(_records(spark, sf_dir), ["doc_id", "family"])
     return rows.where("not valid").groupBy("family", "type", "field", "error").agg(F.count("*").alias("n"))
@@ -420,10 +602,16 @@ QUERIES["record_flow"] = flagship
 # -- ranking ------------------------------------------------------------------
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{e}', {len(own) - i})" for t, own in schemas.ENGINES_BY_TYPE.items() for i, e in enumerate(own)) + ") AS t(type, engine, weight)")
+_POLICY = ", ".join(f"('{t}', '{e}', {i}, {len(own) + 1 - i})" for t, own in schemas.ENGINES_BY_TYPE.items() for i, e in enumerate(own, 1))
+
+
+@query(f"""WITH {forms.WITH_CANDIDATES}, policy(type, engine, place, weight) AS (VALUES {_POLICY})
+SELECT doc_id, type, engine, cast(row_number() OVER (PARTITION BY doc_id ORDER BY place) AS INT) AS place, weight
+FROM (SELECT DISTINCT doc_id, family AS type, engine FROM candidates WHERE NOT (k % 4 = 1 AND ordinal = 0)) JOIN policy USING (type, engine)""")
 def engine_preference(spark, sf_dir):
-    rows = schemas.engine_weights(spark).select("type", "engine")
-    return rows.withColumn("weight", rank.preference(F.col("type"), F.col("engine")))
+    """The engines that really read a form, in the order of its type's policy; one of them found some forms blank."""
+    rows = forms.candidates(spark, sf_dir).withColumn("text", F.when((F.col("k") % 4 == 1) & (F.col("ordinal") == 0), " ").otherwise(F.col("text")))
+    return rank.available(rows.withColumnRenamed("family", "type"))
 
 
 @query()
@@ -520,10 +708,46 @@ def token_recall(spark, sf_dir):
     return c.join(f, "doc_id").select("doc_id", "engine", F.round(evaluate.token_recall(F.col("text"), F.col("truth")), 6).alias("recall"))
 
 
-@query()
+_TEXTS = """texts AS (SELECT p_partkey AS k, p_name || ' ' || p_brand || ' ' || p_type || ' ' || cast(p_size AS STRING) AS t FROM part),
+long AS (SELECT k // 8 AS k, string_agg(t, ', ' ORDER BY k) AS t FROM texts GROUP BY k // 8),
+pairs AS (SELECT 'part' AS kind, a.k, a.t AS a, b.t AS b FROM texts a JOIN texts b ON b.k = a.k + 1
+  UNION ALL SELECT 'page', a.k, a.t, b.t FROM long a JOIN long b ON b.k = a.k + 1),
+known AS (SELECT *, row_number() OVER () AS id FROM pairs)"""
+#: The blocks one after another: runs of equal letters on diagonals, the longest without popular ones, with what joins it.
+_RATIO = f"""WITH RECURSIVE {_TEXTS},
+la AS (SELECT id, i, a[i] AS c FROM (SELECT id, a, unnest(range(1, len(a) + 1)) AS i FROM known)),
+lb AS (SELECT id, j, b[j] AS c, len(b) AS n FROM (SELECT id, b, unnest(range(1, len(b) + 1)) AS j FROM known)),
+often AS (SELECT id, c FROM lb WHERE n >= 200 GROUP BY id, c, n HAVING count(*) > n // 100 + 1),
+eq AS MATERIALIZED (SELECT la.id, i, j, i - j AS d, o.c IS NULL AS good FROM la JOIN lb ON la.id = lb.id AND la.c = lb.c LEFT JOIN often o ON o.id = la.id AND o.c = la.c),
+work AS (
+  SELECT id, 1 AS a0, len(a) + 1 AS a1, 1 AS b0, len(b) + 1 AS b1, 0 AS got FROM known
+  UNION ALL
+  SELECT id, u.p.a0, u.p.a1, u.p.b0, u.p.b1, u.p.got FROM (
+    SELECT id, unnest([{{'a0': a0, 'a1': i, 'b0': b0, 'b1': j, 'got': n}}, {{'a0': i + n, 'a1': a1, 'b0': j + n, 'b1': b1, 'got': 0}}]) AS p FROM (
+      SELECT id, a0, a1, b0, b1, x['i'] AS i, x['j'] AS j, x['n'] AS n FROM (SELECT id, a0, a1, b0, b1, arg_min({{'i': i, 'j': j, 'n': n}}, {{'m': -coalesce(m, 0), 's': s, 't': t}}) AS x FROM (
+        SELECT id, a0, a1, b0, b1, d, min(i) AS i, min(j) AS j, count(*) AS n, max(m) AS m, coalesce(min(s) FILTER (WHERE m = top), min(i)) AS s, coalesce(min(t) FILTER (WHERE m = top), min(j)) AS t FROM (
+          SELECT *, max(m) OVER (PARTITION BY id, a0, b0, d, run) AS top FROM (
+            SELECT *, CASE WHEN good THEN count(*) OVER g END AS m, CASE WHEN good THEN min(i) OVER g END AS s, CASE WHEN good THEN min(j) OVER g END AS t FROM (
+              SELECT *, i - row_number() OVER (PARTITION BY id, a0, b0, d, good ORDER BY i) AS inner_run FROM (
+                SELECT w.*, e.i, e.j, e.d, e.good, e.i - row_number() OVER (PARTITION BY w.id, w.a0, w.b0, e.d ORDER BY e.i) AS run
+                FROM work w JOIN eq e ON e.id = w.id AND e.i >= w.a0 AND e.i < w.a1 AND e.j >= w.b0 AND e.j < w.b1))
+            WINDOW g AS (PARTITION BY id, a0, b0, d, run, good, inner_run)))
+        GROUP BY id, a0, a1, b0, b1, d, run HAVING max(m) IS NOT NULL OR (min(i) = a0 AND min(j) = b0))
+      GROUP BY id, a0, a1, b0, b1))) AS u(id, p) WHERE u.p.a0 < u.p.a1 AND u.p.b0 < u.p.b1 OR u.p.got > 0)
+SELECT kind, k, round_even(2.0 * got / (len(a) + len(b)), 6) AS ratio FROM known JOIN (SELECT id, sum(got) AS got FROM work GROUP BY id) USING (id)"""
+
+
+@query(_RATIO)
 def sequence_ratio(spark, sf_dir):
-    c, f = forms.candidates(spark, sf_dir), forms.forms(spark, sf_dir).select("doc_id", F.col("text").alias("truth"))
-    return c.join(f, "doc_id").select("doc_id", "engine", F.bround(evaluate.sequence_ratio("text", "truth"), 6).alias("ratio"))
+    """How alike neighbouring descriptions are, short ones and, joined by eight, long ones with popular letters."""
+    texts = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.concat_ws(" ", "p_name", "p_brand", "p_type", F.col("p_size").cast("string")).alias("t"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "t"))), lambda x: x["t"]), ", ").alias("t")
+    long = texts.groupBy(F.expr("k div 8").alias("g")).agg(joined).withColumnRenamed("g", "k")
+    pairs = []
+    for kind, rows in (("part", texts), ("page", long)):
+        after = rows.select((F.col("k") - 1).alias("k"), F.col("t").alias("b"))
+        pairs.append(rows.select("k", F.col("t").alias("a")).join(after, "k").withColumn("kind", F.lit(kind)))
+    return pairs[0].unionByName(pairs[1]).select("kind", "k", F.bround(evaluate.sequence_ratio("a", "b"), 6).alias("ratio"))
 
 
 # -- reports ------------------------------------------------------------------
@@ -604,6 +828,42 @@ def json_object_parse(spark, sf_dir):
     return rows.select("event_id", plain["k"].alias("k"), plain["missing"].alias("missing"), talk["k"].alias("wrapped"))
 
 
+_KEY = "coalesce(json_extract_string(props, '$.k'), '')"
+
+
+@query(f"""SELECT event_id, cast(i AS INT) AS place, line FROM (SELECT event_id, unnest(['row ' || {_KEY}, 'total', 'cell ' || cast(event_id AS STRING), '7', 'x', 'leaf ' || {_KEY}]) AS line, unnest(range(0, 6)) AS i FROM events WHERE event_id % 10 > 0)""")
+def nested_lines(spark, sf_dir):
+    """Lines of nested engine output built around the events' properties; every tenth is not JSON."""
+    rows = _t(spark, sf_dir, "events")
+    said = tx.text_or_empty(F.get_json_object("props", "$.k"))
+    raw = F.concat(
+        F.when(F.col("event_id") % 10 == 0, "{").otherwise(""), F.lit('{"rec_texts": ["row '), said, F.lit('", " ", "total"], "page": {"texts": "row '), said, F.lit('", "inner": [[[0, 1], ["cell '), F.col("event_id").cast("string"),
+        F.lit(' ", 0.9]], {"text": 7}]}, "extra": "ignored", "z": [["deep", ["x", ["leaf '), said, F.lit('", 1]]]]}'),
+    )
+    return nested.text_lines(rows.select("event_id", raw.alias("raw")), "event_id", "raw")
+
+
+@query("SELECT value, row_number() OVER (ORDER BY value) - 1 AS id FROM (SELECT unnest(['name', 'segment', 'balance', 'nation']) AS value UNION SELECT c_name FROM customer UNION SELECT c_mktsegment FROM customer UNION SELECT n_name FROM nation)")
+def shared_strings(spark, sf_dir):
+    """The texts and headings of two sheets, each once, with the numbers by which a workbook refers to them."""
+    customers = _t(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"))
+    return sinks.shared_strings([customers, _t(spark, sf_dir, "nation").select(F.col("n_name").alias("nation"))])
+
+
+@query(f"WITH {forms.WITH} SELECT family || '/' || CASE WHEN k % 2 = 0 THEN 'image' ELSE 'pdf' END || '/' || family || CASE WHEN n = 0 THEN '' ELSE '_' || cast(n AS STRING) END || '.json' AS file, doc_id, cast(len(text) AS INT) AS n_chars FROM (SELECT *, row_number() OVER (PARTITION BY family, k % 2 = 0 ORDER BY doc_id) - 1 AS n FROM forms WHERE k < 20)")
+def record_files(spark, sf_dir):
+    """A file for each record of the first customers and suppliers, written by tasks, and read back."""
+    rows = forms.forms(spark, sf_dir).where("k < 20").withColumn("file_format", F.when(F.col("k") % 2 == 0, "image").otherwise("pdf"))
+    rows = rows.withColumn("name", F.concat_ws("/", "family", "file_format", "family"))
+    named = review.unique_names(rows, "name", ["doc_id"])
+    body = F.to_json(F.struct("doc_id", F.length("text").alias("n_chars")))
+    folder = shared_folder(spark, "records")
+    sinks.write_record_files(named.select(F.col("family").alias("document_name"), "file_format", F.element_at(F.split("unique_name", "/"), -1).alias("name"), body.alias("body")), folder)
+    read = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
+    file = F.array_join(F.slice(F.split(F.col("_metadata.file_path"), "/"), -3, 3), "/")
+    return read.select(file.alias("file"), F.from_json("value", "doc_id string, n_chars int").alias("x")).select("file", "x.*")
+
+
 _FIELDS = "fields AS (SELECT c_custkey AS id, f.field, f.value FROM customer, unnest([{'field': 'employee_name', 'value': c_name}, {'field': 'bank_name', 'value': c_mktsegment}, {'field': 'total', 'value': cast(c_custkey AS STRING)}]) AS u(f))"
 _CHANGES = "edits AS (SELECT c_custkey AS id, 'bank_name' AS field, CASE WHEN c_custkey % 6 = 0 THEN c_mktsegment ELSE upper(c_name) END AS edited FROM customer WHERE c_custkey % 3 = 0)"
 
@@ -619,6 +879,46 @@ def review_overlay(spark, sf_dir):
     return review.overlay(rows, edits, ["id"]).withColumn("field_group", review.field_group(F.col("field")))
 
 
+_SHOWN = ", ".join(f"('{t}', '{f}')" for t, own in review.DISPLAYED.items() for f in own)
+_PAGE = f"""listed(type, field) AS (VALUES {_SHOWN}),
+fields AS (SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'aadhaar_front' WHEN 1 THEN 'aadhaar_back' WHEN 2 THEN 'aadhaar_full' ELSE 'employee_form' END AS type, f.field, f.value, f.valid, f.warning, f.edited FROM customer, unnest([
+  {{'field': 'name', 'value': c_name, 'valid': true, 'warning': '', 'edited': c_custkey % 6 = 0}},
+  {{'field': 'pincode', 'value': CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '411001' END, 'valid': c_custkey % 3 <> 0, 'warning': '', 'edited': false}},
+  {{'field': 'hindi_address', 'value': '', 'valid': true, 'warning': 'Optional field missing', 'edited': false}},
+  {{'field': 'bank_name', 'value': CASE WHEN c_custkey % 5 = 0 THEN ' ' ELSE c_mktsegment END, 'valid': true, 'warning': '', 'edited': false}},
+  {{'field': 'total', 'value': NULL, 'valid': NULL, 'warning': NULL, 'edited': false}}]) AS u(f)),
+shown AS (SELECT f.* FROM fields f LEFT JOIN listed l ON l.type = f.type AND l.field = f.field WHERE l.field IS NOT NULL OR f.type NOT IN (SELECT type FROM listed) OR trim(coalesce(f.value, '')) <> '')"""
+
+
+def _page(spark, sf_dir) -> DataFrame:
+    k = F.col("c_custkey")
+    entry = lambda f, v, ok=F.lit(True), w=F.lit(""), e=F.lit(False): F.struct(F.lit(f).alias("field"), v.alias("value"), ok.alias("valid"), w.alias("warning"), e.alias("is_edited"))
+    none = F.lit(None)
+    each = F.array(
+        entry("name", F.col("c_name"), e=k % 6 == 0),
+        entry("pincode", F.when(k % 3 == 0, "").otherwise("411001"), k % 3 != 0),
+        entry("hindi_address", F.lit(""), w=F.lit(validate.OPTIONAL)),
+        entry("bank_name", F.when(k % 5 == 0, " ").otherwise(F.col("c_mktsegment"))),
+        entry("total", none.cast("string"), none.cast("boolean"), none.cast("string")),
+    )
+    kind = F.when(k % 4 == 0, "aadhaar_front").when(k % 4 == 1, "aadhaar_back").when(k % 4 == 2, "aadhaar_full").otherwise("employee_form")
+    return review.projection(_t(spark, sf_dir, "customer").select(k.alias("id"), kind.alias("type"), F.explode(each).alias("f")).select("id", "type", "f.*"))
+
+
+@query(f"""WITH {_PAGE} SELECT id, type, field, CASE field WHEN 'total' THEN 'Invoice' WHEN 'pincode' THEN 'Address' WHEN 'hindi_address' THEN 'Address' ELSE 'Identity' END AS field_group,
+  CASE field WHEN 'total' THEN 5 WHEN 'pincode' THEN 3 WHEN 'hindi_address' THEN 3 ELSE 1 END AS group_order, CASE field WHEN 'bank_name' THEN 'Bank Name' WHEN 'hindi_address' THEN 'Hindi Address' ELSE upper(field[1]) || field[2:] END AS label FROM shown""")
+def display_fields(spark, sf_dir):
+    """The fields that each type's page shows, in groups: listed ones always, others if they have a value."""
+    return _page(spark, sf_dir).select("id", "type", "field", "field_group", "group_order", "label")
+
+
+@query(f"""WITH {_PAGE} SELECT id, type, count(*) AS checked, count(*) FILTER (WHERE coalesce(valid, false)) AS ready_fields, count(*) FILTER (WHERE NOT coalesce(valid, true)) AS invalid_fields, count(*) FILTER (WHERE warning <> '') AS warnings,
+  count(*) FILTER (WHERE edited OR NOT coalesce(valid, true) OR coalesce(warning, '') <> '') AS to_review FROM shown GROUP BY id, type""")
+def display_counts(spark, sf_dir):
+    """How many of the shown fields of each page are ready, invalid, warned about, and need a look."""
+    return review.shown_counts(_page(spark, sf_dir), ["id", "type"])
+
+
 @query("SELECT user_id AS file_name, event_id AS review_id, event_type AS status FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def latest_review(spark, sf_dir):
     rows = _t(spark, sf_dir, "events").select(F.col("user_id").alias("file_name"), F.col("event_id").alias("review_id"), F.col("event_type").alias("status"), F.col("ts").alias("reviewed_at"))
@@ -634,17 +934,29 @@ def highlight_text(spark, sf_dir):
 # -- streaming ----------------------------------------------------------------
 
 
+def _as_stream(table: DataFrame, name: str, files: int) -> tuple[DataFrame, str]:
+    """A table as a stream of ``files`` micro-batches, dealt out by a hash, and the folder of its run."""
+    base = shared_folder(table.sparkSession, name)
+    table.repartition(files, F.xxhash64(*table.columns)).write.parquet(f"{base}/in")
+    return table.sparkSession.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"), base
+
+
+@query(SQL["latest_review"])
+def stream_latest_review(spark, sf_dir):
+    """The rows of ``latest_review`` from a stream of five parts in no order, so that most reviews come late."""
+    rows = _t(spark, sf_dir, "events").select(F.col("user_id").alias("file_name"), F.col("event_id").alias("review_id"), F.col("event_type").alias("status"), F.col("ts").cast("timestamp").alias("reviewed_at"))
+    stream, base = _as_stream(rows, "reviews", 5)
+    with ingest.state_store(spark):
+        run = ingest.process(ingest.latest_reviews(stream), lambda changed: changed, f"{base}/out", f"{base}/state", "update")
+        run.awaitTermination()
+    return review.latest(spark.read.parquet(f"{base}/out")).select("file_name", "review_id", "status")
+
+
 @query("SELECT event_type, cast(date_trunc('hour', ts) AS TIMESTAMP) AS hour, count(*) AS n FROM events GROUP BY ALL")
 def stream_event_windows(spark, sf_dir):
     """The events as a stream that ends, counted by type and hour."""
-    import tempfile
-    import uuid
-
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="recordloom-")).rstrip("/") + f"/events-{uuid.uuid4().hex[:12]}"
     # a stream reads a folder of files, which the table may not be
-    table = _t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    table.write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(table.schema).parquet(f"{base}/in")
+    stream, base = _as_stream(_t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "events", 1)
     counts = ingest.windowed_events(stream)
     run = counts.writeStream.outputMode("complete").foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{base}/out"))
     run.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()

@@ -88,8 +88,8 @@ def test_spans_need_only_the_labels_that_occur():
     text = "Employee Name: Asha\nMoblle  Number - 98\nDate_of Birth: 1/2/1990 Emp1oyee ID 7\nSignature"
     norm = " ".join(regex.sub("[:：|._-]+", " ", text.lower()).split())
     hits = [i for i, x in enumerate(search.found([norm])[0]) if x]
-    for kind in schemas.schemas():
-        assert finder.spans(text, kind, hits) == finder.spans(text, kind, range(len(labels)))
+    kinds = list(schemas.schemas())
+    assert finder.spans([text] * len(kinds), kinds, [hits] * len(kinds)) == finder.spans([text] * len(kinds), kinds, [None] * len(kinds))
 
 
 EMPLOYEE = "Employee Name: Asha Rao\nEmployee ID: E_1\nDate of Birth: 01/02/1990\nDate of Joining: 31-02-2020\nDepartment: IT\nDesignation: Clerk\nMoblle Number: 98765 43210\nEmail: a@b\nAddress: 1 Road\nPincode: 012345\nEmployee Signature"
@@ -216,22 +216,190 @@ def test_entry_without_the_training_operators(monkeypatch):
     assert set(__spark_entry__.oracle_sql()) <= names
 
 
-def test_label_search_around_pieces_finds_what_a_whole_search_finds():
-    from recordloom.operators import schemas, spans
+def fuzzy(label):
+    """The label as a pattern of a fuzzy pattern engine."""
+    words = regex.sub("[:：|._-]+", " ", label).split()
+    k, body = schemas.allowed_edits(" ".join(words)), r"[\s:：|._-]+".join(map(regex.escape, words))
+    return regex.compile(r"(?<![\p{L}\p{N}])" + (f"({body}){{e<={k}}}" if k else body) + r"\s*[:：|._-]?\s*", regex.IGNORECASE)
 
-    rng = random.Random(4)
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_label_automata_find_what_a_fuzzy_pattern_engine_finds(seed):
+    rng, finder = random.Random(seed), spans.Finder()
     labels = sorted({x for own in schemas.schemas().values() for _, _, some in own for x in some} | set(schemas.END_MARKS))
-    made = {x: (spans.pattern(x), *spans.pieces(x)) for x in labels}
-    for n in range(150):
+    index, patterns = {x: i for i, x in reversed(list(enumerate(finder.norms)))}, {x: fuzzy(x) for x in labels}
+    texts = ["", " ", "Name"]
+    for n in range(120):
         words = []
         for _ in range(rng.randint(1, 25)):
             word = list(rng.choice(labels)) if rng.random() < 0.7 else list(rng.choice(["Jalan 12", "xx", "i991", "ress", "-", "\n"]))
             for _ in range(rng.randint(0, 3)):
                 at = rng.randint(0, len(word))
-                word[at : at + rng.randint(0, 1)] = rng.choice(["", "x", " ", "..", "1", "\n", "İ" if n % 10 == 0 else "l"])
+                word[at : at + rng.randint(0, 1)] = rng.choice(["", "x", " ", "..", "1", "\n", "ſ" if n % 10 == 0 else "l"])
             words.append("".join(word))
-        text = rng.choice([" ", "\n", ": ", ""]).join(words)
-        for label in rng.sample(labels, 25):
-            compiled, parts, reach = made[label]
-            want = [(m.start(), m.end()) for m in compiled.finditer(text)]
-            assert spans.Places(text).find(compiled, parts, reach) == want, (label, text)
+        texts.append(rng.choice([" ", "\n", ": ", ""]).join(words))
+    wanted = [rng.sample(labels, 25) for _ in texts]
+    lows = [spans.folded(t) for t in texts]
+    places = finder.starts(lows, [[index[schemas.normal_label(x)] for x in own] for own in wanted])
+    for text, low, own, starts in zip(texts, lows, wanted, places):
+        for label, at in zip(own, starts):
+            last, got = 0, []
+            for s in at:
+                if s >= last and (end := finder.ways[index[schemas.normal_label(label)]].end(low, s, last)) >= 0:
+                    last = spans.past_separator(low, end)
+                    got.append((s, last))
+            assert got == [m.span() for m in patterns[label].finditer(text)], (label, text)
+
+
+@pytest.mark.parametrize("letters", ["ab", "abc ", "etaoinshrdlu  "])
+def test_sequence_ratio_equals_the_standard_one(spark, letters):
+    from difflib import SequenceMatcher
+
+    rng, pairs = random.Random(len(letters)), [("", ""), ("a", ""), ("", "b"), (None, "a"), ("a", None)]
+    for size in (5, 30, 150, 320, 450):
+        for _ in range(25):
+            b = "".join(rng.choice(letters) for _ in range(rng.randint(0, size)))
+            a = list(b) if rng.random() < 0.6 else [rng.choice(letters) for _ in range(rng.randint(0, size))]
+            for _ in range(rng.randint(0, 8)):
+                p = rng.randint(0, len(a))
+                a[p : p + rng.randint(0, 3)] = rng.choice(["", "x", "ab", " e"])
+            pairs.append(("".join(a), b))
+    pairs.append(("x" * 3000 + "tail", "x" * 3000 + "end"))  # popular letters alone
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    for r in rows.withColumn("ratio", evaluate.sequence_ratio("a", "b")).collect():
+        assert r.ratio == (None if r.a is None or r.b is None else SequenceMatcher(None, r.a, r.b).ratio()), (r.a, r.b)
+
+
+def test_slices_in_sql(spark):
+    from recordloom.operators import slicing
+
+    slicing.register(spark)
+    docs = spark.createDataFrame([(1, EMPLOYEE, "employee_form"), (2, None, "employee_form"), (3, "Name: x", "other"), (4, "Pincode:\nDepartment - R  D | Signature", "employee_form")], "doc_id int, text string, type string")
+    rows = spark.sql("SELECT doc_id, ord, field, value FROM label_slices(TABLE(SELECT * FROM {docs}))", docs=docs).collect()
+    assert [r[2:] for r in sorted(rows) if r.doc_id == 4] == [("pincode", ""), ("department", "R D")]
+    whole = {r.field: r.value for r in sorted(rows) if r.doc_id == 1}
+    sliced = spans.with_slices(classify.forced(classify.with_hits(docs.where("doc_id = 1")), F.lit("employee_form"))).first().sliced
+    assert whole == sliced and whole["mobile_number"] == "98765 43210" and {r.doc_id for r in rows} == {1, 4}
+    by_key = spark.sql("SELECT doc_id, ord, field, value FROM label_slices(TABLE(SELECT * FROM {docs}) PARTITION BY doc_id)", docs=docs).collect()
+    assert sorted(by_key) == sorted(rows)
+    for wrong in ("label_slices(1)", "label_slices(TABLE(SELECT doc_id FROM {docs}))", "label_slices(TABLE(SELECT *, 1 AS field FROM {docs}))"):
+        with pytest.raises(Exception, match="label_slices"):
+            spark.sql(f"SELECT * FROM {wrong}", docs=docs).collect()
+
+
+def walked(value, lines):
+    """The lines of nested output by plain recursion, objects in the order of names."""
+    say = lambda x: lines.setdefault(str(x).strip()) if str(x).strip() else None
+    if isinstance(value, dict):
+        for name in ("rec_texts", "texts", "text"):
+            if name in value and value[name] is not None:
+                for x in value[name] if isinstance(value[name], list) else [value[name]]:
+                    say(x)
+        for _, x in sorted(value.items()):
+            walked(x, lines)
+    elif isinstance(value, list):
+        if len(value) > 1 and isinstance(value[1], list) and value[1] and isinstance(value[1][0], str):
+            say(value[1][0])
+        for x in value:
+            walked(x, lines)
+    return list(lines)
+
+
+def test_nested_output(spark):
+    import json
+
+    from recordloom.operators import nested
+
+    rng = random.Random(2)
+
+    def made(depth):
+        kind = rng.randrange(5 if depth else 1)
+        if kind == 0:
+            return rng.choice(["a", "b", " c ", "", "long text", 7, 1.5])
+        if kind == 1:
+            return {rng.choice(["text", "rec_texts", "texts", "x", "y"]): made(depth - 1) if rng.random() < 0.5 else rng.choice(["one", ["two", " ", "three"], ["one"], []]) for _ in range(rng.randint(0, 3))}
+        if kind == 2:
+            return [made(depth - 1), [rng.choice(["read", "seen", 3]), 0.9]]
+        return [made(depth - 1) for _ in range(rng.randint(0, 3))]
+
+    def plain(v):
+        """Texts that are objects or lists of lists have no one way to be said; keep to those that do."""
+        if isinstance(v, dict):
+            return {k: (x if k not in nested.TEXT_FIELDS or isinstance(x, str) or (isinstance(x, list) and all(isinstance(y, str) for y in x)) else "said") for k, x in ((k, plain(x)) for k, x in v.items())}
+        return [plain(x) for x in v] if isinstance(v, list) else v
+
+    values = [plain(made(rng.randint(0, 6))) for _ in range(80)]
+    raw = [json.dumps(v) for v in values] + [None, "", "{", "null", "7"]
+    values += [None] * 5
+    rows = spark.createDataFrame(list(enumerate(raw)), "id int, raw string")
+    got = {}
+    for r in nested.text_lines(rows, "id", "raw").orderBy("id", "place").collect():
+        got.setdefault(r.id, []).append(r.line)
+    assert got == {i: lines for i, v in enumerate(values) if (lines := walked(v, {}))}
+
+
+def test_numbers_and_ranks_without_gaps(spark):
+    from recordloom.operators import numbering
+
+    rng = random.Random(6)
+    rows = [(i, None if i % 50 == 0 else rng.choice(["hot"] * 6 + list("abcde"))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id int, name string").repartition(7)
+    got = numbering.ranked(df, "name", ["id"], partitions=16).collect()
+    seen = {}
+    for i, name in rows:
+        seen[i] = sum(1 for j, n in rows[:i] if n == name)
+    assert {r.id: r["rank"] for r in got} == seen and len(got) == 3000
+    got = numbering.numbered(df, ["name", "id"], partitions=16).collect()
+    assert [r.id for r in sorted(got, key=lambda r: (r[1] is not None, r[1] or "", r[0]))] == [r.id for r in sorted(got, key=lambda r: r[-1])]
+    assert sorted(r[-1] for r in got) == list(range(3000))
+    assert numbering.dictionary(df, "name", 4).orderBy("id").collect() == [(x, i) for i, x in enumerate(sorted({n for _, n in rows if n}))]
+    assert numbering.ranked(df.limit(0), "name", ["id"]).count() == numbering.numbered(df.limit(0), ["id"]).count() == 0
+
+
+def test_one_name_on_all_rows_is_no_single_task(spark):
+    from recordloom.operators import numbering
+
+    df = spark.range(4000).select(F.col("id"), F.lit("same.png").alias("name"))
+    out = numbering.ranked(df, "name", ["id"], partitions=8)
+    rows = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert out.select(F.max("rank"), F.countDistinct("rank")).first() == (3999, 4000)
+    assert max(r["count"] for r in rows) < 4000
+    staged = numbering._sorted(df, ["name", "id"], 8).groupBy("_part").count().collect()
+    assert len(staged) == 8 and max(r["count"] for r in staged) < 1000
+
+
+def test_display_shows_listed_fields_and_filled_ones(spark):
+    rows = [(1, "aadhaar_front", f, v) for f, v in (("vid", ""), ("address", ""), ("pincode", "411001"), ("bank_name", " "), ("x", None))] + [(2, "pan_card", "bank_name", ""), (3, None, "total", None)]
+    fields = spark.createDataFrame(rows, "id int, type string, field string, value string")
+    shown = review.projection(fields).collect()
+    assert sorted((r.id, r.field, r.field_group, r.group_order) for r in shown) == [(1, "pincode", "Address", 3), (1, "vid", "Review", 6), (2, "bank_name", "Identity", 1), (3, "total", "Invoice", 5)]
+    counted = review.shown_counts(review.projection(fields.withColumns({"valid": F.col("field") != "vid", "warning": F.lit(None).cast("string"), "is_edited": F.col("id") == 2})), ["id"])
+    assert {r.id: tuple(r)[1:] for r in counted.collect()} == {1: (2, 1, 1, 0, 1), 2: (1, 1, 0, 0, 1), 3: (1, 1, 0, 0, 0)}
+
+
+def test_policy_keeps_engines_that_read(spark):
+    rows = [(1, "pan_card", "easyocr", "x"), (1, "pan_card", "tesseract", " "), (1, "pan_card", "doctr", "y"), (1, "pan_card", "other", "y"), (2, "employee_form", "doctr", "x"), (3, "invoice", "paddleocr", None)]
+    got = rank.available(spark.createDataFrame(rows, "doc_id int, type string, engine string, text string")).collect()
+    assert sorted(map(tuple, got)) == [(1, "pan_card", "doctr", 1, 3), (1, "pan_card", "easyocr", 2, 1)]
+
+
+def test_stream_of_reviews_with_late_rows(spark, tmp_path):
+    from recordloom.streaming import ingest
+
+    rng = random.Random(9)
+    rows = [(f"f{rng.randrange(6)}.png", i, f"2024-01-{rng.randint(1, 9):02} 00:00:00", f"s{i}") for i in range(60)] + [("null.png", 99, None, "x")]
+    table = spark.createDataFrame(rows, "file_name string, review_id long, t string, status string").select("file_name", "review_id", F.col("t").cast("timestamp").alias("reviewed_at"), "status")
+    for k in range(3):
+        table.where(F.col("review_id") % 3 == k).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    before = spark.conf.get(ingest.state_store.KEY)
+    with ingest.state_store(spark):
+        ingest.process(ingest.latest_reviews(stream), lambda x: x, str(tmp_path / "out"), str(tmp_path / "state"), "update").awaitTermination()
+    assert spark.conf.get(ingest.state_store.KEY) == before
+    parts = spark.read.parquet(str(tmp_path / "out"))
+    assert parts.select("part").distinct().count() == 3
+    got = {r.file_name: (r.review_id, r.status) for r in review.latest(parts).collect()}
+    want = {}
+    for f, i, t, s in sorted((r for r in rows if r[2]), key=lambda r: (r[2], r[1])):
+        want[f] = (i, s)
+    assert got == want
