@@ -332,17 +332,20 @@ _BUILT: dict[tuple, Column] = {}
 
 def _records(text: str, types: list[str] | None) -> Column:
     body, lines, branches = text_or_empty(F.col(text)), F.col("lines"), None
+    sliced = lambda f: text_or_empty(F.try_element_at(F.col("sliced"), F.lit(f)))
+    # one set of expressions for all sides of a card: a field that a side lacks isn't sliced there
+    card = card_overlay(body, lines, sliced) if types is None or any(t.startswith("aadhaar") for t in types) else {}
     for t, own in schemas.schemas().items():
         if types is not None and t not in types:
             continue
-        made: dict[str, Column] = {f: text_or_empty(F.try_element_at(F.col("sliced"), F.lit(f))) for f, _, _ in own}
+        made: dict[str, Column] = {f: sliced(f) for f, _, _ in own}
         names = {f for f, _, _ in own}
 
         def value(f: str, made=made) -> Column:
             return made.get(f, F.lit(""))
 
         if "aadhaar_number" in names:
-            made |= {f: c for f, c in card_overlay(body, lines, value).items() if f in names}
+            made |= {f: c for f, c in card.items() if f in names}
         if "pan_number" in names:
             made |= tax_overlay(body, lines, value)
         if "bank_name" in names:
@@ -361,5 +364,6 @@ def extract(docs: DataFrame, text: str = "text", types: list[str] | None = None)
 
 def long_fields(records: DataFrame, keys: list[str], values: str = "values") -> DataFrame:
     """A row for each field of each record: keys, type, field, kind (s, b or l), value."""
-    rows = records.select(*keys, "type", F.explode(values).alias("field", "value"))
+    # outer: else Spark asks for the size of the whole record first, and so makes it three times
+    rows = records.select(*keys, "type", F.explode_outer(values).alias("field", "value")).where("field is not null")
     return rows.withColumn("kind", F.when(F.col("field").isin(*schemas.FLAGS), "b").when(F.col("field").isin(*schemas.LISTS), "l").otherwise("s"))

@@ -107,13 +107,15 @@ def verdicts(kind: Column, values: Column) -> Column:
     """array<struct<field, required, value, v>> of a record: its expected fields and their verdicts.
 
     The rules are a literal and the record is one row, so nothing is shuffled.
+    The record is bound once, and so is each value: inside a function over the
+    rules they would be made again for every rule.
     """
 
-    def one(r: Column) -> Column:
-        value = text_or_empty(F.try_element_at(values, r["field"]))
-        return F.struct(r["field"].alias("field"), r["required"].alias("required"), value.alias("value"), verdict(r["field"], value, r["required"]).alias("v"))
+    def one(r: Column, record: Column) -> Column:
+        said = lambda value: F.struct(r["field"].alias("field"), r["required"].alias("required"), value.alias("value"), verdict(r["field"], value, r["required"]).alias("v"))
+        return let(text_or_empty(F.try_element_at(record, r["field"])), said)
 
-    return F.transform(expected(kind), one)
+    return let(values, lambda record: F.transform(expected(kind), lambda r: one(r, record)))
 
 
 def validate(records: DataFrame, keys: list[str], values: str = "values") -> DataFrame:
@@ -123,7 +125,8 @@ def validate(records: DataFrame, keys: list[str], values: str = "values") -> Dat
     without rules are dropped, missing ones are empty. Records of unknown type
     give no rows.
     """
-    rows = records.select(*keys, "type", F.posexplode(verdicts(F.col("type"), F.col(values))).alias("rule_ord", "r"))
+    # outer: else Spark asks for the size of all verdicts first, and so makes them three times
+    rows = records.select(*keys, "type", F.posexplode_outer(verdicts(F.col("type"), F.col(values))).alias("rule_ord", "r")).where("rule_ord is not null")
     return rows.select(*keys, "type", "r.field", "r.required", "rule_ord", "r.value", "r.v.valid", "r.v.error", "r.v.warning")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import classify, evaluate, extract, nested, ocr_fields, rank, report, review, schemas, slicing, spans, validate
 from ..sources import files, model_json, sinks
-from ..staging import shared_folder
+from ..staging import shared_folder, spread
 from ..streaming import ingest
 from . import batch, forms
 
@@ -37,6 +37,11 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, for work that costs much for each text."""
+    return spread(_t(spark, sf_dir, "documents"))
+
+
 # -- normalisation ------------------------------------------------------------
 
 _SQUEEZE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
@@ -46,7 +51,7 @@ _CLEAN = r"regexp_replace(" + _SQUEEZE + r", '^[ :\-|]+|[ :\-|]+$', '', 'g')"
 
 @query(f"SELECT doc_id, md5({_MATCH.format('text')}) AS norm_md5 FROM documents")
 def normalize_text(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(tx.match_text(F.col("text")).cast("binary")).alias("norm_md5"))
+    return _texts(spark, sf_dir).select("doc_id", F.md5(tx.match_text(F.col("text")).cast("binary")).alias("norm_md5"))
 
 
 @query(f"SELECT conv_id, turn, {_CLEAN.format('text')} AS value, {_SQUEEZE.format(chr(39) + ' x ' + chr(39) + ' || role')} AS role_text FROM conversations")
@@ -59,7 +64,7 @@ FROM (SELECT doc_id, i, {_CLEAN.format('l')} AS line FROM (SELECT doc_id, unnest
 GROUP BY doc_id""")
 def clean_lines(spark, sf_dir):
     lines = tx.lines_of(F.col("text"))
-    return _t(spark, sf_dir, "documents").select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.md5(F.array_join(lines, "\n").cast("binary")).alias("lines_md5"))
+    return _texts(spark, sf_dir).select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.md5(F.array_join(lines, "\n").cast("binary")).alias("lines_md5"))
 
 
 @query("SELECT o_orderkey, translate(cast(o_orderkey AS STRING), '0123456789', '०१२३४५६७८९') AS script, cast(o_orderkey AS STRING) AS folded FROM orders")
@@ -96,7 +101,7 @@ def amount_keys(spark, sf_dir):
   regexp_extract(text, '\b([0-9]{2}[-/][0-9]{2}[-/][0-9]{2,4})\b', 1) AS first_date FROM documents""")
 def extract_patterns(spark, sf_dir):
     c = F.col("text")
-    return _t(spark, sf_dir, "documents").select(
+    return _texts(spark, sf_dir).select(
         "doc_id",
         tx.group(c, r"(?i)\b([A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,})\b").alias("email"),
         F.size(F.regexp_extract_all(c, F.lit(r"[0-9]+\.[0-9]{2}"), F.lit(0))).cast("long").alias("n_amounts"),
@@ -663,7 +668,7 @@ def batch_receipts(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir) -> DataFrame:
-    o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("p"), F.col("o_orderdate").cast("date").alias("d"))
+    o = spread(_t(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("image"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("p"), F.col("o_orderdate").cast("date").alias("d"))
     models = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(i).alias("n")) for i, m in enumerate(("doctr", "easyocr", "paddleocr"))])).alias("m")
     rows = o.select("*", models).select("image", "p", "d", "m.model", "m.n")
     k, n = F.col("image"), F.col("n")

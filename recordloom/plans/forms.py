@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..staging import spread
+
 #: Names and a date of birth by key.
 PERSON = "(CASE k % 4 WHEN 0 THEN 'Asha' WHEN 1 THEN 'Ravi' WHEN 2 THEN 'Meena' ELSE 'Arjun' END) || ' ' || (CASE k % 3 WHEN 0 THEN 'Mehta' WHEN 1 THEN 'Nair' ELSE 'Kapoor' END)"
 FATHER = "(CASE k % 5 WHEN 0 THEN 'Mohan' WHEN 1 THEN 'Vikram' WHEN 2 THEN 'Suresh' WHEN 3 THEN 'Anil' ELSE 'Rajan' END) || ' ' || (CASE k % 3 WHEN 0 THEN 'Mehta' WHEN 1 THEN 'Nair' ELSE 'Kapoor' END)"
@@ -99,12 +101,16 @@ def _guard(sql: str) -> str:
     return sql.replace("{", "{{").replace("}", "}}")
 
 
+def _spread(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    return spread(view(spark, sf_dir, sql), *[spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES])
+
+
 def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, FORMS)
+    return _spread(spark, sf_dir, FORMS)
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, CANDIDATES)
+    return _spread(spark, sf_dir, CANDIDATES)
 
 
 #: The same as common table expressions for DuckDB.
