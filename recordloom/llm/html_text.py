@@ -390,4 +390,5 @@ def extract(pages: DataFrame, source: str = "html") -> DataFrame:
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages; cases as in ``extract``."""
     return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))

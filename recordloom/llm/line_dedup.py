@@ -205,6 +205,7 @@ def with_length(docs: DataFrame, text: str = "text", length: str = "n_chars") ->
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without later copies of repeated runs, with counts of lines; cases as in ``drop_repeated``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return drop_repeated(docs, counts=True)
 

@@ -181,4 +181,5 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by the labels outside the held-out fold; cases as in ``score``."""
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

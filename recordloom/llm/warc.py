@@ -297,6 +297,7 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives in the shared folder and read back; cases as in ``write`` and ``read``."""
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex[:12]}"
     write(table(spark, sf_dir, "pages"), folder)
     return read(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -43,6 +43,27 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert top_k.top_k(top_k.integers(none), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_seeds_are_drawn_in_the_scan(spark, monkeypatch):
+    monkeypatch.setattr(top_k, "SEEDS", 40)
+    rows = spark.range(20_000).select(F.col("id").alias("vec_id"), F.when(F.col("id") % 500 == 0, F.array(F.lit(1))).otherwise(F.array("id", F.lit(2))).cast("array<long>").alias("v"))
+    rows = rows.select("vec_id", "v", F.size("v").alias("d"), F.col("vec_id").alias("row"))
+    drawn = top_k.drawn(rows)
+    counts = {r.d: r["count"] for r in drawn.groupBy("d").count().collect()}
+    assert 40 <= counts[2] <= 160 and counts[1] == 40
+    assert "Exchange" not in drawn._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(top_k, "LENGTHS", 1)
+    assert 40 <= top_k.drawn(rows).where("d = 2").count() <= 160
+
+
+def test_vectors_of_rare_lengths_need_no_seeds(spark, monkeypatch):
+    monkeypatch.setattr(top_k, "SEEDS", 2)
+    monkeypatch.setattr(top_k, "LENGTHS", 1)
+    rng = random.Random(2)
+    rows = [(i, [rng.randint(-50, 50) for _ in range(3 if i % 40 else 5)]) for i in range(400)]
+    got = top_k.top_k(spark.createDataFrame(rows, "vec_id long, v array<long>"), F.col("vec_id") % 20 == 0, 4).collect()
+    assert sorted(map(tuple, got)) == best_rows(rows, lambda i: i % 20 == 0, 4)
+
+
 def test_segment_bound_holds_and_prunes():
     rng = np.random.default_rng(2)
     v = rng.integers(-400, 400, (60, 40))
@@ -232,6 +253,37 @@ def test_quality_on_held_out_documents(spark, corpus):
     assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.95 * len(held)
 
 
+def test_quality_equals_plain_class_normals(spark, corpus):
+    """Means and covariances of each class by numpy over all learnt rows, densities by their determinants and inverses."""
+    docs, labels = corpus
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    rows = docs.select("doc_id", "text").collect()
+    x = np.array([quality.statistics(r.text) for r in rows])
+    learnt = np.array([r.doc_id in truth and zlib.crc32(str(r.doc_id).encode()) % 5 != 0 for r in rows])
+    y = np.array([truth.get(r.doc_id, -1) for r in rows])
+    own = [np.cov(x[learnt & (y == c)].T, bias=True) for c in (0, 1)]
+    n = [int((learnt & (y == c)).sum()) for c in (0, 1)]
+    pooled = (n[0] * own[0] + n[1] * own[1]) / sum(n)
+    logs = []
+    for c in (0, 1):
+        s = (1 - quality.POOLED - quality.DIAGONAL) * own[c] + quality.POOLED * pooled + quality.DIAGONAL * np.diag(np.diag(own[c]))
+        s = s + quality.RIDGE * np.diag(np.diag(pooled) + quality.RIDGE)
+        d = x - x[learnt & (y == c)].mean(axis=0)
+        logs.append(np.log(n[c] / sum(n)) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d))
+    want = {r.doc_id: v for r, v in zip(rows, 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500))))}
+    got = quality.score(docs, labels).collect()
+    assert len(got) == len(want) and all(abs(r.score - want[r.doc_id]) < 1e-6 for r in got)
+
+
+def test_quality_at_the_threshold_and_of_no_rows(spark, corpus):
+    docs = spark.createDataFrame([(0, "a"), (1, "b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 1000) if zlib.crc32(str(i).encode()) % 5][:3] + [(2000 + i, 0) for i in range(20) if zlib.crc32(str(2000 + i).encode()) % 5][:7], "doc_id long, quality int")
+    one_class = quality.score(labels.selectExpr("doc_id", "'x' as text").where("doc_id < 1000").union(docs), labels)
+    assert {(r.score, r.predicted) for r in one_class.collect()} == {(1.0, 1)}
+    assert quality.score(docs, labels, threshold=0.5).where("score = 0.5 and predicted = 0").count() == 0
+    assert quality.score(corpus[0].limit(0), corpus[1]).count() == 0 and toxicity.score(corpus[0].limit(0), toxicity.Severity({}, (0.0, 0.0))).count() == 0
+
+
 def test_quality_ignores_held_out_labels_and_takes_odd_rows(spark, corpus):
     docs, labels = corpus
     flipped = labels.selectExpr("doc_id", "if(crc32(cast(cast(doc_id as string) as binary)) % 5 = 0, 1 - quality, quality) as quality")
@@ -256,3 +308,48 @@ def test_pipeline_stages(spark):
             assert docs.columns == columns
     assert counts == sorted(counts, reverse=True) and counts[-1] > 0.6 * counts[0]
     assert corpus_pipeline.run(spark, root).count() == counts[-1]
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """A table on which each stage takes something away, against plain Python, stage after stage."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    words = [a + b + c for a in "bdfgklmnprst" for b in "aeiou" for c in ("", "n", "r", "st")]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    item, run = prose(20), [prose(15) for _ in range(5)]
+    texts = [prose(120) for _ in range(60)]
+    texts[5:15] = [f"{t} vilecurse {t[:40]} vilecurse" for t in texts[5:15]]
+    texts[20] = "\n".join([prose(30), *run, prose(30)])
+    texts[21] = "\n".join([prose(40), *run])
+    texts[30] = texts[31] + " one more"
+    texts[40] = f"{prose(30)} {item} {prose(30)}"
+    texts[41] = f"{prose(3000)} {item}"
+    rows = [(i, t, "en", "src", len(t)) for i, t in enumerate(texts)] + [(90, None, None, None, None), (91, "", "en", "src", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    toxic = [(i, 1, int("vilecurse" in t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(toxic, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([("q1", item)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    kept = {i: t for i, t, *_ in rows if "vilecurse" not in (t or "")}
+    kept[21] = texts[21].split("\n")[0]
+    shingles = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in kept.items() if t}
+    for i in sorted(shingles):
+        for j in sorted(shingles):
+            if j < i and j in kept and i in kept and 5 * len(shingles[i] & shingles[j]) >= 4 * len(shingles[i] | shingles[j]):
+                del kept[i]
+    del kept[91]  # null and empty texts are alike
+    hit = item.split()
+    hits = {i for i, t in kept.items() if t and " ".join(hit) in t and 20 * len(hit) >= len(t.split())}
+    assert hits == {40} and 41 in kept
+    kept.pop(40)
+    from public_tokenizers import path
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(path("byte_bpe_multi_50k.tiktoken"), "rb").read().splitlines())}
+    import public_tokenizers
+    import tiktoken
+
+    bpe = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = {(i, len(ids := bpe.encode_ordinary(t or "")), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in kept.items()}
+    got = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == want and len(want) < len(rows) - 12
