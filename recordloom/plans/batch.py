@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import text_or_empty
-from ..operators import classify, evaluate, ocr_fields, report, spans, validate
+from ..functions.text import safe_file_name, text_or_empty
+from ..operators import classify, evaluate, ocr_fields, report, review, spans, validate
 from ..sources import files, sinks
 from ..sources.files import Engines
 
@@ -167,7 +167,8 @@ def run(spark: SparkSession, family: str, source: str, truth: str, engines: Engi
     """Read, compare and report a folder of a family's images or PDFs.
 
     Writes under ``out``: readings and comparisons (Parquet), results (a JSON
-    record for each image) and report.xlsx. Returns the report's tables. The
+    record for each image, as lines), the same as a file for each image under
+    records/<family>/<kind>, and report.xlsx. Returns the report's tables. The
     engines run once, and so does the understanding of what they read: both
     are written first, and all else starts from that.
     """
@@ -193,11 +194,20 @@ def run(spark: SparkSession, family: str, source: str, truth: str, engines: Engi
     pairs = spark.read.parquet(f"{out}/comparisons")
     table = scored(rows, pairs, family)
     results(rows, pairs, table).write.mode("overwrite").json(f"{out}/results")
+    made = spark.read.text(f"{out}/results").select(F.get_json_object("value", "$.image").alias("image"), F.col("value").alias("body"))
+    sinks.write_record_files(named_records(made, family, kind), f"{out.rstrip('/')}/records")
     sheets = report.sheets(table, pairs, models, "invoice" if family == "invoice" else None)
     sinks.write_workbook(f"{out.rstrip('/')}/report.xlsx", sheets)
     return sheets
 
 
+def named_records(made: DataFrame, family: str, kind: str) -> DataFrame:
+    """``made`` (image, body) with document_name, file_format and name: the image's, without suffix, unique and safe."""
+    stem = F.regexp_replace(safe_file_name(F.col("image")), r"\.[^.]*?(?=_page_\d+$)|\.[^.]*$", "")
+    rows = review.unique_names(made.withColumn("stem", stem), "stem", ["image"])
+    return rows.select(F.lit(family).alias("document_name"), F.lit(kind).alias("file_format"), F.col("unique_name").alias("name"), "body")
+
+
 def results(readings: DataFrame, pairs: DataFrame, table: DataFrame) -> DataFrame:
     """For each image one row: side, quality, and a map of its models to their outcome. Bounded by the engines."""
     said = readable(pairs, ["image", "model"]).withColumn("comparison", F.struct("accuracy_percent", "matched_fields", "total_fields", "fields")).select("image", "model", "comparison")

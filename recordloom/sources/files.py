@@ -27,6 +27,27 @@ def scan(spark: SparkSession, path: str, glob: str | None = None, recursive: boo
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
 
 
+def requested(requests: DataFrame, folder: str, name: str = "file_name") -> DataFrame:
+    """Each row of ``requests`` with the path, length and content of the file it names in ``folder``, or an error.
+
+    Names are trimmed, and looked up right below the folder. A blank or null
+    name and one that isn't there are errors of their rows, not of the job.
+    """
+    asked = requests.withColumn(name, F.trim(F.coalesce(F.col(name), F.lit(""))))
+    found = scan(requests.sparkSession, folder, recursive=False).select(F.col("_metadata.file_name").alias("_name"), "path", "length", "content")
+    rows = asked.join(found, F.col(name) == F.col("_name"), "left").drop("_name")
+    absent = F.concat(F.lit("File not found in uploads folder: "), F.col(name))
+    return rows.withColumn("error", F.when(F.col(name) == "", "Please enter a file name.").when(F.col("path").isNull(), absent).otherwise(""))
+
+
+def uploaded(spark: SparkSession, folder: str, file_name: str) -> str:
+    """The path of one file by its name in ``folder``; ValueError for a blank name, FileNotFoundError for an unknown one."""
+    row = requested(spark.createDataFrame([(file_name,)], "file_name string"), folder).select("path", "error").first()
+    if row.error:
+        raise (FileNotFoundError if file_name.strip() else ValueError)(row.error)
+    return row.path
+
+
 @F.pandas_udf(T.BooleanType())
 def _is_docx(content: pd.Series) -> pd.Series:
     def look(raw) -> bool:

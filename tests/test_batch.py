@@ -47,6 +47,8 @@ def test_image_batch(spark, tmp_path):
     assert said["fields"]["hindi_name"]["reason"] == "ground truth value not present" and not said["fields"]["hindi_name"]["used_for_accuracy"]
     assert bad["error"] == "RuntimeError: no glasses" and bad["comparison_with_ground_truth"]["matched_fields"] == 0
     assert (out / "report.xlsx").exists()
+    told = [json.loads(p.read_text()) for p in (out / "records").rglob("*.json")]
+    assert sorted(t["image"] for t in told) == sorted(r.image for r in spark.read.json(str(out / "results")).collect()) and told
 
 
 @pytest.mark.parametrize(("digital", "pages"), [(True, {"1", "2"}), (False, {"1", "2", "3"})])

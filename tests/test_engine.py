@@ -207,6 +207,19 @@ def test_files(spark, tmp_path):
     assert [r.error.split(":")[0] for r in failed] == ["ZeroDivisionError"]
 
 
+def test_upload_lookup(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(b"\x89PNG")
+    (tmp_path / "below").mkdir()
+    (tmp_path / "below" / "b.png").write_bytes(b"x")
+    assert files.uploaded(spark, str(tmp_path), "  a.png ").endswith("/a.png")
+    with pytest.raises(ValueError, match="Please enter a file name"):
+        files.uploaded(spark, str(tmp_path), "  ")
+    with pytest.raises(FileNotFoundError, match="File not found in uploads folder: b.png"):
+        files.uploaded(spark, str(tmp_path), "b.png")
+    asked = spark.createDataFrame([(1, "a.png"), (2, " a.png"), (3, None), (4, "b.png")], "id int, file_name string")
+    assert sorted((r.id, r.length, bool(r.error)) for r in files.requested(asked, str(tmp_path)).collect()) == [(1, 4, False), (2, 4, False), (3, None, True), (4, None, True)]
+
+
 def test_entry_without_the_training_operators(monkeypatch):
     import __spark_entry__
 
