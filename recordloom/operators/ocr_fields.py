@@ -157,7 +157,9 @@ def card_side(text: Column, path: Column) -> Column:
     """aadhaar_front or aadhaar_back by what the text shows, then by the file's name, else front."""
     point = lambda c, n: F.when(c, n).otherwise(0)
     front = point(text.rlike(r"(?iu)\b(DOB|Date\s*of\s*Birth|YOB|Male|Female)\b"), 2) + point((read_gender(text) != "") | (birth_date(text) != "") | (birth_year(text) != ""), 1)
-    back = point(text.rlike(r"(?iu)\b(Address|Pincode|Father|Husband|S/O|W/O|C/O|Care\s*Of)\b"), 2) + point(read_pincode(text) != "", 1)
+    # the script word counts where a letter or digit follows: its last sign is no part of a word
+    spoken = text.rlike(r"(?iu)\b(Address|Pincode|Father|Husband|S/O|W/O|C/O|Care\s*Of)\b") | text.rlike(r"(?<![\p{L}\p{N}_])पता(?=[\p{L}\p{N}_])")
+    back = point(spoken, 2) + point(read_pincode(text) != "", 1)
     name = F.lower(F.element_at(F.split(path, "/"), -1))
     sides = F.struct(front.alias("f"), back.alias("b"))
     return let(sides, lambda s: F.when(s["b"] > s["f"], "aadhaar_back").when(s["f"] > s["b"], "aadhaar_front").when(name.contains("front"), "aadhaar_front").when(name.contains("back"), "aadhaar_back").otherwise("aadhaar_front"))

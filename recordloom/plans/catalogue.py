@@ -415,6 +415,23 @@ def read_card_sides(spark, sf_dir):
     return rows.select("doc_id", ocr_fields.card_side(F.col("text"), F.col("path")).alias("type"), *[F.try_element_at("values", F.lit(f)).alias(f) for f in fields])
 
 
+@query("""SELECT s_suppkey AS k, CASE s_suppkey % 6 WHEN 0 THEN 'aadhaar_front' WHEN 1 THEN 'aadhaar_back' WHEN 2 THEN CASE WHEN s_suppkey % 4 = 0 THEN 'aadhaar_front' ELSE 'aadhaar_back' END WHEN 3 THEN 'aadhaar_front' WHEN 4 THEN 'aadhaar_back' ELSE 'aadhaar_back' END AS side FROM supplier""")
+def card_side_by_evidence(spark, sf_dir):
+    """The side of a card by what it shows, whatever its file is called; the name decides between equals, front without one."""
+    k = F.col("s_suppkey")
+    pin = (411001 + k % 50).cast("string")
+    text = (
+        F.when(k % 6 == 0, "Asha Mehta\nDOB: 02-02-1961\nFemale")  # front
+        .when(k % 6 == 1, F.concat(F.lit("Address: 12 Lake Road\nPune "), pin))  # back
+        .when(k % 6 == 2, F.concat(F.lit("DOB: 02-02-1961\nAddress: 12 Lake Road\nPune "), pin))  # as much of both
+        .when(k % 6 == 3, "nothing at all")
+        .when(k % 6 == 4, F.concat(F.lit("02-02-1961\nW/O: Ravi\nPune "), pin))  # a day alone weighs less
+        .otherwise(F.concat(F.lit("Pune "), pin))
+    )
+    path = F.when(k % 6 == 2, F.when(k % 4 == 0, "in/card_front.png").otherwise("in/card_back.png")).when(k % 6 == 3, "in/card.png").when(k % 6 == 0, "in/back.png").otherwise("front/front.png")
+    return _t(spark, sf_dir, "supplier").select(k.alias("k"), ocr_fields.card_side(text, path).alias("side"))
+
+
 @query(f"""WITH {forms.WITH} SELECT doc_id, CASE WHEN k % 2 = 0 THEN 'Mr ' ELSE 'Ms ' END || upper({forms.PERSON}) AS account_holder, {forms.FATHER} AS father_name, 'S/O' AS relationship_label,
   cast(k % 99 AS STRING) || ' Lake Road ' || replace({_BRANCH}, '_', ' ') || CASE WHEN k % 3 = 0 THEN ' 600004' ELSE '' END AS address FROM forms WHERE family = 'passbook'""")
 def read_bare_passbooks(spark, sf_dir):
@@ -924,6 +941,19 @@ def display_counts(spark, sf_dir):
     return review.shown_counts(_page(spark, sf_dir), ["id", "type"])
 
 
+_GROUP = "CASE " + " ".join(f"WHEN regexp_matches(field, '{'|'.join(parts)}') THEN '{g}'" for g, parts in review.GROUPS.items()) + " ELSE 'Other' END"
+_PLACE_OF = "CASE " + " ".join(f"WHEN regexp_matches(field, '{'|'.join(parts)}') THEN {i}" for i, parts in enumerate(review.GROUPS.values(), 1)) + f" ELSE {len(review.GROUPS) + 1} END"
+
+
+@query(f"""WITH {forms.WITH}, x AS ({_EXTRACTED}), listed(type, field) AS (VALUES {_SHOWN})
+SELECT doc_id, type, field, value, {_GROUP} AS field_group, {_PLACE_OF} AS group_order FROM x
+WHERE (type, field) IN (SELECT (type, field) FROM listed) OR type NOT IN (SELECT type FROM listed) OR trim(value) <> ''""")
+def display_records(spark, sf_dir):
+    """What the pages of all forms show of the fields that extraction gave."""
+    shown = review.projection(extract.long_fields(_records(spark, sf_dir), ["doc_id"]))
+    return shown.select("doc_id", "type", "field", "value", "field_group", "group_order")
+
+
 @query("SELECT user_id AS file_name, event_id AS review_id, event_type AS status FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def latest_review(spark, sf_dir):
     rows = _t(spark, sf_dir, "events").select(F.col("user_id").alias("file_name"), F.col("event_id").alias("review_id"), F.col("event_type").alias("status"), F.col("ts").alias("reviewed_at"))
