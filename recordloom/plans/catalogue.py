@@ -618,7 +618,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("family", "type", "ready").agg(F.count("*").alias("documents"), F.sum("invalid_fields").alias("invalid_fields"), F.sum("warnings").alias("warnings"))
 
 
-QUERIES["record_flow"] = flagship
 
 
 # -- ranking ------------------------------------------------------------------
@@ -641,20 +640,23 @@ _TAXED = "regexp_matches(upper(regexp_replace(replace(replace(text, '1', 'l'), '
 _LEFT = "len(regexp_replace(text, '[^02-9]', '', 'g'))"
 #: What the winning reading of each form is like. The second engine reads cards as well as the first and is preferred. A tax card with
 #: a short number passes for a passbook in the third reading, more of whose fields are valid; a card of no known type may pass for a tax card.
-_WINNERS = f"""SELECT doc_id, CASE WHEN type = 'unknown' OR family <> 'aadhaar_full' AND NOT odd THEN 'doctr' WHEN odd THEN 'easyocr' ELSE 'paddleocr' END AS engine, type, type <> 'unknown' AND bad = 0 AS ready,
+def _judged(third: bool) -> str:
+    """Each form's reading and how it is judged: the winning one, or, without the ``third``, the first."""
+    odd, taxed = (f"k % 7 = 0 AND NOT {_TAXED}", _TAXED) if third else ("false", "false")
+    return f"""SELECT doc_id, family, CASE WHEN type = 'unknown' OR family <> 'aadhaar_full' AND NOT odd THEN 'doctr' WHEN odd THEN 'easyocr' ELSE 'paddleocr' END AS engine, type, type <> 'unknown' AND bad = 0 AS ready,
   total - bad AS valid_fields, bad AS invalid_fields, warnings, round_even(100.0 * known / labels, 2) AS confidence_percent, filled FROM (
   SELECT doc_id, family, false AS odd, 'invoice' AS type, 10 AS total, (k % 17 = 0 AND k % 13 = 0)::INT AS bad, 1 + (k % 7 = 0)::INT AS warnings, 9 - (k % 7 = 0)::INT - (k % 13 = 0)::INT AS known, 10 AS labels, 9 - (k % 7 = 0)::INT - (k % 17 = 0 AND k % 13 = 0)::INT AS filled FROM forms WHERE family = 'invoice'
   UNION ALL SELECT doc_id, family, false, 'employee_form', 10, (k % 8 = 0 OR k % 9 = 0)::INT + (k % 11 = 0)::INT + (k % 6 = 0)::INT + (k % 10 = 0)::INT + (k % 19 = 0)::INT, 0, 10 - (k % 8 = 0)::INT, 10, 10 - (k % 8 = 0)::INT FROM forms WHERE family = 'employee_form'
   UNION ALL SELECT doc_id, family, false, 'passbook', 22, (k % 8 = 0)::INT + (k % 9 = 0)::INT, 3 + (k % 4 = 0)::INT + (k % 5 = 0)::INT, 20 - (k % 4 = 0)::INT - (k % 5 = 0)::INT, 22, 22 - 2 * (k % 4 = 0)::INT FROM forms WHERE family = 'passbook'
   UNION ALL SELECT doc_id, family, odd, CASE WHEN odd THEN 'passbook' ELSE 'pan_card' END, CASE WHEN odd THEN 22 ELSE 8 END, CASE WHEN odd THEN 10 + ({_LEFT} NOT BETWEEN 9 AND 18)::INT ELSE (k % 7 = 0)::INT END, CASE WHEN odd THEN 10 ELSE 3 - (k % 5 = 0)::INT END, CASE WHEN odd THEN 4 ELSE 5 END, 8,
-    5 + CASE WHEN odd THEN NOT contains({_SPOKEN_DAY}, '1') ELSE k % 5 = 0 END::INT FROM (SELECT *, k % 7 = 0 AND NOT {_TAXED} AS odd FROM forms WHERE family = 'pan_card')
+    5 + CASE WHEN odd THEN NOT contains({_SPOKEN_DAY}, '1') ELSE k % 5 = 0 END::INT FROM (SELECT *, {odd} AS odd FROM forms WHERE family = 'pan_card')
   UNION ALL SELECT doc_id, family, false, 'aadhaar_full', 19, (k % 6 = 0)::INT, 11, 65, 100, 8 FROM forms WHERE family = 'aadhaar_full' AND k % 7 > 0
   UNION ALL SELECT doc_id, family, false, 'aadhaar_front', 7, 1, 3, 3, 7, 3 FROM forms WHERE family = 'aadhaar_full' AND k % 7 = 0 AND k % 2 = 1
   UNION ALL SELECT doc_id, family, taxed, CASE WHEN taxed THEN 'pan_card' ELSE 'unknown' END, CASE WHEN taxed THEN 8 ELSE 0 END, CASE WHEN taxed THEN 4 ELSE 0 END, CASE WHEN taxed THEN 4 ELSE 0 END, CASE WHEN taxed THEN 55 ELSE 200 / 7 END, 100, taxed::INT
-    FROM (SELECT *, {_TAXED} AS taxed FROM forms WHERE family = 'aadhaar_full' AND k % 7 = 0 AND k % 2 = 0))"""
+    FROM (SELECT *, {taxed} AS taxed FROM forms WHERE family = 'aadhaar_full' AND k % 7 = 0 AND k % 2 = 0))"""
 
 
-@query(f"WITH {forms.WITH} {_WINNERS}")
+@query(f"WITH {forms.WITH} SELECT * EXCLUDE (family) FROM ({_judged(True)})")
 def rank_candidates(spark, sf_dir):
     """Three readings of each form, the best kept by the eight keys."""
     out = rank.best(rank.scored(validate.summary(extract.extract(forms.candidates(spark, sf_dir)))))
@@ -984,6 +986,10 @@ def highlight_text(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", F.size(at).cast("long").alias("hits"), F.coalesce(F.try_element_at(at, F.lit(1)), F.lit(0)).alias("first_at"))
 
 
+QUERIES["record_flow"] = flagship
+SQL["record_flow"] = f"WITH {forms.WITH} SELECT family, type, ready, count(*) AS documents, cast(sum(invalid_fields) AS BIGINT) AS invalid_fields, cast(sum(warnings) AS BIGINT) AS warnings FROM ({_judged(False)}) GROUP BY family, type, ready"
+
+
 # -- streaming ----------------------------------------------------------------
 
 
