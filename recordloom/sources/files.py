@@ -17,6 +17,9 @@ from ..operators import schemas
 #: An engine reads one file's bytes and gives its text, or raises.
 Engine = Callable[[bytes], str]
 
+# What is said of a name that can't be looked up.
+NO_NAME, NO_FILE = "Please enter a file name.", "File not found in uploads folder: "
+
 CANDIDATE = "path string, file_type string, engine string, ordinal int, method string, text string, error string, seconds double"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -36,8 +39,8 @@ def requested(requests: DataFrame, folder: str, name: str = "file_name") -> Data
     asked = requests.withColumn(name, F.trim(F.coalesce(F.col(name), F.lit(""))))
     found = scan(requests.sparkSession, folder, recursive=False).select(F.col("_metadata.file_name").alias("_name"), "path", "length", "content")
     rows = asked.join(found, F.col(name) == F.col("_name"), "left").drop("_name")
-    absent = F.concat(F.lit("File not found in uploads folder: "), F.col(name))
-    return rows.withColumn("error", F.when(F.col(name) == "", "Please enter a file name.").when(F.col("path").isNull(), absent).otherwise(""))
+    absent = F.concat(F.lit(NO_FILE), F.col(name))
+    return rows.withColumn("error", F.when(F.col(name) == "", NO_NAME).when(F.col("path").isNull(), absent).otherwise(""))
 
 
 def uploaded(spark: SparkSession, folder: str, file_name: str) -> str:
