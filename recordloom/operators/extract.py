@@ -16,10 +16,11 @@ from . import schemas
 from .classify import classify
 from .spans import with_slices
 
-# Phrases of cards and their footers.
-_FOOTER = r"(?iU)\b(?:P\.?\s*O\.?\s*Box|help@|www\.|Bengaluru|1800)\b"
-_ADDRESS_END = r"(?iU)\b(?:P\.?\s*O\.?\s*Box|help@|www\.|Bengaluru|1800|UIDAI|UNIQUE IDENTIFICATION)\b"
-_SCRIPT_END = r"(?iU)\b(?:UNIQUE IDENTIFICATION|GOVERNMENT OF INDIA|help@|www\.|P\.?\s*O\.?\s*Box|Bengaluru|1800)\b"
+# Phrases of cards and their footers. Four digits of an id number are no free call.
+_FREE_CALL = r"(?<!\d{4}[^\S\n]{1,9}\d{4}[^\S\n]{1,9})1800(?![^\S\n]+\d{4})"
+_FOOTER = rf"(?iU)\b(?:P\.?\s*O\.?\s*Box|help@|www\.|Bengaluru|{_FREE_CALL})\b"
+_ADDRESS_END = rf"(?iU)\b(?:P\.?\s*O\.?\s*Box|help@|www\.|Bengaluru|{_FREE_CALL}|UIDAI|UNIQUE IDENTIFICATION)\b"
+_SCRIPT_END = rf"(?iU)\b(?:UNIQUE IDENTIFICATION|GOVERNMENT OF INDIA|help@|www\.|P\.?\s*O\.?\s*Box|Bengaluru|{_FREE_CALL})\b"
 _PIN = r"(?U)(?<!\d)([1-9]\d{5})(?!\d)"
 _PIN_LINE = r"(?U)^[1-9]\d{5}$"
 _NAME = r"[A-Z][A-Za-z]+(?:(?U:\s)+[A-Z][A-Za-z]+){1,3}"
@@ -108,7 +109,7 @@ def english_address(lines: Column) -> Column:
 
 def address_block(text: Column) -> Column:
     """The address after its label, relations and id number taken out, with the pincode."""
-    block = group(text, r"(?isU)(?:पता|Address)\s*[:：]\s*(.+?)(?=\bP\.?\s*O\.?\s*Box\b|help@|www\.|Bengaluru|1800|$(?![\s\S]))")
+    block = group(text, rf"(?isU)(?:पता|Address)\s*[:：]\s*(.+?)(?=\bP\.?\s*O\.?\s*Box\b|help@|www\.|Bengaluru|{_FREE_CALL}|$(?![\s\S]))")
     before = lambda b: let(id_number(b), lambda n: F.when(n != "", F.call_function("substring_index", b, n, F.lit(1))).otherwise(b))
     block = let(block, before)
     block = F.regexp_replace(block, r"(?iU)\b(?:S/O|C/O|W/O)\s*[:：]\s*[A-Za-z ]+", " ")

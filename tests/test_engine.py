@@ -51,6 +51,20 @@ def test_scalar_helpers(spark, helper, value, want):
     assert one(spark, helper(F.col("v")), value) == want
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("1800 5678 9012\nLake Road\n400801", "400801"),
+        ("1234 1800 5678\nLake Road 400801", "400801"),
+        ("Lake Road 400801\n1800 300 1947\n560001", "400801"),
+        ("Lake Road 400801 1800\n560001", "400801"),
+        ("1001 5678 9012\nVID: 9123 4567 8901 1800\nLake Road 400801", "400801"),
+    ],
+)
+def test_a_number_of_a_card_is_no_footer(spark, text, want):
+    assert one(spark, extract.pincode(F.col("v")), text) == want
+
+
 def test_lines_split_as_unicode_says(spark):
     assert one(spark, tx.lines_of(F.col("v")), "a\r\nb\x0b c \x85\n: d") == ["a", "b", "c", "d"]
 
