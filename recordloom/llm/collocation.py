@@ -1,65 +1,256 @@
 """Phrase collocations per language, counted and scored as rows of DataFrames.
 
-Every piece of a text is exploded into its runs of one and two words, which are
-counted by language. Longer runs are exploded only where each two words in a
-row reach the least count, as no other run can; so most of them never become a
-row, and what is counted stays exact. Candidates join the counts of their first
+A run of words is first counted under a hash of 32 bits: tasks send packed
+counts of hashes, which are summed by ranges of hashes, and those that reach
+the least count are noted in a table of bits of fixed size. Longer runs take
+part only where all shorter ones in them are noted, as no other can be
+frequent. Last, the noted runs are counted as texts. Hashes that meet only let
+a rare run through to that count, so what comes out is exact, and neither
+rare runs nor texts are shuffled. Candidates join the counts of their first
 and last parts at every cut, are scored in integers of 38 digits, leave where a
 phrase longer by one word holds nearly all their places, and are ranked.
 """
 
 from __future__ import annotations
 
+from functools import cache
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import staged, stored, table, text_slices, tidied, written
 
 MAX_WORDS, MIN_COUNT, TOP = 4, 30, 2000
 SCALE = 2_000_000
 #: A candidate goes if a longer one has this many hundredths of its count.
 COVERED = 80
-#: Frequent pairs of words that are sent to every executor; more meet the texts in a shuffle.
-SENT = 1 << 19
+#: Counts that a task holds before it sends them on.
+SENT = 1 << 22
+#: Phrases that a task holds before it sends them on.
+HELD = 1 << 19
+#: Bits of a hash, of the range that is summed at a time, and of the table of frequent hashes.
+HASH, RANGE, NOTED = 32, 22, 28
+#: Letters that are hashed at a time; a longer word is one.
+BLOCK = 1 << 19
 #: Candidates of a language are ranked in so many parts first.
 PARTS = 64
 
 # What parts pieces, and the language of rows without one.
-PIECE_ENDS, NO_LANG = r"[.,;:!?\n-\r]+", "und"
-
-
-def lower_ascii(c: Column) -> Column:
-    """A-Z in lower case, other letters as they are."""
-    some = F.when(c.rlike("[A-Z]"), F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(c)
-    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(some)
-
-
-def pieces(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, words): the words of every piece of every text that has any.
-
-    Ends become line feeds and tabs blanks first: to split at one plain
-    character takes no pattern for each piece.
+PIECE_ENDS, NO_LANG = b".,;:!?\n\v\f\r", "und"
+_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t", b"abcdefghijklmnopqrstuvwxyz ")
+_KINDS = np.zeros(256, np.int8)
+_KINDS[32] = 1
+_KINDS[list(PIECE_ENDS)] = 2
+_ODD = [np.uint64(x | 1) for x in np.random.default_rng(11).integers(1 << 40, 1 << 63, 6).tolist()]
+
+
+@cache
+def _powers(which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2^64, and of its inverse."""
+    n = int(_ODD[which])
+    return tuple(np.concatenate([[np.uint64(1)], np.full(size, x, np.uint64)]).cumprod(dtype=np.uint64) for x in (n, pow(n, -1, 1 << 64)))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * _ODD[2]
+    h = (h ^ (h >> np.uint64(29))) * _ODD[3]
+    return h ^ (h >> np.uint64(32))
+
+
+class Words:
+    """The words of a few texts in lower case, and the runs of words that stand in one piece."""
+
+    def __init__(self, texts: list[bytes | None], langs: list[str | None]):
+        self.body = b"\n".join(t or b"" for t in texts).translate(_LOWER)
+        letters = np.frombuffer(self.body, np.uint8)
+        kinds = _KINDS[letters]
+        edge = np.diff((kinds == 0).astype(np.int8), prepend=np.int8(0), append=np.int8(0))
+        self.starts, self.ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        self.piece = np.cumsum(kinds == 2, dtype=np.int64)[self.starts]
+        names: dict[str, int] = {}
+        code = np.array([names.setdefault(NO_LANG if x is None else x, len(names)) for x in langs], np.int64)
+        first = np.cumsum([0] + [len(t or b"") + 1 for t in texts[:-1]])
+        self.langs, self.lang = list(names), code[np.searchsorted(first, self.starts, "right") - 1]
+        self.one = [self._hashes(letters, which) for which in (0, 1)]
+
+    def _hashes(self, letters: np.ndarray, which: int) -> np.ndarray:
+        """A hash of 64 bits of each word and its language."""
+        seeds = np.array([xxhash.xxh64_intdigest(x, which) for x in self.langs], np.uint64)
+        out, w, a = np.empty(len(self.starts), np.uint64), 0, 0
+        while w < len(out):
+            to = max(int(np.searchsorted(self.starts, a + BLOCK)), w + 1)
+            b = int(self.ends[to - 1])
+            up, down = _powers(which, 1 << (max(b - a, 2 * BLOCK) - 1).bit_length())
+            sums = np.zeros(b - a + 1, np.uint64)
+            np.cumsum((letters[a:b].astype(np.uint64) + np.uint64(1)) * up[: b - a], out=sums[1:])
+            starts, ends = self.starts[w:to] - a, self.ends[w:to] - a
+            own = (sums[ends] - sums[starts]) * down[starts]
+            out[w:to] = _mixed(_mixed(own ^ ((ends - starts).astype(np.uint64) << np.uint64(48))) + seeds[self.lang[w:to]])
+            w, a = to, b
+        return out
+
+    def runs(self, low: int, high: int, noted=None, known: int = 0):
+        """(m, places, two hashes of each) of runs of ``low`` to ``high`` words, if their shorter runs of up to ``known`` words are ``noted``."""
+        at, hashes = np.arange(len(self.starts)), self.one
+        for m in range(1, high + 1):
+            if m > 1:
+                before = np.zeros(len(self.starts) + 1, bool)
+                before[at] = True
+                last = np.minimum(at + m - 1, len(self.starts) - 1)
+                pick = np.flatnonzero((at + m <= len(self.starts)) & before[at + 1] & (self.piece[at] == self.piece[last]))
+                at = at[pick]
+                hashes = [_mixed(h[pick] * _ODD[4 + k] + one[at + m - 1]) for k, (h, one) in enumerate(zip(hashes, self.one))]
+            if m <= known:
+                keep = np.flatnonzero(noted(hashes[0]))
+                at, hashes = at[keep], [h[keep] for h in hashes]
+            if m >= low:
+                yield m, at, hashes
+
+    def phrase(self, at: int, m: int) -> bytes:
+        raw = self.body[self.starts[at] : self.ends[at + m - 1]]
+        return b" ".join(w for w in raw.split(b" ") if w) if b"  " in raw else raw
+
+
+def _words(batches):
+    for batch in batches:
+        for part in text_slices(batch, "text"):
+            yield Words(part.column("text").cast(pa.binary()).to_pylist(), part.column("lang").to_pylist())
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers by their bytes, low ones of all first, as many as are needed; the first byte says how many."""
+    n = max(1, (int(x.max()).bit_length() + 7) // 8)
+    return bytes([n]) + x.astype("<u4").view(np.uint8).reshape(-1, 4).T[:n].tobytes()
+
+
+def _whole(raw: bytes) -> np.ndarray:
+    own = np.frombuffer(raw, np.uint8)[1:].reshape(raw[0], -1)
+    return sum((row.astype(np.uint32) << np.uint32(8 * k) for k, row in enumerate(own)), np.uint32(0))
+
+
+def _table(paths: list[str]):
+    """Which hashes are noted in staged tables, by a table of bits; some others pass, too."""
+    bits = np.zeros(1 << (NOTED - 3), np.uint8)
+    for path in paths:
+        for rows in stored(path, 1 << 20):
+            at = rows.column("hash").to_numpy().astype(np.uint64) >> np.uint64(HASH - NOTED)
+            np.bitwise_or.at(bits, at >> np.uint64(3), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)))
+
+    def noted(hashes: np.ndarray) -> np.ndarray:
+        at = hashes >> np.uint64(64 - NOTED)
+        return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+
+    return noted
+
+
+def _frequent(rows: DataFrame, low: int, high: int, least: int, paths: list[str], name: str) -> str:
+    """Where the hashes of runs of ``low`` to ``high`` words with ``least`` places or more are staged."""
+
+    def counted(batches):
+        noted = _table(paths) if paths else None
+        held, n = [], 0
+
+        def sent():
+            hashes, counts = np.unique(np.concatenate(held), return_counts=True)
+            cuts = np.searchsorted(hashes, np.arange((1 << (HASH - RANGE)) + 1, dtype=np.uint64) << np.uint64(RANGE))
+            some = [(k, hashes[a:b] & np.uint32((1 << RANGE) - 1), np.minimum(counts[a:b], least)) for k, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if b > a]
+            cols = [pa.array([k for k, _, _ in some], pa.int32()), pa.array([_planes(np.diff(h, prepend=np.uint32(0))) for _, h, _ in some], pa.binary()), pa.array([_planes(c) for _, _, c in some], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, names=["part", "hashes", "counts"])
+
+        for words in _words(batches):
+            for _, _, hashes in words.runs(low, high, noted, low - 1):
+                held.append((hashes[0] >> np.uint64(64 - HASH)).astype(np.uint32))
+                n += len(held[-1])
+            if n > SENT:
+                yield sent()
+                held, n = [], 0
+        if n:
+            yield sent()
+
+    def summed(batches):
+        part, sums = None, np.zeros(1 << RANGE, np.uint32)
+
+        def done():
+            hashes = np.flatnonzero(sums >= least) + (part << RANGE)
+            sums.fill(0)
+            return pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64())], names=["hash"])
+
+        for batch in batches:
+            for own, raw, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "hashes", "counts"))):
+                if own != part and part is not None:
+                    yield done()
+                part = own
+                at = np.cumsum(_whole(raw), dtype=np.uint32)
+                sums[at] = np.minimum(sums[at] + _whole(counts), np.uint32(least))
+        if part is not None:
+            yield done()
+
+    packed = rows.mapInArrow(tidied(counted), "part int, hashes binary, counts binary")
+    return written(packed.repartition("part").sortWithinPartitions("part").mapInArrow(tidied(summed), "hash long"), name)
+
+
+def _phrases(rows: DataFrame, max_words: int, least: int, paths: list[str]) -> DataFrame:
+    """(lang, phrase, f) of noted runs with ``least`` places; the empty phrase counts all words.
+
+    A task sends its counts as lists, by the range of their hashes; those of a range are summed by text.
     """
-    t = F.regexp_replace(F.replace(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit("\t"), F.lit(" ")), PIECE_ENDS, "\n")
-    rows = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(NO_LANG)).alias("lang"), F.explode(F.split(t, "\n")).alias("piece"))
-    words = rows.where("piece <> ''").select("lang", F.array_remove(F.split(lower_ascii(F.col("piece")), " "), "").alias("words"))
-    return words.where(F.size("words") > 0)
-
 
-def _pair(words: Column, at: Column | int) -> Column:
-    return F.concat(F.get(words, at if isinstance(at, Column) else F.lit(at)), F.lit(" "), F.get(words, at + 1 if isinstance(at, Column) else F.lit(at + 1)))
-
-
-def _counted(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("lang", "phrase").agg(F.count("*").alias("f"))
-
-
-def _short(parts: DataFrame) -> DataFrame:
-    """(lang, phrase, f, m) of runs of one and two words."""
-    w = F.col("words")
-    pairs = F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: _pair(w, i))
-    both = F.when(F.size(w) > 1, F.concat(w, pairs)).otherwise(w)
-    return _counted(parts.select("lang", F.explode(both).alias("phrase"))).withColumn("m", _length())
+    def counted(batches):
+        noted = _table(paths)
+        known: dict[tuple, list] = {}
+        totals: dict[str, int] = {}
+
+        def sent():
+            parts: dict[int, list] = {0: [(x, "", n) for x, n in totals.items()]}
+            for (h, _), (x, phrase, n) in known.items():
+                parts.setdefault(h >> (64 - HASH + RANGE), []).append((x, phrase.decode(), n))
+            cols = [pa.array(parts, pa.int32())] + [pa.array([[r[k] for r in own] for own in parts.values()], pa.list_(t)) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))]
+            known.clear()
+            totals.clear()
+            return pa.RecordBatch.from_arrays(cols, names=["part", "lang", "phrase", "f"])
+
+        for words in _words(batches):
+            for x, n in zip(words.langs, np.bincount(words.lang, minlength=len(words.langs)).tolist()):
+                totals[x] = totals.get(x, 0) + n
+            for m, at, (h, other) in words.runs(1, max_words, noted, max_words):
+                order = np.lexsort((other, h))
+                new = np.flatnonzero(np.concatenate([[True], (np.diff(h[order]) != 0) | (np.diff(other[order]) != 0)])) if len(at) else np.empty(0, int)
+                counts = np.diff(np.append(new, len(at)))
+                first = order[new]
+                for place, key, n in zip(at[first].tolist(), zip(h[first].tolist(), other[first].tolist()), counts.tolist()):
+                    if (row := known.get(key)) is not None:
+                        row[2] += n
+                    else:
+                        known[key] = [words.langs[words.lang[place]], words.phrase(place, m), n]
+            if len(known) > HELD:
+                yield sent()
+        if totals:
+            yield sent()
+
+    def summed(batches):
+        part, sums = None, {}
+
+        def done():
+            full = [(*key, n) for key, n in sums.items() if n >= least or not key[1]]
+            sums.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in full], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "phrase", "f"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own, langs, phrases, counts = (batch.column(c)[i].as_py() for c in ("part", "lang", "phrase", "f"))
+                if own != part and part is not None:
+                    yield done()
+                part = own
+                for key, n in zip(zip(langs, phrases), counts):
+                    sums[key] = sums.get(key, 0) + n
+        if part is not None:
+            yield done()
+
+    packed = rows.mapInArrow(tidied(counted), "part int, lang array<string>, phrase array<string>, f array<long>")
+    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(tidied(summed), "lang string, phrase string, f long")
 
 
 def _length() -> Column:
@@ -67,25 +258,6 @@ def _length() -> Column:
     return F.length("phrase") - F.length(F.replace(F.col("phrase"), F.lit(" "))) + 1
 
 
-def _long(parts: DataFrame, pairs: DataFrame, max_words: int) -> DataFrame:
-    """(lang, phrase, f, m) of runs of three words or more in which every two in a row are among ``pairs``."""
-    w = F.col("words")
-    starts = F.sequence(F.lit(0), F.size(w) - 3)
-    ahead = F.transform(starts, lambda i: F.array(*[F.get(w, i + k) for k in range(max_words)]))
-    rows = parts.where(F.size(w) > 2).select("lang", F.explode(ahead).alias("g"))
-    for k in (0, 1):
-        rows = rows.withColumn("phrase", _pair(F.col("g"), k)).join(pairs, ["lang", "phrase"], "left_semi")
-    rows = rows.withColumn("n", F.lit(3))
-    for k in range(2, max_words - 1):
-        known = pairs.withColumn("_k", F.lit(True))
-        # beyond the end of a piece there is no pair: a text that is none, as nulls would meet in one task
-        pair = F.coalesce(F.when(F.col("n") == k + 1, _pair(F.col("g"), k)), F.concat_ws("\n", "g"))
-        rows = rows.withColumn("phrase", pair).join(known, ["lang", "phrase"], "left")
-        rows = rows.withColumn("n", F.when(F.col("_k"), F.lit(k + 2)).otherwise(F.col("n"))).drop("_k")
-    runs = F.transform(F.sequence(F.lit(3), F.col("n")), lambda n: F.concat_ws(" ", F.slice("g", F.lit(1), n)))
-    return _counted(rows.select("lang", F.explode(runs).alias("phrase"))).withColumn("m", _length())
-
-
 def _ranked(rows: DataFrame, top: int) -> DataFrame:
     """``rows`` of the best ``top`` ranks of each language; parts of a language are ranked first, so that no task gets all of it."""
     best = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
@@ -106,20 +278,17 @@ def collocations(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = M
     part, whatever their names. An empty table, or one without a phrase of
     ``min_count`` places, gives no rows.
 
-    Counts are staged in the shared folder. Frequent pairs are broadcast only
-    up to SENT of them; beyond, texts meet them in shuffled joins.
+    Hashes and counts are staged in the shared folder. Phrases of a task are
+    told apart by 128 bits before they are texts.
     """
-    parts = pieces(docs, text, lang)
-    frequent = F.col("f") >= min_count
-    short = staged(_short(parts).where(frequent | (F.col("m") == 1)), "phrase-short")
-    totals = short.where("m = 1").groupBy("lang").agg(F.sum("f").alias("n"))
-    pairs = short.where(frequent & (F.col("m") == 2)).select("lang", "phrase")
+    rows = docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
+    # the hashes of words and pairs, then of longer runs of frequent pairs
+    paths = [_frequent(rows, 1, min(2, max_words), min_count, [], "phrase-short")]
     if max_words > 2:
-        known = F.broadcast(pairs) if pairs.count() <= SENT else pairs
-        long = staged(_long(parts, known, max_words).where(frequent), "phrase-long")
-        counts = short.where(frequent).unionByName(long)
-    else:
-        counts = short.where(frequent & (F.col("m") <= max_words))
+        paths.append(_frequent(rows, 3, max_words, min_count, paths, "phrase-long"))
+    found = staged(_phrases(rows, max_words, min_count, paths), "phrase-counts")
+    totals = found.where("phrase = ''").select("lang", F.col("f").alias("n"))
+    counts = found.where("phrase <> ''").withColumn("m", _length())
     candidates = counts.where("m > 1").select("lang", "phrase", F.col("f").alias("a"), "m")
 
     words = F.split("phrase", " ")

@@ -69,6 +69,19 @@ def test_collocations_of_nothing_and_of_one_long_piece(spark):
     assert {tuple(r) for r in got.collect()} == phrases(long, 4, 30, 2000)
 
 
+def test_collocations_shuffle_no_texts(spark, monkeypatch):
+    """With more frequent pairs than were once sent around, texts met them in shuffled joins, a row for each word."""
+    monkeypatch.setattr(collocation, "SENT", 0)
+    monkeypatch.setattr(collocation, "HELD", 0)
+    monkeypatch.setattr(collocation, "NOTED", 4)  # hardly a hash is told apart: all runs are counted as texts
+    rows = prose(5, 80)
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    got = collocation.collocations(docs, 4, 4, 9)
+    assert {tuple(r) for r in got.collect()} == phrases(rows, 4, 4, 9)
+    plan = collocation._phrases(docs, 4, 4, [])._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Generate" not in plan
+
+
 def test_collocation_scores_pass_64_bits(spark):
     a, l, r = 9_000_000_000_000_000_000, 9_100_000_000_000_000_001, 9_200_000_000_000_000_003
     counts = spark.createDataFrame([(a, l, r)], "a long, l long, r long")
