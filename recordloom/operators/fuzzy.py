@@ -1,8 +1,9 @@
 """Approximate label search: which labels occur in a text with at most k edits.
 
-Shift-and automata with errors, one 64-bit word for each label and error count.
-All labels and a block of texts advance together, one character a step, so the
-work is a few array operations for each position of the longest text.
+A label cut into one part more than its edits keeps one part whole, so only
+places beside a part that stands in a text can hold it. Shift-and automata
+with errors, one 64-bit word for each label and error count, decide there. All
+places of a block of texts advance together, one character a step.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import types as T
 
 #: Texts that advance together.
 BLOCK = 512
+#: Places whose verdicts are kept, as forms say the same again and again.
+KEPT = 1 << 16
 
 
 class Labels:
@@ -36,41 +39,70 @@ class Labels:
         for c, i in self.codes.items():
             table[c] = i
         self.table = table
+        self.parts: dict[str, list[tuple[int, int]]] = {}
+        for j, (label, k) in enumerate(labels):
+            cuts = [len(label) * i // (k + 1) for i in range(k + 2)]
+            for a, b in zip(cuts, cuts[1:]):
+                if k and len(label) > k:
+                    self.parts.setdefault(label[a:b], []).append((j, a))
+        self.verdicts: dict[tuple[int, str], bool] = {}
 
     def found(self, texts: list[str]) -> np.ndarray:
         """(texts, labels): whether a label occurs within its edits."""
         out = np.zeros((len(texts), len(self.labels)), bool)
-        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        for at in range(0, len(order), BLOCK):
-            rows = order[at : at + BLOCK]
-            out[rows] = self._block([texts[i] for i in rows])
+        # deletions alone may already make a label
+        out[:, [j for j, (label, k) in enumerate(self.labels) if len(label) <= k]] = True
+        for at in range(0, len(texts), BLOCK):
+            self._block(texts[at : at + BLOCK], out[at : at + BLOCK])
         return out
 
-    def _block(self, texts: list[str]) -> np.ndarray:
-        sizes = np.array([len(t) for t in texts])
-        n = int(sizes.max()) if len(sizes) else 0
-        chars = np.zeros((len(texts), n), np.uint8)
-        for i, t in enumerate(texts):
+    def _block(self, texts: list[str], out: np.ndarray) -> None:
+        if len(self.verdicts) > KEPT:
+            self.verdicts.clear()
+        open_: dict[tuple[int, str], list[int]] = {}
+        for r, text in enumerate(texts):
+            hit = {j for j, (label, _) in enumerate(self.labels) if label in text}
+            for part, uses in self.parts.items():
+                at = text.find(part)
+                while at >= 0:
+                    for j, before in uses:
+                        if j not in hit:
+                            label, k = self.labels[j]
+                            start = at - before
+                            place = (j, text[max(0, start - k) : start + len(label) + k])
+                            said = self.verdicts.get(place)
+                            if said:
+                                hit.add(j)
+                            elif said is None:
+                                open_.setdefault(place, []).append(r)
+                    at = text.find(part, at + 1)
+            out[r, list(hit)] = True
+        places = list(open_)
+        for i, said in enumerate(self._decided(places)):
+            self.verdicts[places[i]] = said
+            if said:
+                out[open_[places[i]], places[i][0]] = True
+
+    def _decided(self, places: list[tuple[int, str]]) -> list[bool]:
+        """Whether each text, a little longer than its label, holds it."""
+        label = np.array([j for j, _ in places], int)
+        chars = np.zeros((len(places), max((len(t) for _, t in places), default=0)), np.uint8)
+        for i, (_, t) in enumerate(places):
             chars[i, : len(t)] = self.table[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        one = np.uint64(1)
-        state = [np.full((len(texts), len(self.labels)), (1 << k) - 1, np.uint64) for k in range(self.top + 1)]
-        hit = np.zeros((len(texts), len(self.labels)), bool)
-        # deletions alone may already make a label, which short texts need
-        for k in range(self.top + 1):
-            hit |= ((state[k] & self.last) != 0) & (self.edits >= k)
-        for p in range(n):
-            live = int(np.searchsorted(-sizes, -p, "left"))  # longer texts come first
-            mask = self.masks[chars[:live, p]]
-            before = None
+        one, last, edits = np.uint64(1), self.last[label], self.edits[label]
+        state = [np.full(len(places), (1 << k) - 1, np.uint64) for k in range(self.top + 1)]
+        hit = np.zeros(len(places), bool)
+        for p in range(chars.shape[1]):
+            mask, before = self.masks[chars[:, p], label], None
             for k in range(self.top + 1):
-                old = state[k][:live]
+                old = state[k]
                 new = ((old << one) | one) & mask
                 if k:
-                    new |= before | (before << one) | (state[k - 1][:live] << one) | one
-                before = old.copy()
-                state[k][:live] = new
-                hit[:live] |= ((new & self.last) != 0) & (self.edits >= k)
-        return hit
+                    new |= before | (before << one) | (state[k - 1] << one) | one
+                before = old
+                state[k] = new
+                hit |= ((new & last) != 0) & (edits >= k)
+        return hit.tolist()
 
     def ends(self, texts: list[np.ndarray], wanted: list[list[int]]) -> list[list[np.ndarray]]:
         """For each text (as codes of ``table``) and each label wanted in it, where a tolerant occurrence ends.

@@ -95,6 +95,13 @@ def test_tolerant_search_equals_edit_distance():
             assert got[i, j] == (edits(label, t) <= k), (label, t)
 
 
+def test_tolerant_search_decides_only_beside_a_part_and_once():
+    search = Labels([("date of birth", 1), ("account number", 2), ("dob", 0)])
+    texts = [f"customer {i} dale of birth 1 acc0unt numbr {i}" for i in range(100)] + ["nothing here " * 50] * 100
+    assert search.found(texts).tolist() == [[True, True, False]] * 100 + [[False] * 3] * 100
+    assert len(search.verdicts) <= 2 + 100
+
+
 def test_spans_need_only_the_labels_that_occur():
     finder = spans.Finder()
     labels, _ = classify._dimension()
