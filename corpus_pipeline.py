@@ -27,7 +27,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (0.8 of five-word shingles) stays."""
+    """One document of each group of near duplicates (0.8 of five-word shingles, found by SimHash and MinHash) stays."""
     ship(spark)
     return simhash.one_of_each(docs, groups=jaccard.groups)
 

@@ -1,9 +1,10 @@
 """Near-duplicates by the Jaccard similarity of their word shingles.
 
-Documents with equal shingle sets are one. The others meet in buckets of
-MinHash bands: two sets of similarity 0.8 share none of the 40 bands of six
-minima in one case of 190,000, more similar sets more rarely. Buckets only
-say who may be alike: each connected group of them is read again, and its sets
+Documents with equal shingle sets are one. The others meet where SimHash links
+their fingerprints, and in buckets of MinHash bands, as sets of similarity 0.8
+mostly lie farther apart than SimHash's radius: two such sets share none of the
+40 bands of six minima in one case of 190,000, more similar sets more rarely.
+Both only say who may be alike: each connected group of them is read again, and its sets
 are compared whole, by exact counts of common shingles. A group that is more
 than one task should hold is taken apart into cells (``_cells``), so that any
 two of its sets that share a bucket and may be alike in size meet in one.
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import grown, split_join, staged, text_key, text_slices, tidied
 from .components import EDGES, connected
-from .simhash import SEED, shingles
+from .simhash import SEED, fingerprint, links, shingles
 
 WIDTH = 5
 #: The least similarity, as a fraction of whole numbers.
@@ -76,13 +77,14 @@ def alike(names: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _signed(batches):
-    """Adds the digest and the size of a text's shingle set, and its buckets."""
+    """Adds the digest, the size and the fingerprint of a text's shingle set, and its buckets."""
     for batch in batches:
         for part in text_slices(batch, "text"):
             sets = [shingle_set(t) for t in part.column("text").to_pylist()]
             fps = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            cols = [part.column("doc_id"), part.column("key"), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "fp", "size", "bands"])
+            prints = np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64)
+            cols = [part.column("doc_id"), part.column("key"), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "fp", "size", "print", "bands"])
 
 
 def _compared(batches):
@@ -106,6 +108,14 @@ def _compared(batches):
         yield solve()
 
 
+def _linked(reps: DataFrame) -> DataFrame:
+    """(fp, bucket): the bucket of each set (fp, size, print) that isn't empty, the same for all whose fingerprints SimHash links."""
+    sets = reps.where("size > 0")
+    roots = connected(links(sets.select(F.col("print").alias("fp")).distinct()), "jaccard-prints")
+    bucket = F.xxhash64(F.lit("simhash"), F.coalesce("root", "print")).alias("bucket")
+    return staged(sets.join(roots, sets["print"] == roots.node, "left").select("fp", bucket), "jaccard-linked")
+
+
 def _blocks(units: DataFrame) -> DataFrame:
     """(fp, group): the cells of each unit of ``units`` (unit, fp, size).
 
@@ -138,7 +148,7 @@ def _blocks(units: DataFrame) -> DataFrame:
     return split_join(units, classes, ["unit", "class"], "n").select("fp", F.explode(parts).alias("group"))
 
 
-def _cells(sets: DataFrame, rows: DataFrame) -> DataFrame:
+def _cells(sets: DataFrame, rows: DataFrame, linked: DataFrame) -> DataFrame:
     """(fp, group) for sets (group, fp, size): what is compared whole in one task.
 
     Groups up to HELD stay as they are. Of a larger one each bucket is a unit,
@@ -150,8 +160,8 @@ def _cells(sets: DataFrame, rows: DataFrame) -> DataFrame:
         return sets.select("fp", "group")
     sets = staged(split_join(sets, load, ["group"], "n"), "jaccard-sets")
     big = sets.where(F.col("load") > HELD).select("group", "fp", "size", "sets")
-    own = rows.groupBy("fp").agg(F.first("bands").alias("bands")).join(big, "fp")
-    own = staged(own.select("group", "fp", "size", "sets", F.explode("bands").alias("bucket")), "jaccard-crowded")
+    own = rows.groupBy("fp").agg(F.first("bands").alias("bands")).join(big, "fp").join(linked, "fp")
+    own = staged(own.select("group", "fp", "size", "sets", F.explode(F.concat("bands", F.array("bucket"))).alias("bucket")), "jaccard-crowded")
     # buckets of the same sets are one
     held = own.groupBy("group", "sets", "bucket").agg(F.count("*").alias("n"), F.bit_xor("fp").alias("x"), F.bit_xor(F.xxhash64("fp")).alias("y"))
     held = staged(held.where("n > 1").groupBy("group", "sets", "n", "x", "y").agg(F.min("bucket").alias("bucket")), "jaccard-held")
@@ -172,17 +182,18 @@ def groups(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFram
     texts have the empty set, which is like no other.
     """
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_key(text).alias("key"), F.col(f"`{text}`").alias("text"))
-    rows = staged(texts.mapInArrow(tidied(_signed), grown(texts.drop("text").schema, ("fp", "long"), ("size", "long"), ("bands", "array<long>"))), "jaccard-rows")
+    rows = staged(texts.mapInArrow(tidied(_signed), grown(texts.drop("text").schema, ("fp", "long"), ("size", "long"), ("print", "long"), ("bands", "array<long>"))), "jaccard-rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("rep")
-    reps = staged(rows.groupBy("fp").agg(first, F.max("size").alias("size")), "jaccard-reps")
-    seen = rows.select("fp", F.explode("bands").alias("bucket"))
+    reps = staged(rows.groupBy("fp").agg(first, F.max("size").alias("size"), F.max("print").alias("print")), "jaccard-reps")
+    linked = _linked(reps)
+    seen = rows.select("fp", F.explode("bands").alias("bucket")).union(linked)
     shared = seen.groupBy("bucket").agg(F.min("fp").alias("b"), F.max("fp").alias("most")).where("b < most")
     meet = seen.join(shared, "bucket").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
     maybe = connected(meet, "jaccard-buckets")
     maybe = maybe.union(maybe.select("root", "root").distinct())  # a root has no row of its own
     # what may be alike is read again: one text for each set
     sets = staged(reps.join(maybe, reps.fp == maybe.node).select(F.col("root").alias("group"), "fp", "size"), "jaccard-maybe")
-    need = _cells(sets, rows).join(reps, "fp").select(F.col("rep.doc_id").alias("id"), F.col("rep.key").alias("k"), "fp", "group")
+    need = _cells(sets, rows, linked).join(reps, "fp").select(F.col("rep.doc_id").alias("id"), F.col("rep.key").alias("k"), "fp", "group")
     again = texts.join(need, texts["doc_id"].eqNullSafe(need["id"]) & (texts["key"] == need["k"])).select("group", "fp", "text")
     edges = again.repartition("group").sortWithinPartitions("group").mapInArrow(tidied(_compared), EDGES)
     roots = connected(edges, "jaccard-components")

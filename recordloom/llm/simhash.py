@@ -56,7 +56,11 @@ def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
 
 def simhash(text: str | None, width: int = SHINGLE) -> int:
     """The 64-bit fingerprint of a whole text; 0 where it has no words."""
-    hashes = shingles(text, width)
+    return fingerprint(shingles(text, width))
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half the hashes; 0 where there are none."""
     n = len(hashes)
     if not n:
         return 0

@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -132,6 +133,23 @@ def test_pipeline_drops_near_duplicates_by_shingles(spark):
     assert simhash.one_of_each(odd.limit(0), groups=jaccard.groups).count() == 0
 
 
+def test_simhash_links_say_who_is_compared(spark, monkeypatch):
+    signed = jaccard._signed
+
+    def without_bands(batches):
+        for batch in signed(batches):
+            none = pa.array([[]] * batch.num_rows, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], none], names=batch.schema.names)
+
+    monkeypatch.setattr(jaccard, "_signed", without_bands)
+    rng = random.Random(5)
+    words = prose(rng, 2000).split(" ")
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "last"])), (3, prose(rng, 2000)), (4, ""), (5, None)]
+    assert (fingerprint(rows[0][1]) ^ fingerprint(rows[1][1])).bit_count() <= simhash.RADIUS
+    kept = simhash.one_of_each(spark.createDataFrame(rows, SCHEMA), groups=jaccard.groups)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4] == first_of_alike(rows)
+
+
 @pytest.mark.parametrize("held, each", [(1 << 19, 1024), (3000, 50), (600, 50)])
 def test_crowded_groups_are_taken_apart(spark, monkeypatch, held, each):
     monkeypatch.setattr(jaccard, "HELD", held)
