@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,17 +52,41 @@ def _dimension() -> tuple[list[tuple[str, int]], dict[str, list[tuple[str, list[
     return [(x, schemas.allowed_edits(x)) for x in index], fields
 
 
+#: Labels for which one word of bits stands.
+_BITS = 60
+
+
+def _words(hits: Column, n: int) -> Column:
+    """The label indexes below ``n`` as words of _BITS bits, array<long>."""
+    one = F.lit(1).cast("long")
+
+    def word(low: int) -> Column:
+        return F.aggregate(hits, F.lit(0).cast("long"), lambda w, x: F.when((x >= low) & (x < low + _BITS), w.bitwiseOR(F.call_function("shiftleft", one, x - low))).otherwise(w))
+
+    return F.array(*[word(low) for low in range(0, n, _BITS)])
+
+
 def scores(hits: Column) -> Column:
     """array<struct<type, total, matched, missing, confidence>> in schema order, from label hits."""
-    _, fields = _dimension()
-    out = []
-    for t, own in fields.items():
-        flags = [(f, F.arrays_overlap(hits, F.array(*[F.lit(i) for i in ids]))) for f, ids in own]
-        matched = F.array_compact(F.array(*[F.when(hit, F.lit(f)) for f, hit in flags]))
-        missing = F.array_compact(F.array(*[F.when(~hit, F.lit(f)) for f, hit in flags]))
-        share = F.size(matched) / F.lit(float(len(own)))
-        out.append(F.struct(F.lit(t).alias("type"), F.lit(len(own)).alias("total"), matched.alias("matched"), missing.alias("missing"), share.alias("confidence")))
-    return F.array(*out)
+    labels, fields = _dimension()
+
+    def hit(words: Column, ids: list[int]) -> Column:
+        masks: dict[int, int] = {}
+        for i in ids:
+            masks[i // _BITS] = masks.get(i // _BITS, 0) | 1 << i % _BITS
+        return reduce(Column.__or__, [words[w].bitwiseAND(F.lit(m).cast("long")) != 0 for w, m in masks.items()])
+
+    def said(words: Column) -> Column:
+        out = []
+        for t, own in fields.items():
+            flags = [(f, hit(words, ids)) for f, ids in own]
+            matched = F.array_compact(F.array(*[F.when(h, F.lit(f)) for f, h in flags]))
+            missing = F.array_compact(F.array(*[F.when(~h, F.lit(f)) for f, h in flags]))
+            entry = lambda yes, no, t=t, n=len(own): F.struct(F.lit(t).alias("type"), F.lit(n).alias("total"), yes.alias("matched"), no.alias("missing"), (F.size(yes) / F.lit(float(n))).alias("confidence"))
+            out.append(let(matched, lambda yes, no=missing, entry=entry: entry(yes, no)))
+        return F.array(*out)
+
+    return let(_words(hits, len(labels)), said)
 
 
 def exact_hits(text: Column) -> Column:
