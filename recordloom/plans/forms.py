@@ -85,14 +85,21 @@ SELECT doc_id, family, k, 'easyocr', 2, replace(replace(text, '1', 'l'), 'a', 'o
 _TABLES = ("customer", "orders", "nation", "supplier")
 
 
-def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """One of the texts above over the tables of ``sf_dir``, without registering any name."""
+def view(spark: SparkSession, sf_dir: str, sql: str, dealt: bool = False) -> DataFrame:
+    """One of the texts above over the tables of ``sf_dir``, without registering any name.
+
+    ``dealt``: sales and suppliers are dealt out to all cores before forms are
+    rendered from them, as a form is many times longer than its source.
+    """
     needed = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES if re.search(rf"\b{t}\b", sql)}
     made = dict(needed)
     if re.search(r"\bsales\b", sql):
         made["sales"] = view(spark, sf_dir, SALES)
+        if dealt:
+            made["sales"] = spread(made["sales"], *[spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "orders")])
+            made["supplier"] = spread(made["supplier"])
     if re.search(r"\bforms\b", sql):
-        made["forms"] = view(spark, sf_dir, FORMS)
+        made["forms"] = view(spark, sf_dir, FORMS, dealt)
     text = re.sub(r"\b(customer|orders|nation|supplier|sales|forms)\b(?=\s|$|\))", lambda m: "{" + m[1] + "}", _guard(sql))
     return spark.sql(text, **{k: v for k, v in made.items() if "{" + k + "}" in text})
 
@@ -101,16 +108,12 @@ def _guard(sql: str) -> str:
     return sql.replace("{", "{{").replace("}", "}}")
 
 
-def _spread(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spread(view(spark, sf_dir, sql), *[spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES])
-
-
 def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spread(spark, sf_dir, FORMS)
+    return view(spark, sf_dir, FORMS, dealt=True)
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spread(spark, sf_dir, CANDIDATES)
+    return view(spark, sf_dir, CANDIDATES, dealt=True)
 
 
 #: The same as common table expressions for DuckDB.

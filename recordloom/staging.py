@@ -25,18 +25,23 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{qualified(spark, base).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Bytes of the sources that a task gets of rows that cost much.
+SHARE = 2 << 20
+
+
 def spread(df: DataFrame, *sources: DataFrame) -> DataFrame:
     """``df``, dealt out to all cores if its ``sources`` are too small to be cut into so many splits.
 
     Rows that cost much (pattern searches, comparisons) would else wait for the
-    few tasks that small files give. Tables of a split for each core or more
-    stay as they are, without a shuffle.
+    few tasks that small files give. There is a part for each SHARE of the
+    sources, so a task's work doesn't grow with them. Tables of a split for each
+    core or more stay as they are, without a shuffle.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     size = sum(int(str(s._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for s in sources or (df,))
-    return df.repartition(cores) if size < cores * split else df
+    return df.repartition(max(cores, -(-size // SHARE))) if size < cores * split else df
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

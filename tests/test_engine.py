@@ -439,3 +439,28 @@ def test_stream_of_reviews_with_late_rows(spark, tmp_path):
     for f, i, t, s in sorted((r for r in rows if r[2]), key=lambda r: (r[2], r[1])):
         want[f] = (i, s)
     assert got == want
+
+
+def test_costly_rows_get_more_parts_with_their_sources(spark, monkeypatch):
+    from recordloom import staging
+    from recordloom.plans import catalogue, forms
+
+    folder = "/root/testdata/sf0.001"
+    assert {catalogue.QUERIES[q](spark, folder).rdd.getNumPartitions() for q in ("sequence_ratio",)} == {4}
+    few = forms.candidates(spark, folder).rdd.getNumPartitions()
+    monkeypatch.setattr(staging, "SHARE", 1000)
+    assert catalogue.QUERIES["sequence_ratio"](spark, folder).rdd.getNumPartitions() > 4
+    assert forms.candidates(spark, folder).rdd.getNumPartitions() > 2 * few
+
+
+def test_scores_test_bits_and_not_arrays(spark):
+    from recordloom.operators import classify
+
+    rows = spark.createDataFrame([(1, [0, 59, 60, 61, 123]), (2, []), (3, None)], "k int, hits array<int>")
+    labels, fields = classify._dimension()
+    for k, hits, got in rows.select("k", "hits", classify.scores(F.col("hits")).alias("s")).collect():
+        for s in got:
+            own = fields[s.type]
+            want = [f for f, ids in own if set(ids) & set(hits or [])]
+            assert (s.matched, s.total) == (want, len(own)) and s.missing == ([] if hits is None else [f for f, _ in own if f not in want])
+    assert "arrays_overlap" not in str(classify.scores(F.col("hits")))
