@@ -789,7 +789,8 @@ def sequence_ratio(spark, sf_dir):
     for kind, rows in (("part", texts), ("page", long)):
         after = rows.select((F.col("k") - 1).alias("k"), F.col("t").alias("b"))
         pairs.append(rows.select("k", F.col("t").alias("a")).join(after, "k").withColumn("kind", F.lit(kind)))
-    return pairs[0].unionByName(pairs[1]).select("kind", "k", F.bround(evaluate.sequence_ratio("a", "b"), 6).alias("ratio"))
+    rows = spread(pairs[0].unionByName(pairs[1]), _t(spark, sf_dir, "part"))
+    return rows.select("kind", "k", F.bround(evaluate.sequence_ratio("a", "b"), 6).alias("ratio"))
 
 
 # -- reports ------------------------------------------------------------------
