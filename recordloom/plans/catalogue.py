@@ -877,7 +877,7 @@ _KEY = "coalesce(json_extract_string(props, '$.k'), '')"
 @query(f"""SELECT event_id, cast(i AS INT) AS place, line FROM (SELECT event_id, unnest(['row ' || {_KEY}, 'total', 'cell ' || cast(event_id AS STRING), '7', 'x', 'leaf ' || {_KEY}]) AS line, unnest(range(0, 6)) AS i FROM events WHERE event_id % 10 > 0)""")
 def nested_lines(spark, sf_dir):
     """Lines of nested engine output built around the events' properties; every tenth is not JSON."""
-    rows = _t(spark, sf_dir, "events")
+    rows = spread(_t(spark, sf_dir, "events"))
     said = tx.text_or_empty(F.get_json_object("props", "$.k"))
     raw = F.concat(
         F.when(F.col("event_id") % 10 == 0, "{").otherwise(""), F.lit('{"rec_texts": ["row '), said, F.lit('", " ", "total"], "page": {"texts": "row '), said, F.lit('", "inner": [[[0, 1], ["cell '), F.col("event_id").cast("string"),
