@@ -16,8 +16,14 @@ from . import schemas
 from .classify import classify
 from .spans import with_slices
 
-# Phrases of cards and their footers. Four digits of an id number are no free call.
-_FREE_CALL = r"(?<!\d{4}[^\S\n]{1,9}\d{4}[^\S\n]{1,9})1800(?![^\S\n]+\d{4})"
+# Phrases of cards and their footers. Last, first or middle of three fours of digits, 1800 is of an id number
+# and no free call; after 1800 and a four the third may lack a digit.
+_FOUR = r"(?<!\d)\d{4}[^\S\n]{1,9}"
+_FREE_CALL = (
+    rf"1800(?<!{_FOUR}{_FOUR}1800)"
+    r"(?![^\S\n]+\d{4}(?:[^\S\n]+\d{3,4}|\s+\d{4})(?!\d))"
+    rf"(?!(?<={_FOUR}1800)[^\S\n]+\d{{4}}(?!\d))"
+)
 _FOOTER = rf"(?iU)\b(?:P\.?\s*O\.?\s*Box|help@|www\.|Bengaluru|{_FREE_CALL})\b"
 _ADDRESS_END = rf"(?iU)\b(?:P\.?\s*O\.?\s*Box|help@|www\.|Bengaluru|{_FREE_CALL}|UIDAI|UNIQUE IDENTIFICATION)\b"
 _SCRIPT_END = rf"(?iU)\b(?:UNIQUE IDENTIFICATION|GOVERNMENT OF INDIA|help@|www\.|P\.?\s*O\.?\s*Box|Bengaluru|{_FREE_CALL})\b"

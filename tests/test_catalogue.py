@@ -30,6 +30,16 @@ def test_twin(spark, duck, name):
     assert plain(got) == plain(want)
 
 
+def test_script_cards_of_any_key(spark, tmp_path):
+    """Keys whose last four digits read as print of the card, the free call above all."""
+    keys = [k + n for k in (0, 1001, 1800, 1947, 5678, 9012, 9999) for n in (0, 10_000, 6_000_000_000)]
+    spark.createDataFrame([(k,) for k in keys], "s_suppkey long").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    got, want = catalogue.QUERIES["script_cards"](spark, str(tmp_path)).toPandas(), con.execute(catalogue.SQL["script_cards"]).df()
+    assert plain(got) == plain(want)
+
+
 def test_flagship(spark):
     rows = catalogue.flagship(spark, ROOT).collect()
     assert sum(r.documents for r in rows) == 470 and sum(r.documents for r in rows if r.ready) > 300

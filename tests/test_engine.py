@@ -65,6 +65,16 @@ def test_a_number_of_a_card_is_no_footer(spark, text, want):
     assert one(spark, extract.pincode(F.col("v")), text) == want
 
 
+@pytest.mark.parametrize("call", ["1800 1234", "1800 560002", "1800 1947 560002", "2345 1800", "1800 300 1947", "1947 1800 300 1947"])
+def test_a_free_call_is_a_footer_unless_of_three_fours(spark, call):
+    assert one(spark, extract.pincode(F.col("v")), f"1001 5678 9012\nLake Road 400801\n{call}\n560001") == "400801"
+
+
+@pytest.mark.parametrize("number", ["1800 4567 8901 2345", "9123 1800 8901 2345", "9123 4567 1800 2345", "1800 5678 901", "1800 5678\n9012", "9123\t4567  1800"])
+def test_fours_of_a_number_are_no_free_call(spark, number):
+    assert one(spark, extract.pincode(F.col("v")), f"{number}\nLake Road 400801") == "400801"
+
+
 def test_lines_split_as_unicode_says(spark):
     assert one(spark, tx.lines_of(F.col("v")), "a\r\nb\x0b c \x85\n: d") == ["a", "b", "c", "d"]
 
