@@ -59,7 +59,8 @@ def has_script(c: Column) -> Column:
 
 def first_of(*options: Column) -> Column:
     """The first that is neither null nor empty, else the empty string."""
-    return F.coalesce(*[F.nullif(o, F.lit("")) for o in options], F.lit(""))
+    # bound: nullif would make each option twice, in the test and as its result
+    return F.coalesce(*[let(o, lambda x: F.nullif(x, F.lit(""))) for o in options], F.lit(""))
 
 
 def group(c: Column, pattern: str, n: int = 1) -> Column:

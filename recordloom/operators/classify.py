@@ -13,6 +13,8 @@ from .fuzzy import add_hits
 
 #: Share of a schema's fields that must be labelled for its type to be chosen.
 ENOUGH = 0.4
+#: Types of which a text may show both sides.
+CARDS = ("aadhaar_front", "aadhaar_back", "aadhaar_full")
 
 
 def confidence_level(c: Column) -> Column:
@@ -66,20 +68,28 @@ def _words(hits: Column, n: int) -> Column:
     return F.array(*[word(low) for low in range(0, n, _BITS)])
 
 
+def _hit(words: Column, ids: list[int]) -> Column:
+    """Whether one of some labels is among those that ``words`` tell."""
+    masks: dict[int, int] = {}
+    for i in ids:
+        masks[i // _BITS] = masks.get(i // _BITS, 0) | 1 << i % _BITS
+    return reduce(Column.__or__, [words[w].bitwiseAND(F.lit(m).cast("long")) != 0 for w, m in masks.items()])
+
+
+def confidences(words: Column) -> Column:
+    """array<double>: the share of each schema's fields that have a label, in schema order."""
+    share = lambda own: reduce(Column.__add__, [_hit(words, ids).cast("int") for _, ids in own]) / F.lit(float(len(own)))
+    return F.array(*[share(own) for own in _dimension()[1].values()])
+
+
 def scores(hits: Column) -> Column:
     """array<struct<type, total, matched, missing, confidence>> in schema order, from label hits."""
     labels, fields = _dimension()
 
-    def hit(words: Column, ids: list[int]) -> Column:
-        masks: dict[int, int] = {}
-        for i in ids:
-            masks[i // _BITS] = masks.get(i // _BITS, 0) | 1 << i % _BITS
-        return reduce(Column.__or__, [words[w].bitwiseAND(F.lit(m).cast("long")) != 0 for w, m in masks.items()])
-
     def said(words: Column) -> Column:
         out = []
         for t, own in fields.items():
-            flags = [(f, hit(words, ids)) for f, ids in own]
+            flags = [(f, _hit(words, ids)) for f, ids in own]
             matched = F.array_compact(F.array(*[F.when(h, F.lit(f)) for f, h in flags]))
             missing = F.array_compact(F.array(*[F.when(~h, F.lit(f)) for f, h in flags]))
             entry = lambda yes, no, t=t, n=len(own): F.struct(F.lit(t).alias("type"), F.lit(n).alias("total"), yes.alias("matched"), no.alias("missing"), (F.size(yes) / F.lit(float(n))).alias("confidence"))
@@ -112,14 +122,21 @@ def choose(docs: DataFrame, text: str = "text") -> DataFrame:
     both sides becomes aadhaar_full with the lists of the side it was taken for.
     """
     sizes = {t: len(f) for t, f in _dimension()[1].items()}
-    out = docs.withColumn("scores", scores(F.col("hits"))).withColumn("guess", pattern_guess(text_or_empty(F.col(text))))
-    # a stable descending order by confidence: the position in the schema list breaks ties
-    ranked = F.array_sort(F.transform("scores", lambda s, i: F.struct((-s["confidence"]).alias("c"), i.alias("i"), s.alias("s"))))
-    out = out.withColumn("ranked", ranked).withColumn("best", F.col("ranked")[0]["s"])
-    gap = F.bround((F.col("best.confidence") - F.col("ranked")[1]["s"]["confidence"]) * 100, 2)
+    # the scores are lists of fields; which type is best, their counts tell
+    out = docs.withColumn("scores", scores(F.col("hits"))).withColumn("_words", _words(F.col("hits"), len(_dimension()[0])))
+    out = out.withColumn("_sure", confidences(F.col("_words")))
+    # the first of the highest: the position in the schema list breaks ties
+    out = out.withColumn("_at", F.array_position("_sure", F.array_max("_sure")).cast("int"))
+    kind = F.element_at(F.array(*[F.lit(t) for t in sizes]), F.col("_at"))
+    out = out.withColumn("best", F.struct(kind.alias("type"), F.element_at("_sure", F.col("_at")).alias("confidence")))
+    best = F.element_at("scores", F.col("_at"))
+    # patterns are looked for only where they may tell something: in weak rows and cards
+    asked = (F.col("best.confidence") < ENOUGH) | F.col("best.type").isin(*CARDS)
+    out = out.withColumn("guess", F.when(asked, pattern_guess(text_or_empty(F.col(text)))))
+    gap = F.bround((F.col("best.confidence") - F.sort_array("_sure", False)[1]) * 100, 2)
     weak = F.col("best.confidence") < ENOUGH
     guessed = weak & F.col("guess.type").isNotNull()
-    full = ~weak & (F.col("guess.type") == "aadhaar_full") & F.col("best.type").isin("aadhaar_front", "aadhaar_back", "aadhaar_full")
+    full = ~weak & (F.col("guess.type") == "aadhaar_full") & F.col("best.type").isin(*CARDS)
     kind = F.when(guessed, F.col("guess.type")).when(weak, "unknown").when(full, "aadhaar_full").otherwise(F.col("best.type"))
     sure = F.when(guessed, F.col("guess.confidence")).when(full, F.greatest("best.confidence", "guess.confidence")).otherwise(F.col("best.confidence"))
     all_fields = F.create_map(*[x for t, own in schemas.schemas().items() for x in (F.lit(t), F.array(*[F.lit(f) for f, _, _ in own]))])
@@ -129,13 +146,13 @@ def choose(docs: DataFrame, text: str = "text") -> DataFrame:
         {
             "confidence_percent": F.bround(F.col("confidence") * 100, 2),
             "confidence_level": confidence_level(F.col("confidence")),
-            "matched": F.when(guessed, F.array().cast("array<string>")).otherwise(F.col("best.matched")),
-            "missing": F.when(guessed, F.try_element_at(all_fields, F.col("type"))).otherwise(F.col("best.missing")),
-            "total": F.when(guessed | full, F.try_element_at(size, F.col("type"))).otherwise(F.col("best.total")),
+            "matched": F.when(guessed, F.array().cast("array<string>")).otherwise(best["matched"]),
+            "missing": F.when(guessed, F.try_element_at(all_fields, F.col("type"))).otherwise(best["missing"]),
+            "total": F.when(guessed | full, F.try_element_at(size, F.col("type"))).otherwise(best["total"]),
             "score_gap": F.when(guessed, 0.0).otherwise(gap),
         }
     )
-    return out.drop("ranked", "best", "guess")
+    return out.drop("_words", "_sure", "_at", "best", "guess")
 
 
 def classify(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -68,14 +68,17 @@ def after_label(lines: Column, labels: list[str]) -> Column:
     Labels are tried in their order on each line, whatever their case.
     """
 
-    def on_line(line: Column, i: Column) -> Column:
-        low, out = F.lower(line), None
+    def in_order(line: Column, low: Column, i: Column) -> Column:
+        out = None
         for label in (x.lower() for x in labels):
             rest = clean_value(line.substr(F.instr(low, label) + len(label), F.length(line)))
-            value = F.when(rest != "", rest).otherwise(item(lines, i + 2))
+            value = first_of(rest, item(lines, i + 2))
             out = F.when(low.contains(label), value) if out is None else out.when(low.contains(label), value)
         return out
 
+    def on_line(line: Column, i: Column) -> Column:
+        return let(F.lower(line), lambda low: in_order(line, low, i))
+
     return item(F.array_compact(F.transform(lines, on_line)), 1)
 
 
@@ -364,9 +367,17 @@ def _records(text: str, types: list[str] | None) -> Column:
     return branches
 
 
-def extract(docs: DataFrame, text: str = "text", types: list[str] | None = None) -> DataFrame:
-    """``docs`` classified, with spans, slices and values."""
-    return overlaid(with_slices(classify(docs, text), text), text, types)
+def extract(docs: DataFrame, text: str = "text", types: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` classified, with spans, slices and values.
+
+    ``keep`` names what is used later of the columns before the slices, beside
+    text, type and hits: Spark can't leave out what an Arrow step is given, so
+    all others are else made, and sent to Python and back.
+    """
+    known = classify(docs, text)
+    if keep is not None:
+        known = known.select(*dict.fromkeys([*keep, text, "type", "hits"]))
+    return overlaid(with_slices(known, text), text, types)
 
 
 def long_fields(records: DataFrame, keys: list[str], values: str = "values") -> DataFrame:

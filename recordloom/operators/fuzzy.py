@@ -4,10 +4,18 @@ A label cut into one part more than its edits keeps one part whole, so only
 places beside a part that stands in a text can hold it. Shift-and automata
 with errors, one 64-bit word for each label and error count, decide there. All
 places of a block of texts advance together, one character a step.
+
+A character of no label costs an edit wherever it stands, so no occurrence holds
+more of them than a label may have edits. Texts are therefore decided by pieces
+that hold no more, with all such characters alike: forms that differ in their
+numbers share their pieces, and each piece is decided once.
 """
 
 from __future__ import annotations
 
+import re
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,6 +25,23 @@ from pyspark.sql import types as T
 BLOCK = 512
 #: Places whose verdicts are kept, as forms say the same again and again.
 KEPT = 1 << 16
+#: Letters of pieces whose labels are kept.
+HELD = 1 << 22
+#: Stands for all characters of no label.
+STRANGE = "\0"
+
+
+class _Plain(dict):
+    """Characters of labels as they are, all others as STRANGE."""
+
+    def __missing__(self, c: int) -> int:
+        return 0
+
+
+def _union(known: dict[str, int], pieces: list[str], bits: int) -> int:
+    for p in pieces:
+        bits |= known[p]
+    return bits
 
 
 class Labels:
@@ -46,16 +71,49 @@ class Labels:
                 if k and len(label) > k:
                     self.parts.setdefault(label[a:b], []).append((j, a))
         self.verdicts: dict[tuple[int, str], bool] = {}
+        self.plain = _Plain({c: 0 for c in range(128)} | {c: c for c in self.codes})
+        self.parting = re.compile(f"{STRANGE}{{{self.top + 1},}}")
+        self.known: dict[str, int] = {}
+        self.held = 0
+        # deletions alone may already make a label
+        self.always = sum(1 << j for j, (label, k) in enumerate(labels) if len(label) <= k)
 
     def found(self, texts: list[str]) -> np.ndarray:
         """(texts, labels): whether a label occurs within its edits."""
         out = np.zeros((len(texts), len(self.labels)), bool)
-        # deletions alone may already make a label
-        out[:, [j for j, (label, k) in enumerate(self.labels) if len(label) <= k]] = True
+        for row, bits in zip(out, self.bits(texts)):
+            row[[j for j in range(len(self.labels)) if bits >> j & 1]] = True
+        return out
+
+    def bits(self, texts: list[str]) -> list[int]:
+        """For each text the labels that occur within their edits, a bit for each."""
+        out = []
         for at in range(0, len(texts), BLOCK):
-            self._block(texts[at : at + BLOCK], out[at : at + BLOCK])
+            out += self._by_pieces([self.parting.split(t.translate(self.plain)) for t in texts[at : at + BLOCK]])
         return out
 
+    def _by_pieces(self, texts: list[list[str]]) -> list[int]:
+        if self.held > HELD:
+            self.known.clear()
+            self.held = 0
+        known = self.known
+        new = {s: self._pieces(s) for s in dict.fromkeys(s for own in texts for s in own) if s not in known}
+        open_ = [p for p in dict.fromkeys(p for own in new.values() for p in own) if p not in known]
+        for at in range(0, len(open_), BLOCK):
+            part = open_[at : at + BLOCK]
+            rows = np.zeros((len(part), len(self.labels)), bool)
+            self._block(part, rows)
+            known.update(zip(part, (sum(1 << j for j in np.flatnonzero(row).tolist()) for row in rows)))
+        for s, own in new.items():
+            known[s] = _union(known, own, 0)
+        self.held += sum(map(len, new)) + sum(map(len, open_))
+        return [_union(known, own, self.always) for own in texts]
+
+    def _pieces(self, text: str) -> list[str]:
+        """The parts of a text that hold as many strange characters as there may be edits."""
+        gaps, n = text.split(STRANGE), self.top + 1
+        return [STRANGE.join(gaps[i : i + n]) for i in range(max(1, len(gaps) - n + 1))]
+
     def _block(self, texts: list[str], out: np.ndarray) -> None:
         if len(self.verdicts) > KEPT:
             self.verdicts.clear()
@@ -144,22 +202,31 @@ class Labels:
         return [[np.array(x, int) for x in w] for w in out]
 
 
+@cache
+def shared(labels: tuple[tuple[str, int], ...]) -> Labels:
+    """One search for all tasks of a worker, so that what is known of pieces stays."""
+    return Labels(list(labels))
+
+
 def add_hits(docs: DataFrame, norm: Column, labels: list[tuple[str, int]], name: str = "hits") -> DataFrame:
     """``docs`` with indexes of ``labels`` that occur in the normalised text; a null text has none.
 
     A map over Arrow batches keeps this step apart from the expressions above
     it, which would otherwise be folded into its arguments again and again.
     """
-    search = Labels(labels)
+    labels = tuple(labels)
     rows = docs.withColumn(name, norm)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))])
 
     def run(batches):
+        search = shared(labels)
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
-                found = search.found([t or "" for t in part.column(name).to_pylist()])
-                hits = pa.array([np.flatnonzero(row) for row in found], pa.list_(pa.int32()))
+                found = search.bits([t or "" for t in part.column(name).to_pylist()])
+                place = {bits: i for i, bits in enumerate(dict.fromkeys(found))}
+                sets = pa.array([[j for j in range(len(labels)) if bits >> j & 1] for bits in place], pa.list_(pa.int32()))
+                hits = sets.take(pa.array([place[bits] for bits in found], pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], hits], names=schema.names)
 
     return rows.mapInArrow(run, schema)

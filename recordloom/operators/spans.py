@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,14 @@ WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u20
 MARKS = ":：|._-"
 ODD_CASE = {"ſ": "s", "\u212a": "k"}
 _GAPS = frozenset(WHITE + MARKS)
+#: Digits, which no label holds, are alike. A label with two edits holds at most two of them, so none reaches over the
+#: place between two that stand together and have another within three letters on either side.
+_ALIKE = {c: c for c in range(128)} | {ord(c): ord("0") for c in "0123456789"}
+_PARTING = re.compile("(?s)0.{0,3}?0+(?=0.{0,3}0)")
+#: Letters between those two others.
+_BETWEEN = 6
+#: Letters of pieces whose spans are kept.
+HELD = 1 << 22
 
 
 def folded(text: str) -> str:
@@ -105,7 +115,9 @@ class Finder:
     The forward search has told which labels occur. The same automata, over
     labels and texts turned round, tell where they may begin; from each such
     place, first to last, the alignment says how far the label goes.
-    Occurrences of one label don't overlap, and none begins inside a word.
+    Occurrences of one label don't overlap, and none begins inside a word. Texts
+    are searched by pieces that no label reaches out of, with all digits alike, and
+    what stands in a piece is kept.
     """
 
     def __init__(self):
@@ -118,6 +130,14 @@ class Finder:
         self.codes = self.back.table.copy()
         for c in WHITE + MARKS:
             self.codes[ord(c)] = self.back.codes[ord(" ")]
+        sizes = [(len(x.replace(" ", "")), schemas.allowed_edits(x)) for x in self.norms]
+        self.by_pieces = not any(c.isdigit() for x in self.norms for c in x) and all(k < 2 or k == 2 and n - k > _BETWEEN for n, k in sizes)
+        self.pairs = list(dict.fromkeys((f, x) for own in [*self.labels.values(), self.marks] for f, x, _ in own))
+        self.place = {pair: i for i, pair in enumerate(self.pairs)}
+        self.sets: list[tuple] = [()]
+        self.wanted: dict[tuple, int] = {}
+        self.known: dict[tuple[str, int], tuple[list[int], list[int], list[int]]] = {}
+        self.held = 0
 
     def starts(self, lows: list[str], wanted: list[list[int]]) -> list[list[list[int]]]:
         """For each text and each label wanted in it, the places where it may begin, in order."""
@@ -134,37 +154,92 @@ class Finder:
         ``hits`` are the labels that the forward search has found in a text, or
         None: then all labels of its type are searched.
         """
-        wanted = []
-        for kind, some in zip(kinds, hits):
+        return [[{"field": self.pairs[p][0], "label": self.pairs[p][1], "start": s, "end": e} for p, s, e in zip(*own)] for own in self.found(texts, kinds, hits)]
+
+    def found(self, texts: list[str], kinds: list[str], hits: list) -> list[tuple[list[int], list[int], list[int]]]:
+        """As ``spans``, for each text the places in ``pairs``, the starts and the ends."""
+        if self.held > HELD:
+            self.sets, self.held = [()], 0
+            self.wanted.clear()
+            self.known.clear()
+        parts = [self._pieces(folded(t), self._wanted(kind, some)) for t, kind, some in zip(texts, kinds, hits)]
+        open_ = [x for x in dict.fromkeys(x for own in parts for _, x in own) if x not in self.known]
+        self.known.update(zip(open_, self._search(open_)))
+        self.held += sum(len(low) for low, _ in open_)
+        out = []
+        for own in parts:
+            places, starts, ends = [], [], []
+            for at, x in own:
+                p, s, e = self.known[x]
+                places += p
+                starts += [at + i for i in s] if at else s
+                ends += [at + i for i in e] if at else e
+            out.append((places, starts, ends))
+        return out
+
+    def _wanted(self, kind: str, some: list[int] | None) -> int:
+        """The place in ``sets`` of the labels of a type that are looked for, as (field, label, index), and the end marks."""
+        key = kind, None if some is None else tuple(some)
+        if key not in self.wanted:
             own = self.labels.get(kind, [])
-            wanted.append([x for x in own if some is None or x[2] in some] + self.marks if own else [])
-        lows = [folded(t) for t in texts]
+            made = (*[x for x in own if some is None or x[2] in some], *self.marks) if own else ()
+            if made not in self.sets:
+                self.sets.append(made)
+            self.wanted[key] = self.sets.index(made)
+            self.held += len(made)
+        return self.wanted[key]
+
+    def _pieces(self, low: str, wanted: int) -> list[tuple[int, tuple[str, int]]]:
+        """(place, (piece, wanted)): all but the first begin with the last digit of the one before, as a start looks at the letter before it."""
+        if not wanted:
+            return []
+        if not self.by_pieces:
+            return [(0, (low, wanted))]
+        low, out, at = low.translate(_ALIKE), [], 0
+        for m in _PARTING.finditer(low):
+            out.append((at, (low[at : m.end()], wanted)))
+            at = m.end() - 1
+        return [*out, (at, (low[at:], wanted))]
+
+    def _search(self, parts: list[tuple[str, int]]) -> list[tuple[list[int], list[int], list[int]]]:
         out = []
-        for low, own, places in zip(lows, wanted, self.starts(lows, [[i for _, _, i in w] for w in wanted])):
-            found = []
-            for (field, label, i), starts in zip(own, places):
-                last = 0
-                for s in starts:
-                    if s >= last and (end := self.ways[i].end(low, s, last)) >= 0:
-                        last = past_separator(low, end)
-                        found.append({"field": field, "label": label, "start": s, "end": last})
-            out.append(sorted(found, key=lambda s: (s["start"], s["start"] - s["end"])))
+        for begin in range(0, len(parts), BLOCK):
+            lows, wanted = [low for low, _ in parts[begin : begin + BLOCK]], [self.sets[n] for _, n in parts[begin : begin + BLOCK]]
+            for low, own, places in zip(lows, wanted, self.starts(lows, [[i for _, _, i in own] for own in wanted])):
+                found = []
+                for (field, label, i), starts in zip(own, places):
+                    last = 0
+                    for s in starts:
+                        if s >= last and (end := self.ways[i].end(low, s, last)) >= 0:
+                            last = past_separator(low, end)
+                            found.append((self.place[field, label], s, last))
+                found.sort(key=lambda x: (x[1], x[1] - x[2]))
+                out.append(tuple(map(list, zip(*found))) if found else ([], [], []))
         return out
 
 
+@cache
+def shared_finder() -> Finder:
+    """One finder for all tasks of a worker, so that what is known of pieces stays."""
+    return Finder()
+
+
 def add_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` (with type and hits) with the spans of the type's labels and of the end marks."""
-    finder = Finder()
     schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(f"spans {SPANS}").fields])
-    arrow = pa.list_(pa.struct([("field", pa.string()), ("label", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
+        finder = shared_finder()
+        fields, labels = (pa.array(x, pa.string()) for x in zip(*finder.pairs))
         for whole in batches:
             for at in range(0, whole.num_rows, BLOCK):
                 batch = whole.slice(at, BLOCK)
                 texts = [t or "" for t in batch.column(text).to_pylist()]
-                made = finder.spans(texts, batch.column("type").to_pylist(), batch.column("hits").to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, arrow)], names=schema.names)
+                made = finder.found(texts, batch.column("type").to_pylist(), batch.column("hits").to_pylist())
+                places, starts, ends = (pa.array([i for own in made for i in own[n]], pa.int32()) for n in range(3))
+                entries = pa.StructArray.from_arrays([fields.take(places), labels.take(places), starts, ends], names=["field", "label", "start", "end"])
+                offsets = pa.array([0, *accumulate(len(own[0]) for own in made)], pa.int32())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, entries)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 

@@ -659,7 +659,9 @@ def _judged(third: bool) -> str:
 @query(f"WITH {forms.WITH} SELECT * EXCLUDE (family) FROM ({_judged(True)})")
 def rank_candidates(spark, sf_dir):
     """Three readings of each form, the best kept by the eight keys."""
-    out = rank.best(rank.scored(validate.summary(extract.extract(forms.candidates(spark, sf_dir)))))
+    readings = forms.candidates(spark, sf_dir).select("doc_id", "engine", "ordinal", "text")
+    records = extract.extract(readings, keep=["doc_id", "engine", "ordinal", "confidence_percent"])
+    out = rank.best(rank.scored(validate.summary(records)))
     return out.select("doc_id", "engine", "type", "ready", "valid_fields", "invalid_fields", "warnings", "confidence_percent", F.col("score.filled").alias("filled"))
 
 

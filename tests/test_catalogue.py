@@ -43,3 +43,10 @@ def test_script_cards_of_any_key(spark, tmp_path):
 def test_flagship(spark):
     rows = catalogue.flagship(spark, ROOT).collect()
     assert sum(r.documents for r in rows) == 470 and sum(r.documents for r in rows if r.ready) > 300
+
+
+def test_ranking_hands_python_only_what_it_uses(spark):
+    """Scores and lists of fields made up most of what went to Python and back, and nothing read them."""
+    plan = catalogue.QUERIES["rank_candidates"](spark, ROOT)._jdf.queryExecution().executedPlan().toString()
+    given = [line for line in plan.splitlines() if "MapInArrow" in line]
+    assert len(given) == 2 and not any(c in line for line in given for c in ("scores#", "matched#", "missing#", "seconds#", "family#"))

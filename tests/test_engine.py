@@ -123,6 +123,60 @@ def test_spans_need_only_the_labels_that_occur():
     assert finder.spans([text] * len(kinds), kinds, [hits] * len(kinds)) == finder.spans([text] * len(kinds), kinds, [None] * len(kinds))
 
 
+def numbered(seed, n):
+    """Texts of damaged labels among numbers, ones that are read as letters and other strange characters."""
+    rng = random.Random(seed)
+    labels = sorted({x for own in schemas.schemas().values() for _, _, some in own for x in some} | set(schemas.END_MARKS))
+    out = []
+    for _ in range(n):
+        words = []
+        for _ in range(rng.randint(0, 12)):
+            word = list(rng.choice(labels))
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randint(0, len(word))
+                word[at : at + rng.randint(0, 1)] = rng.choice(["", "1", "20", " ", "\n", "#", "0000"])
+            words += ["".join(word), str(rng.randrange(10 ** rng.randint(0, 11))).replace("1", rng.choice("1l"))]
+        out.append(rng.choice([" ", "\n", "", ": "]).join(words))
+    return out
+
+
+def test_pieces_between_numbers_hold_what_the_whole_text_holds():
+    labels = sorted({(schemas.normal_label(x), schemas.allowed_edits(schemas.normal_label(x))) for own in schemas.schemas().values() for _, _, ls in own for x in ls})
+    texts = [" ".join(regex.sub("[:：|._-]+", " ", t.lower()).split())[:60] for t in numbered(6, 40)]
+    search = Labels(labels)
+    search.found(texts[::2])  # some pieces are known from before
+    for t, row in zip(texts, search.found(texts)):
+        assert row.tolist() == [edits(label, t) <= k for label, k in labels], t
+
+
+def test_spans_by_pieces_are_those_of_the_whole_text():
+    by_pieces, whole = spans.Finder(), spans.Finder()
+    whole.by_pieces = False
+    texts = numbered(7, 400)
+    kinds = [k for _, k in zip(texts, list(schemas.schemas()) * len(texts))]
+    none = [None] * len(texts)
+    assert by_pieces.spans(texts, kinds, none) == whole.spans(texts, kinds, none)
+    assert any(at for at, _ in by_pieces._pieces("id 1234567890 name", by_pieces._wanted("passbook", None)))
+
+
+def test_forms_that_differ_in_numbers_are_searched_once(monkeypatch):
+    """No row of automata for a form whose like was searched before; before, each form was searched for itself."""
+    searched = []
+    monkeypatch.setattr(Labels, "ends", lambda self, texts, wanted, own=Labels.ends: searched.extend(texts) or own(self, texts, wanted))
+    monkeypatch.setattr(Labels, "_block", lambda self, texts, out, own=Labels._block: searched.extend(texts) or own(self, texts, out))
+    forms = [f"TAX INVOICE\nStore {i % 9}\nDate: {10 + i % 9}/02/1995\nReceipt No. R-{100000 + i}\nSubtotal: {5000 + i}.00\nGrand Total: RM {6000 + 7 * i}.25" for i in range(2000)]
+    search, finder = Labels(classify._dimension()[0]), spans.Finder()
+    assert len(search.found([" ".join(regex.sub("[:|._-]+", " ", t.lower()).split()) for t in forms])) == 2000
+    assert len(finder.spans(forms, ["invoice"] * 2000, [None] * 2000)) == 2000
+    assert len(searched) < 100
+
+
+def test_an_option_is_made_once(spark):
+    """Before, every option that counts stood twice in the expression, once to be tested and once as the value."""
+    plan = spark.range(1).select(tx.first_of(F.concat(F.lit("mark"), F.col("id").cast("string")), F.lit("x")).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat(mark") == 1
+
+
 EMPLOYEE = "Employee Name: Asha Rao\nEmployee ID: E_1\nDate of Birth: 01/02/1990\nDate of Joining: 31-02-2020\nDepartment: IT\nDesignation: Clerk\nMoblle Number: 98765 43210\nEmail: a@b\nAddress: 1 Road\nPincode: 012345\nEmployee Signature"
 RECEIPT = "ABC SDN BHD\nCASH SALES\nLot 5 Jalan Besar\n12/03/2018\nReceipt No. 77\nTotal Sales 10.50\nGST 0.60\nRM"
 BOTH_SIDES = "Government of India\nनाम: आशा\nAsha Mehta\nDOB: 18-03-1991\nFemale\n1234 5678 9012\nW/O: Ravi Mehta\n4 Lake Road\n400001\nUIDAI"
